@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, quality, secrets, sharding
+from . import chat, decontam, neardup, packing, quality, secrets, sharding
 from .common import table
 
 SHARD_BYTES = 8 << 20
@@ -36,6 +36,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +93,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_neardup": op3_neardup,
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
     "op7_secrets": op7_secrets,
