@@ -92,40 +92,21 @@ def _logistic(x: list[float], y: list[int], rounds: int = 60) -> tuple[float, fl
     return a / spread, b - a * mean / spread
 
 
-def fit(
-    labelled: DataFrame,
-    text: str = "text",
-    label: str = "quality",
-    key: str = "doc_id",
-    docs_per_class: int = 2000,
-    max_doc_bytes: int = 40_000,
-    dict_bytes: int = 112_640,
-    level: int = 1,
-    chunk: int = 1024,
-) -> CompressionModel:
-    """Fit on a bounded sample: of each class at most docs_per_class rows (by a hash of the key) of at most
-    max_doc_bytes. These two bound the driver's memory; scoring has no such bound.
+def fit(taken: dict[int, list[str]], shares: dict[int, int], dict_bytes: int = 112_640, level: int = 1, chunk: int = 1024) -> CompressionModel:
+    """Fit on sample texts of each class (0 and 1), in a fixed order; shares: rows of each class among all labelled.
 
-    Two thirds of the sample build the dictionaries, the rest sets the curve at the sample's own class weights,
-    corrected to the classes' shares among all labelled rows. Rows with a null text or label are not learnt
-    from. Without rows of both classes every score is the share of label 1 (0.5 without any row).
+    Two thirds of a class's sample build its dictionary, the rest sets the curve, whose offset is corrected from
+    the sample's class weights to the shares. Without texts of both classes every score is the share of label 1
+    (0.5 without any row).
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull())
-    shares = {int(r[0]): r[1] for r in rows.groupBy(F.col(label).cast("int")).count().collect()}
-    n0, n1 = shares.get(0, 0), shares.get(1, 0)
-    prior = math.log((n1 + 1) / (n0 + 1))
-    if not n0 or not n1:
+    prior = math.log((shares.get(1, 0) + 1) / (shares.get(0, 0) + 1))
+    if not taken.get(0) or not taken.get(1):
         return CompressionModel(b"", b"", 0.0, prior, level, chunk)
-    small = rows.where(F.octet_length(text) <= max_doc_bytes)
-    taken: dict[int, list[str]] = {}
-    for q in (0, 1):
-        own = small.where(F.col(label) == q).select(F.col(text).alias("t"), md5_bits(F.col(key)).alias("h"))
-        taken[q] = [r.t for r in own.orderBy("h", "t").limit(docs_per_class).toLocalIterator()]
     dicts, rest = {}, []
-    for q, texts in taken.items():
-        cut = max(1, 2 * len(texts) // 3)
-        dicts[q] = _dictionary(texts[:cut], dict_bytes, level, chunk)
-        rest += [(t, q) for t in (texts[cut:] or texts)]
+    for q in (0, 1):
+        cut = max(1, 2 * len(taken[q]) // 3)
+        dicts[q] = _dictionary(taken[q][:cut], dict_bytes, level, chunk)
+        rest += [(t, q) for t in (taken[q][cut:] or taken[q])]
     raw = CompressionModel(dicts[1], dicts[0], 1.0, 0.0, level, chunk)
     slope, offset = _logistic([raw.difference(t) for t, _ in rest], [q for _, q in rest])
     k1 = sum(q for _, q in rest)
@@ -138,11 +119,32 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality", **params) -> CompressionModel:
-    """Fit on the documents that labels cover, but for the held-out third."""
-    marks = labels.select(F.col(doc).alias("_k"), F.col(label).alias("_q")).where(~held_out(F.col("_k")) & F.col("_q").isNotNull())
-    joined = docs.select(F.col(doc).alias("_k"), F.col(text).alias("_t")).join(marks, "_k")
-    return fit(joined, "_t", "_q", "_k", **params)
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    doc: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    docs_per_class: int = 2000,
+    max_doc_bytes: int = 20_000,
+    **params,
+) -> CompressionModel:
+    """Fit on a bounded sample of the documents that labels cover, but for the held-out third.
+
+    Of each class the first docs_per_class labelled ids by a hash are taken, and of these the documents of at
+    most max_doc_bytes: the two bound what the driver gathers, and the ids (that many at most) are broadcast, so
+    no text is shuffled. Scoring has no such bound. Rows with a null id, text or label are not learnt from.
+    """
+    marks = labels.select(F.col(doc).alias("_k"), F.col(label).cast("int").alias("_q"))
+    marks = marks.where(F.col("_k").isNotNull() & F.col("_q").isin(0, 1) & ~held_out(F.col("_k"))).withColumn("_h", md5_bits(F.col("_k")))
+    shares = {r[0]: r[1] for r in marks.groupBy("_q").count().collect()}
+    ids = [marks.where(F.col("_q") == q).orderBy("_h", "_k").limit(docs_per_class) for q in (0, 1)]
+    body = docs.select(F.col(doc).alias("_k"), F.col(text).alias("_t")).where(F.octet_length("_t") <= max_doc_bytes)
+    rows = body.join(F.broadcast(ids[0].unionByName(ids[1])), "_k").orderBy("_h", "_k", "_q", "_t").limit(2 * docs_per_class)
+    taken: dict[int, list[str]] = {0: [], 1: []}
+    for r in rows.select("_q", "_t").collect():
+        taken[r[0]].append(r[1])
+    return fit(taken, shares, **params)
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
