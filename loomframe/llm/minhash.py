@@ -47,21 +47,26 @@ def _cuts(body: bytes, size: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(body: bytes, segment: int = 1 << 20) -> np.ndarray:
-    """One 64-bit hash for each word [^\\x20\\x09-\\x0D]+ of UTF-8 text, A-Z as a-z."""
-    out = []
+def word_spans(body: bytes, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word [^\\x20\\x09-\\x0D]+ of UTF-8 text, A-Z as a-z; positions are bytes."""
+    hashes, begins, ends = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in _cuts(body, segment):
         chars = np.frombuffer(body, np.uint8, b - a, a)
         inside = ~_PART[chars]
-        edge = np.diff(inside.astype(np.int8), prepend=0)
-        starts = np.flatnonzero(edge == 1)
+        starts = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0) == 1)
         if not len(starts):
             continue
         lengths = np.add.reduceat(inside, starts, dtype=np.int64)
+        begins.append(starts + a)
+        ends.append(starts + a + lengths)
         chars, starts = chars[starts[0] :], starts - starts[0]
         at = np.arange(len(chars)) - np.repeat(starts, np.diff(starts, append=len(chars)))
-        out.append(mix(np.add.reduceat(_BYTE[chars] * _power(int(at.max()) + 1)[at], starts) + lengths.astype(U64)))
-    return np.concatenate(out) if out else np.zeros(0, U64)
+        hashes.append(mix(np.add.reduceat(_BYTE[chars] * _power(int(at.max()) + 1)[at], starts) + lengths.astype(U64)))
+    return np.concatenate(hashes), np.concatenate(begins), np.concatenate(ends)
+
+
+def word_hashes(body: bytes, segment: int = 1 << 20) -> np.ndarray:
+    return word_spans(body, segment)[0]
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:

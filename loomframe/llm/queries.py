@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, neardup, packing, quality, secrets, sharding
+from . import chat, decontam, neardup, packing, quality, secrets, sharding, spandedup
 from .common import table
 
 SHARD_BYTES = 8 << 20
@@ -69,6 +69,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_spandedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spandedup.remove_repeated_spans(docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")), secrets.KINDS[:3])
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neardup": op3_neardup,
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
+    "op6_spandedup": op6_spandedup,
     "op7_secrets": op7_secrets,
     "op9_sharding": op9_sharding,
     "op10_decontam": op10_decontam,
