@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, neardup, packing, quality, secrets, sharding, spandedup
+from . import ann, chat, decontam, neardup, packing, quality, secrets, sharding, spandedup
 from .common import table
 
 SHARD_BYTES = 8 << 20
@@ -78,6 +78,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")), secrets.KINDS[:3])
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.build_index(vectors), vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs, SHARD_BYTES).select("doc_id", "shard", "shard_depth", "row_bytes", "shard_bytes")
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": op5_chat,
     "op6_spandedup": op6_spandedup,
     "op7_secrets": op7_secrets,
+    "op8_ann": op8_ann,
     "op9_sharding": op9_sharding,
     "op10_decontam": op10_decontam,
 }
