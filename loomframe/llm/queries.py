@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, neardup, packing, quality, secrets, sharding, spandedup
+from . import ann, chat, decontam, neardup, packing, pii, quality, secrets, sharding, spandedup
 from .common import table
 
 SHARD_BYTES = 8 << 20
@@ -36,6 +36,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _span_digest(pii.find_pii(docs, pii.learn(docs)), pii.BASE)
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -103,6 +108,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_pii": op2_pii,
     "op3_neardup": op3_neardup,
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
