@@ -131,8 +131,9 @@ def decontaminate(
     Nulls: a null or empty text has no words, no hits; an item with null text or no words has no window; an item
     with a null id is left out. Repeated rows and repeated items each count as they stand. Items of fewer words
     than the window are one window. An empty benchmark hits nothing; empty documents give no rows. Extra columns
-    are ignored unless named in `keep`.
+    are ignored unless named in `keep` (kept columns with the results' names give way).
     """
+    keep = tuple(c for c in keep if c not in ("n_words", "n_hit", "hits", "items"))
     held = list(dict.fromkeys([doc, *keep, *([text] if text not in keep else [])]))
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     ddl = ", ".join(f"`{c}` {types[c]}" for c in held)

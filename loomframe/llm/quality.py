@@ -152,9 +152,9 @@ def score_quality(docs: DataFrame, model: CompressionModel, doc: str = "doc_id",
 
     Each row is scored where it is read, without a shuffle; the model has a fixed size. Null and empty texts get
     the curve's value at a difference of 0. Texts of any length are compressed whole. Repeated rows score alike;
-    an empty table gives no rows; extra columns are ignored unless named in `keep`.
+    an empty table gives no rows; extra columns are ignored unless named in `keep` (one called score gives way).
     """
-    held = list(dict.fromkeys([doc, *keep]))
+    held = [c for c in dict.fromkeys([doc, *keep]) if c != "score"]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def start():

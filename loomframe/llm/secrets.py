@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_rows
 
@@ -134,26 +135,32 @@ def redact(text: str | None, spans: list[tuple], mark: str = "[SECRET]") -> str
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.55) -> DataFrame:
-    """(doc, spans, redacted): spans is array<struct<kind, start, end, score>> in code points, end exclusive;
+def scan_secrets(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.55, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc, *keep, spans, redacted): spans is array<struct<kind, start, end, score>> in code points, end exclusive;
     redacted is the text without the secrets' values.
 
     Each row is lexed where it is read, without a shuffle. Nulls: a null text has no spans and stays null; empty
     texts have none. Texts are scanned whole whatever their length. Repeated rows give repeated results; an empty
-    table gives no rows; extra columns are ignored.
+    table gives no rows; extra columns are ignored unless named in `keep` (kept columns called spans or redacted
+    give way to the results).
     """
+    held = [c for c in dict.fromkeys([doc, *keep]) if c not in ("spans", "redacted")]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def start():
         def kernel(cols):
-            for doc_id, body in zip(*cols, strict=True):
+            for *own, body in zip(*cols, strict=True):
                 spans = scan(body, threshold)
-                yield doc_id, [dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans], redact(body, spans)
+                yield *own, [dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans], redact(body, spans)
 
         return kernel
 
-    kind = docs.schema[doc].dataType.simpleString()
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in held)
+    src = docs.select(*held, F.col(text).alias("_body"))
     return map_rows(
-        docs, [doc, text], start, f"`{doc}` {kind}, spans array<struct<kind: string, start: long, end: long, score: double>>, redacted string"
+        src, [*held, "_body"], start, f"{ddl}, spans array<struct<kind: string, start: long, end: long, score: double>>, redacted string"
     )
 
 
