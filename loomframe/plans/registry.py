@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import panel
+from . import flows, panel, prepare, research
 
-MODULES = (panel,)
+MODULES = (panel, prepare, research, flows)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
