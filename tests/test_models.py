@@ -1,0 +1,223 @@
+"""Formulas against independent pandas and numpy models, on seeded random walks."""
+
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from loomframe.functions.sqlsteps import Steps
+from loomframe.operators import backtest, clean, indicators, informed, labeling, metrics, microstructure, splits, technical, xsection
+from loomframe.sources import bars as src
+from loomframe.sources import html
+
+
+@pytest.fixture(scope="module")
+def walk():
+    rng = np.random.default_rng(42)
+    n = 320
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
+    return pd.DataFrame({
+        "ticker": "A", "date": pd.bdate_range("2020-01-01", periods=n).date, "open": close * (1 + rng.normal(0, 0.005, n)),
+        "high": close * (1 + abs(rng.normal(0, 0.01, n))), "low": close * (1 - abs(rng.normal(0, 0.01, n))), "close": close,
+        "adj_close": close, "volume": rng.exponential(1e6, n),
+    })
+
+
+@pytest.fixture(scope="module")
+def panel(spark, walk):
+    return spark.createDataFrame(walk)
+
+
+def column(panel, steps: Steps, name: str) -> np.ndarray:
+    got = steps.apply(panel).select("date", name).toPandas().sort_values("date")[name]
+    return got.astype(float).to_numpy()
+
+
+def same(a, b, tol=1e-8):
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    assert np.array_equal(np.isnan(a), np.isnan(b))
+    ok = ~np.isnan(a)
+    assert ok.any() and np.allclose(a[ok], b[ok], rtol=tol, atol=tol)
+
+
+def test_technical(panel, walk):
+    c, ret = walk.close, walk.close.pct_change()
+    lret = np.log(c).diff()
+    same(column(panel, technical.cum_returns(), "cum_ret_21d"), ret.rolling(21).sum())
+    same(column(panel, technical.realized_vol(), "realized_vol_63d"), lret.rolling(63).std() * math.sqrt(252))
+    same(column(panel, technical.reversal(), "reversal_5d"), ret.shift(1).rolling(5).sum())
+    same(column(panel, technical.momentum(), "momentum_12_1"), c.shift(21) / c.shift(252) - 1)
+    skew = ret.rolling(63).apply(lambda x: ((x - x.mean()) ** 3).mean() / x.std(ddof=0) ** 3)
+    got = column(panel, technical.skewness(), "skewness_63d")
+    same(got[63:], skew[63:], 1e-6)
+    tr = pd.concat([walk.high - walk.low, (walk.high - c.shift()).abs(), (walk.low - c.shift()).abs()], axis=1).max(axis=1)
+    same(column(panel, technical.average_true_range(), "atr_14"), tr.rolling(14).mean() / c)
+    z = (ret - ret.rolling(21).mean()) / ret.rolling(21).std(ddof=0)
+    same(column(panel, technical.return_zscores(), "ret_zscore_21d")[21:], z[21:], 1e-7)
+
+
+def test_microstructure(panel, walk):
+    ret, v = walk.close.pct_change(), walk.volume
+    sv = np.sign(ret) * v
+    slope = [np.nan] * len(walk)
+    for i in range(20, len(walk)):
+        x, y = sv[i - 20 : i + 1].dropna(), ret[i - 20 : i + 1].dropna()
+        slope[i] = np.polyfit(x, y, 1)[0] * 1e6
+    same(column(panel, microstructure.kyle_lambda(), "kyle_lambda_21d"), slope, 1e-6)
+    cov = ret.rolling(21).cov(ret.shift())
+    same(column(panel, microstructure.roll_spread(), "roll_spread"), np.sqrt(-4 * np.minimum(0, cov)), 1e-7)
+    auto = v.rolling(21).apply(lambda x: np.corrcoef(x[1:], x[:-1])[0, 1], raw=True)
+    same(column(panel, microstructure.volume_autocorr(), "volume_autocorr_21d"), auto, 1e-7)
+    share = v / v.rolling(21).sum()
+    same(column(panel, microstructure.volume_hhi(), "volume_hhi_21d"), (share**2).rolling(21).sum())
+
+
+def test_informed(panel, walk):
+    c, lret = walk.close, np.log(walk.close).diff()
+    sig = lret.rolling(20).std(ddof=0) * c
+    z = c.diff() / sig
+    p = 0.5 + np.sign(z) * 0.5 * np.sqrt(1 - np.exp(-2 * z**2 / np.pi))
+    buy = walk.volume * p
+    same(column(panel, informed.bulk_volume(), "buy_volume"), buy)
+    sell = walk.volume - buy
+    want = np.full(len(walk), np.nan)
+    for i in range(99, len(walk)):  # 20 buckets of 5 rows; the frame ends 4 rows ahead
+        a, b = i - 95, min(i + 4, len(walk) - 1) + 1
+        want[i] = abs(buy[a:b].sum() - sell[a:b].sum()) / (buy[a:b].sum() + sell[a:b].sum())
+    same(column(panel, informed.vpin(), "vpin_b5"), want)
+    s, k, sd = lret.rolling(21).skew(), lret.rolling(21).kurt(), lret.rolling(21).std()
+    same(column(panel, informed.csi(), "csi_21d"), sd * (1 + s / 6 + (k - 3) / 24), 1e-6)
+
+
+def test_fracdiff(spark, panel, walk):
+    w = indicators.ffd_weights(0.5, 1e-3)
+    assert len(w) == 44 and w[0] == 1 and [len(indicators.ffd_weights(d, 1e-5)) for d in (0.3, 0.5, 1.0)] == [2275, 927, 2]
+    x = np.log(walk.close.to_numpy())
+    want = np.full(len(x), np.nan)
+    want[43:] = np.convolve(x, w, "valid")
+    same(column(panel, indicators.fracdiff((0.5,)), "log_price_d0_5"), want)
+    long = indicators.fracdiff_long(panel, (0.5,), 1e-3).toPandas().sort_values("date").d0_5
+    same(long, want)
+    assert 0 < indicators.find_min_d(panel).collect()[0].min_d <= 1
+
+
+def test_indicators(panel, walk):
+    c = walk.close
+    got = indicators.macd(panel).toPandas().sort_values("date")
+    e = lambda s, k: s.ewm(span=k, adjust=False).mean()
+    same(got.macd, e(c, 12) - e(c, 26), 1e-4)
+    ent = indicators.entropy(panel).toPandas().sort_values("date").entropy
+    r = np.log(c).diff().to_numpy()
+    want = np.full(len(r), np.nan)
+    for i in range(20, len(r)):
+        h = np.histogram(r[i - 19 : i + 1], 10)[0] / 20
+        want[i] = -(h[h > 0] * np.log(h[h > 0])).sum()
+    same(ent, want, 1e-5)
+    assert set(indicators.hmm_regimes(panel).toPandas().regime) <= {-1, 0, 1, 2}
+
+
+def test_cross_section(spark):
+    rng = np.random.default_rng(1)
+    f = pd.DataFrame({"date": np.repeat(pd.bdate_range("2024-01-01", periods=5).date, 23), "ticker": [f"t{i}" for _ in range(5) for i in range(23)], "x": np.round(rng.normal(size=115), 1)})
+    df = spark.createDataFrame(f)
+    got = xsection.normalise(["x"]).apply(spark, panel=df).toPandas().sort_values(["date", "ticker"]).reset_index(drop=True)
+    f = f.sort_values(["date", "ticker"]).reset_index(drop=True)
+
+    def one(x):
+        w = x.clip(x.quantile(0.05), x.quantile(0.95))
+        return ((w - w.mean()) / w.std()).clip(-3, 3)
+
+    same(got.x, f.groupby("date").x.transform(one), 1e-4)
+    rank = xsection.ranks("x").apply(spark, panel=df).toPandas().sort_values(["date", "ticker"])
+    same(rank.pct_rank, f.groupby("date").x.rank(pct=True), 1e-7)
+    cut = spark.sql("SELECT 1").sparkSession and xsection.Template(xsection.quantile_buckets("x", 5)).apply(spark, panel=df).toPandas().sort_values(["date", "ticker"])
+    want = f.groupby("date").x.transform(lambda x: pd.qcut(x, 5, labels=False, duplicates="drop"))
+    same(cut.bucket, want)
+
+
+def test_labels(spark, panel, walk):
+    got = labeling.barrier_events().apply(spark, panel=panel).toPandas().sort_values("t0").reset_index(drop=True)
+    c, dates = walk.close.to_numpy(), list(walk.date)
+    vol = walk.close.pct_change().rolling(20).std().to_numpy()
+    want = []
+    for i in range(20, len(c)):
+        end, side = min(i + 10, len(c) - 1), 0
+        for j in range(i + 1, end + 1):
+            r = c[j] / c[i] - 1
+            if abs(r) >= 1.5 * vol[i]:
+                side, end = (1 if r > 0 else -1), j
+                break
+        r = c[end] / c[i] - 1
+        want.append((dates[i], dates[end], side, end - i, side or (int(np.sign(r)) if abs(r) >= 0.005 else 0)))
+    assert list(zip(got.t0, got.first_touch_date, got.barrier_side, got.days_held, got.label, strict=True)) == want
+    events = spark.createDataFrame(got[["ticker", "t0", "t1"]])
+    w = labeling.uniqueness_weights().apply(spark, events=events, panel=panel).toPandas().sort_values("t0")
+    at = {d: i for i, d in enumerate(dates)}
+    live = np.zeros(len(dates))
+    for a, b in zip(got.t0, got.t1, strict=True):
+        live[at[a] : at[b] + 1] += 1
+    raw = np.array([1 / live[at[a] : at[b] + 1].mean() for a, b in zip(got.t0, got.t1, strict=True)])
+    same(w.weight, raw / raw.sum(), 1e-7)
+
+
+def test_splits(spark):
+    s = splits.walk_forward("2010-01-01", "2015-12-31", "2025-12-31").apply(spark).toPandas().sort_values("split_id")
+    text = s.astype(str)
+    assert len(s) == 10
+    assert list(text.iloc[0])[2:] == ["2015-12-31", "2016-03-29", "2016-03-30", "2017-03-17", "2017-03-20", "2018-03-07"]
+    assert list(text.iloc[9])[2:] == ["2024-09-10", "2024-12-06", "2024-12-09", "2025-11-26", "2025-11-27", "2025-12-31"]
+    assert (s.val_start > s.purge_end).all() and (s.test_start > s.val_end).all()
+
+
+def test_metrics(spark):
+    rng = np.random.default_rng(3)
+    r = rng.normal(0.001, 0.01, 300)
+    d = spark.createDataFrame(pd.DataFrame({"date": pd.bdate_range("2020-01-01", periods=300).date, "ret": r}))
+    cum = np.cumprod(1 + r)
+    dd = (cum / np.maximum.accumulate(cum) - 1).min()
+    assert abs(metrics.max_drawdown().apply(spark, daily=d).first()[0] - dd) < 1e-6
+    assert abs(metrics.sharpe_ratio(0.0).apply(spark, daily=d).first()[0] - r.mean() / r.std(ddof=1) * math.sqrt(252)) < 1e-4
+    assert abs(metrics.student_p_value(2.0, 11) - 0.07338803477074) < 1e-9 and metrics.student_p_value(0.0, 5) == 1
+
+
+def test_costs(spark):
+    t = spark.createDataFrame([("a", 1, 1e6, 1.0, 1e9, 0.01), ("b", 1, 1e6, 1.0, 0.0, 0.01)], "ticker string, date int, close double, volume double, adv double, vol double")
+    got = {r.ticker: r for r in backtest.transaction_costs(bps=10).apply(spark, trades=t).collect()}
+    assert got["a"].commission == 1000 and got["b"].impact == 0 and got["a"].spread == 200
+    s = backtest.slippage().apply(spark, trades=t).first()
+    assert s.slippage == 200 + 5000
+
+
+def test_cleaning(spark, walk):
+    bad = walk.assign(seq=0).drop(columns="adj_close")
+    bad.loc[50, "close"] = -5
+    bad.loc[100, ["open", "high", "low", "close"]] = bad.close[100] * 3
+    again = bad.iloc[[10]].assign(close=bad.close[10] * 1.01, seq=1)
+    poor = bad.assign(ticker="B", open=np.nan, high=np.nan)
+    df = spark.createDataFrame(pd.concat([bad, again, poor]).replace({np.nan: None}))
+    got = clean.clean_ohlcv().apply(spark, panel=df).toPandas().sort_values("date").reset_index(drop=True)
+    assert set(got.ticker) == {"A"} and len(got) == len(walk)
+    assert abs(got.close[50] - walk.close[49]) < 1e-9 and abs(got.close[100] - walk.close[99]) < 1e-9
+    assert abs(got.close[10] - walk.close[10] * 1.01) < 1e-9
+    assert (got.high + 1e-12 >= got[["open", "close"]].max(axis=1)).all()
+
+
+def test_sources(spark, tmp_path, panel):
+    src.write_panel(panel, str(tmp_path / "p"), ("ticker",))
+    assert src.read_panel(spark, str(tmp_path / "p")).count() == panel.count()
+    signals = panel.selectExpr("ticker", "date", "1 AS position")
+    src.write_signals_csv(signals, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == panel.count()
+    page = """<table class="wikitable" id="constituents"><tr><th>Symbol</th></tr><tr><td><a href="x">BRK.B</a>[2]</td><td>x</td></tr><tr><td> MMM </td></tr></table>
+<table><tr><th>Date</th><th>Added</th><th>Removed</th></tr><tr><td>2024-03-01</td><td>AAA</td><td>-</td></tr><tr><td>2024-04-01</td><td></td><td>B.B</td></tr></table>"""
+    pages = spark.createDataFrame([(page,)], "html string")
+    assert {r.ticker for r in html.constituents(pages).collect()} == {"BRK-B", "MMM"}
+    assert {tuple(map(str, r)) for r in html.change_log(pages).collect()} == {("2024-03-01", "AAA", "add"), ("2024-04-01", "B-B", "remove")}
+
+
+def test_one_exchange_for_a_chain(panel):
+    """All levels of a family share one exchange and one sort."""
+    steps = technical.merged([technical.cum_returns(), technical.realized_vol(), technical.bipower_variation()])
+    plan = steps.result(panel)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(ticker") == 1
