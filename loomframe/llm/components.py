@@ -10,6 +10,8 @@ from .common import cut
 #: A node with more edges than this gets its minimum by a broadcast instead of a shuffle of all its edges to one
 #: task. There are at most edges / HOT_DEGREE such nodes.
 HOT_DEGREE = 50_000
+#: Edges a task: a round over few edges runs in few tasks, whatever the session's number of shuffle partitions.
+EDGES_PER_TASK = 200_000
 
 
 def _with_least(pairs: DataFrame, floor: bool) -> DataFrame:
@@ -45,12 +47,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """
     a, b = F.col(u).cast("long"), F.col(v).cast("long")
     held = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct())
-    print_ = None
+    before = None
     while True:
-        found = held.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(found) == print_ or not found[0]:
+        found = tuple(held.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if found == before or not found[0]:
             break
-        print_ = tuple(found)
-        held = cut(_small_star(_large_star(held).distinct()).distinct())
+        before = found
+        tasks = -(-found[0] // EDGES_PER_TASK)
+        starred = _large_star(held.coalesce(tasks)).coalesce(tasks)
+        held = cut(_small_star(starred).distinct().coalesce(tasks))
     stars = held.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
