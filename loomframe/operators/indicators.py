@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loomframe.functions.sqlsteps import Steps, frame, lag, last, rolling, rounded
 from loomframe.functions.template import Template
 
+from .technical import merged
+
 # --- fractional differencing
 
 
@@ -122,6 +124,18 @@ def ema(panel: DataFrame, span: int = 20) -> DataFrame:
     return _recurrence(panel, {f"ema_{span}": lambda p: p.close.ewm(span=span, adjust=False).mean().to_numpy()})
 
 
+def vol_surprise(panel: DataFrame, k: int = 21, span: int = 63) -> DataFrame:
+    """Realised volatility of k rows less its own exponential mean."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        rv = np.log(pdf.close).diff().rolling(k).std()
+        return pd.DataFrame({"ticker": pdf.ticker, "date": pdf.date, "vol_surprise": rv - rv.ewm(span=span, adjust=True).mean()})
+
+    out = panel.select("ticker", "date", "close").groupBy("ticker").applyInPandas(run, "ticker string, date date, vol_surprise double")
+    return out.select("ticker", "date", (F.round(F.nanvl("vol_surprise", F.lit(None)), 6) + 0.0).alias("vol_surprise"))
+
+
 def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Difference of two means, its own mean, and what is left, for both kinds of exponential mean."""
 
@@ -203,6 +217,12 @@ def expanding_zscore(columns=("close", "volume")) -> Steps:
     return Steps([out], digits=rounded(out, 5))
 
 
+def notebook_features() -> Steps:
+    """The single-asset feature table in one pass: momentum, volatilities, volume, bands and RSI."""
+    parts = [momentum(), notebook_vols(), volume_ratios(), bollinger(), rsi_sma(), expanding_zscore()]
+    return merged(parts)
+
+
 def entropy(panel: DataFrame, k: int = 20, bins: int = 10) -> DataFrame:
     """Shannon entropy (nats) of the last k log returns in `bins` equal bins from their least to their largest value.
 

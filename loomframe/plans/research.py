@@ -70,6 +70,7 @@ PAIRS = {
     "i09_notebook_vols": steps(indicators.notebook_vols()),
     "i10_market_neutral": query(indicators.market_neutral(), panel="panel"),
     "i12_intermarket": query(indicators.intermarket(), assets="assets"),
+    "i14_notebook_features": steps(indicators.notebook_features()),
     "i13_expanding_zscore": steps(indicators.expanding_zscore()),
     "v11_informed_signal": query(indicators.quantile_signal(), panel="flows"),
     "x01_normalise": query(xsection.normalise(["signal", "volume"]), panel="scored"),
@@ -142,6 +143,7 @@ ORACLES = {k: v[1] for k, v in PAIRS.items()}
 
 QUERIES |= {
     "e01_ewm": lambda spark, sf_dir: indicators.ewm(bars(spark, sf_dir)),
+    "v10_vol_surprise": lambda spark, sf_dir: indicators.vol_surprise(bars(spark, sf_dir)),
     "e02_ema": lambda spark, sf_dir: indicators.ema(bars(spark, sf_dir)),
     "i02_rsi_wilder": lambda spark, sf_dir: indicators.rsi_wilder(bars(spark, sf_dir)),
     "i03_macd": lambda spark, sf_dir: indicators.macd(bars(spark, sf_dir)),
@@ -167,6 +169,10 @@ _macd = []
 for adjust, tail in ((True, "_adj"), (False, "")):
     _macd.append(f"{_ewm_sql('close', 12, adjust)} - {_ewm_sql('close', 26, adjust)} AS line{tail}")
 ORACLES |= {
+    "v10_vol_surprise": f"""WITH {NUMBERED}, l AS (SELECT ticker, date, i, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS r FROM n),
+v AS (SELECT ticker, date, i, CASE WHEN count(r) {last(21)} = 21 THEN stddev_samp(r) {last(21)} END AS rv FROM l),
+w AS (SELECT *, CASE WHEN rv IS NOT NULL THEN power({1 - 2 / 64!r}e0, -i) END AS k FROM v)
+SELECT ticker, date, round(rv - sum(rv * k) {RUN} / sum(k) {RUN}, 6) + 0.0 AS vol_surprise FROM w""",
     "e01_ewm": f"WITH {NUMBERED} SELECT ticker, date, round({_ewm_sql('close', 63, True)}, 5) AS ewm_63 FROM n",
     "e02_ema": f"WITH {NUMBERED} SELECT ticker, date, round({_ewm_sql('close', 20, False)}, 5) AS ema_20 FROM n",
     "i03_macd": f"""WITH {NUMBERED}, m AS (SELECT ticker, date, i, {', '.join(_macd)} FROM n),
