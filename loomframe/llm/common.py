@@ -56,6 +56,18 @@ def md5_bits(key: Column, bits: int = 60) -> Column:
     return F.shiftright(F.conv(head, 16, 10).cast("long"), 60 - bits)
 
 
+def drawn(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """About `size` rows by a hash of the key, never more than twice as many; all rows where there are fewer.
+
+    The share is set from a count, so a task gives up its own share only: what reaches the driver is bounded by
+    `size`, not by the number of tasks.
+    """
+    n = rows.count()
+    if n <= size:
+        return rows
+    return rows.where(md5_bits(F.col(key)) < int(2**60 * size / n)).limit(2 * size)
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],

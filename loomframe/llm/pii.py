@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bilstm_crf
-from .common import map_rows, md5_bits
+from .common import drawn, map_rows
 
 #: Kinds in the order in which spans that start together are listed: the fixed patterns, then the model's.
 BASE = ("email", "ip", "card", "phone")
@@ -170,12 +170,13 @@ def _opened(tags: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, doc: str = "doc_id", text: str = "text", sample_docs: int = 800, max_doc_bytes: int = 20_000, windows: int = 4000, epochs: int = 9) -> bilstm_crf.Tagger:
-    """Train on a bounded sample: at most sample_docs documents with a digit or @ (by a hash of the id), each of at
-    most max_doc_bytes. Labels come from spans (matches, planted variants), never from other columns."""
+    """Train on a bounded sample: about sample_docs documents with a digit or @ (by a hash of the id, never more than
+    twice as many), each of at most max_doc_bytes. Labels come from spans (matches, planted variants), never from
+    other columns."""
     rows = docs.select(F.col(doc).alias("k"), F.col(text).alias("t")).where((F.octet_length("t") <= max_doc_bytes) & F.col("t").rlike("[0-9@]"))
-    drawn = rows.withColumn("h", md5_bits(F.col("k"))).orderBy("h", "k", "t").limit(sample_docs).collect()
+    texts = sorted(r.t for r in drawn(rows, "k", sample_docs).select("t").collect())
     net = bilstm_crf.fresh(SYMBOLS, 16, ALLOWED)
-    bilstm_crf.train(net, *training_windows([r.t for r in drawn], 80, windows), epochs)
+    bilstm_crf.train(net, *training_windows(texts, 80, windows), epochs)
     return net
 
 
