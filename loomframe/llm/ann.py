@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import md5_bits, stored
+from .common import drawn, stored
 
 
 @dataclass(frozen=True)
@@ -111,20 +112,20 @@ class Index:
 
 
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sample_rows: int = 16_384, width: int = 2) -> Index | None:
-    """Fit codebooks on at most sample_rows rows (by a hash of the key; the dimension is the most frequent one
-    among them) and encode every usable row. None if no row is usable.
+    """Fit codebooks on about sample_rows rows (by a hash of the key, never more than twice as many; the dimension
+    is the most frequent one among them) and encode every usable row. None if no row is usable.
 
     Left out: rows with a null key, and vectors that are null, zero, of another dimension or with null or
     non-finite components.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
-    drawn = rows.withColumn("_h", md5_bits(F.col("id"))).orderBy("_h", "id").limit(sample_rows).select("vector").collect()
-    if not drawn:
+    sample = sorted(r.vector for r in drawn(rows, "id", sample_rows).select("vector").collect())
+    if not sample:
         return None
-    sizes = [len(r.vector) for r in drawn]
+    sizes = [len(v) for v in sample]
     dim = max(sorted(set(sizes)), key=sizes.count)
-    quantiser = fit(_unit(np.array([r.vector for r in drawn if len(r.vector) == dim], np.float64)), width)
+    quantiser = fit(_unit(np.array([v for v in sample if len(v) == dim], np.float64)), width)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,8 +196,10 @@ def search(index: Index | None, queries: DataFrame, key: str = "vec_id", vector:
     ties to the smaller vec_id; a row with the query's own id is no candidate.
 
     The stated query set meets all rows in blocks of `block` queries: a block (about a megabyte) travels to every
-    task, which scans its rows' codes and reranks exactly, and gives back k rows a query. Rows of a repeated
-    query id count once (the smallest vector). Queries that are not usable give no rows, nor does an empty index.
+    task, which scans its rows' codes and reranks exactly, and gives back k rows a query; what a block has found is
+    written to the shared folder before the next one is fetched, so the driver holds one block at a time. Rows of
+    a repeated query id count once (the smallest vector). Queries that are not usable give no rows, nor does an
+    empty index.
     """
     spark = queries.sparkSession
     out = spark.createDataFrame([], "query_id long, vec_id long, score double")
@@ -204,16 +207,10 @@ def search(index: Index | None, queries: DataFrame, key: str = "vec_id", vector:
         dim = index.quantiser.dim
         asked = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
         asked = asked.where(F.col("q").isNotNull() & usable(F.col("v"), dim)).groupBy("q").agg(F.min("v").alias("v"))
-        held: list = []
-        parts = []
-        for r in asked.toLocalIterator():
-            held.append(r)
-            if len(held) == block:
-                parts.append(held)
-                held = []
-        for part in [*parts, *([held] if held else [])]:
+        each = stored(asked, "ann-queries").toLocalIterator()
+        while part := list(islice(each, block)):
             found = _scan(index, np.array([r.q for r in part], np.int64), np.array([r.v for r in part], np.float64), k, rerank)
-            out = out.unionByName(found)
+            out = out.unionByName(stored(found, "ann-found"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     # A row of the index may be stored twice under one id; the pair counts once.
     return out.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
