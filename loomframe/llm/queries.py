@@ -76,7 +76,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_spandedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spandedup.remove_repeated_spans(docs).select("doc_id", "n_sentences", "n_removed", "text")
+    return spandedup.remove_repeated_spans(docs).select("doc_id", "n_sentences", "n_removed", "text", "n_run_words")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

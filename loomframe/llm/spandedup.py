@@ -1,4 +1,5 @@
-"""Substring dedup: every run of several consecutive sentences is hashed; later copies of a run lose their sentences."""
+"""Substring dedup: runs of several consecutive sentences, and runs of words chosen by the words themselves, are hashed;
+later copies of a run lose their sentences or words."""
 
 from __future__ import annotations
 
@@ -19,11 +20,12 @@ _CLOSERS[[ord(c) for c in "\"')]"]] = True
 
 @dataclass(frozen=True)
 class Sentences:
-    """Byte positions where sentences start, their number of words and their hashes."""
+    """Words of each sentence and their hashes; the byte position and hash of each word of the text."""
 
-    starts: np.ndarray
     words: np.ndarray
     hashes: np.ndarray
+    starts: np.ndarray
+    each: np.ndarray
 
 
 def sentences(body: bytes, most_words: int) -> Sentences:
@@ -36,7 +38,7 @@ def sentences(body: bytes, most_words: int) -> Sentences:
     h, starts, ends = word_spans(body)
     n = len(h)
     if not n:
-        return Sentences(starts, starts, h)
+        return Sentences(starts, h, starts, h)
     raw = np.frombuffer(body, np.uint8)
     last = raw[ends - 1]
     before = raw[np.maximum(ends - 2, starts)]
@@ -50,7 +52,7 @@ def sentences(body: bytes, most_words: int) -> Sentences:
     counts = np.diff(first, append=n)
     place = mix(np.arange(1, most_words + 1, dtype=U64)) | U64(1)
     total = np.add.reduceat(h * place[at % most_words], first)
-    return Sentences(starts[first], counts, mix(total + counts.astype(U64)))
+    return Sentences(counts, mix(total + counts.astype(U64)), starts, h)
 
 
 def runs(s: Sentences, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +69,49 @@ def runs(s: Sentences, width: int, least_words: int) -> tuple[np.ndarray, np.nda
     return at, mix(total[at]).view(np.int64)
 
 
+def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick over every `width` neighbours."""
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        x = pick(x[:-step], x[step:])
+        size += step
+    return x
+
+
+#: A word run has 2 ** 5 words; one is chosen of any 20 neighbours, so 32 + 20 - 1 = 51 words in a row hold one.
+DOUBLINGS = 5
+RUN_WORDS = 1 << DOUBLINGS
+CHOICE = 20
+
+
+def word_runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the runs of RUN_WORDS words whose hash is the least of any CHOICE neighbouring runs.
+
+    The choice sees nothing but the words, so equal passages of 51 words choose the same run wherever they stand,
+    and in longer ones the chosen runs overlap: what they leave is at most CHOICE - 1 words at each end.
+    """
+    if len(h) < RUN_WORDS + CHOICE - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total, place = h, mix(np.arange(201, 201 + DOUBLINGS, dtype=U64)) | U64(1)
+    for i in range(DOUBLINGS):
+        total = mix(total[: -(1 << i)] * place[i] + total[1 << i :])
+    least = np.pad(_slide(total, CHOICE, np.minimum), CHOICE - 1)
+    at = np.flatnonzero(_slide(least, CHOICE, np.maximum) == total)
+    return at, total[at].view(np.int64)
+
+
 def remove_repeated_spans(
     docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4, most_words: int = 12, least_words: int = 10
 ) -> DataFrame:
-    """(doc, text, n_sentences, n_removed, removed) for every row: the text without the sentences that a repeated
-    run covers, unless the run is the first of its kind by (doc_id, position). removed has the [start, end)
-    sentence ranges taken out.
-
-    With sentences of at most 12 words, a repeated passage of 51 words or more holds at least one run of four.
-    Runs are hashed to 64 bits where the text is read; the hashes are counted with map-side sums, and only the
+    """(doc, text, n_sentences, n_removed, removed, n_run_words) for every row: the text without the sentences that a
+    repeated run of sentences covers and without the words that a repeated run of words covers, unless the run is the
+    first of its kind by (doc_id, position). removed has the [start, end) sentence ranges taken out, n_run_words counts
+    the words taken out beside them.
+
+    Long sentences are cut every 12 words from their own start, so copies of a passage share runs of sentences only
+    where their cuts agree. Runs of words do not depend on cuts: each later copy of a passage of 51 words or more
+    loses at least one run of 32, and all but 19 words at each end (see word_runs). Runs are hashed to 64 bits where the text is read; the hashes are counted with map-side sums, and only the
     occurrences of repeated ones travel on. There is no cap on how often a run may occur, and no group is gathered
     into a task: a first occurrence is a minimum, and the join back can be split.
 
@@ -86,11 +122,15 @@ def remove_repeated_spans(
     """
     named = docs.where(F.col(doc).isNotNull())
 
+    def runs_of(s: Sentences) -> dict[int, int]:
+        """Position to hash; even positions are of sentences, odd ones of words."""
+        (a, x), (b, y) = runs(s, width, least_words), word_runs(s.each)
+        return dict(zip([*(2 * a).tolist(), *(2 * b + 1).tolist()], [*x.tolist(), *y.tolist()], strict=True))
+
     def start_runs():
         def kernel(cols):
             for doc_id, body in zip(*cols, strict=True):
-                at, h = runs(sentences((body or "").encode("utf-8", "surrogatepass"), most_words), width, least_words)
-                for a, x in zip(at.tolist(), h.tolist(), strict=True):
+                for a, x in runs_of(sentences((body or "").encode("utf-8", "surrogatepass"), most_words)).items():
                     yield x, doc_id, a
 
         return kernel
@@ -102,34 +142,40 @@ def remove_repeated_spans(
     later = found.join(first, "h").where((F.col("d") != F.col("f.d")) | (F.col("p") != F.col("f.p")))
     lists = later.groupBy(F.col("d").alias("_d")).agg(F.collect_set(F.struct("p", "h")).alias("_runs"))
 
+    def edges(marks: np.ndarray) -> list[list[int]]:
+        return np.flatnonzero(np.diff(marks.astype(np.int8), prepend=0)).reshape(-1, 2).tolist()
+
     def start_cut():
         def kernel(cols):
             for doc_id, body, own in zip(*cols, strict=True):
                 raw = (body or "").encode("utf-8", "surrogatepass")
                 s = sentences(raw, most_words)
                 n = len(s.hashes)
-                gone = np.zeros(n + 1, bool)
+                gone, cut = np.zeros(n + 1, bool), np.zeros(len(s.each) + 1, bool)
                 if own:
-                    at, h = runs(s, width, least_words)
-                    mine = dict(zip(at.tolist(), h.tolist(), strict=True))
+                    mine = runs_of(s)
                     for r in own:
                         if mine.get(r["p"]) == r["h"]:
-                            gone[r["p"] : r["p"] + width] = True
-                edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0))
-                ranges = edges.reshape(-1, 2).tolist()
+                            at = r["p"] // 2
+                            if r["p"] % 2:
+                                cut[at : at + RUN_WORDS] = True
+                            else:
+                                gone[at : at + width] = True
+                whole = np.append(np.repeat(gone[:-1], s.words), False)
+                cut |= whole
                 out, at = [], 0
                 bounds = [*s.starts.tolist(), len(raw)]
-                for a, b in ranges:
+                for a, b in edges(cut):
                     out.append(raw[at : bounds[a]])
                     at = bounds[b]
                 out.append(raw[at:])
-                kept = body if not ranges else b"".join(out).decode("utf-8", "surrogatepass")
-                yield doc_id, kept, n, int(gone.sum()), ranges
+                kept = b"".join(out).decode("utf-8", "surrogatepass") if cut.any() else body
+                yield doc_id, kept, n, int(gone.sum()), edges(gone), int(cut.sum() - whole.sum())
 
         return kernel
 
     kind = docs.schema[doc].dataType.simpleString()
     joined = docs.select(doc, text).join(lists, docs[doc] == lists._d, "left")
     return map_rows(
-        joined, [doc, text, "_runs"], start_cut, f"`{doc}` {kind}, `{text}` string, n_sentences int, n_removed int, removed array<array<int>>"
+        joined, [doc, text, "_runs"], start_cut, f"`{doc}` {kind}, `{text}` string, n_sentences int, n_removed int, removed array<array<int>>, n_run_words int"
     )

@@ -59,3 +59,24 @@ def test_passages_and_edges(spark):
     assert by[1].text is None and by[3].text == "" and by[4].n_removed == 0
     assert len({r.text for r in out if r.doc_id == 6}) == 1 and by[6].n_sentences - by[6].n_removed < 10
     assert spandedup.remove_repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_passages_that_start_mid_sentence(spark):
+    """Copies at every offset to the 12-word cuts, without stops or with stops that are not . ! or ?"""
+    rnd = random.Random(4)
+    words = lambda n, end="": " ".join(f"w{rnd.randrange(10**9)}" + (end if i % 9 == 8 else "") for i in range(n))
+    passages = [words(51), words(200), words(70, "\u0964")]
+    parts = [[(words(5 + at), p, words(20)) for at in range(13)] for p in passages]
+    rows = [(100 * k + i, " ".join(own)) for k, group in enumerate(parts) for i, own in enumerate(group)]
+    rows += [(900, words(400)), (901, words(50))]
+    out = {r.doc_id: r for r in spandedup.remove_repeated_spans(spark.createDataFrame([(a, b, "x") for a, b in rows], SCHEMA)).collect()}
+    for k, group in enumerate(parts):
+        assert out[100 * k].text == rows[13 * k][1]
+        for i, (before, passage, after) in enumerate(group[1:], 1):
+            left = out[100 * k + i].text.split()
+            own = passage.split()
+            rest = [w for w in left if w in own]
+            assert len(rest) <= 2 * 19 and len(own) - len(rest) >= 32
+            assert [w for w in left if w not in own] == before.split() + after.split()
+    assert out[900].n_run_words == 0 and out[101].n_run_words >= 32
+    assert out[900].text == rows[-2][1] and out[901].text == rows[-1][1]
