@@ -16,6 +16,7 @@ The stages, and what travels in each:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +29,26 @@ from .common import map_rows, stored
 from .components import connected_components
 from .minhash import Signer, set_hash, shingles, spanning_links, word_hashes
 
-#: Likely links agree in this share of the minima; six standard deviations below the link threshold at 252 minima.
-LIKELY = 0.70
-#: A document that is below LIKELY with its bucket's centre can only link to one that is above if it reaches this.
-NEAR = 0.50
 BLOCK_ROWS = 1500
 BLOCK_SHINGLES = 1_500_000
 PIVOTS = 32
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) at which a pair right at the threshold is missed with a probability under 1e-6."""
+    t = min(percent, 99) / 100
+    rows = 7 if percent >= 85 else max(1, math.floor(math.log(0.25) / math.log(t)))
+    return math.ceil(math.log(1e-6) / math.log(1 - t**rows)), rows
+
+
+def limits(percent: int, minima: int) -> tuple[float, float]:
+    """(likely, near), shares of equal minima. Likely links reach the first, six standard deviations below the
+    threshold; a document below it with its bucket's centre can only link to one that is above if it reaches near."""
+    t = percent / 100
+    likely = math.floor(20 * (t - 6 * math.sqrt(t * (1 - t) / minima))) / 20
+    return likely, round(t + likely - 1.05, 2)
+
+
 def hashed(docs: DataFrame, doc: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n, h1, h2, bands, sketch) for every row; n = 0 and null bands where a text has no words."""
 
@@ -78,7 +90,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long, est double")
 
 
-def _likely_links(keys: DataFrame, sketches: DataFrame) -> DataFrame:
+def _likely_links(keys: DataFrame, sketches: DataFrame, likely: float, near_enough: float) -> DataFrame:
     """Spanning forest (u, v) of the likely links; keys: (key, node), a row for each band of each class."""
     x = F.xxhash64("node")
     buckets = keys.groupBy("key").agg(
@@ -92,11 +104,11 @@ def _likely_links(keys: DataFrame, sketches: DataFrame) -> DataFrame:
     pairs = kept.where("c = 2").select(F.col("top").alias("u"), F.col("centre").alias("v"))
     pairs = pairs.unionByName(members.select(F.col("node").alias("u"), F.col("centre").alias("v"))).distinct()
     found = stored(_estimated(pairs, sketches), "likely")
-    links = found.where(F.col("est") >= LIKELY).select("u", "v")
+    links = found.where(F.col("est") >= likely).select("u", "v")
 
     # What the centre leaves open: two or more members away from it, or one near enough to a member that is linked.
     placed = members.join(found.select(F.col("u").alias("node"), F.col("v").alias("centre"), "est"), ["node", "centre"])
-    away, near = F.col("est") < LIKELY, (F.col("est") < LIKELY) & (F.col("est") >= NEAR)
+    away, near = F.col("est") < likely, (F.col("est") < likely) & (F.col("est") >= near_enough)
     tally = placed.groupBy("key").agg(
         F.sum(away.cast("long")).alias("away"), F.sum(near.cast("long")).alias("near"), F.sum((~away).cast("long")).alias("linked")
     )
@@ -123,7 +135,7 @@ def _likely_links(keys: DataFrame, sketches: DataFrame) -> DataFrame:
             for k, row in zip(a_ids, x, strict=True):
                 i = int(np.searchsorted(every, k))
                 others = np.flatnonzero(labels[pos] != labels[i])
-                for j in others[(y[others] == row).mean(axis=1) >= LIKELY] if len(others) else []:
+                for j in others[(y[others] == row).mean(axis=1) >= likely] if len(others) else []:
                     if labels[pos[j]] != labels[i]:
                         labels[labels == labels[pos[j]]] = labels[i]
                         out.append((int(k), int(b_ids[j])))
@@ -189,20 +201,23 @@ def _confirmed_links(groups: DataFrame, docs: DataFrame, doc: str, text: str, wi
 
 
 def near_duplicates(
-    docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = 36, rows: int = 7
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int | None = None, rows: int | None = None
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered; a document's set is its distinct `width`-word shingles, the
     whole sequence where it has fewer words. Documents with 100 * intersection >= percent * union are linked;
-    component_id is the smallest doc_id reachable, kept says that it is the row's own. With 36 bands of 7 minima a
-    pair right at 0.85 is missed with a probability under 1e-6; every link is confirmed on full sets. There is no
+    component_id is the smallest doc_id reachable, kept says that it is the row's own. Bands and limits
+    follow from percent (36 bands of 7 minima at 85, 46 of 6 at 80): a pair right at the threshold is missed with a
+    probability under 1e-6; every link is confirmed on full sets. There is no
     cap on buckets, partners or candidates: large buckets and groups are compared in blocks.
 
     Nulls: null, empty and wordless texts have an empty set and link with nothing. A row with a null doc_id is
     not compared: its component is null and it is kept. Rows that share a doc_id count as linked, and each gets
     its own n_shingles; repeated rows repeat. An empty table gives no rows. Extra columns are ignored.
     """
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
     prints = stored(hashed(docs, doc, text, width, bands, rows), "prints")
     usable = prints.where("doc_id is not null and n > 0")
     classes = stored(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
@@ -210,7 +225,7 @@ def near_duplicates(
     own = own.select("node", usable.h1, usable.h2, "n", "bands", "sketch").dropDuplicates(["node", "h1", "h2"])
     reps = stored(own.select("node", "n", "bands", "sketch"), "reps")
     keys = reps.select("node", F.explode("bands").alias("key"))
-    coarse = connected_components(_likely_links(keys, reps.select("node", "sketch")))
+    coarse = connected_components(_likely_links(keys, reps.select("node", "sketch"), *limits(percent, bands * rows)))
     sizes = reps.groupBy("node").agg(F.max("n").alias("n"))
     links = _confirmed_links(coarse.join(sizes, "node"), docs, doc, text, width, percent)
     # Rows that share a doc_id join their classes.

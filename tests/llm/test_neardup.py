@@ -119,3 +119,19 @@ def test_hashes_follow_words():
         assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
         assert np.array_equal(h, minhash.word_hashes(t.encode(), 3))
         assert len(minhash.shingles(h, 5)) == len(word_sets(t))
+
+
+def test_similarity_of_80_percent(spark):
+    """A whole table and pairs that drift through 0.80 to 0.85: bands and limits follow the threshold."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    base = max(d for d, _ in rows) + 1
+    for i in range(40):
+        words = [f"v{i}x{j}" for j in range(104)]
+        other = [*words[: 104 - 9 - i % 5], *(f"u{i}x{j}" for j in range(9 + i % 5))]
+        rows += [(base + 2 * i, " ".join(words)), (base + 2 * i + 1, " ".join(other))]
+    got = found(neardup.near_duplicates(spark.createDataFrame([(a, b, "x") for a, b in rows], SCHEMA), percent=80))
+    assert got == brute(rows, 80) != brute(rows)
+    assert neardup.banding(85) == (36, 7) and neardup.limits(85, 252) == (0.70, 0.50)
+    bands, r = neardup.banding(80)
+    assert (1 - 0.8**r) ** bands < 1e-6 < (1 - 0.8**7) ** 36
