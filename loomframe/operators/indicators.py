@@ -40,15 +40,20 @@ def fracdiff(ds=(0.4, 0.5), threshold: float = 1e-3, x: str = "ln(close)", padde
     return Steps([{"x": x}, lags, out], digits=rounded(out, 7))
 
 
-def fracdiff_long(panel: DataFrame, ds: tuple[float, ...] = (0.2, 0.5), threshold: float = 1e-5, x: str = "ln(close)") -> DataFrame:
-    """Filters of hundreds to thousands of weights: one convolution a ticker and d, on Arrow batches of one ticker."""
+def fracdiff_long(panel: DataFrame, ds: tuple[float, ...] = (0.2, 0.5), threshold: float = 1e-5, x: str = "ln(close)", padded: bool = False) -> DataFrame:
+    """Filters of hundreds to thousands of weights: one convolution a ticker and d, on Arrow batches of one ticker.
+
+    The first len(w) - 1 rows are null; `padded` takes what is missing as 0 instead.
+    """
     filters = {f"d{d:g}".replace(".", "_"): np.array(ffd_weights(d, threshold)) for d in ds}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         for name, w in filters.items():
             y = np.full(len(pdf), np.nan)
-            if len(pdf) >= len(w):
+            if padded:
+                y = np.convolve(pdf.x.to_numpy(), w)[: len(pdf)]
+            elif len(pdf) >= len(w):
                 y[len(w) - 1 :] = np.convolve(pdf.x.to_numpy(), w, "valid")
             pdf[name] = y
         return pdf.drop(columns="x")
@@ -81,7 +86,7 @@ def stationary(x: np.ndarray) -> bool:
     return t < sum(c / n**i for i, c in enumerate(ADF_5))
 
 
-def find_min_d(panel: DataFrame, threshold: float = 1e-3, steps: int = 20, close_enough: float = 0.01) -> DataFrame:
+def find_min_d(panel: DataFrame, threshold: float = 1e-5, steps: int = 20, close_enough: float = 0.01) -> DataFrame:
     """(ticker, min_d): the smallest d in [0, 1] by bisection whose differenced log price is stationary."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

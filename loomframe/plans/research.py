@@ -150,6 +150,9 @@ QUERIES |= {
     "i06_entropy": lambda spark, sf_dir: indicators.entropy(bars(spark, sf_dir)),
     "i11_hmm_regimes": lambda spark, sf_dir: indicators.hmm_regimes(bars(spark, sf_dir)),
     "f02_fracdiff_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir)).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("d0_2", "d0_5")]),
+    "f03_fracdiff_multi_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir), (0.4, 0.5, 0.6)).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("d0_4", "d0_5", "d0_6")]),
+    "f05_fracdiff_valid_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir), (0.5,)).where("d0_5 IS NOT NULL").select("ticker", "date", F.round("d0_5", 6).alias("d0_5")),
+    "f07_fracdiff_padded_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir), (0.5,), padded=True).select("ticker", "date", F.round("d0_5", 6).alias("d0_5")),
     "f04_min_d": lambda spark, sf_dir: indicators.find_min_d(bars(spark, sf_dir)),
 }
 

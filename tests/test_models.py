@@ -221,3 +221,21 @@ def test_one_exchange_for_a_chain(panel):
     steps = technical.merged([technical.cum_returns(), technical.realized_vol(), technical.bipower_variation()])
     plan = steps.result(panel)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(ticker") == 1
+
+
+def test_fracdiff_cuts_weights_as_the_reference(spark):
+    from loomframe.plans import research
+    from loomframe.sources.bars import bars
+
+    sf = "/root/testdata/sf0.1"
+    own = bars(spark, sf).where("ticker = 'Brand#1'").select("ticker", "date", "close").toPandas().sort_values("date")
+    x = np.log(own.close.to_numpy())
+    least = {r.ticker: r.min_d for r in research.QUERIES["f04_min_d"](spark, sf).collect()}["Brand#1"]
+    assert indicators.stationary(np.convolve(x, indicators.ffd_weights(least), "valid")) and least > 0.2
+    w = np.array(indicators.ffd_weights(0.5))
+    want = np.convolve(x, w)[: len(x)]
+    got = {q: research.QUERIES[q](spark, sf).where("ticker = 'Brand#1'").toPandas().sort_values("date").d0_5 for q in ("f03_fracdiff_multi_long", "f05_fracdiff_valid_long", "f07_fracdiff_padded_long")}
+    assert np.allclose(got["f07_fracdiff_padded_long"], want, atol=1e-6)
+    assert np.allclose(got["f05_fracdiff_valid_long"], want[len(w) - 1 :], atol=1e-6)
+    assert np.allclose(got["f03_fracdiff_multi_long"].to_numpy(float)[len(w) - 1 :], want[len(w) - 1 :], atol=1e-6)
+    print("min_d", least, "last", want[-1])
