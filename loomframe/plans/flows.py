@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.functions.shared import shared_dir
 from loomframe.operators import labeling, models
 from loomframe.sources.bars import bars, read_table
 from loomframe.streaming.bars import event_bars, run_bars
@@ -26,8 +26,7 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same bars through the streaming path; windows that the watermark has not passed stay open."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomframe-stream-")
-    work = f"{base.rstrip('/')}/bars-{uuid.uuid4().hex}"
+    work = f"{shared_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
     read_table(spark, sf_dir, "events").write.parquet(f"{work}/in")
     run_bars(spark, f"{work}/in", f"{work}/out", f"{work}/state").awaitTermination()
     return _rounded(spark.read.parquet(f"{work}/out"))
