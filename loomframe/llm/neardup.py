@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import discard, map_rows, stored
 from .components import connected_components
 from .minhash import Signer, set_hash, shingles, spanning_links, word_hashes
 
@@ -90,8 +90,10 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long, est double")
 
 
-def _likely_links(keys: DataFrame, sketches: DataFrame, likely: float, near_enough: float) -> DataFrame:
-    """Spanning forest (u, v) of the likely links; keys: (key, node), a row for each band of each class."""
+def _likely_links(keys: DataFrame, sketches: DataFrame, likely: float, near_enough: float, held: list[DataFrame]) -> DataFrame:
+    """Spanning forest (u, v) of the likely links; keys: (key, node), a row for each band of each class.
+
+    Tables that the result reads are added to `held`."""
     x = F.xxhash64("node")
     buckets = keys.groupBy("key").agg(
         F.count(F.lit(1)).alias("c"), F.min("node").alias("centre"), F.max("node").alias("top"), F.bit_xor(x).alias("x")
@@ -142,16 +144,20 @@ def _likely_links(keys: DataFrame, sketches: DataFrame, likely: float, near_enou
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     more = tasks.groupBy("key", "a", "b").applyInPandas(compare, "u long, v long")
+    held += [kept, members, found, unsure]
     return links.unionByName(more)
 
 
-def _confirmed_links(groups: DataFrame, docs: DataFrame, doc: str, text: str, width: int, percent: int) -> DataFrame:
-    """Spanning links (u, v) confirmed on full shingle sets; groups: (node, component, n)."""
+def _confirmed_links(groups: DataFrame, docs: DataFrame, doc: str, text: str, width: int, percent: int, held: list[DataFrame]) -> DataFrame:
+    """Spanning links (u, v) confirmed on full shingle sets; groups: (node, component, n).
+
+    Tables that the result reads are added to `held`."""
     per = groups.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     per = per.withColumn("blocks", F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.col("s") / BLOCK_SHINGLES)).cast("int"))
     one = F.col("blocks") == 1
     sized = stored(groups.join(per, "component"), "groups")
-    bins = max(1, -(-int(sized.where(one).agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
+    small, most = sized.agg(F.sum(F.when(one, F.col("n"))), F.max("blocks")).first()
+    bins = max(1, -(-int(small or 0) // BLOCK_SHINGLES))
     pivot = ~one & (F.pmod(F.xxhash64("node", F.lit(2)), F.greatest(F.lit(1), F.floor(F.col("c") / PIVOTS))) == 0)
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     placed = sized.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
@@ -173,15 +179,17 @@ def _confirmed_links(groups: DataFrame, docs: DataFrame, doc: str, text: str, wi
 
     first = placed.join(body, "node").groupBy("small", "task").applyInPandas(confirm, "u long, v long")
     links = stored(first, "links")
-    large = sized.where("blocks > 1").select("node", "component", "blocks")
-    if large.isEmpty():
+    held += [sized, links]
+    if (most or 0) <= 1:
         return links
 
     # Documents outside their group's main component so far meet every block of the group.
+    large = sized.where("blocks > 1").select("node", "component", "blocks")
     labelled = large.join(connected_components(links).withColumnRenamed("component", "label"), "node", "left")
     labelled = stored(labelled.withColumn("label", F.coalesce("label", "node")), "labelled")
-    most = labelled.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    split = labelled.join(most, "component").withColumn("out", F.col("label") != F.col("main"))
+    held.append(labelled)
+    main = labelled.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    split = labelled.join(main, "component").withColumn("out", F.col("label") != F.col("main"))
     asks = split.where("out").groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("rounds"))
     split = split.join(asks, "component").select(
         "component", "node", "label", "out", F.sequence(F.lit(0), F.col("blocks") - 1).alias("all"), own.alias("mine"),
@@ -225,12 +233,16 @@ def near_duplicates(
     own = own.select("node", usable.h1, usable.h2, "n", "bands", "sketch").dropDuplicates(["node", "h1", "h2"])
     reps = stored(own.select("node", "n", "bands", "sketch"), "reps")
     keys = reps.select("node", F.explode("bands").alias("key"))
-    coarse = connected_components(_likely_links(keys, reps.select("node", "sketch"), *limits(percent, bands * rows)))
+    held: list[DataFrame] = []
+    coarse = connected_components(_likely_links(keys, reps.select("node", "sketch"), *limits(percent, bands * rows), held))
+    discard(*held)
+    held = [classes, reps]
     sizes = reps.groupBy("node").agg(F.max("n").alias("n"))
-    links = _confirmed_links(coarse.join(sizes, "node"), docs, doc, text, width, percent)
+    links = _confirmed_links(coarse.join(sizes, "node"), docs, doc, text, width, percent, held)
     # Rows that share a doc_id join their classes.
     shared = usable.join(classes, ["h1", "h2"]).where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     components = connected_components(links.unionByName(shared))
+    discard(*held)
     out = prints.join(components, prints.doc_id == components.node, "left")
     component = F.coalesce("component", "doc_id")
     return out.select(

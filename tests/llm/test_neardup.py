@@ -91,8 +91,8 @@ def test_edges(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_components(spark, monkeypatch):
-    monkeypatch.setattr(components, "HOT_DEGREE", 5)
+def test_components(spark):
+    """One task with all edges, and many tasks of a few edges each."""
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(rnd.randrange(2000, 2100), rnd.randrange(2000, 2100)) for _ in range(60)]
     edges += [(5, 5), (None, 3), edges[0]]
@@ -108,8 +108,15 @@ def test_components(spark, monkeypatch):
         if a is not None and a != b:
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: find(x) for x in root}
+    edges += [(5000, 5001 + i) for i in range(400)] + [(6000 + i, 6001 + i) for i in range(300)]
+    for a, b in edges[-700:]:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    rows = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    for at_once in (30, components.EDGES_PER_TASK):
+        got = {r.node: r.component for r in components.connected_components(rows, edges_per_task=at_once).collect()}
+        assert got == {x: find(x) for x in root}
+    assert components.connected_components(rows.where("u is null")).count() == 0
 
 
 def test_hashes_follow_words():
