@@ -25,9 +25,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
+    """The document with the smallest id of each group linked by a similarity of 0.80 or more on five-word shingles.
+
+    Ties do not arise: the smallest id stays. Rows that share a doc_id are one document here and stay or go together.
+    """
     docs = docs.select(*COLUMNS)
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), percent=80)
     gone = stored(found.where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
