@@ -23,7 +23,7 @@ def test_each_stage_against_brute_force(spark):
 
     held = spark.createDataFrame(list(after.values()), docs.schema)
     kept = stages["MinHash near-dedup"](spark, held, SF)
-    groups = brute([(d, r.text) for d, r in after.items()])
+    groups = brute([(d, r.text) for d, r in after.items()], 80)
     one = {r.doc_id: r for r in kept.collect()}
     assert one == {d: r for d, r in after.items() if groups[d][1] == d}
 
