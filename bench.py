@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from loomframe.plans import registry
 
 HEADLINE = (
-    "s01_scan_bars", "c01_clean_ohlcv", "t01_cum_returns", "t05_realized_vol", "t06_parkinson_vol", "m02_kyle_lambda", "v02_vpin", "f02_fracdiff",
+    "s01_bars_from_trades", "s01_scan_bars", "c01_clean_ohlcv", "t01_cum_returns", "t05_realized_vol", "t06_parkinson_vol", "m02_kyle_lambda", "v02_vpin", "f02_fracdiff",
     "f02_fracdiff_long", "i04_bollinger", "i05_rolling_stats", "i06_entropy", "x01_normalise", "x09_supervised", "l02_l03_barrier_events",
     "k02_daily_ic", "u05_liquidity_filter", "b09_result", "st_hourly_bars",
 )

@@ -37,7 +37,9 @@ class Validation:
 class Costs:
     trading_bps: float = 7.5
     spread_bps: float = 2.0
-    impact_kappa: float = 10.0
+    impact_kappa: float = 0.1
+    max_position_adv_share: float = 0.05
+    capital: float = 10_000_000.0
 
 
 @dataclass(frozen=True)

@@ -1,13 +1,20 @@
-"""Long/short backtest and cost models. $scored has (ticker, date, signal, fwd, adv, sector)."""
+"""Long/short backtest and cost models. $scored has (ticker, date, signal, ret, fwd, adv, sector).
+
+A run is one chain of CTEs; `by` ("split_id, ") leads every partitioning where several runs share one job.
+"""
 
 from __future__ import annotations
 
 from loomframe.functions.template import Template
 
-from .metrics import CUM, PEAK, YEAR, sharpe
-from .xsection import DAY, percent_rank
+from .metrics import YEAR, _ic, _turnover, dated, growth, sharpe
+from .xsection import percent_rank
 
-CAPITAL = 1e6
+CAPITAL = 1e7
+#: Largest position as a share of a name's average daily dollar volume.
+SHARE = 0.05
+#: Basis points of impact of a trade of a million in a name that trades as much a day.
+KAPPA = 0.1
 
 
 def align() -> Template:
@@ -17,74 +24,75 @@ WHERE date IN (SELECT date FROM $scored WHERE signal IS NOT NULL) AND date IN (S
   AND ticker IN (SELECT ticker FROM $scored WHERE signal IS NOT NULL)""")
 
 
-def _weights(cut: float = 0.1) -> str:
-    return f"""
-ranked AS (SELECT *, round({percent_rank('signal')}, 9) AS r, count(signal) {DAY} AS n FROM $scored),
-sided AS (SELECT *, CASE WHEN r IS NULL OR n < 10 THEN NULL WHEN r >= {1 - cut} THEN 1 WHEN r <= {cut} THEN -1 ELSE 0 END AS side FROM ranked),
-target AS (SELECT *, CASE WHEN side = 1 THEN 1e0 / sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) {DAY}
-  WHEN side = -1 THEN -1e0 / sum(CASE WHEN side = -1 THEN 1 ELSE 0 END) {DAY} WHEN side = 0 THEN 0e0 END AS w1 FROM sided)"""
+def _day(by: str, more: str = "") -> str:
+    return f"OVER (PARTITION BY {by}date{more})"
 
 
-def _capped(share: float) -> str:
+def _weights(cut: float = 0.1, by: str = "", src: str = "$scored") -> str:
+    day = _day(by)
     return f"""
-capped AS (SELECT *, CASE WHEN abs(w1) * {CAPITAL} > adv * {share} AND adv > 0 THEN w1 * (adv * {share}) / (abs(w1) * {CAPITAL}) ELSE w1 END AS w2 FROM target)"""
+ranked AS (SELECT *, round({percent_rank('signal', by)}, 9) AS r, count(signal) {day} AS names FROM {src}),
+sided AS (SELECT *, CASE WHEN r IS NULL OR names < 10 THEN NULL WHEN r >= {1 - cut} THEN 1 WHEN r <= {cut} THEN -1 ELSE 0 END AS side FROM ranked),
+target AS (SELECT *, CASE WHEN side = 1 THEN 1e0 / sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) {day}
+  WHEN side = -1 THEN -1e0 / sum(CASE WHEN side = -1 THEN 1 ELSE 0 END) {day} WHEN side = 0 THEN 0e0 END AS w1 FROM sided)"""
 
 
-def _neutral() -> str:
-    s = "OVER (PARTITION BY date, sector)"
+def _capped(share: float, capital: float) -> str:
     return f"""
-neutral AS (SELECT *, CASE WHEN abs(sum(w2) {s}) > 0.01 THEN w2 - sum(w2) {s} / count(w2) {s} ELSE w2 END AS w3 FROM capped)"""
+capped AS (SELECT *, CASE WHEN abs(w1) * {capital} > adv * {share} AND adv > 0 THEN w1 * (adv * {share}) / (abs(w1) * {capital}) ELSE w1 END AS w2 FROM target)"""
 
 
-def _normal(src: str = "w3") -> str:
-    long, short = f"sum(CASE WHEN {src} > 0 THEN {src} END) {DAY}", f"sum(CASE WHEN {src} < 0 THEN -{src} END) {DAY}"
+def _neutral(by: str = "") -> str:
+    s = _day(by, ", sector")
     return f"""
-normal AS (SELECT *, CASE WHEN {src} > 0 THEN {src} / {long} WHEN {src} < 0 THEN {src} / {short} ELSE {src} END AS weight FROM neutral)"""
+neutral AS (SELECT *, CASE WHEN abs(sum(w2) {s}) > 0.01 THEN w2 - sum(w2) {s} / count(w2) {s} ELSE w2 END AS w3 FROM capped)"""
 
 
-#: Largest position as a share of a name's average daily dollar volume.
-SHARE = 0.01
+def _normal(by: str = "") -> str:
+    long, short = f"sum(CASE WHEN w3 > 0 THEN w3 END) {_day(by)}", f"sum(CASE WHEN w3 < 0 THEN -w3 END) {_day(by)}"
+    return f"""
+normal AS (SELECT *, CASE WHEN w3 > 0 THEN w3 / {long} WHEN w3 < 0 THEN w3 / {short} ELSE w3 END AS weight FROM neutral)"""
 
 
-def chain(share: float = SHARE) -> str:
+def chain(share: float = SHARE, capital: float = CAPITAL, by: str = "", src: str = "$scored") -> str:
     """CTEs from signals to final weights; each level is a window over the date, so one exchange serves all."""
-    return ",".join((_weights(), _capped(share), _neutral(), _normal()))
+    return ",".join((_weights(by=by, src=src), _capped(share, capital), _neutral(by), _normal(by)))
 
 
 def target_weights() -> Template:
     return Template(f"WITH {_weights()} SELECT ticker, date, round(w1, 8) + 0.0 AS weight FROM target")
 
 
-def capped_weights(share: float = SHARE) -> Template:
-    return Template(f"WITH {_weights()},{_capped(share)} SELECT ticker, date, round(w2, 11) + 0.0 AS weight FROM capped")
+def capped_weights(share: float = SHARE, capital: float = CAPITAL) -> Template:
+    return Template(f"WITH {_weights()},{_capped(share, capital)} SELECT ticker, date, round(w2, 11) + 0.0 AS weight FROM capped")
 
 
-def neutral_weights(share: float = SHARE) -> Template:
-    return Template(f"WITH {_weights()},{_capped(share)},{_neutral()} SELECT ticker, date, round(w3, 11) + 0.0 AS weight FROM neutral")
+def neutral_weights(share: float = SHARE, capital: float = CAPITAL) -> Template:
+    return Template(f"WITH {_weights()},{_capped(share, capital)},{_neutral()} SELECT ticker, date, round(w3, 11) + 0.0 AS weight FROM neutral")
 
 
-def final_weights(share: float = SHARE) -> Template:
-    return Template(f"WITH {chain(share)} SELECT ticker, date, sector, round(weight, 8) + 0.0 AS weight FROM normal")
+def final_weights(share: float = SHARE, capital: float = CAPITAL) -> Template:
+    return Template(f"WITH {chain(share, capital)} SELECT ticker, date, sector, round(weight, 8) + 0.0 AS weight FROM normal")
 
 
-GRID = """
-grid AS (SELECT d.date, t.ticker, b.weight, b.ret, b.adv FROM (SELECT DISTINCT date FROM book) d CROSS JOIN (SELECT DISTINCT ticker FROM book) t
-  LEFT JOIN book b ON d.date = b.date AND t.ticker = b.ticker),
-moved AS (SELECT *, lag(weight) OVER (PARTITION BY ticker ORDER BY date) AS held FROM grid)"""
+def daily_book(bps: float = 7.5, kappa: float = KAPPA, share: float = SHARE, capital: float = CAPITAL, by: str = "", src: str = "$scored") -> str:
+    """CTEs down to `daily`: gross return, one-way turnover, trading and impact cost a day.
 
-
-def daily_book(bps: float = 7.5, kappa: float = 10.0, share: float = SHARE, by: str = "") -> str:
-    """CTEs down to `daily`: gross return, trading and impact cost a day.
-
-    Weights earn the next row of the dense date x ticker grid, so a missing cell counts as a day. The grid is dates
-    x tickers of the book, the size of the panel's own span.
+    Weights earn the return of the next date of the run and change against the date before; a name without a row on the
+    date before neither earns nor trades there. Neighbouring dates meet by their positions, so no dates x names grid is
+    made. A day on which a traded name has no known adv has no known impact, and so no net return.
     """
-    value = f"abs(weight - held) * {CAPITAL}"
-    impact = f"{value} * {kappa} / 10000 * sqrt({value} / 1e6) * sqrt({value} / CASE WHEN adv <= 0 THEN 1e-10 ELSE adv END)"
-    return f"""{chain(share)},
-book AS (SELECT ticker, date, weight, adv, ret FROM normal),{GRID},
-daily AS (SELECT date, coalesce(sum(held * ret), 0) AS gross, coalesce(sum(abs(weight - held)), 0) AS traded,
-  coalesce(sum(abs(weight - held)), 0) * {bps} / 10000 AS cost, coalesce(sum({impact}), 0) / {CAPITAL} AS impact FROM moved GROUP BY date)"""
+    o = f"OVER (PARTITION BY {by}ticker ORDER BY i)"
+    value = f"abs(weight - held) * {capital}"
+    impact = f"{value} * {kappa} / 10000 * sqrt({value} / 1e6) * sqrt({value} / (CASE WHEN adv > 0 THEN adv ELSE CAST(0 AS DOUBLE) END + 1e-10))"
+    return f"""{chain(share, capital, by, src)},
+book AS (SELECT {by}ticker, date, weight, adv, ret FROM normal), {dated('book', by)},
+near AS (SELECT {by}ticker, date, weight, adv, ret, i, lag(weight) {o} AS w0, lag(i) {o} AS i0 FROM book JOIN days USING ({by}date)),
+moved AS (SELECT *, CASE WHEN i0 = i - 1 THEN w0 END AS held FROM near),
+daily AS (SELECT {by}date, coalesce(sum(held * ret), 0) AS gross, coalesce(sum(abs(weight - held)), 0) / 2 AS traded,
+  coalesce(sum(abs(weight - held)), 0) / 2 * {bps} / 10000 AS cost,
+  CASE WHEN count(CASE WHEN held IS NOT NULL AND weight IS NOT NULL AND adv IS NULL THEN 1 END) = 0 THEN coalesce(sum({impact}), 0) / {capital} END AS impact
+  FROM moved GROUP BY {by}date)"""
 
 
 def gross_returns() -> Template:
@@ -92,44 +100,89 @@ def gross_returns() -> Template:
 
 
 def trading_costs(bps: float = 7.5) -> Template:
-    return Template(f"WITH {daily_book(bps)} SELECT date, round(traded, 7) AS traded, round(cost, 9) AS cost FROM daily")
+    return Template(f"WITH {daily_book(bps)} SELECT date, round(traded, 7) AS traded, round(cost, 10) AS cost FROM daily")
 
 
-def impact_costs(kappa: float = 10.0) -> Template:
-    return Template(f"WITH {daily_book(kappa=kappa)} SELECT date, round(impact, 7) AS impact FROM daily")
+def impact_costs(kappa: float = KAPPA) -> Template:
+    return Template(f"WITH {daily_book(kappa=kappa)} SELECT date, round(impact, 10) AS impact FROM daily")
 
 
-def result() -> Template:
-    """One row: net Sharpe, drawdown, totals and mean turnover of a run."""
-    return Template(f"""
-WITH {daily_book()}, net AS (SELECT date, gross - cost - impact AS ret, gross, traded FROM daily),
-cum AS (SELECT *, {CUM} AS cum FROM net), dd AS (SELECT *, cum / {PEAK} - 1 AS dd FROM cum)
-SELECT count(*) AS days, round({sharpe('gross')}, 4) AS gross_sharpe, round({sharpe()}, 4) AS net_sharpe, round(min(dd), 5) AS max_drawdown,
-  round(ARGMAX(cum, date) - 1, 5) AS total_return, round(stddev_samp(ret) * {YEAR}, 6) AS volatility, round(avg(traded) / 2, 6) AS turnover FROM dd""")
+def _run(returns: str, by: str = "", src: str = "$scored") -> str:
+    """CTEs down to g, p, c and t: one row a run of its gross and cost figures, net figures, IC figures and turnover."""
+    over = f"OVER ({f'PARTITION BY {by.rstrip(", ")} ' if by else ''}ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    group = f" GROUP BY {by.rstrip(', ')}" if by else ""
+    return f"""{daily_book(by=by, src=src)},{_turnover('book', by)},
+net AS (SELECT {by}date, gross, gross - (cost + impact) AS ret, cost + impact AS paid FROM daily),
+cum AS (SELECT *, {growth(over)} AS cum FROM net WHERE ret IS NOT NULL),
+dd AS (SELECT *, cum / max(cum) {over} - 1 AS dd FROM cum),
+g AS (SELECT {by}count(*) AS days, {sharpe('gross')} AS gross_sharpe, sum(paid) AS total_costs, avg(paid) AS avg_daily_cost FROM net{group}),
+p AS (SELECT {by}{sharpe()} AS net_sharpe, CASE WHEN count(*) < 2 THEN 0 ELSE min(dd) END AS max_drawdown, ARGMAX(cum, date) - 1 AS total_return,
+  power(ARGMAX(cum, date), 252e0 / count(*)) - 1 AS annualized_return, stddev_samp(ret) * {YEAR} AS volatility FROM dd{group}),
+ics AS ({_ic(f'{by}date', y=returns, src=src)}),
+c AS (SELECT {by}avg(ic) AS mean_ic, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) * {YEAR} ELSE 0 END AS icir FROM ics{group}),
+t AS (SELECT {by}avg(turnover) AS mean_turnover FROM turned{group})"""
 
 
-def walk_forward() -> Template:
-    """The run's daily net returns cut by $splits (split_id, lo, hi), and mean and population deviation over splits."""
-    return Template(f"""
-WITH {daily_book()}, net AS (SELECT date, gross - cost - impact AS ret FROM daily),
-per AS (SELECT split_id, count(*) AS days, avg(ret) * 252 AS annual, {sharpe()} AS sharpe FROM net JOIN $splits s ON net.date BETWEEN s.lo AND s.hi GROUP BY split_id)
-SELECT split_id, days, round(annual, 6) + 0.0 AS annual, round(sharpe, 4) + 0.0 AS sharpe, round(avg(sharpe) OVER (), 4) + 0.0 AS mean_sharpe,
-  round(stddev_pop(sharpe) OVER (), 4) + 0.0 AS std_sharpe FROM per""")
+CALMAR = "CASE WHEN max_drawdown <> 0 THEN annualized_return / abs(max_drawdown) ELSE 0 END"
+RESULT = {
+    "gross_sharpe": 4, "net_sharpe": 4, "max_drawdown": 6, "mean_turnover": 7, "total_return": 6, "annualized_return": 6, "volatility": 7,
+    "mean_ic": 7, "icir": 4, "total_costs": 8, "avg_daily_cost": 11,
+}
+
+
+def _figures() -> str:
+    return ", ".join([f"round({c}, {n}) + 0.0 AS {c}" for c, n in RESULT.items()] + [f"round({CALMAR}, 5) + 0.0 AS calmar_ratio"])
+
+
+def result(returns: str = "ret") -> Template:
+    """One row: Sharpe ratios, drawdown, turnover, returns, IC and costs of a run. The IC is the signal's with the same
+    returns that the weights of the date before earn."""
+    return Template(f"WITH {_run(returns)} SELECT days, {_figures()} FROM g CROSS JOIN p CROSS JOIN c CROSS JOIN t")
+
+
+def positions(capital: float = CAPITAL) -> Template:
+    """Dollar positions of a run and what each gains a day: the weight of the date before times the return, in dollars."""
+    return Template(f"""WITH {daily_book(capital=capital)}
+SELECT ticker, date, round(weight * {capital}, 3) + 0.0 AS position, round(held * ret * {capital}, 3) + 0.0 AS pnl FROM moved WHERE weight IS NOT NULL""")
+
+
+def walk_forward(returns: str = "ret") -> Template:
+    """A whole run for each split of $splits (split_id, lo, hi) over the split's dates, with means over splits and the
+    population deviation of their net Sharpe ratios.
+
+    All runs are one job. A panel row is read once for each split that holds its date, by a range join with the few splits.
+    """
+    own = "own AS (SELECT s.split_id, p.* FROM $scored p JOIN $splits s ON p.date BETWEEN s.lo AND s.hi)"
+    over = {"mean_net_sharpe": ("avg(net_sharpe)", 4), "std_net_sharpe": ("stddev_pop(net_sharpe)", 4), "mean_ic_of_splits": ("avg(mean_ic)", 7), "mean_turnover_of_splits": ("avg(mean_turnover)", 7), "mean_drawdown": ("avg(max_drawdown)", 6)}
+    means = ", ".join(f"round({e} OVER (), {n}) + 0.0 AS {c}" for c, (e, n) in over.items())
+    return Template(f"""WITH {own},{_run(returns, 'split_id, ', 'own')}
+SELECT split_id, days, {_figures()}, {means} FROM g JOIN p USING (split_id) JOIN c USING (split_id) JOIN t USING (split_id)""")
 
 
 TRADES = "SELECT ticker, date, close * volume AS value, adv, vol FROM $trades"
 
 
-def transaction_costs(fixed: float = 0.0, bps: float = 7.5, spread: float = 2.0, kappa: float = 10.0) -> Template:
+def _impact(value: str = "value", adv: str = "adv", kappa: float = KAPPA) -> str:
+    return f"CASE WHEN {adv} > 0 THEN {value} * {kappa} * sqrt({value} / 1e6) * sqrt({value} / {adv}) / 10000 ELSE 0 END"
+
+
+def transaction_costs(fixed: float = 0.0, bps: float = 7.5, spread: float = 2.0, kappa: float = KAPPA) -> Template:
     """Fixed, commission, half spread and square-root impact of each trade in $trades (value, adv)."""
-    imp = f"CASE WHEN adv > 0 THEN value * {kappa} * sqrt(value / 1e6) * sqrt(value / adv) / 10000 ELSE 0 END"
-    return Template(f"""WITH t AS ({TRADES}), c AS (SELECT ticker, date, {fixed}e0 + value * {bps} / 10000 AS commission, value * {spread} / 10000 AS spread, {imp} AS impact FROM t)
-SELECT ticker, date, round(commission, 9) AS commission, round(spread, 9) AS spread, round(impact, 6) AS impact, round(commission + spread + impact, 7) AS total FROM c""")
+    return Template(f"""WITH t AS ({TRADES}), c AS (SELECT ticker, date, {fixed}e0 + value * {bps} / 10000 AS commission, value * {spread} / 10000 AS spread, {_impact(kappa=kappa)} AS impact FROM t)
+SELECT ticker, date, round(commission, 9) AS commission, round(spread, 9) AS spread, round(impact, 9) AS impact, round(commission + spread + impact, 8) AS total FROM c""")
+
+
+def portfolio_costs(bps: float = 7.5, spread: float = 2.0, kappa: float = KAPPA) -> Template:
+    """Cost parts of signed trades $trades (ticker, trade_value); $volumes (ticker, adv) may lack a name, which then has no impact."""
+    return Template(f"""
+WITH t AS (SELECT t.ticker, abs(trade_value) AS value, adv FROM $trades t LEFT JOIN $volumes v ON t.ticker = v.ticker),
+c AS (SELECT ticker, value, value * {bps} / 10000 AS fixed_cost, value * {spread} / 10000 AS spread_cost, {_impact(kappa=kappa)} AS impact_cost FROM t)
+SELECT ticker, round(value, 4) AS trade_value, round(fixed_cost, 8) AS fixed_cost, round(spread_cost, 8) AS spread_cost, round(impact_cost, 8) AS impact_cost,
+  round(fixed_cost + spread_cost + impact_cost, 8) AS total_cost FROM c""")
 
 
-def market_impact(kappa: float = 10.0) -> Template:
-    imp = f"CASE WHEN adv > 0 THEN value * {kappa} * sqrt(value / 1e6) * sqrt(value / adv) / 10000 ELSE 0 END"
-    return Template(f"WITH t AS ({TRADES}), i AS (SELECT ticker, date, {imp} AS i FROM t) SELECT ticker, date, round(i * 0.8, 6) AS temporary, round(i * 0.2, 6) AS permanent FROM i")
+def market_impact(kappa: float = KAPPA) -> Template:
+    return Template(f"WITH t AS ({TRADES}), i AS (SELECT ticker, date, {_impact(kappa=kappa)} AS i FROM t) SELECT ticker, date, round(i * 0.8, 9) AS temporary, round(i * 0.2, 9) AS permanent FROM i")
 
 
 def twap(n: int = 10) -> Template:

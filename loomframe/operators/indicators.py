@@ -87,19 +87,20 @@ def stationary(x: np.ndarray) -> bool:
 
 
 def find_min_d(panel: DataFrame, threshold: float = 1e-5, steps: int = 20, close_enough: float = 0.01) -> DataFrame:
-    """(ticker, min_d): the smallest d in [0, 1] by bisection whose differenced log price is stationary."""
+    """(ticker, min_d): the middle of the bracket, under close_enough wide, at which bisection of [0, 1] leaves the d from
+    which the differenced log price is stationary."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.log(pdf.sort_values("date").close.to_numpy())
         lo, hi = 0.0, 1.0
         for _ in range(steps):
-            if hi - lo < close_enough:
-                break
             mid = (lo + hi) / 2
             w = np.array(ffd_weights(mid, threshold))
             ok = len(x) >= len(w) and stationary(np.convolve(x, w, "valid"))
             lo, hi = (lo, mid) if ok else (mid, hi)
-        return pd.DataFrame({"ticker": [pdf.ticker.iloc[0]], "min_d": [hi]})
+            if hi - lo < close_enough:
+                break
+        return pd.DataFrame({"ticker": [pdf.ticker.iloc[0]], "min_d": [(lo + hi) / 2]})
 
     return panel.select("ticker", "date", "close").groupBy("ticker").applyInPandas(run, "ticker string, min_d double")
 
@@ -130,11 +131,11 @@ def ema(panel: DataFrame, span: int = 20) -> DataFrame:
 
 
 def vol_surprise(panel: DataFrame, k: int = 21, span: int = 63) -> DataFrame:
-    """Realised volatility of k rows less its own exponential mean."""
+    """Annualised realised volatility of k rows less its own exponential mean."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        rv = np.log(pdf.close).diff().rolling(k).std()
+        rv = np.log(pdf.close).diff().rolling(k).std() * math.sqrt(252)
         return pd.DataFrame({"ticker": pdf.ticker, "date": pdf.date, "vol_surprise": rv - rv.ewm(span=span, adjust=True).mean()})
 
     out = panel.select("ticker", "date", "close").groupBy("ticker").applyInPandas(run, "ticker string, date date, vol_surprise double")
@@ -195,7 +196,7 @@ def bollinger(k: int = 20) -> Steps:
 
 def rolling_stats(windows=(10, 20, 50)) -> Steps:
     out = {f"{n}_{k}": rolling(f, "close", k) for k in windows for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("var", "var_samp"))}
-    return Steps([out], digits={c: 7 if c.startswith("mean") else 3 for c in out})
+    return Steps([out], digits={c: {"mean": 7, "std": 5, "var": 3}[c.split("_")[0]] for c in out})
 
 
 def momentum(windows=(5, 10, 20)) -> Steps:
@@ -210,9 +211,9 @@ def volume_ratios(k: int = 20) -> Steps:
 
 
 def notebook_vols(k: int = 20) -> Steps:
-    """Realised volatility, and Parkinson's as a mean of each row's own root."""
-    base = {"lret": f"ln(close / {lag('close')})", "pk": "sqrt(power(ln(high / low), 2) / (4 * ln(2.0)))"}
-    out = {"realized_vol": f"({rolling('stddev_samp', 'lret', k)}) * sqrt(252.0)", "parkinson_vol": f"({rolling('avg', 'pk', k)}) * sqrt(252.0)"}
+    """Realised volatility of simple returns, and Parkinson's as a mean of each row's own root."""
+    base = {"ret": f"close / {lag('close')} - 1", "pk": "sqrt(power(ln(high / low), 2) / (4 * ln(2.0)))"}
+    out = {"realized_vol": f"({rolling('stddev_samp', 'ret', k)}) * sqrt(252.0)", "parkinson_vol": f"({rolling('avg', 'pk', k)}) * sqrt(252.0)"}
     return Steps([base, out], digits=rounded(out))
 
 
@@ -229,13 +230,13 @@ def notebook_features() -> Steps:
 
 
 def entropy(panel: DataFrame, k: int = 20, bins: int = 10) -> DataFrame:
-    """Shannon entropy (nats) of the last k log returns in `bins` equal bins from their least to their largest value.
+    """Shannon entropy (nats) of the last k simple returns in `bins` equal bins from their least to their largest value.
 
     A value's bin is the number of inner edges at or below it, so the last bin is closed. Only the k values of a
     row's own window are held at a time.
     """
     w, over = last(k), "OVER (PARTITION BY ticker ORDER BY date)"
-    r = panel.selectExpr("ticker", "date", f"ln(close / lag(close) {over}) AS r")
+    r = panel.selectExpr("ticker", "date", f"close / lag(close) {over} - 1 AS r")
     s = r.selectExpr("ticker", "date", f"CASE WHEN count(r) {w} = {k} THEN collect_list(r) {w} END AS xs", f"min(r) {w} AS lo", f"max(r) {w} AS hi")
     edges = f"transform(sequence(1, {bins - 1}), q -> lo + q * ((hi - lo) / {bins}))"
     s = s.selectExpr("ticker", "date", "lo", "hi", "xs", f"{edges} AS es").selectExpr(
@@ -270,8 +271,8 @@ def intermarket() -> Template:
     mom = lambda a, k: f"round({a} / lag({a}, {k}) {o} - 1, 6) + 0.0"
     return Template(f"""
 WITH wide AS (SELECT date, {wide} FROM $assets GROUP BY date), a AS (SELECT * FROM wide WHERE {have}),
-r AS (SELECT *, rates - lag(rates) {o} AS rd, ln(dollar / lag(dollar) {o}) AS dr, semis / lag(semis) {o} - 1 AS sr, tech / lag(tech) {o} - 1 AS tr, market / lag(market) {o} - 1 AS mr FROM a),
-s AS (SELECT *, tr - mr AS rel FROM r)
+r AS (SELECT *, rates - lag(rates) {o} AS rd, ln(dollar / lag(dollar) {o}) AS dr, ln(semis / lag(semis) {o}) AS sr, ln(tech / lag(tech) {o}) AS tr, tech / lag(tech) {o} - 1 AS ts, market / lag(market) {o} - 1 AS mr FROM a),
+s AS (SELECT *, ts - mr AS rel FROM r)
 SELECT date, round(rd, 5) + 0.0 AS rates_diff, round({full('avg', 'rd', 5)}, 5) + 0.0 AS rates_diff_ma5, round({full('avg', 'rd', 20)}, 5) + 0.0 AS rates_diff_ma20,
   round(dr, 6) + 0.0 AS dollar_returns, {mom('dollar', 10)} AS dollar_momentum_10, round({full('stddev_samp', 'dr', 20)} * sqrt(252.0), 6) AS dollar_volatility,
   round(vix, 5) AS vix_level, {mom('vix', 1)} AS vix_pct_change, {mom('vix', 5)} AS vix_momentum_5,

@@ -53,45 +53,49 @@ def _sample_moments(k: int) -> list[dict[str, str]]:
     n = float(k)
     skew = f"CASE WHEN n_{k} = {k} THEN CASE WHEN flat_{k} THEN 0.0 ELSE ({g1}) * sqrt({n} * {n - 1}) / {n - 2} END END"
     kurt = f"CASE WHEN n_{k} = {k} THEN CASE WHEN flat_{k} THEN -3.0 ELSE {(n - 1) / ((n - 2) * (n - 3)):.17f} * (({n + 1}) * ({g2}) + 6) END END"
-    return [level, {f"g_{k}": skew, f"q_{k}": kurt, f"sd_{k}": f"CASE WHEN n_{k} = {k} THEN stddev_samp(lret) {w} END"}]
+    return [level, {f"g_{k}": skew, f"q_{k}": kurt, f"sd_{k}": f"CASE WHEN n_{k} = {k} THEN stddev_samp(lret) {w} * sqrt(252.0) END"}]
+
+
+def _moments_of(windows) -> list[dict[str, str]]:
+    return [{c: e for level in parts for c, e in level.items()} for parts in zip(*map(_sample_moments, windows), strict=True)]
 
 
 LRET = {"lret": f"ln(close / {lag('close')})"}
 
 
 def csi(windows=(21, 63)) -> Steps:
-    """Volatility adjusted by the sample's skewness and kurtosis; kurtosis is in excess, and 3 is taken off again."""
-    levels = [dict(a, **b) for a, b in zip(*[_sample_moments(k) for k in windows], strict=True)]
+    """Annualised volatility adjusted by the sample's skewness and kurtosis; kurtosis is in excess, and 3 is taken off again."""
+    levels = _moments_of(windows)
     adj = {c: e for k in windows for c, e in ((f"skew_adj_{k}", f"g_{k} / 6"), (f"kurt_adj_{k}", f"(q_{k} - 3) / 24"))}
     full = {f"csi_{k}d": f"sd_{k} * (1 + skew_adj_{k} + kurt_adj_{k})" for k in windows}
     out = {f"csi_ratio_{k}": f"csi_{k}d / nullif(sd_{k}, 0)" for k in windows}
     cols = [*adj, *full, *out]
-    return Steps([LRET, *levels, adj, full, out], cols, digits=rounded(cols, 4))
+    return Steps([LRET, *levels, adj, full, out], cols, digits=rounded(cols, 6))
 
 
-def vol_of_vol(k: int = 21) -> Steps:
-    inner = {"rv": rolling("stddev_samp", "lret", k)}
-    out = {f"vol_of_vol_{k}d": f"({rolling('stddev_samp', 'rv', k)}) / nullif({rolling('avg', 'rv', k)}, 0)"}
-    return Steps([LRET, inner, out], digits=rounded(out, 5))
+def vol_of_vol(windows=(21, 63)) -> Steps:
+    inner = {f"rv_{k}": rolling("stddev_samp", "lret", k) for k in windows}
+    out = {f"vol_of_vol_{k}d": f"({rolling('stddev_samp', f'rv_{k}', k)}) / nullif({rolling('avg', f'rv_{k}', k)}, 0)" for k in windows}
+    return Steps([LRET, inner, out], digits=rounded(out))
 
 
-def tails(k: int = 21) -> Steps:
-    a, b = _sample_moments(k)
-    out = {"skew_premium": f"-g_{k}", "tail_risk": f"q_{k} - 3"}
-    return Steps([LRET, a, b, out], digits=rounded(out, 4))
+def tails(windows=(21, 63)) -> Steps:
+    levels = _moments_of(windows)
+    out = {c: e for k in windows for c, e in ((f"skew_premium_{k}d", f"-g_{k}"), (f"tail_risk_{k}d", f"q_{k} - 3"))}
+    return Steps([LRET, *levels, out], digits=rounded(out, 5))
 
 
-def vol_asymmetry(k: int = 21, min_periods: int | None = None) -> Steps:
-    """Spread of positive over negative returns; with the default it needs k same-signed returns in a row."""
-    need = min_periods or k
+def vol_asymmetry(windows=(21, 63), min_periods: int | None = None) -> Steps:
+    """Deviation of positive less that of negative returns, over that of all; with the default both need a full
+    window of one sign, so that the value is missing throughout, `min_periods` asks for fewer."""
     parts = {"pos": "CASE WHEN lret > 0 THEN lret END", "neg": "CASE WHEN lret < 0 THEN lret END"}
-    w = last(k)
-    sd = lambda x: f"CASE WHEN count({x}) {w} >= {need} THEN stddev_samp({x}) {w} END"
-    out = {f"vol_asymmetry_{k}d": f"({sd('pos')}) / nullif({sd('neg')}, 0)"}
-    return Steps([LRET, parts, out], digits=rounded(out, 5))
+    sides = {f"{x}_{k}": f"CASE WHEN count({x}) {last(k)} >= {min_periods or k} THEN stddev_samp({x}) {last(k)} END" for k in windows for x in parts}
+    sides |= {f"rv_{k}": rolling("stddev_samp", "lret", k) for k in windows}
+    out = {f"vol_asymmetry_{k}d": f"(pos_{k} - neg_{k}) / nullif(rv_{k}, 0)" for k in windows}
+    return Steps([LRET, parts, sides, out], digits=rounded(out))
 
 
-RV = [LRET, {f"rv{k}": rolling("stddev_samp", "lret", k) for k in (5, 21, 252)}]
+RV = [LRET, {f"rv{k}": f"({rolling('stddev_samp', 'lret', k)}) * sqrt(252.0)" for k in (5, 21, 252)}]
 
 
 def term_structure() -> Steps:
@@ -109,6 +113,6 @@ def vol_price_corr(k: int = 63) -> Steps:
 
 FAMILIES = {
     "v01_bulk_volume": bulk_volume, "v02_vpin": vpin, "v03_vpin_features": vpin_features, "v04_csi": csi, "v05_vol_of_vol": vol_of_vol,
-    "v06_tails": tails, "v07_vol_asymmetry": vol_asymmetry, "v07_vol_asymmetry_min5": lambda: vol_asymmetry(21, 5),
+    "v06_tails": tails, "v07_vol_asymmetry": vol_asymmetry, "v07_vol_asymmetry_min5": lambda: vol_asymmetry((21, 63), 5),
     "v08_term_structure": term_structure, "v09_vol_price_corr": vol_price_corr,
 }

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from loomframe.functions.template import Template
 
 from .xsection import quantile_buckets
@@ -13,11 +17,11 @@ def average_rank(x: str, by: str = "date") -> str:
     return f"rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2e0"
 
 
-def _ic(group: str, x: str = "signal", y: str = "fwd", least: int = 10, spearman: bool = True) -> str:
+def _ic(group: str, x: str = "signal", y: str = "fwd", least: int = 10, spearman: bool = True, src: str = "$scored") -> str:
     """Correlation per group on rows where both are there; null under `least` pairs or without spread."""
     rank = lambda v: f"{average_rank(v, group)}" if spearman else v
     return f"""SELECT {group}, CASE WHEN count(*) >= {least} AND max(a) > min(a) AND max(b) > min(b) THEN corr(a, b) END AS ic
-FROM (SELECT {group}, {rank(x)} AS a, {rank(y)} AS b FROM $scored WHERE {x} IS NOT NULL AND {y} IS NOT NULL) r GROUP BY {group}"""
+FROM (SELECT {group}, {rank(x)} AS a, {rank(y)} AS b FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) r GROUP BY {group}"""
 
 
 def pooled_ic(spearman: bool = True) -> Template:
@@ -40,12 +44,21 @@ def icir() -> Template:
     return Template(f"SELECT round(avg(ic), 7) AS mean_ic, round({ICIR}, 5) AS icir, count(ic) AS n FROM ({_ic('date')}) q")
 
 
-def sharpe_ratio(rf: float = 0.02) -> Template:
+def sharpe_ratio(rf: float = 0.0) -> Template:
     return Template(f"SELECT round({sharpe('ret', rf)}, 5) AS sharpe FROM $daily")
 
 
-CUM = "exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
-PEAK = "max(cum) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+SO_FAR = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def growth(over: str = SO_FAR) -> str:
+    """Product of 1 + ret: by logarithms, with a total loss (0) and losses beyond it (a change of sign) counted apart."""
+    lost, sign = f"sum(CASE WHEN ret = -1 THEN 1 ELSE 0 END) {over}", f"sum(CASE WHEN ret < -1 THEN 1 ELSE 0 END) {over}"
+    return f"CASE WHEN {lost} > 0 THEN 0e0 ELSE exp(coalesce(sum(ln(nullif(abs(1 + ret), 0))) {over}, 0)) * (1 - 2 * ({sign} % 2)) END"
+
+
+CUM = growth()
+PEAK = f"max(cum) {SO_FAR}"
 
 
 def _drawdown(peak: str = PEAK) -> str:
@@ -58,26 +71,58 @@ def max_drawdown(from_one: bool = False) -> Template:
     return Template(f"SELECT round(CASE WHEN count(*) < 2 THEN 0 ELSE min(dd) END, 7) + 0.0 AS max_drawdown FROM ({_drawdown(peak)}) d")
 
 
-GRID = """grid AS (SELECT d.date, t.ticker, coalesce(w.weight, 0) AS weight FROM (SELECT DISTINCT date FROM $weights) d
-  CROSS JOIN (SELECT DISTINCT ticker FROM $weights) t LEFT JOIN $weights w ON d.date = w.date AND t.ticker = w.ticker)"""
+def dated(src: str, by: str = "") -> str:
+    """CTE `days`: the distinct dates of src with their position i and number n, for each run where `by` ("split_id, ")
+    tells runs apart. A row a date, so that one task orders the dates of a run."""
+    part = f"PARTITION BY {by.rstrip(', ')}" if by else ""
+    return f"days AS (SELECT {by}date, row_number() OVER ({part} ORDER BY date) - 1 AS i, count(*) OVER ({part}) AS n FROM (SELECT DISTINCT {by}date FROM {src}) u)"
+
+
+def _turnover(src: str = "$weights", by: str = "") -> str:
+    """CTEs after `days` to `turned` (date, turnover): half the sum of absolute weight changes from one date of src to the next.
+
+    No row is a weight of 0, so a name that was not there the date before enters with its whole weight, and one that is not
+    there the date after leaves with it: rows say so themselves, and no dates x names grid is made. 0 on the first date.
+    """
+    o = f"OVER (PARTITION BY {by}ticker ORDER BY i)"
+    return f"""
+placed AS (SELECT {by}ticker, coalesce(weight, 0) AS weight, i, n, lag(coalesce(weight, 0)) {o} AS w0, lag(i) {o} AS i0, lead(i) {o} AS i1 FROM {src} w JOIN days USING ({by}date)),
+moves AS (SELECT {by}i, abs(weight - CASE WHEN i0 = i - 1 THEN w0 ELSE 0 END) AS ch FROM placed WHERE i > 0
+  UNION ALL SELECT {by}i + 1 AS i, abs(weight) FROM placed WHERE coalesce(i1, -1) <> i + 1 AND i + 1 < n),
+turned AS (SELECT {by}date, coalesce(sum(ch), 0) / 2 AS turnover FROM days LEFT JOIN moves USING ({by}i) GROUP BY {by}date)"""
 
 
 def turnover() -> Template:
-    """Half the sum of absolute weight changes a day, on the dense grid with 0 for no weight; 0 on the first day."""
-    return Template(f"""WITH {GRID}, ch AS (SELECT date, abs(weight - lag(weight) OVER (PARTITION BY ticker ORDER BY date)) AS ch FROM grid)
-SELECT date, round(coalesce(sum(ch), 0) / 2, 10) AS turnover FROM ch GROUP BY date""")
+    """Half the sum of absolute weight changes a day, with 0 for no weight; 0 on the first day."""
+    return Template(f"WITH {dated("$weights")},{_turnover()} SELECT date, round(turnover, 10) + 0.0 AS turnover FROM turned")
+
 
+def summary(bps: float = 7.5) -> Template:
+    """All metrics of a signal, its daily returns and its weights in one row.
 
-def summary() -> Template:
-    """All metrics of a signal and its daily returns in one row."""
+    The p-value of the mean IC follows from ic_t_stat and ic_days by student_p_value (with_p_value()).
+    """
     return Template(f"""
-WITH ic AS ({_ic('date')}), dd AS ({_drawdown()}),
-a AS (SELECT avg(ic) AS mean_ic, {ICIR} AS icir, avg(CASE WHEN round(ic, 12) > 0 THEN 1e0 ELSE 0e0 END) AS hit, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(CAST(count(ic) AS DOUBLE)) AS t_stat FROM ic),
-b AS (SELECT {sharpe()} AS sharpe, ARGMAX(cum, date) - 1 AS total, power(ARGMAX(cum, date), 252e0 / count(*)) - 1 AS annual, min(dd) AS mdd,
+WITH ic AS ({_ic('date')}), dd AS ({_drawdown()}), {dated("$weights")},{_turnover()},
+t AS (SELECT avg(turnover) AS turnover FROM turned),
+net AS (SELECT {sharpe('ret')} AS net_sharpe FROM (SELECT ret - coalesce(turnover, 0) * {bps} / 10000 AS ret FROM $daily q LEFT JOIN turned ON q.date = turned.date) x),
+a AS (SELECT avg(ic) AS mean_ic, {ICIR} AS icir, count(ic) AS ic_days, avg(CASE WHEN round(ic, 12) > 0 THEN 1e0 ELSE 0e0 END) AS hit, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(CAST(count(ic) AS DOUBLE)) AS t_stat FROM ic),
+b AS (SELECT count(*) AS days, {sharpe()} AS sharpe, ARGMAX(cum, date) - 1 AS total, power(ARGMAX(cum, date), 252e0 / count(*)) - 1 AS annual, min(dd) AS mdd,
   stddev_samp(ret) * {YEAR} AS vol, avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) AS win FROM dd)
-SELECT round(mean_ic, 7) AS mean_ic, round(icir, 5) AS icir, round(hit, 6) AS ic_hit_rate, round(t_stat, 5) AS ic_t_stat, round(sharpe, 5) AS sharpe,
+SELECT round(mean_ic, 7) AS mean_ic, round(icir, 5) AS icir, round(hit, 6) AS ic_hit_rate, ic_days, round(t_stat, 7) AS ic_t_stat, round(sharpe, 5) AS gross_sharpe,
+  round(net_sharpe, 5) AS net_sharpe, days AS n_days, round(turnover, 8) AS mean_turnover, round(turnover * {bps} / 10000, 12) AS turnover_cost,
   round(total, 5) AS total_return, round(annual, 6) AS annualized_return, round(mdd, 6) AS max_drawdown, round(vol, 6) AS volatility,
-  round(annual / nullif(abs(mdd), 0), 5) AS calmar, round(win, 6) AS win_rate FROM a CROSS JOIN b""")
+  round(CASE WHEN mdd <> 0 THEN annual / abs(mdd) ELSE 0 END, 5) AS calmar, round(win, 6) AS win_rate FROM a CROSS JOIN b CROSS JOIN t CROSS JOIN net""")
+
+
+def with_p_value(summarised: DataFrame) -> DataFrame:
+    """The summary's one row with ic_pvalue, the two-sided p-value of its mean IC."""
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([student_p_value(float(a), int(b)) if a == a else None for a, b in zip(t, n, strict=True)], dtype="float64")
+
+    return summarised.withColumn("ic_pvalue", F.round(p("ic_t_stat", "ic_days"), 6))
 
 
 def ic_decay(horizons=(1, 5, 10, 21)) -> Template:
@@ -88,21 +133,29 @@ FROM ({' UNION ALL '.join(parts)}) u GROUP BY horizon""")
 
 
 def quantile_returns(n: int = 10) -> Template:
-    """Mean of daily mean returns a bucket, and the spread of the last over the first."""
-    b = quantile_buckets("signal", n, extra="fwd")
+    """Mean of daily mean returns and of daily numbers of names a quantile (1 is the lowest), and the spread of the last
+    over the first.
+
+    A date counts where at least n names have a return; a quantile without names there counts 0 names and no return.
+    """
+    b = quantile_buckets("signal", n, extra="fwd").replace("$panel", "known")
     return Template(f"""
-WITH d AS (SELECT date, bucket, avg(fwd) AS r FROM ({b}) b WHERE bucket IS NOT NULL AND fwd IS NOT NULL GROUP BY date, bucket),
-m AS (SELECT bucket, avg(r) AS r, count(*) AS days FROM d GROUP BY bucket)
-SELECT bucket, round(r, 8) + 0.0 AS mean_return, days, round(max(CASE WHEN bucket = {n - 1} THEN r END) OVER () - max(CASE WHEN bucket = 0 THEN r END) OVER (), 8) + 0.0 AS spread FROM m""")
+WITH known AS (SELECT * FROM $panel WHERE signal IS NOT NULL AND fwd IS NOT NULL),
+d AS (SELECT date, bucket + 1 AS quantile, avg(fwd) AS r, count(*) AS k FROM ({b}) b WHERE bucket IS NOT NULL GROUP BY date, bucket),
+t AS (SELECT count(DISTINCT date) AS dates FROM d),
+m AS (SELECT quantile, avg(r) AS r, count(*) AS days, sum(k) AS k FROM d GROUP BY quantile)
+SELECT quantile, round(r, 8) + 0.0 AS mean_return, days, round(k / CAST(dates AS DOUBLE), 6) AS n_stocks,
+  round(ARGMAX(r, quantile) OVER () - ARGMIN(r, quantile) OVER (), 8) + 0.0 AS spread FROM m CROSS JOIN t""")
 
 
-def sector_ic(least: int = 4) -> Template:
+def sector_ic(least: int = 10) -> Template:
+    """Mean daily IC and its ratio a sector; a date counts where the sector has `least` known pairs."""
     rank = lambda v: average_rank(v, "date, sector")
     return Template(f"""
 WITH r AS (SELECT date, sector, {rank('signal')} AS a, {rank('fwd')} AS b FROM $scored WHERE signal IS NOT NULL AND fwd IS NOT NULL),
 d AS (SELECT date, sector, CASE WHEN count(*) >= {least} AND max(a) > min(a) AND max(b) > min(b) THEN corr(a, b) END AS ic FROM r GROUP BY date, sector),
 n AS (SELECT sector, count(DISTINCT ticker) AS n_stocks FROM $scored GROUP BY sector)
-SELECT d.sector, round(avg(ic), 7) + 0.0 AS mean_ic, count(ic) AS days, max(n_stocks) AS n_stocks FROM d JOIN n ON d.sector = n.sector GROUP BY d.sector""")
+SELECT d.sector, round(avg(ic), 7) + 0.0 AS mean_ic, round({ICIR}, 5) + 0.0 AS icir, count(ic) AS days, max(n_stocks) AS n_stocks FROM d JOIN n ON d.sector = n.sector GROUP BY d.sector""")
 
 
 def rolling_metrics(k: int = 252) -> Template:
@@ -140,9 +193,9 @@ def ic_monitor(floor: float = 0.03, run: int = 3) -> Template:
 
 
 def acceptance_gate() -> Template:
-    """Thresholds on the one-row summary of a run: $run (ic, icir, sharpe, max_drawdown, turnover)."""
-    return Template("""SELECT ic > 0.055 AS ic_ok, icir > 0.9 AS icir_ok, sharpe > 1.8 AS sharpe_ok, abs(max_drawdown) < 0.22 AS drawdown_ok, turnover < 0.18 AS turnover_ok,
-  ic > 0.055 AND icir > 0.9 AND sharpe > 1.8 AND abs(max_drawdown) < 0.22 AND turnover < 0.18 AS accepted FROM $run""")
+    """Thresholds on the one-row result of a run: $run (mean_ic, icir, net_sharpe, max_drawdown, mean_turnover)."""
+    tests = {"ic_ok": "mean_ic > 0.055", "icir_ok": "icir > 0.9", "sharpe_ok": "net_sharpe > 1.8", "drawdown_ok": "abs(max_drawdown) < 0.22", "turnover_ok": "mean_turnover < 0.18"}
+    return Template(f"SELECT {', '.join(f'{e} AS {c}' for c, e in tests.items())}, {' AND '.join(tests.values())} AS accepted FROM $run")
 
 
 def student_p_value(t: float, n: int) -> float:

@@ -8,11 +8,11 @@ RET = {"ret": f"close / {lag('close')} - 1"}
 
 
 def amihud(windows=(21, 63)) -> Steps:
-    illiq = {"illiq": ratio("abs(ret) * 1000000.0", "close * volume")}
+    illiq = {"illiq": ratio("abs(ret)", "close * volume")}
     mean = {f"amihud_{k}d": rolling("avg", "illiq", k) for k in windows} | {f"sd_{k}": rolling("stddev_samp", "illiq", k) for k in windows}
     z = {f"amihud_zscore_{k}d": ratio(f"illiq - amihud_{k}d", f"sd_{k}") for k in windows}
     out = [*[f"amihud_{k}d" for k in windows], *z]
-    return Steps([RET, illiq, mean, z], out, digits=rounded(out, 5))
+    return Steps([RET, illiq, mean, z], out, digits={c: 5 if "zscore" in c else 13 for c in out})
 
 
 def kyle_lambda(windows=(21, 63)) -> Steps:
@@ -20,8 +20,8 @@ def kyle_lambda(windows=(21, 63)) -> Steps:
     out = {}
     for k in windows:
         w = last(k)
-        out[f"kyle_lambda_{k}d"] = f"CASE WHEN count(*) {w} = {k} AND count(sv) {w} >= 3 AND max(sv) {w} > min(sv) {w} THEN regr_slope(ret, sv) {w} * 1000000.0 END"
-    return Steps([RET, flow, out], digits=rounded(out, 4))
+        out[f"kyle_lambda_{k}d"] = f"CASE WHEN count(*) {w} = {k} AND count(sv) {w} >= 3 AND max(sv) {w} > min(sv) {w} THEN regr_slope(ret, sv) {w} END"
+    return Steps([RET, flow, out], digits=rounded(out, 10))
 
 
 def order_flow(windows=(5, 21)) -> Steps:
@@ -41,12 +41,16 @@ def roll_spread(k: int = 21) -> Steps:
     return Steps([RET, both, pair, cov, out], digits=rounded(out, 5))
 
 
-def corwin_schultz() -> Steps:
-    """High-low spread from two-day ranges, held to [0, 0.1]."""
+def corwin_schultz(total: bool = False) -> Steps:
+    """High-low spread from the mean of two days' squared log ranges and that of both days together, in [0, 0.1].
+
+    The mean never exceeds the range of both days, so the value is 0 wherever high and low are known; `total` takes the
+    sum of the two days, as the estimator was published.
+    """
     one = {"b1": "power(ln(high / low), 2)", "h2": rolling("max", "high", 2), "l2": rolling("min", "low", 2)}
-    two = {"beta": rolling("sum", "b1", 2), "gamma": "power(ln(h2 / l2), 2)"}
+    two = {"beta": rolling("sum" if total else "avg", "b1", 2), "gamma": "power(ln(h2 / l2), 2)"}
     three = {"alpha": "(sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2.0)) - sqrt(gamma / (3 - 2 * sqrt(2.0)))"}
-    out = {"cs_spread": "CASE WHEN alpha IS NOT NULL THEN least(0.1, greatest(0.0, 2 * (exp(alpha) - 1) / (1 + exp(alpha)))) END"}
+    out = {"cs_spread": "CASE WHEN alpha IS NOT NULL THEN least(0.1, 2 * (exp(greatest(alpha, 0.0)) - 1) / (1 + exp(greatest(alpha, 0.0)))) END"}
     return Steps([one, two, three, out], digits=rounded(out))
 
 
@@ -62,15 +66,16 @@ def volume_hhi(windows=(21, 63)) -> Steps:
 
 def up_down_volume(windows=(21, 63)) -> Steps:
     parts = {"up": "CASE WHEN ret > 0 THEN volume ELSE CAST(0 AS DOUBLE) END", "down": "CASE WHEN ret > 0 THEN CAST(0 AS DOUBLE) ELSE volume END"}
-    out = {f"up_down_volume_{k}d": f"({rolling('sum', 'up', k)}) / (({rolling('sum', 'down', k)}) + 1e-10)" for k in windows}
-    return Steps([RET, parts, out], digits=rounded(out, 5))
+    sums = {f"{c}_{k}": rolling("sum", c, k) for k in windows for c in parts}
+    out = {f"up_down_volume_{k}d": f"(up_{k} - down_{k}) / (up_{k} + down_{k} + 1e-10)" for k in windows}
+    return Steps([RET, parts, sums, out], digits=rounded(out, 7))
 
 
 def liquidity_vol(windows=(21, 63)) -> Steps:
-    illiq = {"illiq": ratio("abs(ret) * 1000000.0", "close * volume")}
+    illiq = {"illiq": ratio("abs(ret)", "close * volume")}
     out = {f"volume_vol_{k}d": ratio(rolling("stddev_samp", "volume", k), f"({rolling('avg', 'volume', k)})") for k in windows}
     out |= {f"illiq_vol_{k}d": rolling("stddev_samp", "illiq", k) for k in windows}
-    return Steps([RET, illiq, out], digits=rounded(out, 5))
+    return Steps([RET, illiq, out], digits={c: 13 if c.startswith("illiq") else 5 for c in out})
 
 
 def volume_autocorr(windows=(21, 63)) -> Steps:

@@ -23,7 +23,7 @@ ev AS (SELECT ticker, date, action, lead(date) OVER (PARTITION BY ticker ORDER B
 spans AS (
   SELECT ticker, date AS lo, coalesce(nxt, DATE '9999-01-01') AS hi FROM ev WHERE action = 'add'
   UNION ALL SELECT ticker, DATE '0001-01-01', date FROM ev WHERE action = 'remove' AND k = 1
-  UNION ALL SELECT ticker, DATE '0001-01-01', DATE '9999-01-01' FROM $current WHERE ticker NOT IN (SELECT ticker FROM $changes))
+  UNION ALL SELECT ticker, DATE '0001-01-01', DATE '9999-01-01' FROM $current c WHERE NOT EXISTS (SELECT 1 FROM $changes x WHERE x.ticker = c.ticker))
 SELECT DISTINCT cal.date AS date, ticker, TRUE AS in_universe FROM cal JOIN spans ON cal.date > lo AND cal.date <= hi""")
 
 

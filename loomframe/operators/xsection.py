@@ -30,10 +30,10 @@ m AS (SELECT ticker, date, {', '.join(features)}, {m} FROM w)
 SELECT ticker, date, {', '.join(z(f) for f in features)} FROM m""")
 
 
-def percent_rank(x: str) -> str:
-    """Average rank over the day's count of non-null values."""
-    w = f"(PARTITION BY date, {x} IS NULL ORDER BY {x})"
-    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER {w} + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2e0) / count({x}) {DAY} END"
+def percent_rank(x: str, by: str = "") -> str:
+    """Average rank over the day's count of non-null values; `by` ("split_id, ") tells runs apart."""
+    w = f"(PARTITION BY {by}date, {x} IS NULL ORDER BY {x})"
+    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER {w} + (count(*) OVER (PARTITION BY {by}date, {x}) - 1) / 2e0) / count({x}) OVER (PARTITION BY {by}date) END"
 
 
 def ranks(x: str = "signal") -> Template:

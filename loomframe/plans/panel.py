@@ -6,6 +6,8 @@ from loomframe.functions.sqlsteps import Steps
 from loomframe.operators import informed, microstructure, technical
 from loomframe.sources.bars import BARS_SQL, bars
 
+from . import oracles
+
 FAMILIES = {**technical.FAMILIES, "t20_all": technical.compute_all, **microstructure.FAMILIES, **informed.FAMILIES}
 
 
@@ -14,5 +16,5 @@ def query(steps: Steps):
 
 
 QUERIES = {name: query(f()) for name, f in FAMILIES.items()}
-ORACLES = {name: f().sql(BARS_SQL) for name, f in FAMILIES.items()}
+ORACLES = {name: f().sql(BARS_SQL) for name, f in FAMILIES.items()} | oracles.MICRO | oracles.INFORMED
 QUERIES["entry_realized_vol"], ORACLES["entry_realized_vol"] = QUERIES["t05_realized_vol"], ORACLES["t05_realized_vol"]

@@ -113,6 +113,7 @@ QUERIES |= {
     "c12_unpivot": _unpivot,
     "c13_select_columns": _renamed,
     "s01_scan_bars": lambda spark, sf_dir: bars(spark, sf_dir).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close", "volume")]),
+    "s01_bars_from_trades": lambda spark, sf_dir: src.derived_bars(spark, sf_dir).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close", "volume")]),
     "s08_tickers": lambda spark, sf_dir: src.tickers(bars(spark, sf_dir)),
     "s09_upsert": _upsert,
     "s10_html_cells": lambda spark, sf_dir: html.cells(src.read_table(spark, sf_dir, "pages")),
@@ -125,6 +126,7 @@ ORACLES |= {
     "c12_unpivot": f"SELECT date, ticker, round(close, 6) AS close FROM ({BARS_SQL}) WHERE close IS NOT NULL",
     "c13_select_columns": f"SELECT ticker, date, close AS eq_close, volume AS eq_volume FROM ({BARS_SQL})",
     "s01_scan_bars": f"SELECT ticker, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM ({BARS_SQL})",
+    "s01_bars_from_trades": f"SELECT ticker, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM ({BARS_SQL})",
     "s08_tickers": f"SELECT DISTINCT ticker FROM ({BARS_SQL})",
     "s09_upsert": f"""WITH p AS ({BARS_SQL}) SELECT ticker, date, round(CASE WHEN year(date) = 1996 THEN close * 2 ELSE close END, 6) AS close, volume
 FROM p WHERE date < DATE '1996-07-01' OR year(date) = 1996""",

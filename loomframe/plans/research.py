@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dataclasses import replace
+
 from loomframe.functions.sqlsteps import lag, last, lead, rolling
 from loomframe.functions.template import Template
-from loomframe.operators import backtest, indicators, informed, labeling, metrics, splits, xsection
+from loomframe.operators import backtest, indicators, informed, labeling, metrics, splits, technical, xsection
 from loomframe.sources.bars import BARS_SQL, bars
 
+from . import oracles
+
 SCORED = Template(f"""
 WITH r AS (SELECT ticker, date, close, volume, close / {lag('close')} - 1 AS ret FROM $panel)
 SELECT ticker, date, close, volume, ret, round(-({rolling('sum', 'ret', 5)}), 7) AS signal, round({lead('close')} / close - 1, 8) AS fwd,
@@ -21,11 +25,14 @@ ASSETS = Template(f"SELECT asset, date, close FROM $panel p JOIN {NAMES} n(asset
 HARD = Template("SELECT DISTINCT ticker FROM $panel WHERE CAST(substr(ticker, 7) AS INT) % 7 = 0")
 YEARS = Template("SELECT year(date) - 1992 AS split_id, min(date) AS lo, max(date) AS hi FROM $panel GROUP BY year(date)")
 SPLITS = splits.walk_forward("1993-01-01", "1994-12-30", "1998-12-31")
-FLOWS = Template(f"SELECT ticker, date, vpin, vol FROM (SELECT ticker, date, {rolling('avg', 'volume', 20)} AS vpin, {rolling('stddev_samp', 'close', 21)} AS vol FROM $panel) x")
+FLOW = technical.merged([replace(informed.vpin(), digits={}), replace(informed.csi((21,)), digits={})])
+FLOWS = Template(f"SELECT ticker, date, round(vpin_b1, 9) AS vpin, round(csi_21d, 9) AS vol FROM ({FLOW.sql('SELECT * FROM $panel')}) x")
 
 
 FIXTURES = {
     "scored": SCORED, "multi": SCORED, "trades": Template(f"SELECT * FROM ({SCORED.text}) t WHERE adv IS NOT NULL AND vol IS NOT NULL"), "probs": PROBS, "daily": DAILY,
+    "orders": Template("SELECT ticker, (CASE WHEN day(date) % 2 = 0 THEN 1 ELSE -1 END) * close * volume AS trade_value FROM $panel WHERE date = DATE '1996-05-06'"),
+    "volumes": Template("SELECT ticker, avg(close * volume) AS adv FROM $panel WHERE CAST(substr(ticker, 7) AS INT) % 5 > 0 GROUP BY ticker"),
     "assets": ASSETS, "hard": HARD, "years": YEARS, "flows": FLOWS, "splits": SPLITS,
     "events": labeling.barrier_events(), "batch": labeling.barrier_events(batch=True),
 }
@@ -111,7 +118,7 @@ PAIRS = {
     "k04_sharpe": query(metrics.sharpe_ratio(), daily="daily"),
     "k05_max_drawdown": query(metrics.max_drawdown(), daily="daily"),
     "k06_turnover": query(metrics.turnover(), weights="weights"),
-    "k07_summary": query(metrics.summary(), scored="scored", daily="daily"),
+    "k07_summary": query(metrics.summary(), scored="scored", daily="daily", weights="weights"),
     "k08_ic_decay": query(metrics.ic_decay(), multi="multi"),
     "k09_quantile_returns": query(metrics.quantile_returns(), panel="scored"),
     "k10_sector_ic": query(metrics.sector_ic(), scored="scored"),
@@ -121,7 +128,7 @@ PAIRS = {
     "k14_ordinal_ic": query(metrics.ordinal_ic(), scored="scored"),
     "k15_strategy_return": query(metrics.strategy_return(), scored="scored"),
     "k16_ic_monitor": query(metrics.ic_monitor(), scored="scored"),
-    "k17_acceptance_gate": query(Template(metrics.acceptance_gate().text.replace("$run", "(SELECT 0.06 AS ic, 1.0 AS icir, avg(ret) * 1000 AS sharpe, 0.1 AS max_drawdown, 0.1 AS turnover FROM $daily) g")), daily="daily"),
+    "k17_acceptance_gate": query(Template(metrics.acceptance_gate().text.replace("$run", f"({backtest.result().text}) run")), scored="scored"),
     "b01_align": query(backtest.align(), scored="scored"),
     "b02_target_weights": query(backtest.target_weights(), scored="scored"),
     "b03_capped_weights": query(backtest.capped_weights(), scored="scored"),
@@ -131,8 +138,10 @@ PAIRS = {
     "b07_trading_costs": query(backtest.trading_costs(), scored="scored"),
     "b08_impact_costs": query(backtest.impact_costs(), scored="scored"),
     "b09_result": query(backtest.result(), scored="scored"),
+    "b09_positions": query(backtest.positions(), scored="scored"),
     "b10_walk_forward": query(backtest.walk_forward(), scored="scored", splits="years"),
     "b11_transaction_costs": query(backtest.transaction_costs(), trades="trades"),
+    "b11_portfolio_costs": query(backtest.portfolio_costs(), trades="orders", volumes="volumes"),
     "b12_market_impact": query(backtest.market_impact(), trades="trades"),
     "b13_twap": query(backtest.twap(5), trades="trades"),
     "b14_slippage": query(backtest.slippage(), trades="trades"),
@@ -141,7 +150,9 @@ PAIRS = {
 QUERIES = {k: v[0] for k, v in PAIRS.items()}
 ORACLES = {k: v[1] for k, v in PAIRS.items()}
 
+_summary = QUERIES["k07_summary"]
 QUERIES |= {
+    "k07_summary": lambda spark, sf_dir: metrics.with_p_value(_summary(spark, sf_dir)),
     "e01_ewm": lambda spark, sf_dir: indicators.ewm(bars(spark, sf_dir)),
     "v10_vol_surprise": lambda spark, sf_dir: indicators.vol_surprise(bars(spark, sf_dir)),
     "e02_ema": lambda spark, sf_dir: indicators.ema(bars(spark, sf_dir)),
@@ -173,7 +184,7 @@ for adjust, tail in ((True, "_adj"), (False, "")):
     _macd.append(f"{_ewm_sql('close', 12, adjust)} - {_ewm_sql('close', 26, adjust)} AS line{tail}")
 ORACLES |= {
     "v10_vol_surprise": f"""WITH {NUMBERED}, l AS (SELECT ticker, date, i, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS r FROM n),
-v AS (SELECT ticker, date, i, CASE WHEN count(r) {last(21)} = 21 THEN stddev_samp(r) {last(21)} END AS rv FROM l),
+v AS (SELECT ticker, date, i, CASE WHEN count(r) {last(21)} = 21 THEN stddev_samp(r) {last(21)} * sqrt(252) END AS rv FROM l),
 w AS (SELECT *, CASE WHEN rv IS NOT NULL THEN power({1 - 2 / 64!r}e0, -i) END AS k FROM v)
 SELECT ticker, date, round(rv - sum(rv * k) {RUN} / sum(k) {RUN}, 6) + 0.0 AS vol_surprise FROM w""",
     "e01_ewm": f"WITH {NUMBERED} SELECT ticker, date, round({_ewm_sql('close', 63, True)}, 5) AS ewm_63 FROM n",
@@ -187,10 +198,13 @@ g AS (SELECT *, CASE WHEN i BETWEEN 1 AND 14 THEN greatest(dc, 0) / 14 WHEN i >
   CASE WHEN i BETWEEN 1 AND 14 THEN greatest(-dc, 0) / 14 WHEN i > 14 THEN greatest(-dc, 0) / 14 * power(13 / 14e0, 14 - i) END AS l FROM d),
 a AS (SELECT *, sum(u) {RUN} * power(13 / 14e0, i - 14) AS au, sum(l) {RUN} * power(13 / 14e0, i - 14) AS al FROM g)
 SELECT ticker, date, round(CASE WHEN i < 14 THEN NULL WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + au / al) END, 5) AS rsi_14 FROM a""",
-    "i06_entropy": f"""WITH {NUMBERED}, r AS (SELECT ticker, date, i, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS r FROM n),
+    "i06_entropy": f"""WITH {NUMBERED}, r AS (SELECT ticker, date, i, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM n),
 w AS (SELECT *, count(r) {last(20)} AS c, min(r) {last(20)} AS lo, max(r) {last(20)} AS hi FROM r),
 p AS (SELECT a.ticker, a.date, len(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9], lambda q: a.lo + q * ((a.hi - a.lo) / 10) <= b.r)) AS bin
   FROM w a JOIN r b ON a.ticker = b.ticker AND b.i BETWEEN a.i - 19 AND a.i WHERE a.c = 20),
 c AS (SELECT ticker, date, bin, count(*) / 20e0 AS p FROM p GROUP BY ALL), h AS (SELECT ticker, date, -sum(p * ln(p)) AS h FROM c GROUP BY ALL)
 SELECT w.ticker, w.date, round(CASE WHEN w.c < 20 THEN NULL WHEN w.lo = w.hi THEN 0 ELSE h END, 6) + 0.0 AS entropy FROM w LEFT JOIN h ON w.ticker = h.ticker AND w.date = h.date""",
 }
+ORACLES |= oracles.INDICATORS
+ORACLES |= oracles.backtests(SCORED.sql(panel=BARS_SQL), YEARS.sql(panel=BARS_SQL), FIXTURES["trades"].sql(panel=BARS_SQL))
+ORACLES |= oracles.metrics(SCORED.sql(panel=BARS_SQL), DAILY.sql(panel=BARS_SQL), WEIGHTS_SQL)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.functions.shared import shared_dir
+
 #: The same bars as DuckDB SQL.
 BARS_SQL = """
 SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, arg_min(px, ord) AS open, max(px) AS high, min(px) AS low,
@@ -19,27 +23,72 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars_from_trades(trades: DataFrame, by: str = "ticker", day: str = "date", price: str = "px", size: str = "qty", order: tuple[str, ...] = ("ord",)) -> DataFrame:
+def packed(order: dict[str, int]) -> Column:
+    """One decimal(38) that sorts as the non-negative integer columns do in turn; order: column -> digits, 38 at most.
+
+    A null counts as 0; a value with more digits than its column's is an error. A fixed-width key lets first and last
+    trades be hash aggregates, where a struct of keys makes Spark sort every trade.
+    """
+    if sum(order.values()) > 38:
+        raise ValueError("an order key has 38 digits at most")
+    key, rest = [], sum(order.values())
+    for c, n in order.items():
+        rest -= n
+        fits = f"CASE WHEN {c} >= 0 AND {c} < {10**n}BD THEN CAST({c} AS DECIMAL(38, 0)) WHEN {c} IS NULL THEN CAST(0 AS DECIMAL(38, 0)) ELSE CAST(raise_error('{c} needs more than {n} digits') AS DECIMAL(38, 0)) END"
+        key.append(f"({fits}) * {10**rest}BD")
+    return F.expr(" + ".join(key)).cast("decimal(38,0)")
+
+
+def bars_from_trades(
+    trades: DataFrame, by: str = "ticker", day: str = "date", price: str = "px", size: str = "qty", order: tuple[str, ...] | dict[str, int] = ("ord",)
+) -> DataFrame:
     """One OHLCV row a ticker and day; the first and last trade by `order` open and close it.
 
-    All parts are partial aggregates, so only one row a ticker, day and task is shuffled.
+    `order` names columns of any type, or integer columns with their digits, as for packed(). All parts are partial
+    aggregates, so only one row a ticker, day and task is shuffled.
     """
-    o = F.struct(*order)
+    o = packed(order) if isinstance(order, dict) else F.struct(*order)
     return trades.groupBy(F.col(by).alias("ticker"), F.col(day).alias("date")).agg(
         F.min_by(price, o).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
         F.max_by(price, o).alias("close"), F.max_by(price, o).alias("adj_close"), F.sum(size).alias("volume"),
     )
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived panel: brands as tickers, discounted retail price as the trade price."""
+def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel from the trades: brands as tickers, discounted retail price as the trade price."""
     items = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_discount", "l_orderkey", "l_linenumber", "l_suppkey")
     parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
     trades = items.join(parts, items.l_partkey == parts.p_partkey).select(
         F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("date"), F.expr("p_retailprice * (1 - l_discount)").alias("px"),
         F.col("l_quantity").alias("qty"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
-    return bars_from_trades(trades, order=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return bars_from_trades(trades, order={"l_orderkey": 14, "l_linenumber": 2, "l_partkey": 12, "l_suppkey": 10})
+
+
+#: Panels stored by this application: inputs as they were -> path.
+_STORED: dict[tuple, str] = {}
+
+
+def _versions(spark: SparkSession, paths: list[str]) -> tuple:
+    """Names, lengths and times of change of the files at each path."""
+    conf, out = spark._jsparkSession.sessionState().newHadoopConf(), []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(conf).listStatus(path)]
+    return tuple(out)
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived panel, stored once by an application in the shared folder and scanned from then on.
+
+    Trades are read again where their files have changed. Readers prune its columns and dates as in any stored panel.
+    """
+    key = (spark.sparkContext.applicationId, *_versions(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")]))
+    if key not in _STORED:
+        path = f"{shared_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+        write_panel(derived_bars(spark, sf_dir), path)
+        _STORED[key] = path
+    return read_panel(spark, _STORED[key])
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
