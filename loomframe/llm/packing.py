@@ -19,8 +19,8 @@ class TokenEncoder:
     """Token ids of a `tokenizers` JSON file as little-endian unsigned 32-bit bytes.
 
     A byte-level BPE whose merges rise with their ids is run by tiktoken's engine over the file's own vocabulary
-    (same ids, several times faster); any other file is run by `tokenizers` itself. Special tokens' strings in a
-    text are ordinary text.
+    (same ids, several times faster); any other file is run by `tokenizers` itself. As there, the strings of the
+    file's added tokens stand for these tokens wherever a text holds them.
     """
 
     #: Fixed value: the word pattern of byte-level BPE files with use_regex.
@@ -29,19 +29,30 @@ class TokenEncoder:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        ranks = self._ranks(spec)
-        if ranks:
+        ranks, added = self._ranks(spec), self._added(spec)
+        if ranks and added is not None:
             import tiktoken
 
-            core = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
-            self._one = lambda t: bytes(core.encode_to_tiktoken_buffer(t, set()))
+            ranks = {word: i for word, i in ranks.items() if i not in set(added.values())}
+            core = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=added)._core_bpe
+            self._one = lambda t: bytes(core.encode_to_tiktoken_buffer(t, set(added)))
         else:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True
             self._one = lambda t: np.asarray(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def _added(spec: dict) -> dict[str, int] | None:
+        """The added tokens, or None where they are matched otherwise than as plain strings none of which begins another."""
+        tokens = spec.get("added_tokens") or []
+        names = [t["content"] for t in tokens]
+        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in tokens):
+            return None
+        if any(a != b and b.startswith(a) for a in names for b in names):
+            return None
+        return {t["content"]: t["id"] for t in tokens}
+
     @staticmethod
     def _ranks(spec: dict) -> dict[bytes, int] | None:
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}

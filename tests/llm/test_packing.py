@@ -29,11 +29,10 @@ def whole(rows, size):
 
 def test_ids_equal_the_tokenizers_library(spark):
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    texts += ["", " ", "  a \n\n b\t", "<|endoftext|> x", "it's  I'LL don't", "é́   \U0001f600 ½ Ⅷ", "a\x85b 　 c", "0" * 3000, "\r\n \r\n"]
+    texts += ["", " ", "  a \n\n b\t", "<|endoftext|> x", "a  <|endoftext|>", "x <|endoftext|><|endoftext|>\n\n<|endoftext", "it's  I'LL don't", "é́   \U0001f600 ½ Ⅷ", "a\x85b 　 c", "0" * 3000, "\r\n \r\n"]
     encode = packing.TokenEncoder(PATH)
-    assert encode._ranks is not None
+    assert packing.np.frombuffer(encode("<|endoftext|> x"), "<u4").tolist() == own.encode("<|endoftext|> x", add_special_tokens=False).ids
     for t in texts:
         assert encode(t) == np.asarray(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:50]
 
