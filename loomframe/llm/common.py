@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -56,6 +57,23 @@ def drawn(rows: DataFrame, key: str, size: int) -> DataFrame:
     return rows.where(md5_bits(F.col(key)) < int(2**60 * size / n)).limit(2 * size)
 
 
+def clear_of(spans: list[tuple], base: list[tuple]) -> list[tuple]:
+    """The spans (kind, start, end, ...) that overlap no span of base; in time linear in both but for sorting."""
+    starts, ends = [], []
+    for a, b in sorted((s[1], s[2]) for s in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for s in spans:
+        k = bisect_right(ends, s[1])
+        if k == len(ends) or starts[k] >= s[2]:
+            out.append(s)
+    return out
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bilstm_crf
-from .common import drawn, map_rows
+from .common import clear_of, drawn, map_rows
 
 #: Kinds in the order in which spans that start together are listed: the fixed patterns, then the model's.
 BASE = ("email", "ip", "card", "phone")
@@ -30,6 +31,12 @@ def luhn(digits: str) -> bool:
     return (twice + sum(int(d) for d in digits[-1::-2])) % 10 == 0
 
 
+def _octet(part: str) -> bool:
+    """At most 255, whatever its number of leading zeros."""
+    own = part.lstrip("0")
+    return len(own) < 4 and int(own or 0) <= 255
+
+
 def _digits(s: str) -> str:
     return "".join(_DIGIT.findall(s))
 
@@ -56,7 +63,7 @@ def base_spans(text: str, checksum: bool = True) -> list[tuple[str, int, int]]:
     if not _EVIDENCE.search(text):
         return []
     out = [("email", a, b) for a, b in _emails(text)]
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and (luhn(d) or not checksum):
             out.append(("card", m.start(), m.end()))
@@ -97,21 +104,30 @@ def _card_number(rng: np.random.Generator) -> str:
     return next(head + str(d) for d in range(10) if luhn(head + str(d)))
 
 
-def _variant(kind: str, rng: np.random.Generator) -> str:
-    """A written form that the fixed pattern of its kind does not take (or takes in part)."""
+def _variant(kind: str, rng: np.random.Generator, held_out: int | None = None) -> str:
+    """A written form that the fixed pattern of its kind does not take (or takes in part). held_out: the number of one of
+    the two forms a kind that training never shows, to measure with."""
     num = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
     pick = lambda *x: x[rng.integers(len(x))]
     if kind == "email":
         user = pick(word(), f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}.{num(2)}")
         host, end = word(), pick("com", "org", "net", "de", "fr")
+        if held_out is not None:
+            return (f"{user}@ {host}.{end}", f"{user} [@] {host}.{end}")[held_out]
         return pick(f"{user} @ {host}.{end}", f"{user}@{host} dot {end}", f"{user} @ {host} dot {end}", f"{user}@{host}[.]{end}", f"{user}[@]{host}.{end}")
     if kind == "ip":
+        if held_out is not None:
+            return ("{.}", " [.] ")[held_out].join(str(p) for p in rng.integers(0, 256, 4))
         return pick("[.]", "(.)", " . ", "[dot]").join(str(p) for p in rng.integers(0, 256, 4))
     if kind == "card":
         d = _card_number(rng)
+        if held_out is not None:
+            return (":", " / ")[held_out].join(d[i : i + 4] for i in range(0, 16, 4))
         return pick(".", "_", " - ", "/").join(d[i : i + 4] for i in range(0, 16, 4))
     a, b, c = num(3), num(3), num(4)
+    if held_out is not None:
+        return (f"({a}).{b}.{c}", f"{a}/{b}-{c}")[held_out]
     return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00 {num(2)} {a} {b} {c}", f"({a}) {b} {c}", f"{a} {b} {c}")
 
 
@@ -182,7 +198,9 @@ def learn(docs: DataFrame, doc: str = "doc_id", text: str = "text", sample_docs:
 
 # --- decoding
 
-WIDTH, STRIDE, LONGEST = 192, 128, 64
+#: Windows of the first pass; a window's neighbours share EDGE characters with it.
+WIDTH, EDGE = 192, 64
+STRIDE = WIDTH - EDGE
 
 
 def _sound(kind: str, value: str) -> bool:
@@ -192,7 +210,7 @@ def _sound(kind: str, value: str) -> bool:
         return value.count("@") == 1 and len(value) >= 6 and value[0].isalnum() and value[-1].isalnum()
     if kind == "ip":
         parts = re.findall(r"[0-9]+", value)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(len(p) <= 3 and _octet(p) for p in parts)
     if kind == "card":
         return 12 <= len(d) <= 19 and luhn(d)
     return 9 <= len(d) <= 15
@@ -201,51 +219,89 @@ def _sound(kind: str, value: str) -> bool:
 def decode(net: bilstm_crf.Tagger, texts: list[str], threshold: float, pruned: bool = True) -> list[list[tuple[str, int, int, float]]]:
     """Model spans (kind, start, end, score) of each text.
 
-    Overlapping windows cover each text. A span's score is its mean margin over tag 0. Spans that a window's edge
-    cuts are left to the neighbour (the overlap holds the longest span). All windows' spans of a text are then
-    reconciled at once: of the sets without overlap the one with the largest total score stays.
+    Overlapping windows cover each text. A span's score is its mean margin over tag 0. A span that a window's edge cuts
+    is left to the neighbour; where no window holds it whole, a wider window around it is decoded, and so on until one
+    does, so spans of any length are found. All windows' spans of a text are then reconciled at once: of the sets
+    without overlap the one with the largest total margin stays.
 
     Every form of every kind holds a digit or an @, so windows without either decode to nothing; with `pruned`
     they are not run at all, and the result is the same.
     """
     spots = []
     for i, t in enumerate(texts):
-        for a in range(0, max(1, len(t) - (WIDTH - STRIDE)), STRIDE):
+        for a in range(0, max(1, len(t) - EDGE), STRIDE):
             if not pruned or _EVIDENCE.search(t, a, a + WIDTH):
                 spots.append((i, a))
     found: list[dict[tuple[str, int, int], float]] = [{} for _ in texts]
-    for at in range(0, len(spots), 1024):
-        part = spots[at : at + 1024]
-        own = [texts[i][a : a + WIDTH] for i, a in part]
-        em = bilstm_crf.emissions(net, np.array([symbols(t + PAD * (WIDTH - len(t))) for t in own]).T)
-        paths = bilstm_crf.viterbi(net, em)
-        for j in np.flatnonzero((paths > 0).any(0)):
-            i, a = part[j]
-            path, size = paths[:, j], len(own[j])
-            begins = np.flatnonzero(path % 2 == 1)
-            for b in begins:
-                e = b + 1
-                while e < WIDTH and path[e] == path[b] + 1:
-                    e += 1
-                cut = (b == 0 and a > 0) or (e >= size and a + size < len(texts[i]))
-                kind = BASE[(path[b] - 1) // 2]
-                if cut or e > size or e - b > LONGEST or not _sound(kind, own[j][b:e]):
-                    continue
-                score = float((em[np.arange(b, e), j, path[b:e]] - em[b:e, j, 0]).mean())
-                if score >= threshold:
-                    key = (kind, a + int(b), a + int(e))
-                    found[i][key] = max(score, found[i].get(key, score))
+    whole: list[list[tuple[int, int]]] = [[] for _ in texts]
+    width = WIDTH
+    while spots:
+        parted: dict[int, list[tuple[int, int]]] = {}
+        many = max(1, 1024 * WIDTH // width)
+        for at in range(0, len(spots), many):
+            _decode_windows(net, texts, spots[at : at + many], width, threshold, found, whole, parted)
+        spots, width = [], 2 * width
+        for i, pieces in parted.items():
+            for a, b in _joined(_not_within(pieces, _joined(whole[i]))):
+                begin = max(0, min(a - EDGE, len(texts[i]) - width))
+                spots += [(i, x) for x in range(begin, max(begin + 1, b), width - EDGE)]
     return [_heaviest([(*k, s) for k, s in f.items()]) for f in found]
 
 
+def _not_within(pieces: list[tuple[int, int]], ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pieces that lie in none of the sorted, disjoint ranges."""
+    begins = [a for a, _ in ranges]
+    place = lambda a: bisect_right(begins, a) - 1
+    return [(a, b) for a, b in pieces if place(a) < 0 or ranges[place(a)][1] < b]
+
+
+def _joined(pieces) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(pieces):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _decode_windows(net, texts, spots, width, threshold, found, whole, parted) -> None:
+    """Decode the windows (text, begin): spans that fit into `found`, their ranges into `whole` whatever their score,
+    ranges cut by an edge into `parted`."""
+    own = [texts[i][a : a + width] for i, a in spots]
+    em = bilstm_crf.emissions(net, np.array([symbols(t + PAD * (width - len(t))) for t in own]).T)
+    paths = bilstm_crf.viterbi(net, em)
+    for j in np.flatnonzero((paths > 0).any(0)):
+        i, a = spots[j]
+        path, size = paths[:, j], len(own[j])
+        for b in np.flatnonzero(path % 2 == 1):
+            e = b + 1
+            while e < width and path[e] == path[b] + 1:
+                e += 1
+            kind = BASE[(path[b] - 1) // 2]
+            if (b == 0 and a > 0) or (e >= size and a + size < len(texts[i])):
+                parted.setdefault(i, []).append((a + int(b), a + int(min(e, size))))
+                continue
+            if e > size:
+                continue
+            whole[i].append((a + int(b), a + int(e)))
+            if not _sound(kind, own[j][b:e]):
+                continue
+            score = float((em[np.arange(b, e), j, path[b:e]] - em[b:e, j, 0]).mean())
+            if score >= threshold:
+                key = (kind, a + int(b), a + int(e))
+                found[i][key] = max(score, found[i].get(key, score))
+
+
 def _heaviest(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
-    """The set of spans without overlap that has the largest total score."""
+    """The set of spans without overlap that has the largest total margin (score times length)."""
     spans = sorted(spans, key=lambda s: (s[2], s[1], s[0]))
     ends = [s[2] for s in spans]
     best: list[tuple[float, int | None]] = [(0.0, None)]
     for s in spans:
         before = int(np.searchsorted(ends, s[1], side="right"))
-        take = best[min(before, len(best) - 1)][0] + s[3]
+        take = best[min(before, len(best) - 1)][0] + s[3] * (s[2] - s[1])
         best.append((take, before) if take > best[-1][0] else (best[-1][0], None))
     out, k = [], len(spans)
     while k:
@@ -258,11 +314,12 @@ def _heaviest(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int,
     return out[::-1]
 
 
-def find_pii(docs: DataFrame, net: bilstm_crf.Tagger, doc: str = "doc_id", text: str = "text", threshold: float = 3.0) -> DataFrame:
+def find_pii(docs: DataFrame, net: bilstm_crf.Tagger, doc: str = "doc_id", text: str = "text", threshold: float = 0.0) -> DataFrame:
     """(doc, spans, redacted): spans is array<struct<kind, start, end, score>> in code points, end exclusive, by
     start, then kind; redacted is the text with each span replaced by its kind in brackets.
 
-    All fixed matches stay (score 1); a model span that overlaps one adds nothing and is left out. Texts are read
+    All fixed matches stay (score 1). A model span needs a mean margin over plain text of the threshold at least; one that
+    overlaps a fixed match adds nothing and is left out. Texts are read
     whole, where they are, without a shuffle; windows of many texts are run together.
 
     Nulls: a null text has no spans and stays null; empty texts have none. Repeated rows give repeated results; an
@@ -276,7 +333,7 @@ def find_pii(docs: DataFrame, net: bilstm_crf.Tagger, doc: str = "doc_id", text:
             for doc_id, body, t, extra in zip(ids, bodies, texts, decode(net, texts, threshold), strict=True):
                 base = base_spans(t)
                 spans = [(k, a, b, 1.0) for k, a, b in base]
-                spans += [(f"model_{k}", a, b, s) for k, a, b, s in extra if not any(a < y and x < b for _, x, y in base)]
+                spans += [(f"model_{k}", a, b, s) for k, a, b, s in clear_of(extra, base)]
                 spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
                 yield doc_id, [dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans], redact(body, spans)
 

@@ -89,10 +89,58 @@ def test_held_out_variants(spark, net):
     assert len(want & found) / len(found) > 0.85 and len(want & found) / len(want) > 0.8
 
 
+def test_written_forms_that_training_never_shows(net):
+    """Recall of whole forms held out, by kind; the README has the figures."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    caught = {}
+    for kind in pii.BASE:
+        for form in (0, 1):
+            texts, want = [], []
+            for _ in range(60):
+                own = pii._variant(kind, rng, form)
+                head = "we spoke at length about the plan and wrote to "[: int(rng.integers(10, 46))] + " "
+                texts.append(head + own + " before the end of the week, as agreed.")
+                want.append((kind, len(head), len(head) + len(own)))
+            got = pii.decode(net, texts, 0.0)
+            caught[kind, form] = sum(any(k == w[0] and a < w[2] and w[1] < b for k, a, b, _ in g) for g, w in zip(got, want, strict=True)) / 60
+    print({f"{k} {f}": round(v, 2) for (k, f), v in caught.items()})
+    assert sum(caught.values()) / len(caught) > 0.5
+
+
+def test_long_spans_at_every_offset(net):
+    """A span longer than the windows' overlap is found wherever it stands."""
+    own = "maximiliane.konstantinopolis.featherstonehaugh.wolkenstein @ international-committee-of-letters.example.org"
+    assert len(own) > 100
+    alone = [s for s in pii.decode(net, [f"please write to {own} today"], 0.0) if s]
+    assert alone and any(b - a > 64 for _, a, b, _ in alone[0])
+    texts = [("of all the words " * 40)[:k] + " please write to " + own + " today and " + "of all the words " * 20 for k in range(0, 256, 7)]
+    found = pii.decode(net, texts, 0.0)
+    assert sum(any(k == "email" and b - a > 64 for k, a, b, _ in f) for f in found) >= 0.9 * len(texts)
+
+
+def test_zeros_and_many_spans():
+    """Addresses with thousands of leading zeros, and a long text with a span in every line, in linear time."""
+    import time
+
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] == [s for s in plain_ip("0" * 5000 + ".1.1.1")]
+    extra = [("model_ip", 40 * i + 20, 40 * i + 30, 1.0) for i in range(100_000)]
+    base = [("email", 40 * i, 40 * i + (25 if i % 2 else 15)) for i in range(100_000)]
+    t = time.time()
+    assert len(pii.clear_of(extra, base)) == 50_000 and time.time() - t < 5
+
+
+def plain_ip(text):
+    m = re.match(PATTERNS["ip"], text)
+    return [("ip", m.start(), m.end())] if all(len(p.lstrip("0") or "0") <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")) else []
+
+
 def test_skipped_windows_change_nothing(spark, net):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60]
     texts += ["call (269) 555-3296 or 00 44 207 946 0958 " * 20, "x" * 191 + " 12[.]34[.]56[.]78 " + "y" * 300]
-    assert pii.decode(net, texts, 3.0) == pii.decode(net, texts, 3.0, pruned=False)
+    some, every = (pii.decode(net, texts, 0.0, pruned) for pruned in (True, False))
+    assert [[x[:3] for x in t] for t in some] == [[x[:3] for x in t] for t in every] and any(some)
+    # Windows run in other batches here, so scores agree but for the order of float32 sums.
+    assert all(abs(x[3] - y[3]) < 1e-4 for a, b in zip(some, every, strict=True) for x, y in zip(a, b, strict=True))
 
 
 def test_whole_table(spark):
@@ -110,6 +158,12 @@ def test_whole_table(spark):
         assert set(listed.split(",") if listed else []) <= set(own)
         added += len(own) - len(base)
     assert added <= 3  # these documents hold no variants
+    # Documents that do: every form of training, planted among them, is found by the query's own settings.
+    rng = np.random.Generator(np.random.PCG64(21))
+    planted = [(i, f"as we said before, {pii._variant(pii.BASE[i % 4], rng)} is what was written there.", pii.BASE[i % 4]) for i in range(200)]
+    out = pii.find_pii(spark.createDataFrame([(i, t) for i, t, _ in planted], "doc_id long, text string"), pii.learn(spark.read.parquet(f"{SF}/documents.parquet"))).collect()
+    kinds = {r.doc_id: {s.kind.removeprefix("model_") for s in r.spans} for r in out}
+    assert sum(k in kinds[i] for i, _, k in planted) / len(planted) >= 0.85
 
 
 def test_edges(spark, net):
