@@ -38,6 +38,55 @@ def test_pairs_and_constants():
     assert secrets.scan("The meeting is at: 10:30, see notes. Ratio = 3.5 and note: nothing.") == []
 
 
+def test_each_name_alone_and_passphrases():
+    """A random literal fires under any listed name; a long one of plain letters under strong ones; prose does not."""
+    random_one = "q9ZrT7xLmP2vTbW4kYc8HsD1fGjN6aQe3RuV5oXi"
+    for name in secrets.SENSITIVE:
+        for form in (f'{name} = "{random_one}"', f"my_{name}: {random_one}", f'"{name}": "{random_one}"'):
+            got = secrets.scan(form)
+            assert got and all(form[a:b].endswith(random_one) or form[a:b].strip("\"' ") for _, a, b, _ in got), form
+            assert random_one not in secrets.redact(form, got)
+    for name in ("passphrase", "password", "credentials"):
+        assert secrets.named_spans(f'{name} = "correcthorsebatterystaple"', secrets.THRESHOLD)
+    for prose in ('colour = "q9ZrT7xLmP2vTbW4kYc8HsD1fGjN6aQe3RuV5oXi"', "session: Wednesday-afternoon", "key: description", "pin: 4711", "auth: required by all", "cookie: chocolate-and-oats"):
+        assert secrets.named_spans(prose, secrets.THRESHOLD) == [], prose
+
+
+def plain_named(text):
+    """Named literals of lines `name = "literal"` or `name = other`, read line by line with constants passed on."""
+    bound, out = {}, {}
+    at = 0
+    for line in text.split("\n"):
+        m = re.match(r"""\s*([\w.\-]+)\s*=\s*(?:"([^"]*)"|([\w.]+))\s*$""", line)
+        if m:
+            name = m[1]
+            here = (m[2], at + m.start(2), at + m.end(2)) if m[2] else (m[3], at + m.start(3), at + m.end(3)) if m[3] else None
+            if here and re.match(r"[A-Za-z_][\w.]*$", here[0]) and here[0] in bound:
+                here = bound[here[0]]
+            if here:
+                bound[name] = here
+                score = (secrets.name_score(name) * secrets.literal_score(here[0])) ** 0.5
+                if score >= secrets.THRESHOLD:
+                    out[here[1:]] = max(score, out.get(here[1:], 0))
+        at += len(line) + 1
+    return [("named", a, b, s) for (a, b), s in sorted(out.items())]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["K", "alias", "client.password", "db_token", "colour", "api-key", "sessionCookie"]), st.sampled_from(["K", "alias", "db_token", '"q9Zr-77xLmP2vTbW4kYc"', '"light"', '"correcthorsebatterystaple"', "r4nd0mT0kenValue99", '"a b c d e f g h"'])), max_size=12))
+def test_named_spans_against_a_line_reader(lines):
+    text = "\n".join(f"{n} = {v}" for n, v in lines)
+    assert secrets.named_spans(text, secrets.THRESHOLD) == plain_named(text)
+
+
+def test_many_spans_in_linear_time():
+    import time
+
+    text = 'client_signature = "q9ZrT7xLmP2vTbW4kYc8HsD1fGjN6aQe3RuV5oXi"\ntoken=abcdefgh12\n' * 20_000
+    t = time.time()
+    assert len(secrets.scan(text)) == 40_000 and time.time() - t < 20
+
+
 def test_whole_table(spark):
     rows = {r.doc_id: r for r in queries.op7_secrets(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
