@@ -47,8 +47,9 @@ def _cuts(body: bytes, size: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_spans(body: bytes, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word [^\\x20\\x09-\\x0D]+ of UTF-8 text, A-Z as a-z; positions are bytes."""
+def word_spans(body: bytes, segment: int = 1 << 20, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word [^\\x20\\x09-\\x0D]+ of UTF-8 text, A-Z as a-z; positions are bytes. Without
+    `hashed` there are positions only."""
     hashes, begins, ends = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in _cuts(body, segment):
         chars = np.frombuffer(body, np.uint8, b - a, a)
@@ -59,6 +60,8 @@ def word_spans(body: bytes, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndar
         lengths = np.add.reduceat(inside, starts, dtype=np.int64)
         begins.append(starts + a)
         ends.append(starts + a + lengths)
+        if not hashed:
+            continue
         chars, starts = chars[starts[0] :], starts - starts[0]
         at = np.arange(len(chars)) - np.repeat(starts, np.diff(starts, append=len(chars)))
         hashes.append(mix(np.add.reduceat(_BYTE[chars] * _power(int(at.max()) + 1)[at], starts) + lengths.astype(U64)))

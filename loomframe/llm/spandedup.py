@@ -3,13 +3,15 @@ later copies of a run lose their sentences or words."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import discard, map_rows, stored
 from .minhash import U64, mix, word_spans
 
 _STOPS = np.zeros(256, bool)
@@ -28,15 +30,15 @@ class Sentences:
     each: np.ndarray
 
 
-def sentences(body: bytes, most_words: int) -> Sentences:
-    """Cut a text into sentences.
+def sentences(body: bytes, most_words: int, hashed: bool = True) -> Sentences:
+    """Cut a text into sentences; without `hashed` they are counted only.
 
     One ends after a word whose last character is . ! or ? (a closing quote or bracket may follow), before a line
     break, and after `most_words` words, so that text without stops has sentences too. The hash sees words only:
     A-Z count as a-z, and how much white space parts words does not count.
     """
-    h, starts, ends = word_spans(body)
-    n = len(h)
+    h, starts, ends = word_spans(body, hashed=hashed)
+    n = len(starts)
     if not n:
         return Sentences(starts, h, starts, h)
     raw = np.frombuffer(body, np.uint8)
@@ -50,23 +52,29 @@ def sentences(body: bytes, most_words: int) -> Sentences:
     at = np.arange(n) - np.repeat(first, np.diff(first, append=n))
     first = np.flatnonzero(at % most_words == 0)
     counts = np.diff(first, append=n)
+    if not hashed:
+        return Sentences(counts, counts, starts, h)
     place = mix(np.arange(1, most_words + 1, dtype=U64)) | U64(1)
     total = np.add.reduceat(h * place[at % most_words], first)
     return Sentences(counts, mix(total + counts.astype(U64)), starts, h)
 
 
-def runs(s: Sentences, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first sentence, hash) of each run of `width` sentences with at least least_words words."""
+NONE = (np.zeros(0, np.int64),) * 3
+
+
+def runs(s: Sentences, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, two independent hashes) of each run of `width` sentences with at least least_words words."""
     m = len(s.hashes) - width + 1
     if m < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = mix(np.arange(101, 101 + width, dtype=U64)) | U64(1)
-    total, words = np.zeros(m, U64), np.zeros(m, np.int64)
+        return NONE
+    one, two = (mix(np.arange(k, k + width, dtype=U64)) | U64(1) for k in (101, 301))
+    total, other, words = np.zeros(m, U64), np.zeros(m, U64), np.zeros(m, np.int64)
     for i in range(width):
-        total += s.hashes[i : m + i] * place[i]
+        total += s.hashes[i : m + i] * one[i]
+        other += s.hashes[i : m + i] * two[i]
         words += s.words[i : m + i]
     at = np.flatnonzero(words >= least_words)
-    return at, mix(total[at]).view(np.int64)
+    return at, mix(total[at]).view(np.int64), mix(other[at]).view(np.int64)
 
 
 def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -85,20 +93,24 @@ RUN_WORDS = 1 << DOUBLINGS
 CHOICE = 20
 
 
-def word_runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the runs of RUN_WORDS words whose hash is the least of any CHOICE neighbouring runs.
+def word_runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, two independent hashes) of the runs of RUN_WORDS words whose first hash is the least of any CHOICE
+    neighbouring runs.
 
     The choice sees nothing but the words, so equal passages of 51 words choose the same run wherever they stand,
     and in longer ones the chosen runs overlap: what they leave is at most CHOICE - 1 words at each end.
     """
     if len(h) < RUN_WORDS + CHOICE - 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return NONE
     total, place = h, mix(np.arange(201, 201 + DOUBLINGS, dtype=U64)) | U64(1)
     for i in range(DOUBLINGS):
         total = mix(total[: -(1 << i)] * place[i] + total[1 << i :])
     least = np.pad(_slide(total, CHOICE, np.minimum), CHOICE - 1)
     at = np.flatnonzero(_slide(least, CHOICE, np.maximum) == total)
-    return at, total[at].view(np.int64)
+    other = np.zeros(len(at), U64)
+    for i, by in enumerate(mix(np.arange(401, 401 + RUN_WORDS, dtype=U64)) | U64(1)):
+        other += h[at + i] * by
+    return at, total[at].view(np.int64), mix(other).view(np.int64)
 
 
 def remove_repeated_spans(
@@ -111,9 +123,14 @@ def remove_repeated_spans(
 
     Long sentences are cut every 12 words from their own start, so copies of a passage share runs of sentences only
     where their cuts agree. Runs of words do not depend on cuts: each later copy of a passage of 51 words or more
-    loses at least one run of 32, and all but 19 words at each end (see word_runs). Runs are hashed to 64 bits where the text is read; the hashes are counted with map-side sums, and only the
-    occurrences of repeated ones travel on. There is no cap on how often a run may occur, and no group is gathered
-    into a task: a first occurrence is a minimum, and the join back can be split.
+    loses at least one run of 32, and all but 19 words at each end (see word_runs). A run of sentences with fewer than
+    least_words words is no passage and stays.
+
+    Runs are hashed once to 128 bits where the text is read, and stored as lists a document. The first 64 bits are
+    counted with map-side sums; only occurrences of repeated ones travel on, and equal runs agree in all 128. There is
+    no cap on how often a run may occur, and no group is gathered into a task: a first occurrence is a minimum, and
+    the join back can be split. A document is cut by the positions of its own repeated runs; its text is read again for
+    that, and hashed again only where it has any.
 
     Nulls: a null text stays null, an empty one empty, each with no sentence. Rows with a null doc_id take no part
     and stay as they are. Rows that share doc_id and text are one document: they lose the same sentences, and
@@ -122,25 +139,31 @@ def remove_repeated_spans(
     """
     named = docs.where(F.col(doc).isNotNull())
 
-    def runs_of(s: Sentences) -> dict[int, int]:
-        """Position to hash; even positions are of sentences, odd ones of words."""
-        (a, x), (b, y) = runs(s, width, least_words), word_runs(s.each)
-        return dict(zip([*(2 * a).tolist(), *(2 * b + 1).tolist()], [*x.tolist(), *y.tolist()], strict=True))
-
-    def start_runs():
-        def kernel(cols):
-            for doc_id, body in zip(*cols, strict=True):
-                for a, x in runs_of(sentences((body or "").encode("utf-8", "surrogatepass"), most_words)).items():
-                    yield x, doc_id, a
-
-        return kernel
-
-    occurrences = map_rows(named, [doc, text], start_runs, "h long, d long, p int")
-    often = stored(occurrences.groupBy("h").count().where("count > 1").select("h"), "repeated")
+    def runs_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions (even ones of sentences, odd ones of words) and both hashes of a text's runs."""
+        s = sentences(body, most_words)
+        (a, x, v), (b, y, w) = runs(s, width, least_words), word_runs(s.each)
+        return np.concatenate([2 * a, 2 * b + 1]).astype(np.int32), np.concatenate([x, y]), np.concatenate([v, w])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                each = [runs_of((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
+                ends = pa.array(np.cumsum([0, *(len(p) for p, _, _ in each)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in zip(*each, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["d", "p", "h", "g"])
+
+    source = named.select(F.col(doc).cast("long").alias("d"), text)
+    all_runs = stored(source.mapInArrow(listed, "d long, p array<int>, h array<long>, g array<long>"), "runs")
+    often = stored(all_runs.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1").select("h"), "repeated")
+    occurrences = all_runs.select("d", F.explode(F.arrays_zip("p", "h", "g")).alias("r")).select("d", "r.p", "r.h", "r.g")
     found = stored(occurrences.join(often, "h"), "occurrences")
-    first = stored(found.groupBy("h").agg(F.min(F.struct("d", "p")).alias("f")), "first")
-    later = found.join(first, "h").where((F.col("d") != F.col("f.d")) | (F.col("p") != F.col("f.p")))
-    lists = later.groupBy(F.col("d").alias("_d")).agg(F.collect_set(F.struct("p", "h")).alias("_runs"))
+    discard(all_runs, often)
+    first = stored(found.groupBy("h", "g").agg(F.min(F.struct("d", "p")).alias("f")), "first")
+    later = found.join(first, ["h", "g"]).where((F.col("d") != F.col("f.d")) | (F.col("p") != F.col("f.p")))
+    lists = stored(later.groupBy(F.col("d").alias("_d")).agg(F.collect_set(F.struct("p", "h")).alias("_runs")), "later")
+    discard(found, first)
 
     def edges(marks: np.ndarray) -> list[list[int]]:
         return np.flatnonzero(np.diff(marks.astype(np.int8), prepend=0)).reshape(-1, 2).tolist()
@@ -149,11 +172,12 @@ def remove_repeated_spans(
         def kernel(cols):
             for doc_id, body, own in zip(*cols, strict=True):
                 raw = (body or "").encode("utf-8", "surrogatepass")
-                s = sentences(raw, most_words)
-                n = len(s.hashes)
-                gone, cut = np.zeros(n + 1, bool), np.zeros(len(s.each) + 1, bool)
+                s = sentences(raw, most_words, hashed=False)
+                n = len(s.words)
+                gone, cut = np.zeros(n + 1, bool), np.zeros(len(s.starts) + 1, bool)
                 if own:
-                    mine = runs_of(s)
+                    p, h, _ = runs_of(raw)
+                    mine = dict(zip(p.tolist(), h.tolist(), strict=True))
                     for r in own:
                         if mine.get(r["p"]) == r["h"]:
                             at = r["p"] // 2
