@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import ann, chat, decontam, neardup, packing, pii, quality, secrets, sharding, spandedup
 from .common import table
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _spans_text(spans: Column) -> Column:

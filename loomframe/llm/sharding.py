@@ -7,30 +7,58 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import md5_bits
+from .common import md5_bits, stored
 
 BITS = 60
+#: Bits of the second directory, for rows that agree in the whole hash of their key: so many of the text's hash come first.
+TEXT_BITS = 40
 
 
-def _directory(sizes: DataFrame, depth: int, limit: int) -> DataFrame:
-    """(slot, depth, prefix, shard_bytes, shard_rows) for each used directory slot of `depth` bits.
+def _directory(sizes: DataFrame, depth: int, limit: int, within: list[str]) -> DataFrame:
+    """(*within, slot, depth, prefix, shard_bytes, shard_rows) for each used directory slot of `depth` bits.
 
     A slot points at the shallowest prefix whose rows fit the limit; a lone row that does not fit stands alone,
     and rows that agree in all hash bits stay together.
     """
     levels = sizes.select(
-        "slot", "bytes", "rows", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth")
+        *within, "slot", "bytes", "rows", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth")
     ).withColumn("prefix", F.expr(f"shiftright(slot, {depth} - depth)"))
-    totals = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
+    totals = levels.groupBy(*within, "depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
     done = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.col("depth") == depth)
     return (
-        levels.join(totals.where(done), ["depth", "prefix"])
-        .groupBy("slot")
+        levels.join(totals.where(done), [*within, "depth", "prefix"])
+        .groupBy(*within, "slot")
         .agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("s"))
-        .select("slot", "s.*")
+        .select(*within, "slot", "s.*")
     )
 
 
+def _split(rows: DataFrame, depth: int, limit: int, within: list[str]) -> tuple[DataFrame, Column]:
+    """The stored directory of the rows' hashes _h in each group of `within`, and the slot of a row in it.
+
+    The directory deepens only while some slot is over the limit with rows that more bits can part."""
+    while True:
+        slot = F.shiftright("_h", BITS - depth)
+        sizes = rows.groupBy(*within, slot.alias("slot")).agg(
+            F.sum("row_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("_h").alias("lo"), F.max("_h").alias("hi")
+        )
+        if depth == BITS or sizes.where((F.col("bytes") > limit) & (F.col("lo") != F.col("hi"))).isEmpty():
+            break
+        depth = min(BITS, depth + 6)
+    found = _directory(sizes.drop("lo", "hi"), depth, limit, within)
+    return stored(
+        found.select(
+            *within,
+            F.col("slot").alias("_slot"),
+            F.concat_ws("-", F.col("depth").cast("string"), F.col("prefix").cast("string")).alias("_shard"),
+            F.col("depth").cast("int").alias("_depth"),
+            F.col("shard_bytes").alias("_bytes"),
+            F.col("shard_rows").alias("_rows"),
+        ),
+        "directory",
+    ), slot
+
+
 def assign_shards(docs: DataFrame, limit_bytes: int, key: str = "doc_id", size: Column | None = None, text: str = "text") -> DataFrame:
     """Add shard ("depth-prefix"), shard_depth, shard_bytes and row_bytes to every row.
 
@@ -38,33 +66,39 @@ def assign_shards(docs: DataFrame, limit_bytes: int, key: str = "doc_id", size:
     deepens only while some slot is over the limit with rows that more bits can part. Its size follows the
     number of shards, and it is joined by Catalyst's choice (never collected).
 
-    Nulls: a null key hashes as empty text, a null text has 0 bytes. Rows that share a key stay in one shard,
-    even over the limit (shard_bytes tells); one row over the limit is a shard of its own. An empty table gives
-    no rows; extra columns pass through unless they bear the names added here, which are replaced.
+    Rows that share a key part in a second directory where they are over the limit together: 40 bits of their text's
+    hash, then 20 of their place in the input for equal texts; their shards are "depth-prefix.depth-prefix", and
+    shard_depth counts the bits of both. So every shard of more than one row fits the limit, whatever share of the rows
+    one key holds; the rows of all other keys stay together by key.
+
+    Nulls: a null key hashes as empty text, a null text has 0 bytes. One row over the limit is a shard of its own.
+    Ties and repeated rows are covered by the second directory. An empty table gives no rows; extra columns pass through
+    unless they bear the names added here, which are replaced.
     """
     own = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") if size is None else size.cast("long")
     rows = docs.withColumns({"_h": md5_bits(F.col(key), BITS), "row_bytes": own})
-    total = rows.agg(F.sum("row_bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    want = max(1, (total["b"] or 0) // limit_bytes)
-    depth = min(BITS, math.ceil(math.log2(want)) + 6)
-    while True:
-        slot = F.shiftright("_h", BITS - depth)
-        sizes = rows.groupBy(slot.alias("slot")).agg(
-            F.sum("row_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("_h").alias("lo"), F.max("_h").alias("hi")
-        )
-        if depth == BITS or sizes.where((F.col("bytes") > limit_bytes) & (F.col("lo") != F.col("hi"))).isEmpty():
-            break
-        depth = min(BITS, depth + 6)
-    found = _directory(sizes.select("slot", "bytes", "rows"), depth, limit_bytes)
-    found = found.select(
-        F.col("slot").alias("_slot"),
-        F.concat_ws("-", F.col("depth").cast("string"), F.col("prefix").cast("string")).alias("_shard"),
-        F.col("depth").cast("int").alias("_depth"),
-        F.col("shard_bytes").alias("_bytes"),
-    )
-    return (
-        rows.withColumn("_slot", slot)
-        .join(found, "_slot")
-        .withColumns({"shard": F.col("_shard"), "shard_depth": F.col("_depth"), "shard_bytes": F.col("_bytes")})
-        .drop("_h", "_slot", "_shard", "_depth", "_bytes")
-    )
+    total = rows.agg(F.sum("row_bytes").alias("b")).first()
+    found, slot = _split(rows, _first_depth(total["b"], limit_bytes), limit_bytes, [])
+    crowded = (F.col("_bytes") > limit_bytes) & (F.col("_rows") > 1)
+    if found.where(crowded).isEmpty():
+        return _named(rows.withColumn("_slot", slot).join(found, "_slot"))
+    # The place of a row is taken before any shuffle, and stored, so that it is one and the same in all that follows.
+    place = F.shiftright(md5_bits(F.monotonically_increasing_id()), TEXT_BITS)
+    tie = F.shiftleft(md5_bits(F.col(text), TEXT_BITS), BITS - TEXT_BITS) + place
+    placed = rows.withColumns({"_slot": slot, "_tie": tie}).join(found, "_slot")
+    held = placed.where(crowded).withColumns({"_h": F.col("_tie"), "_outer": F.col("_shard"), "_outer_depth": F.col("_depth")})
+    held = stored(held.drop("_tie", "_slot", "_shard", "_depth", "_bytes", "_rows"), "crowded")
+    most = held.groupBy("_outer").agg(F.sum("row_bytes").alias("b")).agg(F.max("b")).first()[0]
+    inner, slot = _split(held, _first_depth(most, limit_bytes), limit_bytes, ["_outer"])
+    parted = held.withColumn("_slot", slot).join(inner, ["_outer", "_slot"])
+    parted = parted.withColumns({"_shard": F.concat_ws(".", "_outer", "_shard"), "_depth": F.col("_outer_depth") + F.col("_depth")})
+    return _named(placed.where(~crowded).drop("_tie")).unionByName(_named(parted.drop("_outer", "_outer_depth")))
+
+
+def _first_depth(total: int | None, limit: int) -> int:
+    return min(BITS, math.ceil(math.log2(max(1, (total or 0) // limit))) + 6)
+
+
+def _named(placed: DataFrame) -> DataFrame:
+    out = placed.withColumns({"shard": F.col("_shard"), "shard_depth": F.col("_depth"), "shard_bytes": F.col("_bytes")})
+    return out.drop("_h", "_slot", "_shard", "_depth", "_bytes", "_rows")

@@ -60,7 +60,41 @@ def test_shards(spark):
     for r in out:
         assert size[r.shard] == r.shard_bytes
         assert r.shard_bytes <= 2000 or len(ids[r.shard]) == 1
-    prefixes = {tuple(map(int, s.split("-"))) for s in size}
+    assert len(size) > 50
+    prefixes = {tuple(map(int, s.split(".")[0].split("-"))) for s in size}
     for depth, p in prefixes:  # no shard's prefix lies within another's
         assert not any(d < depth and p >> (depth - d) == q for d, q in prefixes)
     assert sharding.assign_shards(df.limit(0), 2000).count() == 0
+
+
+def test_the_query_splits_buckets(spark):
+    """At the query's own limit the documents of sf0.01 fall into several shards of several depths or one depth below the root."""
+    from loomframe.llm import queries
+
+    out = queries.op9_sharding(spark, "/root/testdata/sf0.01").collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r)
+    assert len(by) > 2 and all(r.shard_depth > 0 for r in out)
+    assert all(sum(r.row_bytes for r in rows) == rows[0].shard_bytes <= queries.SHARD_BYTES or len(rows) == 1 for rows in by.values())
+
+
+def test_one_key_with_a_third_of_all_rows(spark):
+    """Rows of one key part by their text, equal ones by their place: every shard of several rows fits."""
+    rnd = random.Random(3)
+    rows = [(i, "x" * rnd.randrange(1, 300), "a") for i in range(300)]
+    rows += [(5, f"{i} " + "y" * rnd.randrange(1, 300), "b") for i in range(250)] + [(77, "the same text " * 12, "c")] * 150 + [(None, None, "d")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, _shard_note string").repartition(5)
+    out = sharding.assign_shards(df, 2000).collect()
+    assert sorted((r.doc_id or -1, r.text or "", r._shard_note) for r in out) == sorted((a or -1, b or "", c) for a, b, c in rows)
+    size, n = {}, {}
+    for r in out:
+        size[r.shard] = size.get(r.shard, 0) + r.row_bytes
+        n[r.shard] = n.get(r.shard, 0) + 1
+    assert all(size[r.shard] == r.shard_bytes and (r.shard_bytes <= 2000 or n[r.shard] == 1) for r in out)
+    assert sum("." in s for s in size) > 20
+    others = {}
+    for r in out:
+        if r.doc_id not in (5, 77):
+            others.setdefault(r.doc_id, set()).add(r.shard)
+    assert all(len(s) == 1 for s in others.values())
