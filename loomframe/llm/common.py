@@ -32,6 +32,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def added(df: DataFrame, to: DataFrame | None, label: str) -> DataFrame:
+    """Append df to the table `to` of stored() or added(), and read all of it; a new table where there is none yet."""
+    if to is None:
+        return stored(df, label)
+    df.write.mode("append").parquet(to._stored_at)
+    out = df.sparkSession.read.schema(to.schema).parquet(to._stored_at)
+    out._stored_at = to._stored_at
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of stored(); only for those that nothing not yet written depends on."""
     for df in tables:

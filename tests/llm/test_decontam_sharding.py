@@ -43,6 +43,30 @@ def test_small_alphabet_against_brute_force(spark):
     assert {r.n_hit for r in decontam.decontaminate(d, b.limit(0)).collect()} == {0}
 
 
+def test_a_block_holds_tables_of_bounded_size(spark):
+    """What a worker holds for a block, and that the next block takes its place; very long texts are searched whole."""
+    import tracemalloc
+
+    rnd = random.Random(8)
+    items = [(i, " ".join(f"w{rnd.randrange(50_000)}" for _ in range(200))) for i in range(600)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    first = decontam._searcher("one", items, 10)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 60 * size
+    assert decontam._searcher("one", items, 10) is first
+    decontam._searcher("two", items[:5], 10)
+    assert list(decontam._HELD) == ["two"]
+    text = "word " * 300_000 + items[3][1] + " word" * 300_000
+    assert first(text) == (600_200, [[300_000, 300_200]], [3])
+    docs = spark.createDataFrame([(1, text), (2, "word"), (2, "word")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (6_000_000, 200_000):  # one pass, and a pass for each of several blocks
+        got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.decontaminate(docs, bench, block_bytes=block).collect())
+        assert got == [(1, 600_200, 200, [3]), (2, 1, 0, []), (2, 1, 0, [])]
+
+
 def test_words():
     assert decontam.words_of("It's ÉTÉ, x_1 Z!") == ["it".encode(), b"s", "ÉtÉ".encode(), b"x", "1 z".encode()]
 
