@@ -78,8 +78,8 @@ def format_conversations(
     turn that the machine refuses (-1: none). Invalid conversations are formatted too; callers filter on
     ``valid``.
 
-    Nulls: a null text or role counts as empty; null turns sort last; rows with a null conversation id form one
-    conversation. Rows with the same turn are ordered by role, then text; repeated rows each count. An empty
+    Nulls: a null text or role counts as empty; null turns sort last; a row with a null conversation id is a
+    conversation of its own, as nothing says that such rows belong together (so they gather in no task). Rows with the same turn are ordered by role, then text; repeated rows each count. An empty
     table gives no rows. Extra columns are ignored. One conversation becomes one row, as its format is one text,
     so the longest conversation bounds a task's row, not the number of conversations.
     """
@@ -90,7 +90,9 @@ def format_conversations(
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    grouped = turns.select(F.col(conv), row.alias("_r")).groupBy(conv).agg(F.sort_array(F.collect_list("_r")).alias("_t"))
+    grouped = turns.select(F.col(conv), row.alias("_r")).groupBy(
+        conv, F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("_own")
+    ).agg(F.sort_array(F.collect_list("_r")).alias("_t"))
 
     def turn_segments(r: Column) -> Column:
         head = F.concat(F.lit(t.opener), escape(r["role"], t), F.lit(t.closer + "\n"))

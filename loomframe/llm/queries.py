@@ -125,10 +125,12 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), o AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM t
 ), e AS (
   SELECT *, length(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '|>', '|\>')) AS el,
-    lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS prev
-  FROM t
+    lag(role, 1, 'start') OVER (PARTITION BY conv_id, own ORDER BY turn NULLS LAST, role, text) AS prev
+  FROM o
 ), g AS (
   SELECT conv_id,
     count(*) AS n_turns,
@@ -139,7 +141,7 @@ WITH t AS (
     bool_and((prev, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'),
       ('assistant', 'user'), ('assistant', 'tool'), ('tool', 'assistant')))
       AND arg_max(role, (turn IS NULL, turn)) = 'assistant' AS valid
-  FROM e GROUP BY conv_id
+  FROM e GROUP BY conv_id, own
 )
 SELECT * FROM g
 """,
