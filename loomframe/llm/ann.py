@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drawn, stored
+from .common import added, discard, drawn, stored
 
 
 @dataclass(frozen=True)
@@ -112,20 +111,22 @@ class Index:
 
 
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sample_rows: int = 16_384, width: int = 2) -> Index | None:
-    """Fit codebooks on about sample_rows rows (by a hash of the key, never more than twice as many; the dimension
-    is the most frequent one among them) and encode every usable row. None if no row is usable.
+    """Fit codebooks on about sample_rows rows (by a hash of the key, never more than twice as many; any sample_rows rows
+    where so few keys are repeated so often that none of them is drawn) and encode every usable row. None if no row is
+    usable.
 
-    Left out: rows with a null key, and vectors that are null, zero, of another dimension or with null or
-    non-finite components.
+    The dimension is that of most rows, counted over all of them (the smaller one of a tie). Left out: rows with a null
+    key, and vectors that are null, zero, of another dimension or with null or non-finite components.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
-    sample = sorted(r.vector for r in drawn(rows, "id", sample_rows).select("vector").collect())
-    if not sample:
+    most = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
+    if most is None:
         return None
-    sizes = [len(v) for v in sample]
-    dim = max(sorted(set(sizes)), key=sizes.count)
-    quantiser = fit(_unit(np.array([v for v in sample if len(v) == dim], np.float64)), width)
+    dim = most["dim"]
+    own = rows.where(F.size("vector") == dim)
+    sample = drawn(own, "id", sample_rows).select("vector").collect() or own.select("vector").take(sample_rows)
+    quantiser = fit(_unit(np.array(sorted(r.vector for r in sample), np.float64)), width)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,7 +135,6 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
                 codes = quantiser.encode(_unit(_matrix(part.column(1), dim)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "vector", "code"])
 
-    own = rows.where(F.size("vector") == dim)
     return Index(stored(own.mapInArrow(encode, "id long, vector array<double>, code binary"), "ann-index"), quantiser)
 
 
@@ -153,13 +153,17 @@ def _first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scan(index: Index, q_ids: np.ndarray, q_vectors: np.ndarray, k: int, rerank: int) -> DataFrame:
-    """Each task's k nearest of one block of queries, by exact cosine of its `rerank` best by table scan a chunk."""
+    """Each task's k nearest of one block of queries, by exact cosine of its `rerank` best by table scan a chunk.
+
+    A task reads its rows' codes once for the whole block. Tables are made for 256 queries at a time, 4 MB for 64
+    dimensions, so memory does not grow with the block but for the vectors and the k best of each query.
+    """
     dim, quantiser = index.quantiser.dim, index.quantiser
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = np.sqrt((q_vectors * q_vectors).sum(1))
-        tables = quantiser.tables(q_vectors / norms[:, None])
-        n = len(q_ids)
+        unit, n = q_vectors / norms[:, None], len(q_ids)
+        few = quantiser.tables(unit) if n <= 2048 else None
         best_s, best_i = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
         for b in batches:
             for at in range(0, b.num_rows, 8192):
@@ -172,9 +176,10 @@ def _scan(index: Index, q_ids: np.ndarray, q_vectors: np.ndarray, k: int, rerank
                 take = min(len(ids), rerank)
                 for lo in range(0, n, 256):
                     hi = min(n, lo + 256)
+                    tables = quantiser.tables(unit[lo:hi]) if few is None else few[:, lo:hi]
                     approx = np.zeros((hi - lo, len(ids)), np.float32)
                     for j in range(codes.shape[1]):
-                        approx += np.take(tables[j, lo:hi], codes[:, j], axis=1)
+                        approx += np.take(tables[j], codes[:, j], axis=1)
                     pick = np.argpartition(-approx, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (hi - lo, 1))
                     exact = (vectors[pick] * q_vectors[lo:hi, None, :]).sum(-1) / (lengths[pick] * norms[lo:hi, None])
                     found = ids[pick]
@@ -191,26 +196,41 @@ def _scan(index: Index, q_ids: np.ndarray, q_vectors: np.ndarray, k: int, rerank
     return index.rows.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def search(index: Index | None, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, rerank: int = 96, block: int = 2048) -> DataFrame:
+def _found(index: Index, part: list, k: int, rerank: int, before: DataFrame | None) -> DataFrame:
+    """What one block of queries finds, appended to what the blocks before it have."""
+    found = _scan(index, np.array([r.q for r in part], np.int64), np.array([r.v for r in part], np.float64), k, rerank)
+    return added(found, before, "ann-found")
+
+
+def search(index: Index | None, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, rerank: int = 96, block_bytes: int = 16_000_000) -> DataFrame:
     """(query_id, rank, vec_id, score): each usable query's k nearest rows found, by cosine in double precision,
     ties to the smaller vec_id; a row with the query's own id is no candidate.
 
-    The stated query set meets all rows in blocks of `block` queries: a block (about a megabyte) travels to every
-    task, which scans its rows' codes and reranks exactly, and gives back k rows a query; what a block has found is
-    written to the shared folder before the next one is fetched, so the driver holds one block at a time. Rows of
-    a repeated query id count once (the smallest vector). Queries that are not usable give no rows, nor does an
+    The stated query set meets all rows in blocks of about block_bytes of query vectors (31,250 of 64 dimensions): a
+    block travels to every task, which scans its rows' codes and reranks exactly, and gives back k rows a query. A block
+    is a scan of the whole index, whose work outweighs its start by far; what it has found is appended to one table in
+    the shared folder before the next block is fetched, so the driver holds one block and one plan however many there
+    are. Rows of a repeated query id count once (the smallest vector). Rows of the index that share an id are
+    candidates each, but a pair of equal id and score counts once. Queries that are not usable give no rows, nor does an
     empty index.
     """
     spark = queries.sparkSession
-    out = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    out = None
     if index is not None:
         dim = index.quantiser.dim
         asked = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
         asked = asked.where(F.col("q").isNotNull() & usable(F.col("v"), dim)).groupBy("q").agg(F.min("v").alias("v"))
-        each = stored(asked, "ann-queries").toLocalIterator()
-        while part := list(islice(each, block)):
-            found = _scan(index, np.array([r.q for r in part], np.int64), np.array([r.v for r in part], np.float64), k, rerank)
-            out = out.unionByName(stored(found, "ann-found"))
+        asked = stored(asked, "ann-queries")
+        part: list = []
+        for r in asked.toLocalIterator():
+            part.append(r)
+            if len(part) * dim * 8 >= block_bytes:
+                out, part = _found(index, part, k, rerank, out), []
+        if part:
+            out = _found(index, part, k, rerank, out)
+        discard(asked)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     # A row of the index may be stored twice under one id; the pair counts once.
     return out.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,3 +47,31 @@ def test_edges(spark):
     assert ann.search(ann.build_index(few), few.where("vec_id % 50 = 0")).count() == 2
     none = df.limit(0)
     assert ann.build_index(none) is None and ann.search(None, none).count() == 0
+
+
+def test_recall_over_chunks_and_query_blocks(spark):
+    """50,000 rows of 64 dimensions, so several chunks a task, and the 1000 queries in blocks of 100."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 64))
+    x = (centres[rng.integers(0, 300, 50_000)] + 0.7 * rng.normal(size=(50_000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in ann.search(ann.build_index(df), df.where("vec_id % 50 = 0"), block_bytes=100 * 64 * 8).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    hits = 0
+    for q in range(0, 50_000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(np.argpartition(-s, 5)[:5].tolist()) & set(got[q].values()))
+    print("recall", hits / 5000)
+    assert len(got) == 1000 and all(len(v) == 5 for v in got.values()) and hits / 5000 >= 0.95
+
+
+def test_sample_of_few_repeated_keys(spark):
+    """Keys that all hash above the sample's share still give an index; the dimension is that of most rows."""
+    rows = [(k, [float(k), 1.0, float(k % 3)]) for k in (50, 51, 52)] * 40 + [(60 + i, [1.0, 2.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.build_index(df, sample_rows=2)
+    assert index is not None and index.quantiser.dim == 3
+    assert {r.vec_id for r in ann.search(index, df.where("vec_id = 50")).collect()} == {51, 52}
