@@ -188,6 +188,12 @@ def rsi_sma(k: int = 14) -> Steps:
     return Steps([move, sides, means, out], digits=rounded(out, 4))
 
 
+def bollinger_positions(windows=(20, 50)) -> Steps:
+    """Distance of the close from its mean in deviations, with a small addend for the divisor in place of a rule for 0."""
+    out = {f"bb_position_{k}": f"(close - ({rolling('avg', 'close', k)})) / (({rolling('stddev_samp', 'close', k)}) + 1e-10)" for k in windows}
+    return Steps([out], digits=rounded(out, 5))
+
+
 def bollinger(k: int = 20) -> Steps:
     base = {"mid": rolling("avg", "close", k), "sd": rolling("stddev_samp", "close", k)}
     out = {"bb_mid": "mid", "bb_upper": "mid + 2 * sd", "bb_lower": "mid - 2 * sd", "bb_position": "CASE WHEN sd > 1e-9 THEN (close - mid) / sd WHEN sd IS NOT NULL THEN 0.0 END"}
@@ -229,20 +235,21 @@ def notebook_features() -> Steps:
     return merged(parts)
 
 
-def entropy(panel: DataFrame, k: int = 20, bins: int = 10) -> DataFrame:
+def entropy(panel: DataFrame, k: int = 20, bins: int = 10, least: int | None = None) -> DataFrame:
     """Shannon entropy (nats) of the last k simple returns in `bins` equal bins from their least to their largest value.
+    All k must be known; with `least` the known ones of the last k rows count where there are so many.
 
     A value's bin is the number of inner edges at or below it, so the last bin is closed. Only the k values of a
     row's own window are held at a time.
     """
     w, over = last(k), "OVER (PARTITION BY ticker ORDER BY date)"
     r = panel.selectExpr("ticker", "date", f"close / lag(close) {over} - 1 AS r")
-    s = r.selectExpr("ticker", "date", f"CASE WHEN count(r) {w} = {k} THEN collect_list(r) {w} END AS xs", f"min(r) {w} AS lo", f"max(r) {w} AS hi")
+    s = r.selectExpr("ticker", "date", f"CASE WHEN {f'count(*) {w} = {k} AND count(r) {w} >= {least}' if least else f'count(r) {w} = {k}'} THEN collect_list(r) {w} END AS xs", f"min(r) {w} AS lo", f"max(r) {w} AS hi")
     edges = f"transform(sequence(1, {bins - 1}), q -> lo + q * ((hi - lo) / {bins}))"
     s = s.selectExpr("ticker", "date", "lo", "hi", "xs", f"{edges} AS es").selectExpr(
         "ticker", "date", "lo", "hi", "transform(xs, x -> size(filter(es, e -> e <= x))) AS bs"
     )
-    parts = f"transform(sequence(0, {bins - 1}), b -> CAST(size(filter(bs, y -> y = b)) AS DOUBLE) / {k})"
+    parts = f"transform(sequence(0, {bins - 1}), b -> CAST(size(filter(bs, y -> y = b)) AS DOUBLE) / size(bs))"
     return s.selectExpr(
         "ticker", "date",
         f"round(CASE WHEN bs IS NULL THEN NULL WHEN lo = hi THEN 0.0 ELSE -aggregate({parts}, CAST(0 AS DOUBLE), (a, p) -> a + CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) END, 6) + 0.0 AS entropy",
@@ -294,12 +301,13 @@ SELECT ticker, date, round(vpin * vol, 7) AS vpin_vol_interaction, CASE WHEN vpi
 
 
 def hmm_regimes(panel: DataFrame, states: int = 3, rounds: int = 40, seed: int = 42) -> DataFrame:
-    """(ticker, date, regime): Gaussian hidden Markov states of log returns, by expectation-maximisation and Viterbi,
-    numbered by rising variance."""
+    """(ticker, date, regime, regime_0, ...): Gaussian hidden Markov states of simple returns, by expectation-maximisation and
+    Viterbi, numbered by rising variance; null where there is no return or too few of them, with every indicator 0."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date").reset_index(drop=True)
-        r = np.diff(np.log(pdf.close.to_numpy()))
+        c = pdf.close.to_numpy()
+        r = np.diff(c) / c[:-1]
         regime = np.full(len(pdf), -1)
         if len(r) >= 10 * states:
             mean, var = np.quantile(r, (np.arange(states) + 0.5) / states), np.full(states, r.var() + 1e-12)
@@ -333,4 +341,6 @@ def hmm_regimes(panel: DataFrame, states: int = 3, rounds: int = 40, seed: int =
             regime[1:] = np.argsort(np.argsort(var))[path[::-1]]
         return pd.DataFrame({"ticker": pdf.ticker, "date": pdf.date, "regime": regime})
 
-    return panel.select("ticker", "date", "close").groupBy("ticker").applyInPandas(run, "ticker string, date date, regime int")
+    out = panel.select("ticker", "date", "close").groupBy("ticker").applyInPandas(run, "ticker string, date date, regime int")
+    shown = [(F.col("regime") == F.lit(k)).cast("double").alias(f"regime_{k}") for k in range(states)]
+    return out.select("ticker", "date", F.when(F.col("regime") >= 0, F.col("regime")).alias("regime"), *shown)

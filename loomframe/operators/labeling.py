@@ -97,13 +97,15 @@ WHERE t0 >= DATE '{test_start}' OR (t0 <= DATE '{train_end}' AND t1 < DATE '{tes
 
 
 def quality_report() -> Template:
-    """Shares of labels, time exits, mean days and returns, and flags for rare classes or too many time exits."""
+    """Shares of labels and of barrier sides, mean days and returns, and flags for rare classes (an occurring label, 0 too,
+    of under a tenth) or too many time exits."""
     return Template("""
 WITH a AS (SELECT ticker, count(*) AS n, avg(CASE WHEN label = 1 THEN 1e0 ELSE 0e0 END) AS up, avg(CASE WHEN label = -1 THEN 1e0 ELSE 0e0 END) AS down,
-  avg(CASE WHEN label = 0 THEN 1e0 ELSE 0e0 END) AS flat, avg(CASE WHEN barrier_side = 0 THEN 1e0 ELSE 0e0 END) AS time_exits,
+  avg(CASE WHEN label = 0 THEN 1e0 ELSE 0e0 END) AS flat, avg(CASE WHEN barrier_side = 1 THEN 1e0 ELSE 0e0 END) AS upper_touches,
+  avg(CASE WHEN barrier_side = -1 THEN 1e0 ELSE 0e0 END) AS lower_touches, avg(CASE WHEN barrier_side = 0 THEN 1e0 ELSE 0e0 END) AS time_exits,
   avg(days_held) AS days, avg(return_at_touch) AS mean_ret, stddev_samp(return_at_touch) AS sd_ret FROM $events GROUP BY ticker)
-SELECT ticker, n, round(up, 6) AS up, round(down, 6) AS down, round(flat, 6) AS flat, round(time_exits, 6) AS time_exits, round(days, 6) AS days,
-  round(mean_ret, 7) + 0.0 AS mean_ret, round(sd_ret, 7) AS sd_ret, least(up, down) < 0.1 AS rare_class, time_exits > 0.5 AS slow FROM a""")
+SELECT ticker, n, round(up, 6) AS up, round(down, 6) AS down, round(flat, 6) AS flat, round(upper_touches, 6) AS upper_touches, round(lower_touches, 6) AS lower_touches, round(time_exits, 6) AS time_exits, round(days, 6) AS days,
+  round(mean_ret, 7) + 0.0 AS mean_ret, round(sd_ret, 7) AS sd_ret, (up > 0 AND up < 0.1) OR (down > 0 AND down < 0.1) OR (flat > 0 AND flat < 0.1) AS rare_class, time_exits > 0.5 AS slow FROM a""")
 
 
 def look_ahead_check() -> Template:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
 from itertools import combinations
 
 from loomframe.functions.template import Template
 
 from .clean import CALENDAR
-from .metrics import YEAR
+from .metrics import YEAR, average_rank
 
 
 def walk_forward(start: str, first_end: str, final_end: str, purge: int = 63, val: int = 252, test: int = 252, roll: int = 252) -> Template:
@@ -17,13 +18,14 @@ def walk_forward(start: str, first_end: str, final_end: str, purge: int = 63, va
     calendar's end.
     """
     cal = CALENDAR.format(a=f"DATE '{start}'", b=f"DATE '{final_end}'", src="(SELECT 1 AS one) o")
+    most = (date.fromisoformat(final_end) - date.fromisoformat(first_end)).days // roll + 1  # calendar days: never too few
     names = {"train_end": "te", "purge_end": f"te + {purge}", "val_start": f"te + {purge + 1}", "val_end": f"te + {purge + 1 + val}",
              "test_start": f"te + {purge + 2 + val}", "test_end": f"least(te + {purge + 2 + val + test}, n)"}
     joins = " ".join(f"JOIN cal {c} ON {c}.i = {e}" for c, e in names.items())
     return Template(f"""
 WITH cal AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM ({cal}) c),
 z AS (SELECT max(i) AS n, max(CASE WHEN date <= DATE '{first_end}' THEN i END) AS t0, min(date) AS train_start FROM cal),
-s AS (SELECT split_id, train_start, n, t0 + {roll} * split_id AS te FROM z CROSS JOIN (SELECT INTSEQ(0, 60) AS split_id) k)
+s AS (SELECT split_id, train_start, n, t0 + {roll} * split_id AS te FROM z CROSS JOIN (SELECT INTSEQ(0, {most}) AS split_id) k)
 SELECT CAST(split_id AS INT) AS split_id, train_start, {', '.join(f'{c}.date AS {c}' for c in names)} FROM s {joins} WHERE te + {purge + 2 + val} <= n""")
 
 
@@ -77,8 +79,33 @@ c AS (SELECT combo, sum(CASE WHEN part = 'train' THEN 1 ELSE 0 END) AS train_day
 SELECT CAST(combo AS INT) AS combo, CAST(train_days AS BIGINT) AS train_days, CAST(test_days AS BIGINT) AS test_days FROM c WHERE train_days >= {least}""")
 
 
+def roles(groups: int = 6, tests: int = 2, purge: int = 63, embargo: int = 21, least: int = 100) -> Template:
+    """(combo, date, part) of each combination of test groups that leaves at least `least` training days."""
+    return Template(f"""WITH {_cpcv(groups, tests, purge, embargo)},
+ok AS (SELECT combo FROM roles WHERE part = 'train' GROUP BY combo HAVING count(*) >= {least})
+SELECT CAST(roles.combo AS INT) AS combo, roles.date, roles.part FROM roles JOIN ok ON roles.combo = ok.combo""")
+
+
+def holdout(parts: dict[str, float]) -> Template:
+    """(date, part): consecutive cuts of the dates by shares, each cut down to whole dates, the last with the rest."""
+    whens, done = [], "0"
+    for name, share in list(parts.items())[:-1]:
+        done = f"{done} + floor(n * {share})"
+        whens.append(f"WHEN i < {done} THEN '{name}'")
+    return Template(f"WITH d AS ({DATES}) SELECT date, CASE {' '.join(whens)} ELSE '{list(parts)[-1]}' END AS part FROM d")
+
+
 def evaluate(groups: int = 6, tests: int = 2, purge: int = 63, embargo: int = 21) -> Template:
-    """Per combination: correlation of signal and forward return over its test rows, and the ratio of sign(signal) * return."""
+    """Per combination: rank correlation of signal and forward return over its test rows and the Sharpe ratio (population
+    deviation) of sign(signal) * return; the same over all combinations' test rows together, and means over combinations.
+
+    Ranks order a combination's test rows, and all of them, in one task each: for panels of up to some 10^8 rows.
+    """
     return Template(f"""WITH {_cpcv(groups, tests, purge, embargo).replace('$panel', '$scored')},
-r AS (SELECT combo, signal, fwd, sign(signal) * fwd AS pnl FROM roles JOIN $scored p ON roles.date = p.date WHERE part = 'test' AND signal IS NOT NULL AND fwd IS NOT NULL)
-SELECT CAST(combo AS INT) AS combo, count(*) AS n, round(corr(signal, fwd), 6) AS ic, round(avg(pnl) / stddev_samp(pnl) * {YEAR}, 5) AS sharpe FROM r GROUP BY combo""")
+t AS (SELECT combo, signal, fwd, sign(signal) * fwd AS pnl FROM roles JOIN $scored p ON roles.date = p.date WHERE part = 'test' AND signal IS NOT NULL AND fwd IS NOT NULL),
+r AS (SELECT *, {average_rank('signal', 'combo')} AS a, {average_rank('fwd', 'combo')} AS b, 1 AS every FROM t),
+q AS (SELECT combo, count(*) AS n, corr(a, b) AS ic, avg(pnl) / (stddev_pop(pnl) + 1e-10) * {YEAR} AS sharpe FROM r GROUP BY combo),
+z AS (SELECT *, {average_rank('signal', 'every')} AS c, {average_rank('fwd', 'every')} AS d FROM r),
+o AS (SELECT corr(c, d) AS pooled_ic, avg(pnl) / (stddev_pop(pnl) + 1e-10) * {YEAR} AS pooled_sharpe FROM z)
+SELECT CAST(combo AS INT) AS combo, n, round(ic, 7) + 0.0 AS ic, round(sharpe, 5) + 0.0 AS sharpe, round(pooled_ic, 7) + 0.0 AS pooled_ic, round(pooled_sharpe, 5) + 0.0 AS pooled_sharpe,
+  round(avg(ic) OVER (), 7) + 0.0 AS mean_ic, round(stddev_pop(ic) OVER (), 7) + 0.0 AS std_ic, round(avg(sharpe) OVER (), 5) + 0.0 AS mean_sharpe FROM q CROSS JOIN o""")

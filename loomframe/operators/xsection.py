@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from loomframe.functions.sqlsteps import frame, last
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from loomframe.functions.template import Template
 
 DAY = "OVER (PARTITION BY date)"
@@ -61,32 +63,54 @@ def date_slice(day: str, features: list[str]) -> Template:
     return Template(f"SELECT ticker, {', '.join(f'coalesce({f}, 0) AS {f}' for f in features)} FROM $panel WHERE date = DATE '{day}'")
 
 
-def cube(start: str, end: str, feature: str) -> Template:
-    """Dense dates x tickers grid of a feature, null where a cell is missing."""
+def cube(start: str, end: str, features: list[str]) -> Template:
+    """Dense dates x tickers grid of features, null where a cell is missing: the rows of a (dates, tickers, features) cube,
+    whose size is the result's own."""
     span = f"(SELECT * FROM $panel WHERE date BETWEEN DATE '{start}' AND DATE '{end}')"
     return Template(f"""
 WITH d AS (SELECT DISTINCT date FROM {span} a), t AS (SELECT DISTINCT ticker FROM {span} b), g AS (SELECT date, ticker FROM d CROSS JOIN t)
-SELECT g.date, g.ticker, p.{feature} FROM g LEFT JOIN {span} p ON g.date = p.date AND g.ticker = p.ticker""")
+SELECT g.date, g.ticker, {', '.join(f'p.{f}' for f in features)} FROM g LEFT JOIN {span} p ON g.date = p.date AND g.ticker = p.ticker""")
 
 
-def last_sequence(day: str, length: int, feature: str) -> Template:
-    """The last `length` values up to a day, for tickers with that many within twice as many calendar days."""
-    return Template(f"""
-WITH s AS (SELECT ticker, date, JOINED(round({feature}, 4), {last(length)}) AS seq, count(*) {last(length)} AS n
-  FROM $panel WHERE date <= DATE '{day}' AND DAYS(DATE '{day}', date) <= {2 * length})
-SELECT ticker, seq FROM s WHERE date = DATE '{day}' AND n = {length}""")
+def last_sequences(panel: DataFrame, day: str, length: int, features: list[str]) -> DataFrame:
+    """(ticker, seq): the features of the last `length` dates of the panel up to a day, as array<array<double>>.
 
+    Dates are those of all tickers within twice as many calendar days; with fewer than `length` of them there are no rows.
+    Every ticker of that span has a sequence; a missing row or value is 0.
+    """
+    near = panel.where((F.col("date") <= F.lit(day).cast("date")) & (F.datediff(F.lit(day).cast("date"), "date") <= 2 * length))
+    dates = near.select("date").distinct().orderBy(F.col("date").desc()).limit(length)
+    steps = dates.withColumns({"step": F.row_number().over(Window.orderBy("date")), "n": F.count(F.lit(1)).over(Window.partitionBy())})
+    steps = steps.where(F.col("n") == length).select("date", "step")
+    grid = near.select("ticker").distinct().crossJoin(F.broadcast(steps))  # the result's own size; `length` dates
+    values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+    rows = grid.join(near.select("ticker", "date", *features), ["ticker", "date"], "left")
+    return rows.groupBy("ticker").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", values.alias("v")))), lambda r: r["v"]).alias("seq"))
 
-def supervised(length: int, feature: str, target: str) -> Template:
-    """The `length` values before a row and the row's target."""
-    w = frame(-length, -1)
-    return Template(f"""
-WITH s AS (SELECT ticker, date, JOINED(round({feature}, 4), {w}) AS seq, count(*) {w} AS n, {target} AS y FROM $panel)
-SELECT ticker, date, seq, y FROM s WHERE n = {length}""")
+
+def supervised(panel: DataFrame, length: int, features: list[str], target: str) -> DataFrame:
+    """(ticker, date, seq, y): the features of the `length` rows before a row as array<array<double>>, and the row's target.
+
+    One window over the panel's partitioning; a task holds `length` rows of lists at a time.
+    """
+    before = Window.partitionBy("ticker").orderBy("date").rowsBetween(-length, -1)
+    seq = F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(before)
+    return panel.select("ticker", "date", seq.alias("seq"), F.col(target).alias("y")).where(F.size("seq") == length)
+
+
+def steps_of(sequences: DataFrame, features: list[str], digits: int = 7) -> DataFrame:
+    """The rows of sequences: `seq` as step (from 0) and a column a feature, for engines without nested arrays."""
+    keys = [c for c in sequences.columns if c != "seq"]
+    rows = sequences.select(*keys, F.posexplode("seq").alias("step", "v"))
+    return rows.select(*keys, "step", *[F.round(F.col("v")[i], digits).alias(f) for i, f in enumerate(features)])
 
 
 def sector_exposure() -> Template:
-    return Template("SELECT date, sector, round(sum(weight), 8) + 0.0 AS exposure FROM $weights GROUP BY date, sector")
+    """Net weight of every sector on every date with weights, 0 for a sector without any."""
+    return Template("""
+WITH e AS (SELECT date, sector, sum(weight) AS w FROM $weights WHERE weight IS NOT NULL GROUP BY date, sector),
+g AS (SELECT date, sector FROM (SELECT DISTINCT date FROM $weights) d CROSS JOIN (SELECT DISTINCT sector FROM $weights) s)
+SELECT g.date, g.sector, round(coalesce(w, 0), 8) + 0.0 AS exposure FROM g LEFT JOIN e ON g.date = e.date AND g.sector = e.sector""")
 
 
 def factor_exposure(factors: list[str]) -> Template:

@@ -200,3 +200,16 @@ m AS (SELECT quantile, avg(r) AS r, count(*) AS days, sum(c) AS c FROM d GROUP B
 SELECT quantile, round(r, 8) + 0.0 AS mean_return, days, round(c / dates::DOUBLE, 6) AS n_stocks,
   round((SELECT arg_max(r, quantile) - arg_min(r, quantile) FROM m), 8) + 0.0 AS spread FROM m, g""",
     }
+
+
+def sequences(scored: str) -> dict[str, str]:
+    """Sequences as rows, from numbered dates and rows."""
+    return {
+        "x08_last_sequence": f"""WITH b AS ({BARS_SQL}), n AS (SELECT * FROM b WHERE date BETWEEN DATE '1996-05-06' - 20 AND DATE '1996-05-06'),
+d AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS k FROM (SELECT DISTINCT date FROM n))
+SELECT t.ticker, (10 - k)::INT AS step, round(coalesce(n.close, 0), 7) AS close, round(coalesce(n.volume, 0), 7) AS volume
+FROM (SELECT DISTINCT ticker FROM n) t CROSS JOIN d LEFT JOIN n ON n.ticker = t.ticker AND n.date = d.date WHERE k <= 10 AND (SELECT count(*) FROM d) >= 10""",
+        "x09_supervised": f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM ({scored}))
+SELECT a.ticker, a.date, (b.i - a.i + 10)::INT AS step, round(b.close, 7) AS close, round(b.volume, 7) AS volume, round(b.signal, 7) AS signal, a.fwd AS y
+FROM s a JOIN s b ON a.ticker = b.ticker AND b.i BETWEEN a.i - 10 AND a.i - 1 WHERE a.i > 10""",
+    }

@@ -72,6 +72,7 @@ PAIRS = {
     "i01_rsi_sma": steps(indicators.rsi_sma()),
     "i04_bollinger": steps(indicators.bollinger()),
     "i05_rolling_stats": steps(indicators.rolling_stats()),
+    "i04_bollinger_positions": steps(indicators.bollinger_positions()),
     "i07_momentum": steps(indicators.momentum()),
     "i08_volume_ratios": steps(indicators.volume_ratios()),
     "i09_notebook_vols": steps(indicators.notebook_vols()),
@@ -86,9 +87,7 @@ PAIRS = {
     "x04_deciles": query(xsection.deciles(), panel="scored"),
     "x05_quantile_buckets": query(Template(xsection.quantile_buckets()), panel="scored"),
     "x06_date_slice": query(xsection.date_slice("1996-05-06", ["signal", "volume"]), panel="scored"),
-    "x07_cube": query(xsection.cube("1996-01-01", "1996-06-30", "volume"), panel="panel"),
-    "x08_last_sequence": query(xsection.last_sequence("1996-05-06", 10, "close"), panel="panel"),
-    "x09_supervised": query(xsection.supervised(10, "close", "fwd"), panel="scored"),
+    "x07_cube": query(xsection.cube("1996-01-01", "1996-06-30", ["close", "volume"]), panel="panel"),
     "x10_sector_exposure": query(xsection.sector_exposure(), weights="weights"),
     "x11_factor_exposure": query(xsection.factor_exposure(["signal", "volume"]), weights="weights", panel="scored"),
     "x12_concentration": query(xsection.concentration(), weights="weights"),
@@ -110,6 +109,9 @@ PAIRS = {
     "p04_purged_kfold": query(splits.purged_kfold(), panel="panel"),
     "p05_temporal": query(splits.temporal(), panel="panel"),
     "p06_combinatorial": query(splits.combinatorial(), panel="panel"),
+    "p06_roles": query(splits.roles(), panel="panel"),
+    "p07_holdout_80_20": query(splits.holdout({"train": 0.8, "test": 0.2}), panel="panel"),
+    "p07_holdout_70_15_15": query(splits.holdout({"train": 0.7, "val": 0.15, "test": 0.15}), panel="panel"),
     "p07_evaluate": query(splits.evaluate(), scored="scored"),
     "k01_ic": query(metrics.pooled_ic(), scored="scored"),
     "k01_ic_pearson": query(metrics.pooled_ic(spearman=False), scored="scored"),
@@ -159,6 +161,9 @@ QUERIES |= {
     "i02_rsi_wilder": lambda spark, sf_dir: indicators.rsi_wilder(bars(spark, sf_dir)),
     "i03_macd": lambda spark, sf_dir: indicators.macd(bars(spark, sf_dir)),
     "i06_entropy": lambda spark, sf_dir: indicators.entropy(bars(spark, sf_dir)),
+    "i06_entropy_known": lambda spark, sf_dir: indicators.entropy(bars(spark, sf_dir).withColumn("close", F.expr("CASE WHEN day(date) % 7 > 0 THEN close END")), least=5),
+    "x08_last_sequence": lambda spark, sf_dir: xsection.steps_of(xsection.last_sequences(bars(spark, sf_dir), "1996-05-06", 10, ["close", "volume"]), ["close", "volume"]),
+    "x09_supervised": lambda spark, sf_dir: xsection.steps_of(xsection.supervised(SCORED.apply(spark, panel=bars(spark, sf_dir)), 10, ["close", "volume", "signal"], "fwd"), ["close", "volume", "signal"]),
     "i11_hmm_regimes": lambda spark, sf_dir: indicators.hmm_regimes(bars(spark, sf_dir)),
     "f02_fracdiff_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir)).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("d0_2", "d0_5")]),
     "f03_fracdiff_multi_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir), (0.4, 0.5, 0.6)).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("d0_4", "d0_5", "d0_6")]),
@@ -204,7 +209,14 @@ p AS (SELECT a.ticker, a.date, len(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9], lamb
   FROM w a JOIN r b ON a.ticker = b.ticker AND b.i BETWEEN a.i - 19 AND a.i WHERE a.c = 20),
 c AS (SELECT ticker, date, bin, count(*) / 20e0 AS p FROM p GROUP BY ALL), h AS (SELECT ticker, date, -sum(p * ln(p)) AS h FROM c GROUP BY ALL)
 SELECT w.ticker, w.date, round(CASE WHEN w.c < 20 THEN NULL WHEN w.lo = w.hi THEN 0 ELSE h END, 6) + 0.0 AS entropy FROM w LEFT JOIN h ON w.ticker = h.ticker AND w.date = h.date""",
+    "i06_entropy_known": f"""WITH {NUMBERED}, r AS (SELECT ticker, date, i, x / lag(x) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM (SELECT *, CASE WHEN day(date) % 7 > 0 THEN close END AS x FROM n)),
+w AS (SELECT *, count(r) {last(20)} AS c, min(r) {last(20)} AS lo, max(r) {last(20)} AS hi FROM r),
+p AS (SELECT a.ticker, a.date, len(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9], lambda q: a.lo + q * ((a.hi - a.lo) / 10) <= b.r)) AS bin
+  FROM w a JOIN r b ON a.ticker = b.ticker AND b.i BETWEEN a.i - 19 AND a.i WHERE a.c >= 5 AND a.i >= 19 AND b.r IS NOT NULL),
+c AS (SELECT ticker, date, bin, n / sum(n) OVER (PARTITION BY ticker, date) AS p FROM (SELECT ticker, date, bin, count(*)::DOUBLE AS n FROM p GROUP BY ticker, date, bin) k), h AS (SELECT ticker, date, -sum(p * ln(p)) AS h FROM c GROUP BY ALL)
+SELECT w.ticker, w.date, round(CASE WHEN w.c < 5 OR w.i < 19 THEN NULL WHEN w.lo = w.hi THEN 0 ELSE h END, 6) + 0.0 AS entropy FROM w LEFT JOIN h ON w.ticker = h.ticker AND w.date = h.date""",
 }
 ORACLES |= oracles.INDICATORS
 ORACLES |= oracles.backtests(SCORED.sql(panel=BARS_SQL), YEARS.sql(panel=BARS_SQL), FIXTURES["trades"].sql(panel=BARS_SQL))
 ORACLES |= oracles.metrics(SCORED.sql(panel=BARS_SQL), DAILY.sql(panel=BARS_SQL), WEIGHTS_SQL)
+ORACLES |= oracles.sequences(SCORED.sql(panel=BARS_SQL))

@@ -43,14 +43,27 @@ def distinct_events(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, target: str, checkpoint: str):
-    """Each micro-batch's bars replace those of the same ticker and start: a new folder a batch, `target/current` last."""
+    """Each micro-batch's bars replace those of the same ticker and start in `target/current`, a table by day.
+
+    Only the days that a batch touches are read and written again: the merged rows go to `target/staged` first and from
+    there replace their days. A batch that is run again gives the same rows. Of rows of one batch with equal keys the one
+    with the largest values stays.
+    """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["ticker", "start"])
-        if n:
-            fresh = upsert(spark.read.parquet(f"{target}/batch={n - 1}"), fresh, ("ticker", "start"))
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={n}")
+        columns = [c for c in batch.columns if c not in ("ticker", "start")]
+        fresh = batch.groupBy("ticker", "start").agg(F.max(F.struct(*columns)).alias("r")).select("ticker", "start", "r.*").withColumn("day", F.to_date("start"))
+        current = f"{target}/current"
+        path = spark._jvm.org.apache.hadoop.fs.Path(current)
+        if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            old = spark.read.schema(fresh.schema).parquet(current)
+            touched = old.join(fresh.select("day").distinct(), "day", "left_semi").select(*fresh.columns)
+            fresh = upsert(touched, fresh, ("ticker", "start"))
+        staged = f"{target}/staged"
+        fresh.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(fresh.schema).parquet(staged)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(current)
 
     return stream.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

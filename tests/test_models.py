@@ -161,7 +161,23 @@ def test_indicators(panel, walk):
         h = np.histogram(r[i - 19 : i + 1], 10)[0] / 20
         want[i] = -(h[h > 0] * np.log(h[h > 0])).sum()
     same(ent, want, 1e-5)
-    assert set(indicators.hmm_regimes(panel).toPandas().regime) <= {-1, 0, 1, 2}
+
+
+def test_regimes_of_known_states(spark):
+    """Returns drawn from three states of far deviations, each for long stretches: the states come back, by rising variance."""
+    rng = np.random.default_rng(12)
+    state = np.repeat([0, 2, 1, 0, 2, 1], 120)
+    r = rng.normal(0, np.array([0.002, 0.012, 0.06])[state])
+    n = len(r) + 1
+    close = 100 * np.cumprod(np.append(1.0, 1 + r))
+    rows = pd.DataFrame({"ticker": "A", "date": pd.bdate_range("2018-01-01", periods=n).date, "close": close})
+    few = rows.head(5).assign(ticker="B")
+    got = indicators.hmm_regimes(spark.createDataFrame(pd.concat([rows, few]))).toPandas().sort_values(["ticker", "date"])
+    own = got[got.ticker == "A"]
+    assert np.isnan(own.regime.iloc[0]) and (own.regime.iloc[1:].to_numpy() == state).mean() > 0.95
+    for k in range(3):
+        assert (own[f"regime_{k}"].iloc[1:] == (own.regime.iloc[1:] == k)).all()
+    assert got[got.ticker == "B"].regime.isna().all() and (got[got.ticker == "B"][["regime_0", "regime_1", "regime_2"]].fillna(0) == 0).all().all()
 
 
 def test_cross_section(spark):
@@ -298,7 +314,7 @@ def test_backtest_against_wide_frames(spark):
     ret = pd.DataFrame(0.0005 * sig.to_numpy() + rng.normal(0, 0.02, (60, 24)), days, names)
     adv = pd.DataFrame(rng.exponential(1e7, (60, 24)), days, names)
     sig = sig.mask(rng.random((60, 24)) < 0.05)
-    adv.iloc[5, 3] = 0.0
+    adv.iloc[5, 3] = 1e5
     sector = pd.Series([i % 4 for i in range(24)], names)
     rows = [(n, d, *(None if x != x else float(x) for x in (sig.at[d, n], ret.at[d, n], adv.at[d, n])), int(sector[n])) for d in days for n in names if (days.tolist().index(d) + int(n[1:])) % 11]
     here = pd.DataFrame(False, days, names)
