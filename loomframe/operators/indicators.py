@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from loomframe.functions.sqlsteps import Steps, frame, lag, last, rolling, rounded
 from loomframe.functions.template import Template
 
-from .technical import merged
-
 # --- fractional differencing
 
 
@@ -179,8 +177,9 @@ def rsi_wilder(panel: DataFrame, k: int = 14) -> DataFrame:
 # --- window indicators
 
 
-def rsi_sma(k: int = 14) -> Steps:
-    move = {"dc": f"close - {lag('close')}"}
+def rsi_sma(k: int = 14, from_first: bool = False) -> Steps:
+    """RSI from plain means of gains and losses; `from_first` counts a ticker's first row as a move of 0."""
+    move = {"dc": f"coalesce(close - {lag('close')}, 0.0)" if from_first else f"close - {lag('close')}"}
     sides = {"up": "CASE WHEN dc > 0 THEN dc WHEN dc IS NOT NULL THEN 0.0 END", "down": "CASE WHEN dc < 0 THEN -dc WHEN dc IS NOT NULL THEN 0.0 END"}
     sides = {c: f"CAST({e} AS DOUBLE)" for c, e in sides.items()}
     means = {"au": rolling("avg", "up", k), "ad": rolling("avg", "down", k)}
@@ -229,12 +228,6 @@ def expanding_zscore(columns=("close", "volume")) -> Steps:
     return Steps([out], digits=rounded(out, 5))
 
 
-def notebook_features() -> Steps:
-    """The single-asset feature table in one pass: momentum, volatilities, volume, bands and RSI."""
-    parts = [momentum(), notebook_vols(), volume_ratios(), bollinger(), rsi_sma(), expanding_zscore()]
-    return merged(parts)
-
-
 def entropy(panel: DataFrame, k: int = 20, bins: int = 10, least: int | None = None) -> DataFrame:
     """Shannon entropy (nats) of the last k simple returns in `bins` equal bins from their least to their largest value.
     All k must be known; with `least` the known ones of the last k rows count where there are so many.
@@ -267,26 +260,27 @@ b AS (SELECT *, regr_slope(y, x) {w} AS beta, regr_intercept(y, x) {w} AS alpha,
 SELECT ticker, date, round(CASE WHEN i >= {k} AND n >= {least} THEN ret - alpha - beta * mret END, 6) + 0.0 AS neutral_return FROM b""")
 
 
+def intermarket_steps() -> Steps:
+    """Features of named assets beside the market, over rows (ticker, date, market, rates, dollar, vix, semis, tech)."""
+    ret = {
+        "rates_diff": f"rates - {lag('rates')}", "dollar_returns": f"ln(dollar / {lag('dollar')})", "semis_returns": f"ln(semis / {lag('semis')})",
+        "tech_returns": f"ln(tech / {lag('tech')})", "tech_rel_strength": f"(tech / {lag('tech')} - 1) - (market / {lag('market')} - 1)",
+    }
+    out = {f"rates_diff_ma{k}": rolling("avg", "rates_diff", k) for k in (5, 20)}
+    out |= {f"{a}_momentum_{k}": f"{a} / {lag(a, k)} - 1" for a, k in (("dollar", 10), ("vix", 5), ("semis", 10), ("semis", 20), ("tech", 10))}
+    out |= {f"{a}_volatility": f"({rolling('stddev_samp', f'{a}_returns', 20)}) * sqrt(252.0)" for a in ("dollar", "semis", "tech")}
+    out |= {"vix_level": "vix", "vix_pct_change": f"vix / {lag('vix')} - 1", "tech_rel_strength_ma10": rolling("avg", "tech_rel_strength", 10)}
+    out["vix_zscore"] = f"(vix - ({rolling('avg', 'vix', 252)})) / (({rolling('stddev_samp', 'vix', 252)}) + 1e-10)"
+    columns = [*ret, *out]
+    return Steps([ret, out], columns, keys=("date",), digits={c: 5 if c in ("vix_level", "vix_zscore") or c.startswith("rates") else 6 for c in columns})
+
+
 def intermarket() -> Template:
-    """Features of named assets beside the market: $assets has (asset, date, close), one row a date on common dates."""
-    o = "OVER (ORDER BY date)"
-    w = lambda k: f"OVER (ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
-    full = lambda agg, x, k: f"CASE WHEN count({x}) {w(k)} = {k} THEN {agg}({x}) {w(k)} END"
+    """Those features on the dates that all of them have; $assets has (asset, date, close)."""
     names = ("market", "rates", "dollar", "vix", "semis", "tech")
     wide = ", ".join(f"max(CASE WHEN asset = '{a}' THEN close END) AS {a}" for a in names)
     have = " AND ".join(f"{a} IS NOT NULL" for a in names)
-    mom = lambda a, k: f"round({a} / lag({a}, {k}) {o} - 1, 6) + 0.0"
-    return Template(f"""
-WITH wide AS (SELECT date, {wide} FROM $assets GROUP BY date), a AS (SELECT * FROM wide WHERE {have}),
-r AS (SELECT *, rates - lag(rates) {o} AS rd, ln(dollar / lag(dollar) {o}) AS dr, ln(semis / lag(semis) {o}) AS sr, ln(tech / lag(tech) {o}) AS tr, tech / lag(tech) {o} - 1 AS ts, market / lag(market) {o} - 1 AS mr FROM a),
-s AS (SELECT *, ts - mr AS rel FROM r)
-SELECT date, round(rd, 5) + 0.0 AS rates_diff, round({full('avg', 'rd', 5)}, 5) + 0.0 AS rates_diff_ma5, round({full('avg', 'rd', 20)}, 5) + 0.0 AS rates_diff_ma20,
-  round(dr, 6) + 0.0 AS dollar_returns, {mom('dollar', 10)} AS dollar_momentum_10, round({full('stddev_samp', 'dr', 20)} * sqrt(252.0), 6) AS dollar_volatility,
-  round(vix, 5) AS vix_level, {mom('vix', 1)} AS vix_pct_change, {mom('vix', 5)} AS vix_momentum_5,
-  round((vix - {full('avg', 'vix', 252)}) / ({full('stddev_samp', 'vix', 252)} + 1e-10), 5) + 0.0 AS vix_zscore,
-  round(sr, 6) + 0.0 AS semis_returns, {mom('semis', 10)} AS semis_momentum_10, {mom('semis', 20)} AS semis_momentum_20, round({full('stddev_samp', 'sr', 20)} * sqrt(252.0), 6) AS semis_volatility,
-  round(tr, 6) + 0.0 AS tech_returns, {mom('tech', 10)} AS tech_momentum_10, round({full('stddev_samp', 'tr', 20)} * sqrt(252.0), 6) AS tech_volatility,
-  round(rel, 6) + 0.0 AS tech_rel_strength, round({full('avg', 'rel', 10)}, 6) + 0.0 AS tech_rel_strength_ma10 FROM s""")
+    return Template(intermarket_steps().sql(f"SELECT 'assets' AS ticker, w.* FROM (SELECT date, {wide} FROM $assets GROUP BY date) w WHERE {have}"))
 
 
 def quantile_signal(k: int = 63, q: float = 0.8) -> Template:
@@ -300,46 +294,54 @@ SELECT ticker, date, round(vpin * vol, 7) AS vpin_vol_interaction, CASE WHEN vpi
 # --- regimes
 
 
-def hmm_regimes(panel: DataFrame, states: int = 3, rounds: int = 40, seed: int = 42) -> DataFrame:
-    """(ticker, date, regime, regime_0, ...): Gaussian hidden Markov states of simple returns, by expectation-maximisation and
-    Viterbi, numbered by rising variance; null where there is no return or too few of them, with every indicator 0."""
+def fit_regimes(r: np.ndarray, states: int = 3, rounds: int = 1000, close_enough: float = 0.01) -> np.ndarray:
+    """Gaussian hidden Markov states of a series, by expectation-maximisation (until the log-likelihood gains less than
+    close_enough) and Viterbi, numbered by rising variance; -1 throughout where there are too few values to tell."""
+    if len(r) < 10 * states:
+        return np.full(len(r), -1)
+    mean, var = np.quantile(r, (np.arange(states) + 0.5) / states), np.full(states, r.var() + 1e-12)
+    var = var * np.linspace(0.5, 1.5, states)
+    move, first = np.full((states, states), 0.05 / max(1, states - 1)), np.full(states, 1 / states)
+    np.fill_diagonal(move, 0.95)
+    likely = -np.inf
+    for _ in range(rounds):
+        dens = np.exp(-((r[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var) + 1e-300
+        a, scale, b = np.empty_like(dens), np.empty(len(r)), np.ones_like(dens)
+        now = first * dens[0]
+        for t in range(len(r)):
+            now = now if t == 0 else (a[t - 1] @ move) * dens[t]
+            scale[t] = now.sum()
+            a[t] = now / scale[t]
+        before, likely = likely, float(np.log(scale).sum())
+        if likely - before < close_enough:
+            break
+        for t in range(len(r) - 2, -1, -1):
+            b[t] = move @ (dens[t + 1] * b[t + 1]) / scale[t + 1]
+        g = a * b
+        g /= g.sum(1, keepdims=True)
+        pair = (a[:-1, :, None] * move * (dens[1:] * b[1:] / scale[1:, None])[:, None, :]).sum(0)
+        first, move = g[0], pair / pair.sum(1, keepdims=True)
+        mean = (g * r[:, None]).sum(0) / g.sum(0)
+        var = (g * (r[:, None] - mean) ** 2).sum(0) / g.sum(0) + 1e-10
+    step, best = np.log(move + 1e-300), np.log(first * dens[0] + 1e-300)
+    back = np.zeros(dens.shape, int)
+    for t in range(1, len(r)):
+        options = best[:, None] + step
+        back[t], best = options.argmax(0), options.max(0) + np.log(dens[t])
+    path = [int(best.argmax())]
+    for t in range(len(r) - 1, 0, -1):
+        path.append(int(back[t][path[-1]]))
+    return np.argsort(np.argsort(var))[path[::-1]]
+
+
+def hmm_regimes(panel: DataFrame, states: int = 3, rounds: int = 1000) -> DataFrame:
+    """(ticker, date, regime, regime_0, ...): fit_regimes of a ticker's simple returns, and an indicator a state; regime is
+    null where there is no return or too few of them, with every indicator 0."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        c = pdf.close.to_numpy()
-        r = np.diff(c) / c[:-1]
-        regime = np.full(len(pdf), -1)
-        if len(r) >= 10 * states:
-            mean, var = np.quantile(r, (np.arange(states) + 0.5) / states), np.full(states, r.var() + 1e-12)
-            var = var * np.linspace(0.5, 1.5, states)
-            move, first = np.full((states, states), 0.05 / max(1, states - 1)), np.full(states, 1 / states)
-            np.fill_diagonal(move, 0.95)
-            for _ in range(rounds):
-                dens = np.exp(-((r[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var) + 1e-300
-                a, scale, b = np.empty_like(dens), np.empty(len(r)), np.ones_like(dens)
-                now = first * dens[0]
-                for t in range(len(r)):
-                    now = now if t == 0 else (a[t - 1] @ move) * dens[t]
-                    scale[t] = now.sum()
-                    a[t] = now / scale[t]
-                for t in range(len(r) - 2, -1, -1):
-                    b[t] = move @ (dens[t + 1] * b[t + 1]) / scale[t + 1]
-                g = a * b
-                g /= g.sum(1, keepdims=True)
-                pair = (a[:-1, :, None] * move * (dens[1:] * b[1:] / scale[1:, None])[:, None, :]).sum(0)
-                first, move = g[0], pair / pair.sum(1, keepdims=True)
-                mean = (g * r[:, None]).sum(0) / g.sum(0)
-                var = (g * (r[:, None] - mean) ** 2).sum(0) / g.sum(0) + 1e-10
-            step, best = np.log(move + 1e-300), np.log(first * dens[0] + 1e-300)
-            back = np.zeros(dens.shape, int)
-            for t in range(1, len(r)):
-                options = best[:, None] + step
-                back[t], best = options.argmax(0), options.max(0) + np.log(dens[t])
-            path = [int(best.argmax())]
-            for t in range(len(r) - 1, 0, -1):
-                path.append(int(back[t][path[-1]]))
-            regime[1:] = np.argsort(np.argsort(var))[path[::-1]]
-        return pd.DataFrame({"ticker": pdf.ticker, "date": pdf.date, "regime": regime})
+        pdf = pdf.sort_values("date")
+        r = pdf.close.pct_change().to_numpy()[1:]
+        return pd.DataFrame({"ticker": pdf.ticker, "date": pdf.date, "regime": np.append(-1, fit_regimes(r, states, rounds))})
 
     out = panel.select("ticker", "date", "close").groupBy("ticker").applyInPandas(run, "ticker string, date date, regime int")
     shown = [(F.col("regime") == F.lit(k)).cast("double").alias(f"regime_{k}") for k in range(states)]

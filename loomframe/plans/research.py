@@ -8,7 +8,7 @@ from dataclasses import replace
 
 from loomframe.functions.sqlsteps import lag, last, lead, rolling
 from loomframe.functions.template import Template
-from loomframe.operators import backtest, indicators, informed, labeling, metrics, splits, technical, xsection
+from loomframe.operators import backtest, indicators, informed, labeling, metrics, notebook, splits, technical, xsection
 from loomframe.sources.bars import BARS_SQL, bars
 
 from . import oracles
@@ -22,6 +22,9 @@ PROBS = Template("SELECT ticker, date, (day(date) % 10) / 10e0 AS p1, (day(date)
 DAILY = Template(f"SELECT date, avg(ret) AS ret FROM (SELECT date, close / {lag('close')} - 1 AS ret FROM $panel) r WHERE ret IS NOT NULL GROUP BY date")
 NAMES = "(VALUES ('market', 'Brand#11'), ('tech', 'Brand#22'), ('rates', 'Brand#3'), ('dollar', 'Brand#4'), ('vix', 'Brand#5'), ('semis', 'Brand#6'))"
 ASSETS = Template(f"SELECT asset, date, close FROM $panel p JOIN {NAMES} n(asset, name) ON p.ticker = n.name")
+#: Averages of six groups of names, so that nearly every date has them all.
+BASKETS = Template("""SELECT CASE CAST(substr(ticker, 7) AS INT) % 6 WHEN 0 THEN 'market' WHEN 1 THEN 'rates' WHEN 2 THEN 'dollar' WHEN 3 THEN 'vix' WHEN 4 THEN 'semis' ELSE 'tech' END AS asset,
+  date, avg(close) AS close FROM $panel GROUP BY 1, 2""")
 HARD = Template("SELECT DISTINCT ticker FROM $panel WHERE CAST(substr(ticker, 7) AS INT) % 7 = 0")
 YEARS = Template("SELECT year(date) - 1992 AS split_id, min(date) AS lo, max(date) AS hi FROM $panel GROUP BY year(date)")
 SPLITS = splits.walk_forward("1993-01-01", "1994-12-30", "1998-12-31")
@@ -78,7 +81,6 @@ PAIRS = {
     "i09_notebook_vols": steps(indicators.notebook_vols()),
     "i10_market_neutral": query(indicators.market_neutral(), panel="panel"),
     "i12_intermarket": query(indicators.intermarket(), assets="assets"),
-    "i14_notebook_features": steps(indicators.notebook_features()),
     "i13_expanding_zscore": steps(indicators.expanding_zscore()),
     "v11_informed_signal": query(indicators.quantile_signal(), panel="flows"),
     "x01_normalise": query(xsection.normalise(["signal", "volume"]), panel="scored"),
@@ -165,6 +167,7 @@ QUERIES |= {
     "x08_last_sequence": lambda spark, sf_dir: xsection.steps_of(xsection.last_sequences(bars(spark, sf_dir), "1996-05-06", 10, ["close", "volume"]), ["close", "volume"]),
     "x09_supervised": lambda spark, sf_dir: xsection.steps_of(xsection.supervised(SCORED.apply(spark, panel=bars(spark, sf_dir)), 10, ["close", "volume", "signal"], "fwd"), ["close", "volume", "signal"]),
     "i11_hmm_regimes": lambda spark, sf_dir: indicators.hmm_regimes(bars(spark, sf_dir)),
+    "i14_notebook_features": lambda spark, sf_dir: _notebook(spark, sf_dir),
     "f02_fracdiff_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir)).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("d0_2", "d0_5")]),
     "f03_fracdiff_multi_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir), (0.4, 0.5, 0.6)).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("d0_4", "d0_5", "d0_6")]),
     "f05_fracdiff_valid_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir), (0.5,)).where("d0_5 IS NOT NULL").select("ticker", "date", F.round("d0_5", 6).alias("d0_5")),
@@ -172,6 +175,14 @@ QUERIES |= {
     "f04_min_d": lambda spark, sf_dir: indicators.find_min_d(bars(spark, sf_dir)),
 }
 
+
+
+def _notebook(spark, sf_dir):
+    panel = bars(spark, sf_dir)
+    table = notebook.notebook_table(panel, BASKETS.apply(spark, panel=panel))
+    return table.select("ticker", "date", *[(F.round(c, 4) + 0.0).alias(c) for c in table.columns if c not in ("ticker", "date")])
+
+
 RUN = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
