@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from loomframe.functions.sqlsteps import lag, last, rolling
 from loomframe.functions.template import Template
 
@@ -14,6 +18,18 @@ def daily_vol(k: int = 20) -> Template:
 SELECT ticker, date, round({rolling('stddev_samp', 'ret', k)}, 7) AS vol FROM r""")
 
 
+def ewm_vol(panel: DataFrame, span: int = 20) -> DataFrame:
+    """(ticker, date, vol): deviation of simple returns with exponential weights (1 - a)^age, a = 2 / (span + 1), corrected
+    for bias; a recurrence over a ticker's rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        return pd.DataFrame({"ticker": pdf.ticker, "date": pdf.date, "vol": pdf.close.pct_change().ewm(span=span).std()})
+
+    out = panel.select("ticker", "date", F.col("close").cast("double")).groupBy("ticker").applyInPandas(run, "ticker string, date date, vol double")
+    return out.select("ticker", "date", F.nanvl("vol", F.lit(None)).alias("vol"))
+
+
 def _touch(h: int, width: float, k: int) -> str:
     """CTEs up to `hit`: each row with its volatility, returns of the next h closes and the first touched step.
 

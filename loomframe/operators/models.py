@@ -2,36 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import datetime
+from itertools import product
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def classifier(features: list[str], kind: str = "logistic", label: str = "label") -> Pipeline:
-    """Imputed features and a logistic (lasso) or boosted-tree classifier."""
+def classifier(features: list[str], kind: str = "logistic", label: str = "label", **options) -> Pipeline:
+    """Imputed features and a logistic (lasso) or boosted-tree classifier; options are the classifier's own settings."""
     filled = [f"{f}_filled" for f in features]
     stages = [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features")]
     if kind == "boosted":
-        return Pipeline(stages=[*stages, GBTClassifier(labelCol=label, maxIter=20, maxDepth=3, seed=42)])
-    return Pipeline(stages=[*stages, LogisticRegression(labelCol=label, regParam=0.01, elasticNetParam=1.0 if kind == "lasso" else 0.0)])
+        return Pipeline(stages=[*stages, GBTClassifier(**{"labelCol": label, "maxIter": 20, "maxDepth": 3, "seed": 42} | options)])
+    return Pipeline(stages=[*stages, LogisticRegression(**{"labelCol": label, "regParam": 0.01, "elasticNetParam": 1.0 if kind == "lasso" else 0.0} | options)])
 
 
-def probabilities(model, rows: DataFrame, name: str) -> DataFrame:
+def probabilities(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
     return model.transform(rows).withColumn(name, vector_to_array("probability")[1])
 
 
-def two_stage(events: DataFrame, features: list[str], threshold: float = 0.65, least: int = 100) -> DataFrame:
-    """(ticker, t0, p1, p2): will a barrier be touched, and if so which; stage two learns from the touched events that
-    stage one is sure of, and from all touched ones where these are too few. $events has features, barrier_side."""
-    one = events.withColumn("label", (F.col("barrier_side") != 0).cast("double"))
-    scored = probabilities(classifier(features).fit(one), one, "p1").select("ticker", "t0", "barrier_side", *features, "p1")
-    touched = scored.where("barrier_side <> 0").withColumn("label", (F.col("barrier_side") > 0).cast("double"))
+def tuned(rows: DataFrame, features: list[str], grid: dict[str, list], kind: str = "logistic", label: str = "label", fold: str = "fold", folds: int = 3) -> CrossValidatorModel:
+    """The best of a grid of the classifier's settings by area under the curve over given folds (an int column from 0, cut by
+    date by the caller, so that no fold is trained on its own dates)."""
+    pipe = classifier(features, kind, label)
+    last = pipe.getStages()[-1]
+    settings = [dict(zip([last.getParam(p) for p in grid], values, strict=True)) for values in product(*grid.values())]
+    own = CrossValidator(estimator=pipe, estimatorParamMaps=settings, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, foldCol=fold, seed=42)
+    return own.fit(rows)
+
+
+def two_stage(events: DataFrame, features: list[str], until: datetime.date | str, threshold: float = 0.65, least: int = 100) -> tuple[DataFrame, dict[str, PipelineModel]]:
+    """(ticker, t0, p1, p2) of the events from `until` on, and the two models: will a barrier be touched, and if so which.
+
+    Both stages learn from events that end before `until` only (t1 < until), so no label overlaps what is scored. Stage two
+    learns from the touched events that stage one is sure of, and from all touched ones where these are too few. $events
+    has ticker, t0, t1, barrier_side and the features.
+    """
+    day = F.lit(until).cast("date")
+    train = events.where(F.col("t1") < day).withColumn("label", (F.col("barrier_side") != 0).cast("double"))
+    later = events.where(F.col("t0") >= day).select("ticker", "t0", *features)
+    one = classifier(features).fit(train)
+    touched = probabilities(one, train, "p1").select("barrier_side", *features, "p1").where("barrier_side <> 0")
+    touched = touched.withColumn("label", (F.col("barrier_side") > 0).cast("double"))
     sure = touched.where(F.col("p1") > threshold)
-    second = classifier(features).fit(sure if sure.count() >= least else touched)
-    return probabilities(second, scored.drop("label"), "p2").select("ticker", "t0", "p1", "p2")
+    two = classifier(features).fit(sure if sure.count() >= least else touched)
+    scored = probabilities(one, later, "p1").select("ticker", "t0", *features, "p1")
+    return probabilities(two, scored, "p2").select("ticker", "t0", "p1", "p2"), {"touch": one, "side": two}
+
+
+def save_models(models: dict[str, PipelineModel], path: str) -> None:
+    """Each model in a folder of its name, in any store that Spark writes to."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/{name}")
+
+
+def load_models(spark: SparkSession, path: str, names: tuple[str, ...] = ("touch", "side")) -> dict[str, PipelineModel]:
+    return {name: PipelineModel.read().session(spark).load(f"{path}/{name}") for name in names}
 
 
 def live_signals(scored: DataFrame, threshold: float = 0.65) -> DataFrame:

@@ -33,11 +33,12 @@ def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of the events from 1997 on, by models of the events that ended before."""
     panel = bars(spark, sf_dir)
     events = labeling.barrier_events().apply(spark, panel=panel)
     scored = research.SCORED.apply(spark, panel=panel).selectExpr("ticker AS t", "date AS d", "signal", "volume", "vol")
-    rows = events.join(scored, (events.ticker == scored.t) & (events.t0 == scored.d)).select("ticker", "t0", "barrier_side", "signal", "volume", "vol")
-    out = models.two_stage(rows, ["signal", "volume", "vol"])
+    rows = events.join(scored, (events.ticker == scored.t) & (events.t0 == scored.d)).select("ticker", "t0", "t1", "barrier_side", "signal", "volume", "vol")
+    out, _ = models.two_stage(rows, ["signal", "volume", "vol"], "1997-01-01")
     return models.live_signals(out.withColumnRenamed("t0", "date")).withColumn("position", F.col("position").cast("int"))
 
 

@@ -213,3 +213,13 @@ FROM (SELECT DISTINCT ticker FROM n) t CROSS JOIN d LEFT JOIN n ON n.ticker = t.
 SELECT a.ticker, a.date, (b.i - a.i + 10)::INT AS step, round(b.close, 7) AS close, round(b.volume, 7) AS volume, round(b.signal, 7) AS signal, a.fwd AS y
 FROM s a JOIN s b ON a.ticker = b.ticker AND b.i BETWEEN a.i - 10 AND a.i - 1 WHERE a.i > 10""",
     }
+
+
+def ewm_deviation(span: int = 20) -> str:
+    """Weighted moments as running sums scaled by powers of the decay."""
+    keep = 1 - 2 / (span + 1)
+    run = "OVER (PARTITION BY ticker ORDER BY i ROWS UNBOUNDED PRECEDING)"
+    return f"""WITH r AS (SELECT ticker, date, row_number() OVER o AS i, close / lag(close) OVER o - 1 AS r FROM ({BARS_SQL}) WINDOW o AS (PARTITION BY ticker ORDER BY date)),
+w AS (SELECT *, CASE WHEN r IS NOT NULL THEN power({keep!r}e0, -i) END AS w FROM r),
+s AS (SELECT *, sum(w) {run} AS s, sum(w * w) {run} AS q, sum(w * r) {run} AS x, sum(w * r * r) {run} AS y, count(r) {run} AS k FROM w)
+SELECT ticker, date, round(CASE WHEN k > 1 THEN sqrt(greatest(0, (y / s - power(x / s, 2)) * s * s / (s * s - q))) END, 7) AS vol FROM s"""

@@ -99,6 +99,23 @@ def _assets(spark, sf_dir):
     return bars(spark, sf_dir).join(F.broadcast(names), "ticker").select("asset", "date", F.round("close", 6).alias("close"))
 
 
+ROLES = {"market": "Brand#11", "tech": "Brand#22", "rates": "Brand#3"}
+
+
+def _wide_assets(spark, sf_dir):
+    wide = src.wide_assets(bars(spark, sf_dir), ROLES, ["close", "volume"])
+    return wide.select("date", *[F.round(c, 6).alias(c) for c in wide.columns if c != "date"])
+
+
+def _constituents(spark, sf_dir):
+    """The panel's tickers written as a table of constituents, behind another table, and scraped back."""
+    names = src.tickers(bars(spark, sf_dir)).select(F.replace("ticker", F.lit("#"), F.lit(".")).alias("t"))
+    row = F.concat(F.lit("<tr><td><a href=x>"), "t", F.lit("</a>[1]</td><td>other</td></tr>"))
+    page = names.agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("rows"))  # a page: as many rows as tickers
+    html_ = F.concat(F.lit('<table class="wikitable"><tr><td>no</td></tr></table><table id="constituents"><tr><th>Symbol</th></tr>'), "rows", F.lit("</table>"))
+    return html.constituents(page.select(html_.alias("html")))
+
+
 def _change_log(spark, sf_dir):
     """The change log written as an HTML table and scraped back."""
     rows = CHANGES.apply(spark, panel=bars(spark, sf_dir))
@@ -119,7 +136,9 @@ QUERIES |= {
     "s10_html_cells": lambda spark, sf_dir: html.cells(src.read_table(spark, sf_dir, "pages")),
     "s10_html_links": lambda spark, sf_dir: html.links(src.read_table(spark, sf_dir, "pages")),
     "s11_change_log": _change_log,
+    "s10_constituents": _constituents,
     "s16_named_assets": _assets,
+    "s16_wide_assets": _wide_assets,
 }
 ORACLES |= {
     "c12_pivot_wide": "SELECT date, " + ", ".join(f"round(max(close) FILTER (ticker = '{t}'), 6) AS {t.lower().replace('#', '_')}" for t in WIDE) + f" FROM ({BARS_SQL}) GROUP BY date",
@@ -132,6 +151,9 @@ ORACLES |= {
 FROM p WHERE date < DATE '1996-07-01' OR year(date) = 1996""",
     "s16_named_assets": f"""SELECT asset, date, round(close, 6) AS close FROM ({BARS_SQL}) JOIN (VALUES ('market', 'Brand#11'), ('tech', 'Brand#22'), ('rates', 'Brand#33')) n(asset, ticker) USING (ticker)""",
     "s11_change_log": f"SELECT date, replace(ticker, 'Brand#', 'B-') AS ticker, action FROM ({CHANGES.sql(panel=BARS_SQL)})",
+    "s10_constituents": f"SELECT DISTINCT replace(ticker, '#', '-') AS ticker FROM ({BARS_SQL})",
+    "s16_wide_assets": "SELECT date, " + ", ".join(f"round({a}.{c}, 6) AS {a}_{c}" for a in ROLES for c in ("close", "volume")) + " FROM "
+    + " JOIN ".join(f"(SELECT * FROM ({BARS_SQL}) WHERE ticker = '{t}') {a}" + (" USING (date)" if i else "") for i, (a, t) in enumerate(ROLES.items())),
     "s10_html_cells": html.CELLS_SQL,
     "s10_html_links": html.LINKS_SQL,
 }

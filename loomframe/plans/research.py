@@ -157,6 +157,7 @@ ORACLES = {k: v[1] for k, v in PAIRS.items()}
 _summary = QUERIES["k07_summary"]
 QUERIES |= {
     "k07_summary": lambda spark, sf_dir: metrics.with_p_value(_summary(spark, sf_dir)),
+    "l01_ewm_vol": lambda spark, sf_dir: labeling.ewm_vol(bars(spark, sf_dir)).select("ticker", "date", F.round("vol", 7).alias("vol")),
     "e01_ewm": lambda spark, sf_dir: indicators.ewm(bars(spark, sf_dir)),
     "v10_vol_surprise": lambda spark, sf_dir: indicators.vol_surprise(bars(spark, sf_dir)),
     "e02_ema": lambda spark, sf_dir: indicators.ema(bars(spark, sf_dir)),
@@ -231,3 +232,4 @@ ORACLES |= oracles.INDICATORS
 ORACLES |= oracles.backtests(SCORED.sql(panel=BARS_SQL), YEARS.sql(panel=BARS_SQL), FIXTURES["trades"].sql(panel=BARS_SQL))
 ORACLES |= oracles.metrics(SCORED.sql(panel=BARS_SQL), DAILY.sql(panel=BARS_SQL), WEIGHTS_SQL)
 ORACLES |= oracles.sequences(SCORED.sql(panel=BARS_SQL))
+ORACLES["l01_ewm_vol"] = oracles.ewm_deviation()

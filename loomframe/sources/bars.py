@@ -109,6 +109,23 @@ def tickers(panel: DataFrame) -> DataFrame:
     return panel.select("ticker").distinct()
 
 
+def wide_assets(panel: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+    """(date, {asset}_{column}, ...) on the dates that all named assets (name -> ticker) share: one aggregate by date."""
+    own = panel.where(F.col("ticker").isin(*names.values()))
+    cell = lambda a, t, c: F.max(F.when(F.col("ticker") == t, F.col(c))).alias(f"{a}_{c}")
+    here = [F.max((F.col("ticker") == t).cast("int")).alias(f"_{a}") for a, t in names.items()]
+    wide = own.groupBy("date").agg(*here, *[cell(a, t, c) for a, t in names.items() for c in columns])
+    return wide.where(" AND ".join(f"_{a} = 1" for a in names)).drop(*[f"_{a}" for a in names])
+
+
+def read_tickers(spark: SparkSession, folder: str, wanted: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows of the wanted tickers of a stored panel, and those of them that it lacks."""
+    panel = spark.read.parquet(folder)
+    asked = spark.createDataFrame([(t,) for t in wanted], "ticker string")
+    failed = asked.join(panel.select("ticker").distinct(), "ticker", "left_anti")
+    return panel.join(F.broadcast(asked), "ticker", "left_semi"), sorted(r.ticker for r in failed.collect())
+
+
 def upsert(stored: DataFrame, fresh: DataFrame, keys: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
     """Union of both where, for equal keys, the fresh row wins: one partial aggregate, no window."""
     columns = [c for c in stored.columns if c not in keys]

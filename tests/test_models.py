@@ -472,3 +472,40 @@ def test_feature_table_against_pandas(spark):
     assert list(got.index) == list(f.index) and len(f) > 100
     for column in f.columns:
         assert np.allclose(got[column].astype(float), f[column], rtol=1e-6, atol=1e-6), column
+
+
+def test_two_stages_learn_from_the_past_only(spark, tmp_path):
+    """A planted signal is found out of sample; labels that reach into the scored span change nothing."""
+    from loomframe.operators import models
+
+    rng = np.random.default_rng(4)
+    n = 1200
+    t0 = pd.bdate_range("2020-01-01", periods=n)
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    side = np.where(a + 0.3 * rng.normal(size=n) > 0, np.where(b + 0.3 * rng.normal(size=n) > 0, 1, -1), 0)
+    rows = pd.DataFrame({"ticker": "A", "t0": t0.date, "t1": (t0 + pd.Timedelta(days=14)).date, "barrier_side": side, "a": a, "b": b})
+    until = t0[900].date()
+    scored, found = models.two_stage(spark.createDataFrame(rows), ["a", "b"], until)
+    got = scored.toPandas().sort_values("t0")
+    late = rows[rows.t0 >= until]
+    assert list(got.t0) == list(late.t0)
+    touched = late.barrier_side.to_numpy() != 0
+    assert ((got.p1.to_numpy() > 0.5) == touched).mean() > 0.85
+    assert ((got.p2.to_numpy() > 0.5) == (late.barrier_side.to_numpy() > 0))[touched].mean() > 0.85
+    turned = rows.assign(barrier_side=np.where(rows.t1 >= until, -rows.barrier_side, rows.barrier_side))
+    again = models.two_stage(spark.createDataFrame(turned), ["a", "b"], until)[0].toPandas().sort_values("t0")
+    assert np.allclose(got[["p1", "p2"]], again[["p1", "p2"]])
+    models.save_models(found, str(tmp_path / "m"))
+    back = models.load_models(spark, str(tmp_path / "m"))
+    p1 = models.probabilities(back["touch"], spark.createDataFrame(late[["ticker", "t0", "a", "b"]]), "p1").toPandas().sort_values("t0").p1
+    assert np.allclose(p1, got.p1)
+    signals = {r.date: r.position for r in models.live_signals(scored.withColumnRenamed("t0", "date")).collect()}
+    assert all(signals[d] == (0 if p < 0.65 else 1 if q > 0.5 else -1) for d, p, q in zip(got.t0, got.p1, got.p2, strict=True))
+    best = models.tuned(spark.createDataFrame(rows.assign(label=(side != 0).astype(float), fold=np.arange(n) * 3 // n)), ["a", "b"], {"regParam": [0.01, 10.0], "elasticNetParam": [0.0, 1.0]})
+    assert max(best.avgMetrics) > 0.9 and best.bestModel.stages[-1].getRegParam() == 0.01
+
+
+def test_tickers_that_a_panel_lacks(spark, tmp_path, panel):
+    src.write_panel(panel, str(tmp_path / "p"))
+    rows, failed = src.read_tickers(spark, str(tmp_path / "p"), ["A", "B", "C"])
+    assert failed == ["B", "C"] and rows.count() == panel.count()
