@@ -509,3 +509,22 @@ def test_tickers_that_a_panel_lacks(spark, tmp_path, panel):
     src.write_panel(panel, str(tmp_path / "p"))
     rows, failed = src.read_tickers(spark, str(tmp_path / "p"), ["A", "B", "C"])
     assert failed == ["B", "C"] and rows.count() == panel.count()
+
+
+@pytest.mark.parametrize("name", ["k06_turnover", "b06_gross_returns", "b09_result", "l05_uniqueness_weights"])
+def test_plans_without_grids_or_rebuilt_bars(spark, name):
+    """No dates x names product, and no trades behind a query over the stored panel."""
+    from loomframe.plans import research
+
+    plan = research.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "l_orderkey" not in plan
+
+
+def test_one_date_exchange_for_weights(spark):
+    """Ranks, caps, sector tilts and normal weights share one exchange by date."""
+    from loomframe.plans import research
+
+    panel = src.bars(spark, "/root/testdata/sf0.001")
+    scored = research.SCORED.apply(spark, panel=panel)
+    plan = backtest.final_weights().apply(spark, scored=scored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(date") == 1
