@@ -1,8 +1,11 @@
 """The corpus pipeline: quality, near duplicates, benchmark contamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents. A stage works on all rows it is given; null
-texts count as empty in each of them, and an empty table passes through.
+next stage's docs. All but the last return the columns of documents. A stage works on all rows it is given.
+
+What holds in each of them: null texts count as empty, null ids stay null, and an empty table passes through; texts are read
+whole, whatever their length; repeated rows are decided alike, so all of them stay or go; extra columns, whatever their names,
+are dropped first.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least 0.5."""
+    """Documents whose score is at least 0.5, that score itself included. An empty text has the score of no evidence, which
+    follows the share of good labels. Without labels every score is 0.5, so all documents stay."""
     docs = docs.select(*COLUMNS)
     model = quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return quality.score_quality(docs, model, keep=COLUMNS).where(F.col("score") >= 0.5).select(*COLUMNS)
@@ -36,13 +40,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window. Texts without words have none, so they stay."""
     found = decontam.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return found.where(F.col("n_hit") == 0).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the values of secrets replaced."""
+    """All documents, with the values of secrets replaced; where spans overlap, the first by position is replaced and the rest
+    of the other with it. n_chars counts the text as it is then; it is null for a null text."""
     rest = tuple(c for c in COLUMNS if c not in ("text", "n_chars"))
     found = secrets.scan_secrets(docs.select(*COLUMNS), keep=rest)
     clean = found.withColumn("text", F.col("redacted"))
@@ -50,7 +55,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of 1024 tokens."""
+    """Where each piece of each document goes in sequences of 1024 tokens. An empty text is its end token; repeated rows are
+    packed each; pieces of equal length are interchangeable, so ties may fall either way."""
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
