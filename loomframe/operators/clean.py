@@ -66,14 +66,15 @@ def forward_fill() -> Template:
     return Template(f"SELECT ticker, date, {', '.join(f'LASTNN({c}) {SO_FAR} AS {c}' for c in FIVE)} FROM $panel WHERE seq = 0")
 
 
-def interpolate(column: str = "close") -> Template:
+def interpolate(columns: tuple[str, ...] = FIVE) -> Template:
     """Linear in elapsed days between known values; the last value holds on, nothing is put before the first."""
-    known = f"CASE WHEN {column} IS NOT NULL THEN date END"
-    return Template(f"""
-WITH ends AS (SELECT ticker, date, {column}, LASTNN({column}) {SO_FAR} AS x0, LASTNN({known}) {SO_FAR} AS t0,
-  FIRSTNN({column}) {AHEAD} AS x1, FIRSTNN({known}) {AHEAD} AS t1 FROM $panel WHERE seq = 0)
-SELECT ticker, date, round(CASE WHEN {column} IS NOT NULL THEN {column} WHEN x1 IS NULL THEN x0
-  ELSE x0 + (x1 - x0) * DAYS(date, t0) / DAYS(t1, t0) END, 6) AS {column} FROM ends""")
+    ends, out = [], []
+    for c in columns:
+        known = f"CASE WHEN {c} IS NOT NULL THEN date END"
+        ends.append(f"{c}, LASTNN({c}) {SO_FAR} AS {c}_x0, LASTNN({known}) {SO_FAR} AS {c}_t0, FIRSTNN({c}) {AHEAD} AS {c}_x1, FIRSTNN({known}) {AHEAD} AS {c}_t1")
+        out.append(f"""round(CASE WHEN {c} IS NOT NULL THEN {c} WHEN {c}_x1 IS NULL THEN {c}_x0
+  ELSE {c}_x0 + ({c}_x1 - {c}_x0) * DAYS(date, {c}_t0) / DAYS({c}_t1, {c}_t0) END, 6) AS {c}""")
+    return Template(f"WITH ends AS (SELECT ticker, date, {', '.join(ends)} FROM $panel WHERE seq = 0) SELECT ticker, date, {', '.join(out)} FROM ends")
 
 
 CALENDAR = "SELECT d AS date FROM (SELECT DAYSEQ({a}, {b}) AS d FROM {src}) days WHERE WEEKDAY(d) < 5"
@@ -83,7 +84,7 @@ def align_to_calendar() -> Template:
     """Every ticker on every business day of the panel's span, filled forward. The calendar and the list of tickers
     are small dimensions: one row a day and one a ticker."""
     cal = CALENDAR.format(a="lo", b="hi", src="(SELECT min(date) AS lo, max(date) AS hi FROM $panel) span")
-    fill = ", ".join(f"LASTNN(p.{c}) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("close", "volume"))
+    fill = ", ".join(f"LASTNN(p.{c}) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in FIVE)
     return Template(f"""
 WITH cal AS ({cal}), names AS (SELECT DISTINCT ticker FROM $panel), grid AS (SELECT ticker, date FROM names CROSS JOIN cal)
 SELECT g.ticker, g.date, {fill} FROM grid g LEFT JOIN $panel p ON g.ticker = p.ticker AND g.date = p.date""")

@@ -223,3 +223,21 @@ def ewm_deviation(span: int = 20) -> str:
 w AS (SELECT *, CASE WHEN r IS NOT NULL THEN power({keep!r}e0, -i) END AS w FROM r),
 s AS (SELECT *, sum(w) {run} AS s, sum(w * w) {run} AS q, sum(w * r) {run} AS x, sum(w * r * r) {run} AS y, count(r) {run} AS k FROM w)
 SELECT ticker, date, round(CASE WHEN k > 1 THEN sqrt(greatest(0, (y / s - power(x / s, 2)) * s * s / (s * s - q))) END, 7) AS vol FROM s"""
+
+
+def cleaning(dirty: str) -> dict[str, str]:
+    """dirty: the fixture as a query. Neighbours by as-of joins and by lists."""
+    five = ("open", "high", "low", "close", "volume")
+    d = f"d AS (SELECT * FROM ({dirty}) WHERE seq = 0)"
+    parts = " ".join(
+        f"ASOF LEFT JOIN (SELECT ticker, date, {c} AS v FROM d WHERE {c} IS NOT NULL) b_{c} ON d.ticker = b_{c}.ticker AND d.date >= b_{c}.date "
+        f"ASOF LEFT JOIN (SELECT ticker, date, {c} AS v FROM d WHERE {c} IS NOT NULL) a_{c} ON d.ticker = a_{c}.ticker AND d.date <= a_{c}.date"
+        for c in five
+    )
+    value = lambda c: f"CASE WHEN d.{c} IS NOT NULL THEN d.{c} WHEN b_{c}.v IS NULL THEN NULL WHEN a_{c}.v IS NULL THEN b_{c}.v ELSE b_{c}.v + (a_{c}.v - b_{c}.v) * (d.date - b_{c}.date) / (a_{c}.date - b_{c}.date) END"
+    return {
+        "c06_interpolate": f"WITH {d} SELECT d.ticker, d.date, {', '.join(f'round({value(c)}, 6) AS {c}' for c in five)} FROM d {parts}",
+        "c07_align_to_calendar": f"""WITH b AS ({BARS_SQL}), g AS (SELECT ticker, day::DATE AS date FROM (SELECT DISTINCT ticker FROM b) t
+  CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM b), (SELECT max(date) FROM b), INTERVAL 1 DAY)) AS day) x WHERE dayofweek(day) BETWEEN 1 AND 5)
+SELECT g.ticker, g.date, {', '.join(f'b.{c}' for c in five)} FROM g ASOF LEFT JOIN (SELECT * FROM b WHERE dayofweek(date) BETWEEN 1 AND 5) b ON g.ticker = b.ticker AND g.date >= b.date""",
+    }

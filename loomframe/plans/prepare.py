@@ -10,6 +10,8 @@ from loomframe.sources import bars as src
 from loomframe.sources import html
 from loomframe.sources.bars import BARS_SQL, bars
 
+from . import oracles
+
 #: Bars with planted errors and repeated days; seq tells the order of arrival.
 DIRTY = Template("""
 SELECT ticker, date, CASE WHEN day(date) % 17 = 0 THEN NULL ELSE open END AS open, CASE WHEN day(date) % 7 = 0 THEN low ELSE high END AS high,
@@ -68,7 +70,7 @@ PAIRS = {
     "u09_period_tickers": query(universe.period_tickers(S, E), members="members"),
 }
 QUERIES = {k: v[0] for k, v in PAIRS.items()}
-ORACLES = {k: v[1] for k, v in PAIRS.items()}
+ORACLES = {k: v[1] for k, v in PAIRS.items()} | oracles.cleaning(DIRTY.sql(panel=BARS_SQL))
 
 WIDE = [f"Brand#{i}" for i in range(1, 26)]
 
