@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from loomframe.functions.template import Template
 
-from .metrics import YEAR, _ic, _turnover, dated, growth, sharpe
+from .metrics import YEAR, _ic, _turned, dated, growth, sharpe
 from .xsection import percent_rank
 
 CAPITAL = 1e7
@@ -86,8 +86,8 @@ def daily_book(bps: float = 7.5, kappa: float = KAPPA, share: float = SHARE, cap
     value = f"abs(weight - held) * {capital}"
     impact = f"{value} * {kappa} / 10000 * sqrt({value} / 1e6) * sqrt({value} / (CASE WHEN adv > 0 THEN adv ELSE CAST(0 AS DOUBLE) END + 1e-10))"
     return f"""{chain(share, capital, by, src)},
-book AS (SELECT {by}ticker, date, weight, adv, ret FROM normal), {dated('book', by)},
-near AS (SELECT {by}ticker, date, weight, adv, ret, i, lag(weight) {o} AS w0, lag(i) {o} AS i0 FROM book JOIN days USING ({by}date)),
+book AS (SELECT {by}ticker, date, weight, adv, ret FROM normal), {dated(src, by)},
+near AS (SELECT {by}ticker, date, weight, adv, ret, i, n, lag(weight) {o} AS w0, lag(i) {o} AS i0, lead(i) {o} AS i1 FROM book JOIN days USING ({by}date)),
 moved AS (SELECT *, CASE WHEN i0 = i - 1 THEN w0 END AS held FROM near),
 daily AS (SELECT {by}date, coalesce(sum(held * ret), 0) AS gross, coalesce(sum(abs(weight - held)), 0) / 2 AS traded,
   coalesce(sum(abs(weight - held)), 0) / 2 * {bps} / 10000 AS cost,
@@ -111,7 +111,7 @@ def _run(returns: str, by: str = "", src: str = "$scored") -> str:
     """CTEs down to g, p, c and t: one row a run of its gross and cost figures, net figures, IC figures and turnover."""
     over = f"OVER ({f'PARTITION BY {by.rstrip(", ")} ' if by else ''}ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     group = f" GROUP BY {by.rstrip(', ')}" if by else ""
-    return f"""{daily_book(by=by, src=src)},{_turnover('book', by)},
+    return f"""{daily_book(by=by, src=src)},{_turned('near', by)},
 net AS (SELECT {by}date, gross, gross - (cost + impact) AS ret, cost + impact AS paid FROM daily),
 cum AS (SELECT *, {growth(over)} AS cum FROM net WHERE ret IS NOT NULL),
 dd AS (SELECT *, cum / max(cum) {over} - 1 AS dd FROM cum),

@@ -86,9 +86,14 @@ def _turnover(src: str = "$weights", by: str = "") -> str:
     """
     o = f"OVER (PARTITION BY {by}ticker ORDER BY i)"
     return f"""
-placed AS (SELECT {by}ticker, coalesce(weight, 0) AS weight, i, n, lag(coalesce(weight, 0)) {o} AS w0, lag(i) {o} AS i0, lead(i) {o} AS i1 FROM {src} w JOIN days USING ({by}date)),
-moves AS (SELECT {by}i, abs(weight - CASE WHEN i0 = i - 1 THEN w0 ELSE 0 END) AS ch FROM placed WHERE i > 0
-  UNION ALL SELECT {by}i + 1 AS i, abs(weight) FROM placed WHERE coalesce(i1, -1) <> i + 1 AND i + 1 < n),
+placed AS (SELECT {by}ticker, weight, i, n, lag(weight) {o} AS w0, lag(i) {o} AS i0, lead(i) {o} AS i1 FROM {src} w JOIN days USING ({by}date)),{_turned('placed', by)}"""
+
+
+def _turned(src: str, by: str = "") -> str:
+    """CTEs from rows with the positions and weight of their neighbours to `turned`."""
+    return f"""
+moves AS (SELECT {by}i, abs(coalesce(weight, 0) - CASE WHEN i0 = i - 1 THEN coalesce(w0, 0) ELSE 0 END) AS ch FROM {src} WHERE i > 0
+  UNION ALL SELECT {by}i + 1 AS i, abs(weight) FROM {src} WHERE weight <> 0 AND coalesce(i1, -1) <> i + 1 AND i + 1 < n),
 turned AS (SELECT {by}date, coalesce(sum(ch), 0) / 2 AS turnover FROM days LEFT JOIN moves USING ({by}i) GROUP BY {by}date)"""
 
 
