@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomframe.functions.shared import shared_dir
 
+_LIBC = ctypes.CDLL(None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,6 +87,13 @@ def clear_of(spans: list[tuple], base: list[tuple]) -> list[tuple]:
     return out
 
 
+def tidy() -> None:
+    """Hand memory that a finished task no longer uses back to the machine: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],
@@ -108,5 +118,6 @@ def map_rows(
                 if rows:
                     cols = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)]
                     yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        tidy()
 
     return df.select(*columns).mapInArrow(run, out)

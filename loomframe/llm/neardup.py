@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, stored
+from .common import discard, map_rows, stored, tidy
 from .components import connected_components
 from .minhash import Signer, set_hash, shingles, spanning_links, word_hashes
 
@@ -86,6 +86,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             if b.num_rows:
                 est = _agreement(b.column(2).to_pylist(), b.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est)], ["u", "v", "est"])
+        tidy()
 
     return both.select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long, est double")
 
@@ -175,6 +176,7 @@ def _confirmed_links(groups: DataFrame, docs: DataFrame, doc: str, text: str, wi
             nodes = g.node.to_numpy()
             labels = np.unique(nodes, return_inverse=True)[1]
             out += [(nodes[i], nodes[j]) for i, j in spanning_links(sets_of(g.text), labels, percent)]
+        tidy()
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     first = placed.join(body, "node").groupBy("small", "task").applyInPandas(confirm, "u long, v long")
@@ -202,6 +204,7 @@ def _confirmed_links(groups: DataFrame, docs: DataFrame, doc: str, text: str, wi
         labels = np.unique(pdf.label.to_numpy(), return_inverse=True)[1]
         nodes = pdf.node.to_numpy()
         found = spanning_links(sets_of(pdf.text), labels, percent, pdf["ask"].to_numpy(bool))
+        tidy()
         return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["u", "v"], dtype="int64")
 
     second = told.unionByName(ask).join(body, "node").groupBy("component", "block", "turn").applyInPandas(rest, "u long, v long")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, stored
+from .common import discard, map_rows, stored, tidy
 from .minhash import U64, mix, word_spans
 
 _STOPS = np.zeros(256, bool)
@@ -153,6 +153,7 @@ def remove_repeated_spans(
                 each = [runs_of((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
                 ids = np.repeat(part.column(0).to_numpy(), [len(p) for p, _, _ in each])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, *map(np.concatenate, zip(*each, strict=True)))], ["d", "p", "h", "g"])
+        tidy()
 
     source = named.select(F.col(doc).cast("long").alias("d"), text)
     all_runs = stored(source.mapInArrow(each_run, "d long, p int, h long, g int"), "runs")
