@@ -6,7 +6,7 @@ import datetime
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,13 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class _Logistic(LogisticRegression):
+    """Its models keep no training summary. That holds the session, which travels with every scoring task and cannot once
+    the session has observed a frame or tagged a job (NotSerializableException); models read from a store have none either."""
+
+    def _fit(self, dataset: DataFrame) -> LogisticRegressionModel:
+        model = super()._fit(dataset)
+        model._java_obj.setSummary(dataset.sparkSession._jvm.scala.Option.empty())
+        return model
+
+
 def classifier(features: list[str], kind: str = "logistic", label: str = "label", **options) -> Pipeline:
     """Imputed features and a logistic (lasso) or boosted-tree classifier; options are the classifier's own settings."""
     filled = [f"{f}_filled" for f in features]
     stages = [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features")]
     if kind == "boosted":
         return Pipeline(stages=[*stages, GBTClassifier(**{"labelCol": label, "maxIter": 20, "maxDepth": 3, "seed": 42} | options)])
-    return Pipeline(stages=[*stages, LogisticRegression(**{"labelCol": label, "regParam": 0.01, "elasticNetParam": 1.0 if kind == "lasso" else 0.0} | options)])
+    return Pipeline(stages=[*stages, _Logistic(**{"labelCol": label, "regParam": 0.01, "elasticNetParam": 1.0 if kind == "lasso" else 0.0} | options)])
 
 
 def probabilities(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
