@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, neardup, packing, pii, quality, secrets, sharding, spandedup
+from . import ann, bpe, chat, decontam, filteraudit, neardup, packing, pii, quality, secrets, sharding, spandedup, turnrepair
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -106,6 +106,23 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    file = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    made = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), *file), *file)
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_turnrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turnrepair.repair_conversations(turnrepair.damage(turns), turns.select("conv_id"))
+
+
+def op13_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -117,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_sharding": op9_sharding,
     "op10_decontam": op10_decontam,
+    "op11_bpe": op11_bpe,
+    "op12_turnrepair": op12_turnrepair,
+    "op13_filteraudit": op13_filteraudit,
 }
 
 ORACLES: dict[str, str] = {
@@ -186,5 +206,110 @@ WITH w AS (
 SELECT w.doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN p USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+    "op12_turnrepair": r"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+), f AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+    4294967295) % 20 AS fate
+  FROM o
+), d AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM f, range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS copies
+), n AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS rows, lag(role) OVER w AS prev,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))
+), m AS (
+  SELECT *, substr(role, 1, 1) AS r, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM n
+), best AS (
+  -- behind row i, for what is written so far (nothing, system, user, assistant): cost and audit of the rest
+  SELECT conv_id, max(i) AS i, {'c': 0, 'a': ''} AS e, {'c': 6, 'a': 'II'} AS s, {'c': 3, 'a': 'I'} AS u, {'c': 0, 'a': ''} AS z
+  FROM m GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, least(e, {'c': u.c + 3, 'a': 'I' || u.a}, {'c': z.c + 6, 'a': 'II' || z.a}), least(s, {'c': u.c + 3, 'a': 'I' || u.a}, {'c': z.c + 6, 'a': 'II' || z.a}),
+    least(u, {'c': z.c + 3, 'a': 'I' || z.a}), least(z, {'c': u.c + 3, 'a': 'I' || u.a})
+  FROM (
+    SELECT conv_id, i - 1 AS i, least({'c': e.c + 4, 'a': 'D' || e.a}, {'c': u.c + rr, 'a': 'R' || u.a}, {'c': s.c + CASE WHEN r = 's' THEN kk ELSE 9999 END, 'a': 'K' || s.a},
+        {'c': u.c + CASE WHEN r = 'u' THEN kk ELSE 9999 END, 'a': 'K' || u.a}) AS e,
+      least({'c': s.c + 4, 'a': 'D' || s.a}, {'c': u.c + rr, 'a': 'R' || u.a}, {'c': u.c + CASE WHEN r = 'u' THEN kk ELSE 9999 END, 'a': 'K' || u.a}) AS s,
+      least({'c': u.c + 4, 'a': 'D' || u.a}, {'c': z.c + rr, 'a': 'R' || z.a}, {'c': z.c + CASE WHEN r = 'a' THEN kk ELSE 9999 END, 'a': 'K' || z.a}) AS u,
+      least({'c': z.c + 4, 'a': 'D' || z.a}, {'c': u.c + rr, 'a': 'R' || u.a}, {'c': u.c + CASE WHEN r = 'u' THEN kk ELSE 9999 END, 'a': 'K' || u.a}) AS z
+    FROM (
+      SELECT best.*, m.r, CASE m.fault WHEN 'b' THEN 9999 WHEN 'd' THEN 9999 WHEN 't' THEN 3 ELSE 0 END AS kk,
+        CASE m.fault WHEN 'b' THEN 9999 WHEN 'd' THEN 9999 WHEN 't' THEN 6 ELSE 3 END AS rr
+      FROM best JOIN m ON m.conv_id IS NOT DISTINCT FROM best.conv_id AND m.i = best.i
+    )
+  )
+), done AS (
+  SELECT conv_id, e.c AS cost, e.a AS audit FROM best WHERE i = 0
+), step AS (
+  -- the audit letter by letter: next row, what is written so far, the repaired line
+  SELECT conv_id, audit, 0 AS pos, 1::BIGINT AS i, 'e' AS state, NULL::VARCHAR AS line FROM done
+  UNION ALL
+  SELECT step.conv_id, audit, pos + 1, step.i + CASE WHEN l = 'I' THEN 0 ELSE 1 END,
+    CASE WHEN l = 'D' THEN state WHEN l = 'K' AND m.r = 's' THEN 's' WHEN state = 'u' THEN 'a' ELSE 'u' END,
+    CASE WHEN l = 'D' THEN NULL WHEN l = 'K' THEN m.role || ':' || m.text
+      ELSE CASE WHEN state = 'u' THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN l = 'R' THEN m.text ELSE '' END END
+  FROM (SELECT *, substr(audit, pos + 1, 1) AS l FROM step WHERE pos < length(audit)) step
+  LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM step.conv_id AND m.i = step.i
+), hashed AS (
+  SELECT conv_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos), '')) AS repaired_sha256 FROM step GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (i > 1 AND substr(prev, 1, 1) || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM m GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN hashed ON hashed.conv_id IS NOT DISTINCT FROM c.conv_id
+""",
+    "op13_filteraudit": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM t
+), l AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    list_filter([
+      CASE WHEN len(ws) < 200 THEN 'A' END,
+      CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+      CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' END,
+      CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+      CASE WHEN w.doc_id > least THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), p AS (
+  SELECT a.f || b.f || c.f || e.f || g.f AS filter_order FROM f a, f b, f c, f e, f g
+  WHERE len(list_distinct([a.f, b.f, c.f, e.f, g.f])) = 5
+), s AS (
+  SELECT filter_order, k::INTEGER AS step, substr(filter_order, k::INTEGER, 1) AS f, substr(filter_order, 1, k::INTEGER - 1) AS earlier
+  FROM p, range(1, 6) x(k)
+), r AS (
+  SELECT part, filter_order, step, f,
+    count(*) FILTER (NOT list_has_any(fails, string_split(earlier || f, ''))) AS kept,
+    count(*) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, string_split(earlier, ''))) AS removed,
+    count(*) FILTER (list_contains(fails, f) AND list_has_any(fails, string_split(earlier, ''))) AS redundant,
+    count(*) FILTER (fails = [f]) AS unique_fails,
+    count(*) FILTER (good AND list_contains(fails, f) AND NOT list_has_any(fails, string_split(earlier, ''))) AS good_lost,
+    count(*) FILTER (toxic AND list_contains(fails, f) AND NOT list_has_any(fails, string_split(earlier, ''))) AS toxic_lost
+  FROM d, s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
 """,
 }
