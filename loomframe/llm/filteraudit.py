@@ -54,11 +54,11 @@ def failure_patterns(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     marked = marked.select("_id", *keys, F.col("_n").alias("docs"), counted("_good").alias("good"), counted("_toxic").alias("toxic"))
     named = F.col("_id").isNotNull()
-    texts = marked.groupBy(*keys).agg(
+    texts = stored(marked.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in _COUNTS],
         *[F.coalesce(F.sum(F.when(~named, F.col(c))), F.lit(0)).alias(f"_free_{c}") for c in _COUNTS],
         F.min(F.when(named, F.struct("_id", *_COUNTS))).alias("_least"),
-    )
+    ), "filter-texts")  # so documents are read once
     owners = texts.groupBy("_key").agg(F.min("_least._id").alias("_owner"), F.count(F.lit(1)).alias("_parts"))
     # Only a text that several parts hold has to ask which of them owns it.
     several = owners.where(F.col("_parts") > 1).select("_key", "_owner")
@@ -118,7 +118,8 @@ def audit_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small), and E as copies of each other. An empty table gives no rows; extra columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    counts = stored(survivors(failure_patterns(docs, labels)), "filter-survivors")  # 32 rows a part
+    patterns = stored(failure_patterns(docs, labels), "filter-patterns")  # 32 rows a part, as its survivors
+    counts = stored(survivors(patterns), "filter-survivors")
     ddl = "filter_order string, step int, filter string, bit int, before int, after int"
     steps = F.broadcast(spark.createDataFrame(_steps(), ddl))  # 600 rows, whatever the input
     every = 2 ** len(FILTERS) - 1
