@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: One temporary folder a Python process, for sessions of a single machine that name none.
 _LOCAL_ONLY: dict[str, str] = {}
@@ -25,3 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     return found
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: several plans use it, executors may be lost meanwhile."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from loomframe.functions.template import Template
 
-from .metrics import YEAR, _ic, _turned, dated, growth, sharpe
+from .metrics import YEAR, average_rank, dated, growth, sharpe
 from .xsection import percent_rank
 
 CAPITAL = 1e7
@@ -108,19 +108,39 @@ def impact_costs(kappa: float = KAPPA) -> Template:
 
 
 def _run(returns: str, by: str = "", src: str = "$scored") -> str:
-    """CTEs down to g, p, c and t: one row a run of its gross and cost figures, net figures, IC figures and turnover."""
-    over = f"OVER ({f'PARTITION BY {by.rstrip(", ")} ' if by else ''}ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    group = f" GROUP BY {by.rstrip(', ')}" if by else ""
-    return f"""{daily_book(by=by, src=src)},{_turned('near', by)},
-net AS (SELECT {by}date, gross, gross - (cost + impact) AS ret, cost + impact AS paid FROM daily),
-cum AS (SELECT *, {growth(over)} AS cum FROM net WHERE ret IS NOT NULL),
+    """CTEs down to `fig`: one row a run with its gross, cost, net, IC and turnover figures.
+
+    One chain without a branch: windows by date (weights and IC ranks), windows by ticker (the dates before and after), one
+    aggregate to a row a date, windows over these, one aggregate to a row a run. Only the dates' positions are a second
+    scan, of one column. Turnover is as in metrics.turnover(): what enters or changes on a date, and what was there the date
+    before only.
+    """
+    run = by.rstrip(", ")
+    over = f"OVER ({f'PARTITION BY {run} ' if by else ''}ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    group = f" GROUP BY {run}" if by else ""
+    known = "FILTER (WHERE ret IS NOT NULL)"
+    o = f"OVER (PARTITION BY {by}ticker ORDER BY i)"
+    value = f"abs(weight - held) * {CAPITAL}"
+    impact = f"{value} * {KAPPA} / 10000 * sqrt({value} / 1e6) * sqrt({value} / (CASE WHEN adv > 0 THEN adv ELSE CAST(0 AS DOUBLE) END + 1e-10))"
+    rank = lambda x: f"CASE WHEN paired THEN {average_rank(x, f'{by}date, paired')} END"
+    return f"""
+pairs AS (SELECT *, signal IS NOT NULL AND {returns} IS NOT NULL AS paired FROM {src}),
+ordered AS (SELECT *, {rank('signal')} AS rank_s, {rank(returns)} AS rank_r FROM pairs),{chain(by=by, src='ordered')}, {dated(src, by)},
+near AS (SELECT {by}date, weight, adv, ret, rank_s, rank_r, i, n, lag(weight) {o} AS w0, lag(i) {o} AS i0, lead(i) {o} AS i1 FROM normal JOIN days USING ({by}date)),
+moved AS (SELECT *, CASE WHEN i0 = i - 1 THEN w0 END AS held FROM near),
+daily AS (SELECT {by}date, coalesce(sum(held * ret), 0) AS gross, coalesce(sum(abs(weight - held)), 0) / 2 * 7.5 / 10000 AS cost,
+  CASE WHEN count(CASE WHEN held IS NOT NULL AND weight IS NOT NULL AND adv IS NULL THEN 1 END) = 0 THEN coalesce(sum({impact}), 0) / {CAPITAL} END AS impact,
+  CASE WHEN count(rank_s) >= 10 AND max(rank_s) > min(rank_s) AND max(rank_r) > min(rank_r) THEN corr(rank_s, rank_r) END AS ic,
+  CASE WHEN i > 0 THEN sum(abs(coalesce(weight, 0) - coalesce(held, 0))) ELSE 0 END AS moved,
+  sum(CASE WHEN weight <> 0 AND coalesce(i1, -1) <> i + 1 THEN abs(weight) ELSE 0 END) AS leaves
+  FROM moved GROUP BY {by}date, i),
+net AS (SELECT *, gross - (cost + impact) AS ret, cost + impact AS paid, (moved + coalesce(lag(leaves) {over.split(' ROWS')[0]}), 0)) / 2 AS turnover FROM daily),
+cum AS (SELECT *, CASE WHEN ret IS NOT NULL THEN {growth(over)} END AS cum FROM net),
 dd AS (SELECT *, cum / max(cum) {over} - 1 AS dd FROM cum),
-g AS (SELECT {by}count(*) AS days, {sharpe('gross')} AS gross_sharpe, sum(paid) AS total_costs, avg(paid) AS avg_daily_cost FROM net{group}),
-p AS (SELECT {by}{sharpe()} AS net_sharpe, CASE WHEN count(*) < 2 THEN 0 ELSE min(dd) END AS max_drawdown, ARGMAX(cum, date) - 1 AS total_return,
-  power(ARGMAX(cum, date), 252e0 / count(*)) - 1 AS annualized_return, stddev_samp(ret) * {YEAR} AS volatility FROM dd{group}),
-ics AS ({_ic(f'{by}date', y=returns, src=src)}),
-c AS (SELECT {by}avg(ic) AS mean_ic, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) * {YEAR} ELSE 0 END AS icir FROM ics{group}),
-t AS (SELECT {by}avg(turnover) AS mean_turnover FROM turned{group})"""
+fig AS (SELECT {by}count(*) AS days, {sharpe('gross')} AS gross_sharpe, sum(paid) AS total_costs, avg(paid) AS avg_daily_cost,
+  {sharpe()} AS net_sharpe, CASE WHEN count(ret) < 2 THEN 0 ELSE min(dd) END AS max_drawdown, max_by(cum, date) {known} - 1 AS total_return,
+  power(max_by(cum, date) {known}, 252e0 / count(ret)) - 1 AS annualized_return, stddev_samp(ret) * {YEAR} AS volatility,
+  avg(ic) AS mean_ic, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) * {YEAR} ELSE 0 END AS icir, avg(turnover) AS mean_turnover FROM dd{group})"""
 
 
 CALMAR = "CASE WHEN max_drawdown <> 0 THEN annualized_return / abs(max_drawdown) ELSE 0 END"
@@ -137,7 +157,7 @@ def _figures() -> str:
 def result(returns: str = "ret") -> Template:
     """One row: Sharpe ratios, drawdown, turnover, returns, IC and costs of a run. The IC is the signal's with the same
     returns that the weights of the date before earn."""
-    return Template(f"WITH {_run(returns)} SELECT days, {_figures()} FROM g CROSS JOIN p CROSS JOIN c CROSS JOIN t")
+    return Template(f"WITH {_run(returns)} SELECT days, {_figures()} FROM fig")
 
 
 def positions(capital: float = CAPITAL) -> Template:
@@ -150,13 +170,15 @@ def walk_forward(returns: str = "ret") -> Template:
     """A whole run for each split of $splits (split_id, lo, hi) over the split's dates, with means over splits and the
     population deviation of their net Sharpe ratios.
 
-    All runs are one job. A panel row is read once for each split that holds its date, by a range join with the few splits.
+    All runs are one job. The few splits meet the dates, a row a date, and panel rows meet their splits by equal dates.
     """
-    own = "own AS (SELECT s.split_id, p.* FROM $scored p JOIN $splits s ON p.date BETWEEN s.lo AND s.hi)"
+    own = """cal AS (SELECT DISTINCT date FROM $scored), member AS (SELECT s.split_id, c.date FROM cal c JOIN $splits s ON c.date BETWEEN s.lo AND s.hi),
+own AS (SELECT m.split_id, p.* FROM $scored p JOIN member m ON p.date = m.date)"""
     over = {"mean_net_sharpe": ("avg(net_sharpe)", 4), "std_net_sharpe": ("stddev_pop(net_sharpe)", 4), "mean_ic_of_splits": ("avg(mean_ic)", 7), "mean_turnover_of_splits": ("avg(mean_turnover)", 7), "mean_drawdown": ("avg(max_drawdown)", 6)}
     means = ", ".join(f"round({e} OVER (), {n}) + 0.0 AS {c}" for c, (e, n) in over.items())
-    return Template(f"""WITH {own},{_run(returns, 'split_id, ', 'own')}
-SELECT split_id, days, {_figures()}, {means} FROM g JOIN p USING (split_id) JOIN c USING (split_id) JOIN t USING (split_id)""")
+    # The positions of a split's dates come from the calendar alone: every one of its dates has rows.
+    run = _run(returns, "split_id, ", "own").replace("FROM (SELECT DISTINCT split_id, date FROM own) u", "FROM member u")
+    return Template(f"WITH {own},{run} SELECT split_id, days, {_figures()}, {means} FROM fig")
 
 
 TRADES = "SELECT ticker, date, close * volume AS value, adv, vol FROM $trades"

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.functions.ordered import average_ranks
 from loomframe.functions.template import Template
 
 from .xsection import quantile_buckets
@@ -28,6 +29,17 @@ def pooled_ic(spearman: bool = True) -> Template:
     return Template(f"SELECT ticker, round(ic, 6) + 0.0 AS ic FROM ({_ic('ticker', spearman=spearman)}) q")
 
 
+def whole_ic(scored: DataFrame) -> DataFrame:
+    """(n, ic): one rank correlation over all known pairs of the panel, whatever their date and ticker; null without spread.
+
+    The ranks come from ranges of the values (average_ranks), so that no task orders the panel.
+    """
+    known = scored.where("signal IS NOT NULL AND fwd IS NOT NULL").select("signal", "fwd")
+    ranked = average_ranks(known, {"signal": "a", "fwd": "b"})
+    spread = (F.max("a") > F.min("a")) & (F.max("b") > F.min("b"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), (F.round(F.when(spread, F.corr("a", "b")), 7) + 0.0).alias("ic"))
+
+
 def daily_ic(spearman: bool = True) -> Template:
     return Template(f"SELECT date, round(ic, 6) + 0.0 AS ic FROM ({_ic('date', spearman=spearman)}) q")
 
@@ -105,19 +117,34 @@ def turnover() -> Template:
 def summary(bps: float = 7.5) -> Template:
     """All metrics of a signal, its daily returns and its weights in one row.
 
-    The p-value of the mean IC follows from ic_t_stat and ic_days by student_p_value (with_p_value()).
+    Signals, returns and weights are each summed to a row a date, once; the rows of a date meet in one aggregate. The p-value of
+    the mean IC follows from ic_t_stat and ic_days by student_p_value (with_p_value()).
     """
+    over = SO_FAR
+    o = "OVER (PARTITION BY ticker ORDER BY date)"
     return Template(f"""
-WITH ic AS ({_ic('date')}), dd AS ({_drawdown()}), {dated("$weights")},{_turnover()},
-t AS (SELECT avg(turnover) AS turnover FROM turned),
-net AS (SELECT {sharpe('ret')} AS net_sharpe FROM (SELECT ret - coalesce(turnover, 0) * {bps} / 10000 AS ret FROM $daily q LEFT JOIN turned ON q.date = turned.date) x),
-a AS (SELECT avg(ic) AS mean_ic, {ICIR} AS icir, count(ic) AS ic_days, avg(CASE WHEN round(ic, 12) > 0 THEN 1e0 ELSE 0e0 END) AS hit, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(CAST(count(ic) AS DOUBLE)) AS t_stat FROM ic),
-b AS (SELECT count(*) AS days, {sharpe()} AS sharpe, ARGMAX(cum, date) - 1 AS total, power(ARGMAX(cum, date), 252e0 / count(*)) - 1 AS annual, min(dd) AS mdd,
-  stddev_samp(ret) * {YEAR} AS vol, avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) AS win FROM dd)
+WITH ic AS ({_ic('date')}),
+near AS (SELECT date, weight, lag(weight) {o} AS w0, lag(date) {o} AS d0, lead(date) {o} AS d1 FROM $weights),
+ahead AS (SELECT date, d0, d1, sum(abs(coalesce(weight, 0) - coalesce(w0, 0))) AS changed, sum(abs(coalesce(weight, 0))) AS whole FROM near GROUP BY date, d0, d1),
+held AS (SELECT date, collect_list(named_struct('d0', d0, 'd1', d1, 'changed', changed, 'whole', whole)) AS moves FROM ahead GROUP BY date),
+shifted AS (SELECT date, moves, lag(date) OVER (ORDER BY date) AS before, lead(date) OVER (ORDER BY date) AS after FROM held),
+parts AS (SELECT date, before, aggregate(moves, 0e0, (s, m) -> s + CASE WHEN m.d0 = before THEN m.changed ELSE m.whole END) AS entered,
+  aggregate(moves, 0e0, (s, m) -> s + CASE WHEN m.d1 = after THEN 0e0 ELSE m.whole END) AS leaves FROM shifted),
+turned AS (SELECT date, CASE WHEN before IS NULL THEN 0e0 ELSE (entered + coalesce(lag(leaves) OVER (ORDER BY date), 0)) / 2 END AS turnover FROM parts),
+every AS (SELECT date, true AS rated, ic, false AS earned, CAST(NULL AS DOUBLE) AS ret, CAST(NULL AS DOUBLE) AS turnover FROM ic
+  UNION ALL SELECT date, false, NULL, true, ret, NULL FROM $daily UNION ALL SELECT date, false, NULL, false, NULL, turnover FROM turned),
+day AS (SELECT date, max(rated) AS rated, max(ic) AS ic, max(earned) AS earned, max(ret) AS ret, max(turnover) AS turnover FROM every GROUP BY date),
+cum AS (SELECT *, CASE WHEN earned THEN {growth(over)} END AS cum, CASE WHEN earned THEN ret - coalesce(turnover, 0) * {bps} / 10000 END AS net FROM day),
+dd AS (SELECT *, cum / max(cum) {over} - 1 AS dd FROM cum),
+f AS (SELECT avg(ic) AS mean_ic, {ICIR} AS icir, count(ic) AS ic_days, avg(CASE WHEN round(ic, 12) > 0 THEN 1e0 ELSE 0e0 END) FILTER (WHERE rated) AS hit,
+  avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(CAST(count(ic) AS DOUBLE)) AS t_stat, {sharpe('net')} AS net_sharpe, avg(turnover) AS turnover,
+  count(*) FILTER (WHERE earned) AS days, {sharpe()} AS sharpe, max_by(cum, date) FILTER (WHERE earned) - 1 AS total,
+  power(max_by(cum, date) FILTER (WHERE earned), 252e0 / count(*) FILTER (WHERE earned)) - 1 AS annual, min(dd) AS mdd, stddev_samp(ret) * {YEAR} AS vol,
+  avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) FILTER (WHERE earned) AS win FROM dd)
 SELECT round(mean_ic, 7) AS mean_ic, round(icir, 5) AS icir, round(hit, 6) AS ic_hit_rate, ic_days, round(t_stat, 7) AS ic_t_stat, round(sharpe, 5) AS gross_sharpe,
   round(net_sharpe, 5) AS net_sharpe, days AS n_days, round(turnover, 8) AS mean_turnover, round(turnover * {bps} / 10000, 12) AS turnover_cost,
   round(total, 5) AS total_return, round(annual, 6) AS annualized_return, round(mdd, 6) AS max_drawdown, round(vol, 6) AS volatility,
-  round(CASE WHEN mdd <> 0 THEN annual / abs(mdd) ELSE 0 END, 5) AS calmar, round(win, 6) AS win_rate FROM a CROSS JOIN b CROSS JOIN t CROSS JOIN net""")
+  round(CASE WHEN mdd <> 0 THEN annual / abs(mdd) ELSE 0 END, 5) AS calmar, round(win, 6) AS win_rate FROM f""")
 
 
 def with_p_value(summarised: DataFrame) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from datetime import date
 from itertools import combinations
 
+from pyspark.sql import DataFrame
+
+from loomframe.functions.ordered import average_ranks
+from loomframe.functions.shared import stored
 from loomframe.functions.template import Template
 
 from .clean import CALENDAR
-from .metrics import YEAR, average_rank
+from .metrics import YEAR
 
 
 def walk_forward(start: str, first_end: str, final_end: str, purge: int = 63, val: int = 252, test: int = 252, roll: int = 252) -> Template:
@@ -95,17 +99,21 @@ def holdout(parts: dict[str, float]) -> Template:
     return Template(f"WITH d AS ({DATES}) SELECT date, CASE {' '.join(whens)} ELSE '{list(parts)[-1]}' END AS part FROM d")
 
 
-def evaluate(groups: int = 6, tests: int = 2, purge: int = 63, embargo: int = 21) -> Template:
+def evaluate(scored: DataFrame, groups: int = 6, tests: int = 2, purge: int = 63, embargo: int = 21) -> DataFrame:
     """Per combination: rank correlation of signal and forward return over its test rows and the Sharpe ratio (population
     deviation) of sign(signal) * return; the same over all combinations' test rows together, and means over combinations.
 
-    Ranks order a combination's test rows, and all of them, in one task each: for panels of up to some 10^8 rows.
+    A date is in several combinations, but equal values rank alike in all of them: values are counted by combination and
+    ranked over ranges (average_ranks), so no task orders a combination's rows or all of them.
     """
-    return Template(f"""WITH {_cpcv(groups, tests, purge, embargo).replace('$panel', '$scored')},
-t AS (SELECT combo, signal, fwd, sign(signal) * fwd AS pnl FROM roles JOIN $scored p ON roles.date = p.date WHERE part = 'test' AND signal IS NOT NULL AND fwd IS NOT NULL),
-r AS (SELECT *, {average_rank('signal', 'combo')} AS a, {average_rank('fwd', 'combo')} AS b, 1 AS every FROM t),
-q AS (SELECT combo, count(*) AS n, corr(a, b) AS ic, avg(pnl) / (stddev_pop(pnl) + 1e-10) * {YEAR} AS sharpe FROM r GROUP BY combo),
-z AS (SELECT *, {average_rank('signal', 'every')} AS c, {average_rank('fwd', 'every')} AS d FROM r),
-o AS (SELECT corr(c, d) AS pooled_ic, avg(pnl) / (stddev_pop(pnl) + 1e-10) * {YEAR} AS pooled_sharpe FROM z)
-SELECT CAST(combo AS INT) AS combo, n, round(ic, 7) + 0.0 AS ic, round(sharpe, 5) + 0.0 AS sharpe, round(pooled_ic, 7) + 0.0 AS pooled_ic, round(pooled_sharpe, 5) + 0.0 AS pooled_sharpe,
-  round(avg(ic) OVER (), 7) + 0.0 AS mean_ic, round(stddev_pop(ic) OVER (), 7) + 0.0 AS std_ic, round(avg(sharpe) OVER (), 5) + 0.0 AS mean_sharpe FROM q CROSS JOIN o""")
+    spark = scored.sparkSession
+    known = Template("SELECT date, signal, fwd, sign(signal) * fwd AS pnl FROM $scored WHERE signal IS NOT NULL AND fwd IS NOT NULL").apply(spark, scored=scored)
+    tested = Template(f"WITH {_cpcv(groups, tests, purge, embargo)} SELECT CAST(combo AS INT) AS combo, date FROM roles WHERE part = 'test'").apply(spark, panel=scored)
+    rows = stored(known.join(tested, "date"), "tested")
+    ranked = average_ranks(average_ranks(rows, {"signal": "a", "fwd": "b"}, ["combo"]), {"signal": "c", "fwd": "d"})
+    sharpe = f"avg(pnl) / (stddev_pop(pnl) + 1e-10) * {YEAR}"
+    return Template(f"""WITH s AS (SELECT combo, count(*) AS n, corr(a, b) AS ic, {sharpe} AS sharpe, grouping(combo) AS every, corr(c, d) AS pooled FROM $ranked GROUP BY GROUPING SETS ((combo), ())),
+o AS (SELECT pooled AS pooled_ic, sharpe AS pooled_sharpe FROM s WHERE every = 1)
+SELECT combo, n, round(ic, 7) + 0.0 AS ic, round(sharpe, 5) + 0.0 AS sharpe, round(pooled_ic, 7) + 0.0 AS pooled_ic, round(pooled_sharpe, 5) + 0.0 AS pooled_sharpe,
+  round(avg(ic) OVER (), 7) + 0.0 AS mean_ic, round(stddev_pop(ic) OVER (), 7) + 0.0 AS std_ic, round(avg(sharpe) OVER (), 5) + 0.0 AS mean_sharpe
+FROM s CROSS JOIN o WHERE every = 0""").apply(spark, ranked=stored(ranked.select("combo", "pnl", "a", "b", "c", "d"), "ranked-rows"))

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.functions.ordered import in_blocks
 from loomframe.functions.shared import shared_dir
-from loomframe.operators import labeling, models
+from loomframe.operators import indicators, labeling, microstructure, models, technical
 from loomframe.sources.bars import bars, read_table
 from loomframe.streaming.bars import event_bars, run_bars
 
@@ -42,11 +43,33 @@ def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.live_signals(out.withColumnRenamed("t0", "date")).withColumn("position", F.col("position").cast("int"))
 
 
+#: Bars of a minute, at a level where logarithms are known: five histories of any length.
+MINUTES_SQL = """SELECT event_type AS ticker, date_trunc('minute', ts) AS date, 100 + arg_min(value, (ts, event_id)) / 7 AS open, 100 + max(value) / 7 AS high,
+  100 + min(value) / 7 AS low, 100 + arg_max(value, (ts, event_id)) / 7 AS close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL"""
+#: Rows of a block in these queries; the library's default is 65,536.
+BLOCK = 1024
+INTRADAY = {
+    "t20_intraday": technical.compute_all, "t01_intraday": technical.cum_returns, "m01_intraday": microstructure.amihud,
+    "i05_intraday": indicators.rolling_stats, "f02_intraday": lambda: indicators.fracdiff((0.5,)),
+}
+
+
+def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = event_bars(read_table(spark, sf_dir, "events"), "1 minute")
+    level = [(F.col(c) / 7 + 100).alias(c) for c in ("open", "high", "low", "close")]
+    return made.select("ticker", F.col("start").alias("date"), *level, F.col("n_events").cast("double").alias("volume"))
+
+
+def intraday(steps):
+    return lambda spark, sf_dir: in_blocks(steps(), minute_bars(spark, sf_dir), BLOCK).withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm"))
+
+
 _BARS = """SELECT event_type AS ticker, strftime(s, '%Y-%m-%d %H:%M') AS start, round(arg_min(value, (ts, event_id)), 6) AS open, round(max(value), 6) AS high,
   round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*) AS n_events
 FROM (SELECT *, date_trunc('hour', ts) AS s FROM events) e {where} GROUP BY event_type, s"""
 QUERIES = {"st_hourly_bars": hourly_bars, "st_streamed_bars": streamed_bars, "a04_a07_two_stage_signals": two_stage}
-ORACLES = {
+QUERIES |= {name: intraday(steps) for name, steps in INTRADAY.items()}
+ORACLES = {name: f"SELECT * REPLACE (strftime(date, '%Y-%m-%d %H:%M') AS date) FROM ({steps().sql(MINUTES_SQL)})" for name, steps in INTRADAY.items()} | {
     "st_hourly_bars": _BARS.format(where=""),
     "st_streamed_bars": _BARS.format(where="WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"),
 }

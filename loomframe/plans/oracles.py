@@ -202,6 +202,26 @@ SELECT quantile, round(r, 8) + 0.0 AS mean_return, days, round(c / dates::DOUBLE
     }
 
 
+def pooled(scored: str, groups: int = 6, purge: int = 63, embargo: int = 21) -> dict[str, str]:
+    """Rank correlations over whole columns: ranks by counting what is smaller and what is equal."""
+    s = f"WITH s AS ({scored}), k AS (SELECT date, signal, fwd, sign(signal) * fwd AS pnl FROM s WHERE signal IS NOT NULL AND fwd IS NOT NULL)"
+    rank = lambda src, x, by="": f"(SELECT {by}{x} AS v, sum(count(*)) OVER ({f'PARTITION BY {by[:-2]} ' if by else ''}ORDER BY {x}) - (count(*) - 1) / 2e0 AS r FROM {src} GROUP BY {by}{x})"
+    year = "sqrt(252e0)"
+    return {
+        "k01_ic_whole": f"""{s} SELECT count(*) AS n, round(corr(a.r, b.r), 7) + 0.0 AS ic FROM k JOIN {rank('k', 'signal')} a ON k.signal = a.v JOIN {rank('k', 'fwd')} b ON k.fwd = b.v""",
+        "p07_evaluate": f"""{s}, d AS (SELECT date, least({groups - 1}, (row_number() OVER (ORDER BY date) - 1) // (count(*) OVER () // {groups})) AS g FROM (SELECT DISTINCT date FROM s)),
+c AS (SELECT (row_number() OVER (ORDER BY a, b) - 1)::INT AS combo, a, b FROM range({groups}) x(a), range({groups}) y(b) WHERE a < b),
+t AS (SELECT combo, k.* FROM k JOIN d USING (date) JOIN c ON g = a OR g = b),
+r AS (SELECT t.combo, pnl, p.r AS a, q.r AS b, u.r AS c, w.r AS d FROM t
+  JOIN {rank('t', 'signal', 'combo, ')} p ON t.combo = p.combo AND t.signal = p.v JOIN {rank('t', 'fwd', 'combo, ')} q ON t.combo = q.combo AND t.fwd = q.v
+  JOIN {rank('t', 'signal')} u ON t.signal = u.v JOIN {rank('t', 'fwd')} w ON t.fwd = w.v),
+o AS (SELECT corr(c, d) AS pic, avg(pnl) / (stddev_pop(pnl) + 1e-10) * {year} AS ps FROM r),
+e AS (SELECT combo, count(*) AS n, corr(a, b) AS ic, avg(pnl) / (stddev_pop(pnl) + 1e-10) * {year} AS sh FROM r GROUP BY combo)
+SELECT combo, n, round(ic, 7) + 0.0 AS ic, round(sh, 5) + 0.0 AS sharpe, round(pic, 7) + 0.0 AS pooled_ic, round(ps, 5) + 0.0 AS pooled_sharpe,
+  round(avg(ic) OVER (), 7) + 0.0 AS mean_ic, round(stddev_pop(ic) OVER (), 7) + 0.0 AS std_ic, round(avg(sh) OVER (), 5) + 0.0 AS mean_sharpe FROM e, o""",
+    }
+
+
 def sequences(scored: str) -> dict[str, str]:
     """Sequences as rows, from numbered dates and rows."""
     return {

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dataclasses import replace
 
+from loomframe.functions.shared import stored
 from loomframe.functions.sqlsteps import lag, last, lead, rolling
 from loomframe.functions.template import Template
 from loomframe.operators import backtest, indicators, informed, labeling, metrics, notebook, splits, technical, xsection
@@ -114,7 +115,6 @@ PAIRS = {
     "p06_roles": query(splits.roles(), panel="panel"),
     "p07_holdout_80_20": query(splits.holdout({"train": 0.8, "test": 0.2}), panel="panel"),
     "p07_holdout_70_15_15": query(splits.holdout({"train": 0.7, "val": 0.15, "test": 0.15}), panel="panel"),
-    "p07_evaluate": query(splits.evaluate(), scored="scored"),
     "k01_ic": query(metrics.pooled_ic(), scored="scored"),
     "k01_ic_pearson": query(metrics.pooled_ic(spearman=False), scored="scored"),
     "k02_daily_ic": query(metrics.daily_ic(), scored="scored"),
@@ -122,7 +122,6 @@ PAIRS = {
     "k04_sharpe": query(metrics.sharpe_ratio(), daily="daily"),
     "k05_max_drawdown": query(metrics.max_drawdown(), daily="daily"),
     "k06_turnover": query(metrics.turnover(), weights="weights"),
-    "k07_summary": query(metrics.summary(), scored="scored", daily="daily", weights="weights"),
     "k08_ic_decay": query(metrics.ic_decay(), multi="multi"),
     "k09_quantile_returns": query(metrics.quantile_returns(), panel="scored"),
     "k10_sector_ic": query(metrics.sector_ic(), scored="scored"),
@@ -132,7 +131,6 @@ PAIRS = {
     "k14_ordinal_ic": query(metrics.ordinal_ic(), scored="scored"),
     "k15_strategy_return": query(metrics.strategy_return(), scored="scored"),
     "k16_ic_monitor": query(metrics.ic_monitor(), scored="scored"),
-    "k17_acceptance_gate": query(Template(metrics.acceptance_gate().text.replace("$run", f"({backtest.result().text}) run")), scored="scored"),
     "b01_align": query(backtest.align(), scored="scored"),
     "b02_target_weights": query(backtest.target_weights(), scored="scored"),
     "b03_capped_weights": query(backtest.capped_weights(), scored="scored"),
@@ -141,9 +139,7 @@ PAIRS = {
     "b06_gross_returns": query(backtest.gross_returns(), scored="scored"),
     "b07_trading_costs": query(backtest.trading_costs(), scored="scored"),
     "b08_impact_costs": query(backtest.impact_costs(), scored="scored"),
-    "b09_result": query(backtest.result(), scored="scored"),
     "b09_positions": query(backtest.positions(), scored="scored"),
-    "b10_walk_forward": query(backtest.walk_forward(), scored="scored", splits="years"),
     "b11_transaction_costs": query(backtest.transaction_costs(), trades="trades"),
     "b11_portfolio_costs": query(backtest.portfolio_costs(), trades="orders", volumes="volumes"),
     "b12_market_impact": query(backtest.market_impact(), trades="trades"),
@@ -154,9 +150,32 @@ PAIRS = {
 QUERIES = {k: v[0] for k, v in PAIRS.items()}
 ORACLES = {k: v[1] for k, v in PAIRS.items()}
 
-_summary = QUERIES["k07_summary"]
+
+
+def _scored(spark, sf_dir):
+    return SCORED.apply(spark, panel=bars(spark, sf_dir))
+
+
+def _summary(spark, sf_dir):
+    """The scored panel is stored, since its signals and the weights made of them are both summed up."""
+    panel = bars(spark, sf_dir)
+    scored = stored(SCORED.apply(spark, panel=panel), "scored")
+    weights = backtest.final_weights().apply(spark, scored=scored).where("weight IS NOT NULL")
+    return metrics.with_p_value(metrics.summary().apply(spark, scored=scored, daily=DAILY.apply(spark, panel=panel), weights=weights))
+
+
+def _walk_forward(spark, sf_dir):
+    panel = bars(spark, sf_dir)
+    return backtest.walk_forward().apply(spark, scored=SCORED.apply(spark, panel=panel), splits=YEARS.apply(spark, panel=panel))
+
+
 QUERIES |= {
-    "k07_summary": lambda spark, sf_dir: metrics.with_p_value(_summary(spark, sf_dir)),
+    "k07_summary": _summary,
+    "k17_acceptance_gate": lambda spark, sf_dir: metrics.acceptance_gate().apply(spark, run=backtest.result().apply(spark, scored=_scored(spark, sf_dir))),
+    "b09_result": lambda spark, sf_dir: backtest.result().apply(spark, scored=_scored(spark, sf_dir)),
+    "b10_walk_forward": _walk_forward,
+    "p07_evaluate": lambda spark, sf_dir: splits.evaluate(_scored(spark, sf_dir)),
+    "k01_ic_whole": lambda spark, sf_dir: metrics.whole_ic(_scored(spark, sf_dir)),
     "l01_ewm_vol": lambda spark, sf_dir: labeling.ewm_vol(bars(spark, sf_dir)).select("ticker", "date", F.round("vol", 7).alias("vol")),
     "e01_ewm": lambda spark, sf_dir: indicators.ewm(bars(spark, sf_dir)),
     "v10_vol_surprise": lambda spark, sf_dir: indicators.vol_surprise(bars(spark, sf_dir)),
@@ -231,5 +250,6 @@ SELECT w.ticker, w.date, round(CASE WHEN w.c < 5 OR w.i < 19 THEN NULL WHEN w.lo
 ORACLES |= oracles.INDICATORS
 ORACLES |= oracles.backtests(SCORED.sql(panel=BARS_SQL), YEARS.sql(panel=BARS_SQL), FIXTURES["trades"].sql(panel=BARS_SQL))
 ORACLES |= oracles.metrics(SCORED.sql(panel=BARS_SQL), DAILY.sql(panel=BARS_SQL), WEIGHTS_SQL)
+ORACLES |= oracles.pooled(SCORED.sql(panel=BARS_SQL))
 ORACLES |= oracles.sequences(SCORED.sql(panel=BARS_SQL))
 ORACLES["l01_ewm_vol"] = oracles.ewm_deviation()
