@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from loomframe.functions.ordered import in_blocks
 from loomframe.functions.shared import shared_dir
 from loomframe.operators import indicators, labeling, microstructure, models, technical
-from loomframe.sources.bars import bars, read_table
-from loomframe.streaming.bars import event_bars, run_bars
+from loomframe.sources import responses
+from loomframe.sources.bars import BARS_SQL, bars, read_table
+from loomframe.streaming.bars import event_bars, run_bars, run_moments
 
 from . import research
 
@@ -33,6 +34,42 @@ def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.read.parquet(f"{work}/out"))
 
 
+def streamed_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling moments of the events as a stream that comes in six micro-batches by time."""
+    work = f"{shared_dir(spark).rstrip('/')}/moments-{uuid.uuid4().hex}"
+    events = read_table(spark, sf_dir, "events")
+    for days in range(0, 30, 5):
+        events.where(f"ts >= timestamp_ntz'2024-01-01' + INTERVAL {days} DAY AND ts < timestamp_ntz'2024-01-01' + INTERVAL {days + 5} DAY").write.mode("append").parquet(f"{work}/in")
+    run_moments(spark, f"{work}/in", f"{work}/out", f"{work}/state", files=64).awaitTermination()
+    cols = [(F.round(c, 6) + 0.0).alias(c) for c in ("mean", "std")]
+    return spark.read.parquet(f"{work}/out").select("ticker", "event_id", *cols)
+
+
+BROKEN = "Brand#13"
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fetches of the panel as a provider's answers, the second of a longer range; one ticker's answer is broken.
+
+    A row a ticker: its bars after the second fetch, and how many days each fetch asked the provider for.
+    """
+    work = f"{shared_dir(spark).rstrip('/')}/provider-{uuid.uuid4().hex}"
+    panel = bars(spark, sf_dir)
+    answer = F.to_json(F.struct(F.col("date").cast("string").alias("date"), "open", "high", "low", "close", "volume"))
+    lines = panel.select("ticker", F.when(F.col("ticker") == BROKEN, "{oops").otherwise(answer).alias("value"))
+    lines.repartition("ticker").write.partitionBy("ticker").text(f"{work}/answers")
+    cache = responses.Cache(spark, f"{work}/cache")
+    every = panel.select("ticker").distinct()
+    wanted = lambda lo, hi: every.selectExpr("ticker", f"DATE '{lo}' AS lo", f"DATE '{hi}' AS hi")
+    days = lambda asked, name: asked.groupBy("ticker").agg(F.sum(F.datediff("hi", "lo") + 1).cast("long").alias(name))
+    _, _, first = cache.fetch(f"{work}/answers", wanted("1994-01-01", "1995-12-31"))
+    rows, failed, second = cache.fetch(f"{work}/answers", wanted("1993-07-01", "1997-12-31"))
+    found = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_bars"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.round(F.sum("close"), 4).alias("closes"))
+    errors = failed.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_failed"))
+    out = every.join(days(first, "asked_first"), "ticker", "left").join(days(second, "asked_second"), "ticker", "left").join(found, "ticker", "left").join(errors, "ticker", "left")
+    return out.fillna(0, ["n_bars", "n_failed", "asked_first", "asked_second"])
+
+
 def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of the events from 1997 on, by models of the events that ended before."""
     panel = bars(spark, sf_dir)
@@ -68,8 +105,15 @@ _BARS = """SELECT event_type AS ticker, strftime(s, '%Y-%m-%d %H:%M') AS start,
   round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*) AS n_events
 FROM (SELECT *, date_trunc('hour', ts) AS s FROM events) e {where} GROUP BY event_type, s"""
 QUERIES = {"st_hourly_bars": hourly_bars, "st_streamed_bars": streamed_bars, "a04_a07_two_stage_signals": two_stage}
+QUERIES |= {"s04_fetched": fetched, "st_rolling_moments": streamed_moments}
 QUERIES |= {name: intraday(steps) for name, steps in INTRADAY.items()}
 ORACLES = {name: f"SELECT * REPLACE (strftime(date, '%Y-%m-%d %H:%M') AS date) FROM ({steps().sql(MINUTES_SQL)})" for name, steps in INTRADAY.items()} | {
     "st_hourly_bars": _BARS.format(where=""),
     "st_streamed_bars": _BARS.format(where="WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"),
+    "st_rolling_moments": """SELECT event_type AS ticker, event_id, round(CASE WHEN count(*) OVER w = 20 THEN avg(value) OVER w END, 6) + 0.0 AS mean,
+  round(CASE WHEN count(*) OVER w = 20 THEN stddev_samp(value) OVER w END, 6) + 0.0 AS std FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 19 PRECEDING)""",
+    "s04_fetched": f"""WITH b AS ({BARS_SQL}), f AS (SELECT ticker, count(*) AS n_bars, min(date) AS first_day, max(date) AS last_day, round(sum(close), 4) AS closes
+  FROM b WHERE date BETWEEN DATE '1993-07-01' AND DATE '1997-12-31' AND ticker <> '{BROKEN}' GROUP BY ticker)
+SELECT t.ticker, 730 AS asked_first, CASE WHEN t.ticker = '{BROKEN}' THEN 1645 ELSE 184 + 731 END AS asked_second, coalesce(n_bars, 0) AS n_bars, first_day, last_day, closes,
+  CASE WHEN t.ticker = '{BROKEN}' THEN 1 ELSE 0 END AS n_failed FROM (SELECT DISTINCT ticker FROM b) t LEFT JOIN f ON t.ticker = f.ticker""",
 }
