@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.ordered import in_blocks
 from loomframe.functions.shared import shared_dir
-from loomframe.operators import indicators, labeling, microstructure, models, technical
+from loomframe.operators import indicators, labeling, microstructure, models, search, technical
 from loomframe.sources import responses
 from loomframe.sources.bars import BARS_SQL, bars, read_table
 from loomframe.streaming.bars import event_bars, run_bars, run_moments
@@ -70,6 +70,17 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.fillna(0, ["n_bars", "n_failed", "asked_first", "asked_second"])
 
 
+SPACE = {"penalty": search.Number(1e-3, 10, log=True), "clip": search.Number(1, 5), "half_life": search.Number(60, 2000, log=True)}
+
+
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten trials of a ridge regression of the next return on four columns, over three purged folds of dates."""
+    scored = research.SCORED.apply(spark, panel=bars(spark, sf_dir)).withColumn("turn", F.col("volume") * F.col("close"))
+    columns = ["signal", "volume", "vol", "turn"]
+    objective = search.ridge_objective(search.purged_rows(scored, columns, 3), columns)
+    return search.trial_rows(spark, search.search(objective, SPACE, 3, 10), list(SPACE))
+
+
 def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of the events from 1997 on, by models of the events that ended before."""
     panel = bars(spark, sf_dir)
@@ -105,7 +116,7 @@ _BARS = """SELECT event_type AS ticker, strftime(s, '%Y-%m-%d %H:%M') AS start,
   round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*) AS n_events
 FROM (SELECT *, date_trunc('hour', ts) AS s FROM events) e {where} GROUP BY event_type, s"""
 QUERIES = {"st_hourly_bars": hourly_bars, "st_streamed_bars": streamed_bars, "a04_a07_two_stage_signals": two_stage}
-QUERIES |= {"s04_fetched": fetched, "st_rolling_moments": streamed_moments}
+QUERIES |= {"s04_fetched": fetched, "st_rolling_moments": streamed_moments, "a03_search": searched}
 QUERIES |= {name: intraday(steps) for name, steps in INTRADAY.items()}
 ORACLES = {name: f"SELECT * REPLACE (strftime(date, '%Y-%m-%d %H:%M') AS date) FROM ({steps().sql(MINUTES_SQL)})" for name, steps in INTRADAY.items()} | {
     "st_hourly_bars": _BARS.format(where=""),
