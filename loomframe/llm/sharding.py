@@ -18,15 +18,24 @@ def _directory(sizes: DataFrame, depth: int, limit: int, within: list[str]) -> D
     """(*within, slot, depth, prefix, shard_bytes, shard_rows) for each used directory slot of `depth` bits.
 
     A slot points at the shallowest prefix whose rows fit the limit; a lone row that does not fit stands alone,
-    and rows that agree in all hash bits stay together.
+    and rows that agree in all hash bits stay together. Above the shallowest such prefix of a group no slot can point
+    anywhere, so slots are set against the prefixes from there down only: these hold about as many slots as a shard has.
     """
-    levels = sizes.select(
-        *within, "slot", "bytes", "rows", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth")
-    ).withColumn("prefix", F.expr(f"shiftright(slot, {depth} - depth)"))
-    totals = levels.groupBy(*within, "depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
+    sums = [F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows")]
+
+    def levels(rows: DataFrame, from_: Column) -> DataFrame:
+        each = rows.select(*within, "slot", "bytes", "rows", F.explode(F.sequence(from_, F.lit(depth))).alias("depth"))
+        return each.withColumn("prefix", F.expr(f"shiftright(slot, {depth} - depth)"))
+
     done = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.col("depth") == depth)
+    totals = stored(levels(sizes, F.lit(0)).groupBy(*within, "depth", "prefix").agg(*sums).where(done), "prefixes")
+    top = totals.groupBy(*within).agg(F.min("depth").alias("top"))
+    if within:
+        below = levels(sizes.join(top, within), F.col("top"))
+    else:
+        below = levels(sizes, F.lit(top.first()["top"] or 0))
     return (
-        levels.join(totals.where(done), [*within, "depth", "prefix"])
+        below.join(totals, [*within, "depth", "prefix"])
         .groupBy(*within, "slot")
         .agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("s"))
         .select(*within, "slot", "s.*")
@@ -39,9 +48,10 @@ def _split(rows: DataFrame, depth: int, limit: int, within: list[str]) -> tuple[
     The directory deepens only while some slot is over the limit with rows that more bits can part."""
     while True:
         slot = F.shiftright("_h", BITS - depth)
-        sizes = rows.groupBy(*within, slot.alias("slot")).agg(
-            F.sum("row_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("_h").alias("lo"), F.max("_h").alias("hi")
+        counted = rows.groupBy(*within, slot.alias("slot")).agg(
+            F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("_h").alias("lo"), F.max("_h").alias("hi")
         )
+        sizes = stored(counted, "slots")  # so the rows are read once for a depth
         if depth == BITS or sizes.where((F.col("bytes") > limit) & (F.col("lo") != F.col("hi"))).isEmpty():
             break
         depth = min(BITS, depth + 6)
@@ -59,6 +69,10 @@ def _split(rows: DataFrame, depth: int, limit: int, within: list[str]) -> tuple[
     ), slot
 
 
+#: Columns that assign_shards adds, after those of the rows.
+ADDED = ("row_bytes", "shard", "shard_depth", "shard_bytes")
+
+
 def assign_shards(docs: DataFrame, limit_bytes: int, key: str = "doc_id", size: Column | None = None, text: str = "text") -> DataFrame:
     """Add shard ("depth-prefix"), shard_depth, shard_bytes and row_bytes to every row.
 
@@ -72,33 +86,36 @@ def assign_shards(docs: DataFrame, limit_bytes: int, key: str = "doc_id", size:
     one key holds; the rows of all other keys stay together by key.
 
     Nulls: a null key hashes as empty text, a null text has 0 bytes. One row over the limit is a shard of its own.
-    Ties and repeated rows are covered by the second directory. An empty table gives no rows; extra columns pass through
-    unless they bear the names added here, which are replaced.
+    Ties and repeated rows are covered by the second directory. An empty table gives no rows; extra columns of any name
+    pass through unless they bear the names added here, which are replaced.
     """
     own = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") if size is None else size.cast("long")
-    rows = docs.withColumns({"_h": md5_bits(F.col(key), BITS), "row_bytes": own})
-    total = rows.agg(F.sum("row_bytes").alias("b")).first()
+    # Inside, the rows' columns are numbered, so that none of them can meet a name used here.
+    names = {f"c{i}": c for i, c in enumerate(docs.columns) if c not in ADDED}
+    hashes = {"_h": md5_bits(F.col(key), BITS), "_text_h": md5_bits(F.col(text), TEXT_BITS), "_size": own}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()], *[e.alias(n) for n, e in hashes.items()])
+    total = rows.agg(F.sum("_size").alias("b")).first()
     found, slot = _split(rows, _first_depth(total["b"], limit_bytes), limit_bytes, [])
     crowded = (F.col("_bytes") > limit_bytes) & (F.col("_rows") > 1)
     if found.where(crowded).isEmpty():
-        return _named(rows.withColumn("_slot", slot).join(found, "_slot"))
+        return _named(rows.withColumn("_slot", slot).join(found, "_slot"), names)
     # The place of a row is taken before any shuffle, and stored, so that it is one and the same in all that follows.
     place = F.shiftright(md5_bits(F.monotonically_increasing_id()), TEXT_BITS)
-    tie = F.shiftleft(md5_bits(F.col(text), TEXT_BITS), BITS - TEXT_BITS) + place
+    tie = F.shiftleft("_text_h", BITS - TEXT_BITS) + place
     placed = rows.withColumns({"_slot": slot, "_tie": tie}).join(found, "_slot")
     held = placed.where(crowded).withColumns({"_h": F.col("_tie"), "_outer": F.col("_shard"), "_outer_depth": F.col("_depth")})
     held = stored(held.drop("_tie", "_slot", "_shard", "_depth", "_bytes", "_rows"), "crowded")
-    most = held.groupBy("_outer").agg(F.sum("row_bytes").alias("b")).agg(F.max("b")).first()[0]
+    most = held.groupBy("_outer").agg(F.sum("_size").alias("b")).agg(F.max("b")).first()[0]
     inner, slot = _split(held, _first_depth(most, limit_bytes), limit_bytes, ["_outer"])
     parted = held.withColumn("_slot", slot).join(inner, ["_outer", "_slot"])
     parted = parted.withColumns({"_shard": F.concat_ws(".", "_outer", "_shard"), "_depth": F.col("_outer_depth") + F.col("_depth")})
-    return _named(placed.where(~crowded).drop("_tie")).unionByName(_named(parted.drop("_outer", "_outer_depth")))
+    return _named(placed.where(~crowded), names).unionByName(_named(parted, names))
 
 
 def _first_depth(total: int | None, limit: int) -> int:
     return min(BITS, math.ceil(math.log2(max(1, (total or 0) // limit))) + 6)
 
 
-def _named(placed: DataFrame) -> DataFrame:
-    out = placed.withColumns({"shard": F.col("_shard"), "shard_depth": F.col("_depth"), "shard_bytes": F.col("_bytes")})
-    return out.drop("_h", "_slot", "_shard", "_depth", "_bytes", "_rows")
+def _named(placed: DataFrame, names: dict[str, str]) -> DataFrame:
+    made = {"row_bytes": "_size", "shard": "_shard", "shard_depth": "_depth", "shard_bytes": "_bytes"}
+    return placed.select(*[F.col(n).alias(c) for n, c in (names | {own: c for c, own in made.items()}).items()])

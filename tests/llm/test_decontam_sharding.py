@@ -122,3 +122,17 @@ def test_one_key_with_a_third_of_all_rows(spark):
         if r.doc_id not in (5, 77):
             others.setdefault(r.doc_id, set()).add(r.shard)
     assert all(len(s) == 1 for s in others.values())
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Names used inside, names with dots and blanks; only the added names are replaced. With and without a crowded key."""
+    names = ["_h", "_bytes", "_shard", "_rows", "_slot", "_tie", "_depth", "_size", "_outer", "c0", "slot", "depth", "prefix", "a.b", "c d", "shard", "row_bytes"]
+    ddl = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    for crowd in (0, 60):
+        rows = [(i, "x" * 40, *[f"{n}{i}" for n in names]) for i in range(100)] + [(7, "y" * 30 + str(i), *[f"{n}-{i}" for n in names]) for i in range(crowd)]
+        out = sharding.assign_shards(spark.createDataFrame(rows, ddl), 500)
+        assert out.columns == ["doc_id", "text", *names[:-2], "row_bytes", "shard", "shard_depth", "shard_bytes"]
+        kept = ["doc_id", "text", *names[:-2]]
+        got = out.collect()
+        assert sorted(tuple(r[c] for c in kept) for r in got) == sorted(r[: len(kept)] for r in rows)
+        assert all(r.row_bytes == len(r.text) and r.shard_bytes <= 500 for r in got)
