@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from .common import added, discard, drawn, stored
 
 
+#: Bytes of one array at work in a task or in the driver: slices of rows and groups of queries follow from it.
+WORK_BYTES = 16 << 20
+
+
+def _rows_of(each: int, most: int) -> int:
+    """How many rows of `each` bytes make an array of WORK_BYTES, `most` at most."""
+    return max(1, min(most, WORK_BYTES // each))
+
+
 @dataclass(frozen=True)
 class Quantiser:
     """Codebooks: for each subspace 16 centroids; `pull` is the weight of the residual parallel to the vector."""
@@ -29,6 +38,10 @@ class Quantiser:
 
     def assign(self, unit: np.ndarray, rounds: int = 3) -> np.ndarray:
         """Codes (n, subspaces): coordinate descent on |r|^2 + (pull - 1) (x . r)^2 with r = x - decoded(x)."""
+        step = _rows_of(len(self.books) * 16 * 8, len(unit))
+        return np.concatenate([self._assign(unit[at : at + step], rounds) for at in range(0, len(unit), step)])
+
+    def _assign(self, unit: np.ndarray, rounds: int) -> np.ndarray:
         x, books = self._split(unit), self.books
         n, m, _ = x.shape
         near = np.stack([((x[:, j, None, :] - books[j]) ** 2).sum(-1) for j in range(m)], 1)  # (n, m, 16)
@@ -94,8 +107,14 @@ def usable(vector: Column, dim: int | None = None) -> Column:
     return F.coalesce(fine & (F.size(v) == dim if dim else F.size(v) > 0), F.lit(False))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return np.asarray(flat, np.float64).reshape(-1, dim)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Each row as one value that can be sorted and compared."""
+    return np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -110,10 +129,10 @@ class Index:
     quantiser: Quantiser
 
 
-def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sample_rows: int = 16_384, width: int = 2) -> Index | None:
-    """Fit codebooks on about sample_rows rows (by a hash of the key, never more than twice as many; any sample_rows rows
-    where so few keys are repeated so often that none of them is drawn) and encode every usable row. None if no row is
-    usable.
+def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sample_rows: int = 8192, width: int = 2, sample_bytes: int = 8 << 20) -> Index | None:
+    """Fit codebooks on about sample_rows rows, or as many as have sample_bytes together where these are fewer (by a hash of
+    the key, never more than twice as many; any so many rows where so few keys are repeated so often that none of them is
+    drawn), and encode every usable row. None if no row is usable.
 
     The dimension is that of most rows, counted over all of them (the smaller one of a tie). Left out: rows with a null
     key, and vectors that are null, zero, of another dimension or with null or non-finite components.
@@ -125,13 +144,17 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
         return None
     dim = most["dim"]
     own = rows.where(F.size("vector") == dim)
-    sample = drawn(own, "id", sample_rows).select("vector").collect() or own.select("vector").take(sample_rows)
-    quantiser = fit(_unit(np.array(sorted(r.vector for r in sample), np.float64)), width)
+    size = max(16, min(sample_rows, sample_bytes // (8 * dim)))
+    sample = _matrix(drawn(own, "id", size).select("vector").toArrow().column(0), dim)
+    if not len(sample):
+        sample = _matrix(own.select("vector").limit(size).toArrow().column(0), dim)
+    quantiser = fit(_unit(sample[np.argsort(_whole(sample), kind="stable")]), width)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            step = _rows_of(8 * dim, 4096)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 codes = quantiser.encode(_unit(_matrix(part.column(1), dim)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "vector", "code"])
 
@@ -144,8 +167,7 @@ def _first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
     Equal vectors tie at any query and ties go to smaller ids, so further copies can be in no result.
     """
     order = np.argsort(ids, kind="stable")
-    whole = np.ascontiguousarray(vectors[order]).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel()
-    _, group = np.unique(whole, return_inverse=True)
+    _, group = np.unique(_whole(vectors[order]), return_inverse=True)
     by = np.argsort(group, kind="stable")
     sizes = np.bincount(group)
     rank = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -155,33 +177,40 @@ def _first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
 def _scan(index: Index, q_ids: np.ndarray, q_vectors: np.ndarray, k: int, rerank: int) -> DataFrame:
     """Each task's k nearest of one block of queries, by exact cosine of its `rerank` best by table scan a chunk.
 
-    A task reads its rows' codes once for the whole block. Tables are made for 256 queries at a time, 4 MB for 64
-    dimensions, so memory does not grow with the block but for the vectors and the k best of each query.
+    A task reads its rows' codes once for the whole block. Rows come in slices, queries in groups and reranked vectors in
+    smaller ones, each an array of WORK_BYTES at most whatever the dimension; so memory grows with the block by its vectors and
+    the k best of each query only.
     """
     dim, quantiser = index.quantiser.dim, index.quantiser
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = np.sqrt((q_vectors * q_vectors).sum(1))
         unit, n = q_vectors / norms[:, None], len(q_ids)
-        few = quantiser.tables(unit) if n <= 2048 else None
+        m = len(quantiser.books)
+        group = _rows_of(m // 2 * 1024, 256)
+        few = quantiser.tables(unit) if n * m // 2 * 1024 <= 2 * WORK_BYTES else None
         best_s, best_i = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
         for b in batches:
-            for at in range(0, b.num_rows, 8192):
-                part = b.slice(at, 8192)
+            step = _rows_of(8 * dim, 8192)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 ids, vectors = part.column(0).to_numpy(), _matrix(part.column(1), dim)
                 codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
                 own = _first_copies(ids, vectors, k)
                 ids, vectors, codes = ids[own], vectors[own], codes[own]
                 lengths = np.sqrt((vectors * vectors).sum(1))
                 take = min(len(ids), rerank)
-                for lo in range(0, n, 256):
-                    hi = min(n, lo + 256)
+                for lo in range(0, n, group):
+                    hi = min(n, lo + group)
                     tables = quantiser.tables(unit[lo:hi]) if few is None else few[:, lo:hi]
                     approx = np.zeros((hi - lo, len(ids)), np.float32)
                     for j in range(codes.shape[1]):
                         approx += np.take(tables[j], codes[:, j], axis=1)
                     pick = np.argpartition(-approx, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (hi - lo, 1))
-                    exact = (vectors[pick] * q_vectors[lo:hi, None, :]).sum(-1) / (lengths[pick] * norms[lo:hi, None])
+                    exact, few_q = np.empty(pick.shape), _rows_of(8 * dim * take, hi - lo)
+                    for x in range(0, hi - lo, few_q):
+                        exact[x : x + few_q] = (vectors[pick[x : x + few_q]] * q_vectors[lo + x : min(hi, lo + x + few_q), None, :]).sum(-1)
+                    exact /= lengths[pick] * norms[lo:hi, None]
                     found = ids[pick]
                     exact[found == q_ids[lo:hi, None]] = -np.inf
                     s, i = np.concatenate([best_s[lo:hi], exact], 1), np.concatenate([best_i[lo:hi], found], 1)

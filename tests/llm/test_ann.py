@@ -75,3 +75,30 @@ def test_sample_of_few_repeated_keys(spark):
     index = ann.build_index(df, sample_rows=2)
     assert index is not None and index.quantiser.dim == 3
     assert {r.vec_id for r in ann.search(index, df.where("vec_id = 50")).collect()} == {51, 52}
+
+
+def test_wide_vectors(spark):
+    """1024 dimensions: recall, and what the parts of it take at most in the driver and in a worker."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 1024))
+    x = (centres[rng.integers(0, 60, 3000)] + 0.9 * rng.normal(size=(3000, 1024))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(2)
+    index = ann.build_index(df)
+    got = {}
+    for r in ann.search(index, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute([(i, v) for i, v in enumerate(x)])
+    assert sum(len(got[q] & {a for a, _ in want[q]}) for q in want) / (5 * len(want)) >= 0.9
+
+    def peak(f):
+        tracemalloc.start()
+        f()
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return most
+
+    unit = rng.normal(size=(2048, 1024))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    assert peak(lambda: index.quantiser.encode(unit)) < 200 and peak(lambda: ann.fit(unit[:1024], rounds=2)) < 300
