@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 import dataclasses
+import datetime
 import os
 from dataclasses import dataclass, field
 
 import yaml
 
 
+@dataclass(frozen=True)
+class Data:
+    # The defaults of the first and last day, the liquidity floors, the sources and the macro series.
+    start_date: datetime.date = datetime.date(2000, 1, 1)
+    end_date: datetime.date = datetime.date(2025, 12, 31)
+    universe_update: str = "quarterly"
+    min_price: float = 5.0
+    min_dollar_volume: float = 1_000_000.0
+    primary_source: str = "yfinance"
+    fallback_source: str = "alpha_vantage"
+    macro_tickers: tuple[str, ...] = ("^GSPC", "^IXIC", "^RUT", "^VIX", "^TNX", "^MOVE", "DX-Y.NYB", "GLD", "USO", "TLT")
+
+
 @dataclass(frozen=True)
 class Features:
     return_windows: tuple[int, ...] = (5, 10, 21, 63, 126, 252)
@@ -42,12 +56,35 @@ class Costs:
     capital: float = 10_000_000.0
 
 
+@dataclass(frozen=True)
+class Models:
+    """Settings of the two stages' classifiers; those of networks have no user here."""
+
+    kind: str = "logistic"
+    stage_one_threshold: float = 0.65
+    least_events: int = 100
+    lasso_features: int = 40
+    lasso_alpha: float = 0.01
+    seed: int = 42
+
+
+@dataclass(frozen=True)
+class Inference:
+    run_time: str = "16:30"
+    output_dir: str = "signals"
+    ic_floor: float = 0.03
+    alert_days: int = 3
+
+
 @dataclass(frozen=True)
 class Settings:
+    data: Data = field(default_factory=Data)
     features: Features = field(default_factory=Features)
     labels: Labels = field(default_factory=Labels)
     validation: Validation = field(default_factory=Validation)
     costs: Costs = field(default_factory=Costs)
+    models: Models = field(default_factory=Models)
+    inference: Inference = field(default_factory=Inference)
 
     @classmethod
     def from_dict(cls, given: dict) -> Settings:

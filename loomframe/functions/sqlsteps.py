@@ -6,6 +6,7 @@ of a panel share one partitioning and order, so a chain of any depth costs one e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -91,5 +92,35 @@ class Steps:
         return "WITH " + ",\n".join(parts) + f"\nSELECT {', '.join(self._final())} FROM s{len(self.levels)}{tail}"
 
 
+def fused(parts: Sequence[Steps]) -> Steps:
+    """One chain for several: every column at the first level at which what it reads is there, equal columns once.
+
+    Chains may use a name for different things: the later one's column is renamed unless it is returned, and of two returned
+    columns of one name the first stays. However many chains there are, their windows share one exchange and one sort.
+    """
+    expr: dict[str, str] = {}
+    level: dict[str, int] = {}
+    out: list[str] = []
+    digits: dict[str, int] = {}
+    word = re.compile(r"\b[A-Za-z_]\w*\b")
+    for i, part in enumerate(parts):
+        name: dict[str, str] = {}
+        for own in part.levels:
+            made = {}
+            for c, e in own.items():
+                e = word.sub(lambda m: name.get(m[0], m[0]), e)  # noqa: B023
+                made[c] = c if expr.get(c, e) == e else f"{c}__{i}"
+                if made[c] not in expr:
+                    expr[made[c]] = e
+                    level[made[c]] = 1 + max((level[r] for r in set(word.findall(e)) if r in level and r != made[c]), default=-1)
+            name |= made
+        for c in part.columns:
+            if c not in out and name.get(c, c) == c:
+                out.append(c)
+                digits |= {c: part.digits[c]} if c in part.digits else {}
+    levels = [{c: expr[c] for c in expr if level[c] == k} for k in range(1 + max(level.values(), default=0))]
+    return Steps(levels, out, digits=digits)
+
+
 def rounded(columns: Sequence[str], n: int = 6) -> dict[str, int]:
     return dict.fromkeys(columns, n)

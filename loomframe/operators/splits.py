@@ -33,6 +33,19 @@ s AS (SELECT split_id, train_start, n, t0 + {roll} * split_id AS te FROM z CROSS
 SELECT CAST(split_id AS INT) AS split_id, train_start, {', '.join(f'{c}.date AS {c}' for c in names)} FROM s {joins} WHERE te + {purge + 2 + val} <= n""")
 
 
+def walk_forward_over(first: int = 504, purge: int = 63, val: int = 252, test: int = 252, roll: int = 252) -> Template:
+    """The splits of walk_forward() on the dates of $panel itself: the first trains on `first` of them."""
+    names = {"train_end": "te", "purge_end": f"te + {purge}", "val_start": f"te + {purge + 1}", "val_end": f"te + {purge + 1 + val}",
+             "test_start": f"te + {purge + 2 + val}", "test_end": f"least(te + {purge + 2 + val + test}, n)"}
+    joins = " ".join(f"JOIN cal {c} ON {c}.i = {e}" for c, e in names.items())
+    return Template(f"""
+WITH cal AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM $panel) u),
+z AS (SELECT max(i) AS n, min(date) AS train_start FROM cal),
+s AS (SELECT train_start, n, INTSEQ(0, CAST(greatest(0, floor((n - {first}) / {roll}e0)) AS INT)) AS split_id FROM z),
+t AS (SELECT *, {first} + {roll} * split_id AS te FROM s)
+SELECT CAST(split_id AS INT) AS split_id, train_start, {', '.join(f'{c}.date AS {c}' for c in names)} FROM t {joins} WHERE te + {purge + 2 + val} <= n""")
+
+
 ROLE = """CASE WHEN p.date BETWEEN s.train_start AND s.train_end THEN 'train' WHEN p.date BETWEEN s.val_start AND s.val_end THEN 'val'
   WHEN p.date BETWEEN s.test_start AND s.test_end THEN 'test' END"""
 

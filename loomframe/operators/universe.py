@@ -31,6 +31,11 @@ def business_days(start: str, end: str) -> Template:
     return Template(CALENDAR.format(a=f"DATE '{start}'", b=f"DATE '{end}'", src="(SELECT 1 AS one) o"))
 
 
+def business_days_of() -> Template:
+    """The business days from the first to the last date of $panel."""
+    return Template(CALENDAR.format(a="lo", b="hi", src="(SELECT min(date) AS lo, max(date) AS hi FROM $panel) span"))
+
+
 def full_universe(start: str, end: str) -> Template:
     """$members (date, ticker, in_universe) and, on each business day, the $extra tickers; a pair once."""
     cal = CALENDAR.format(a=f"DATE '{start}'", b=f"DATE '{end}'", src="(SELECT 1 AS one) o")

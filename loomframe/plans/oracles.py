@@ -261,3 +261,38 @@ def cleaning(dirty: str) -> dict[str, str]:
   CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM b), (SELECT max(date) FROM b), INTERVAL 1 DAY)) AS day) x WHERE dayofweek(day) BETWEEN 1 AND 5)
 SELECT g.ticker, g.date, {', '.join(f'b.{c}' for c in five)} FROM g ASOF LEFT JOIN (SELECT * FROM b WHERE dayofweek(date) BETWEEN 1 AND 5) b ON g.ticker = b.ticker AND g.date >= b.date""",
     }
+
+
+def asof(compare: str) -> str:
+    """The engine's own as-of join, and the tolerance after it."""
+    near = "abs(date_diff('day', k.date, a.date)) <= 5"
+    return f"""WITH b AS ({BARS_SQL}), a AS (SELECT ticker, date + 2 AS date FROM b WHERE day(date) % 2 = 1), k AS (SELECT ticker, date, close FROM b WHERE day(date) % 4 = 0)
+SELECT a.ticker, a.date, CASE WHEN {near} THEN k.date END AS known, CASE WHEN {near} THEN round(k.close, 6) END AS close
+FROM a ASOF LEFT JOIN k ON a.ticker = k.ticker AND a.date {compare} k.date"""
+
+
+def walk_forward(first: int = 504, purge: int = 63, val: int = 252, test: int = 252, roll: int = 252) -> str:
+    """Splits as positions in one list of the panel's dates."""
+    at = lambda e: f"d[{e}]"
+    return f"""WITH l AS (SELECT list_sort(list(DISTINCT date)) AS d FROM ({BARS_SQL})), s AS (SELECT d, k, {first} + k * {roll} AS t FROM l, range(100) x(k))
+SELECT k::INT AS split_id, {at(1)} AS train_start, {at('t')} AS train_end, {at(f't + {purge}')} AS purge_end, {at(f't + {purge} + 1')} AS val_start, {at(f't + {purge} + 1 + {val}')} AS val_end,
+  {at(f't + {purge} + 2 + {val}')} AS test_start, {at(f'least(t + {purge} + 2 + {val} + {test}, len(d))')} AS test_end FROM s WHERE t + {purge} + 2 + {val} <= len(d)"""
+
+
+def feature_table(families: dict[str, list[str]], own: dict[str, str], surprise: str) -> str:
+    """The families' own oracles side by side, and long filters as dot products of lists of weights and log prices."""
+    seen, parts = set(), []
+    for name, columns in families.items():
+        fresh = [c for c in columns if c not in seen]
+        seen.update(fresh)
+        parts.append(f"(SELECT ticker, date, {', '.join(fresh)} FROM ({own[name]}))")
+    filters = []
+    for d in (0.2, 0.3, 0.4, 0.5):
+        weights = [1.0]
+        while abs(w := weights[-1] * (len(weights) - 1 - d) / len(weights)) >= 1e-5:
+            weights.append(w)
+        over = f"(PARTITION BY ticker ORDER BY date ROWS {len(weights) - 1} PRECEDING)"
+        dot = f"list_inner_product(list(ln(close)) OVER {over}, {weights[::-1]!r}::DOUBLE[])"
+        filters.append(f"round(CASE WHEN count(*) OVER {over} = {len(weights)} THEN {dot} END, 6) + 0.0 AS log_price_d0_{round(10 * d)}")
+    parts += [f"({surprise})", f"(SELECT ticker, date, {', '.join(filters)} FROM ({BARS_SQL}))"]
+    return "SELECT * FROM " + " JOIN ".join(p + (" USING (ticker, date)" if i else "") for i, p in enumerate(parts))

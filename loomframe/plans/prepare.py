@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomframe.functions.asof import asof_join
 from loomframe.functions.template import Template
 from loomframe.operators import clean, universe
 from loomframe.sources import bars as src
@@ -59,7 +60,7 @@ PAIRS = {
     "c16_drop_incomplete": query(clean.drop_incomplete(), panel="dirty"),
     "c17_fill_zero": query(clean.fill_zero(), panel="dirty"),
     "u01_reconstruct": query(universe.reconstruct(S, E), changes="changes", current="current"),
-    "u02_business_days": query(universe.business_days(S, E), panel="panel"),
+    "u02_business_days": query(universe.business_days_of(), panel="panel"),
     "u03_full_universe": query(universe.full_universe("1995-01-02", "1995-12-29"), members="members", extra="extra"),
     "u04_on_date": query(universe.on_date("1996-05-06"), members="members"),
     "u04_date_range": query(universe.date_range(S, E), members="members"),
@@ -88,6 +89,29 @@ def _renamed(spark, sf_dir):
     return clean.select_columns(bars(spark, sf_dir).select("ticker", "date", "close", "volume"), "eq")
 
 
+def _asked(spark, sf_dir):
+    """Odd days of the panel, two days later each, and what it knows of its days that 4 divides."""
+    panel = bars(spark, sf_dir)
+    asked = panel.where("day(date) % 2 = 1").select("ticker", F.date_add("date", 2).alias("date"))
+    return asked, panel.where("day(date) % 4 = 0").select("ticker", "date", F.col("date").alias("known"), F.round("close", 6).alias("close"))
+
+
+def _asof(forward: bool):
+    def run(spark, sf_dir):
+        asked, known = _asked(spark, sf_dir)
+        return asof_join(asked, known, ["ticker"], "date", ["known", "close"], 5 * 86_400, forward=forward)
+
+    return run
+
+
+def _asof_events(spark, sf_dir):
+    """Each purchase or signup with the last view before it, whoever viewed, at most an hour earlier: one key for all rows."""
+    events = src.read_table(spark, sf_dir, "events").withColumn("every", F.lit(1))
+    later = events.where("event_type IN ('purchase', 'signup')").select("event_id", "ts", "every")
+    views = events.where("event_type = 'view'").select("every", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("viewed"))
+    return asof_join(later, views, ["every"], "ts", ["view_id", "viewed"], 3600, width=86_400, strict=True).select("event_id", "view_id", "viewed")
+
+
 def _upsert(spark, sf_dir):
     panel = bars(spark, sf_dir)
     fresh = panel.where("year(date) = 1996").withColumn("close", F.col("close") * 2)
@@ -128,6 +152,9 @@ def _change_log(spark, sf_dir):
 
 
 QUERIES |= {
+    "u07_asof_before": _asof(False),
+    "u07_asof_after": _asof(True),
+    "st_asof_events": _asof_events,
     "c12_pivot_wide": _wide,
     "c12_unpivot": _unpivot,
     "c13_select_columns": _renamed,
@@ -143,6 +170,12 @@ QUERIES |= {
     "s16_wide_assets": _wide_assets,
 }
 ORACLES |= {
+    "u02_business_days": f"""SELECT DISTINCT d.date FROM (SELECT unnest(generate_series(DATE '1980-01-01', DATE '2060-12-31', INTERVAL 1 DAY))::DATE AS date) d
+WHERE d.date >= (SELECT min(date) FROM ({BARS_SQL})) AND d.date <= (SELECT max(date) FROM ({BARS_SQL})) AND dayname(d.date) NOT IN ('Saturday', 'Sunday')""",
+    "u07_asof_before": oracles.asof(">="),
+    "u07_asof_after": oracles.asof("<="),
+    "st_asof_events": """SELECT e.event_id, CASE WHEN e.ts - v.ts <= INTERVAL 1 HOUR THEN v.event_id END AS view_id, CASE WHEN e.ts - v.ts <= INTERVAL 1 HOUR THEN v.value END AS viewed
+FROM (SELECT * FROM events WHERE event_type IN ('purchase', 'signup')) e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.ts > v.ts""",
     "c12_pivot_wide": "SELECT date, " + ", ".join(f"round(max(close) FILTER (ticker = '{t}'), 6) AS {t.lower().replace('#', '_')}" for t in WIDE) + f" FROM ({BARS_SQL}) GROUP BY date",
     "c12_unpivot": f"SELECT date, ticker, round(close, 6) AS close FROM ({BARS_SQL}) WHERE close IS NOT NULL",
     "c13_select_columns": f"SELECT ticker, date, close AS eq_close, volume AS eq_volume FROM ({BARS_SQL})",

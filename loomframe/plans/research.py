@@ -9,10 +9,10 @@ from dataclasses import replace
 from loomframe.functions.shared import stored
 from loomframe.functions.sqlsteps import lag, last, lead, rolling
 from loomframe.functions.template import Template
-from loomframe.operators import backtest, indicators, informed, labeling, metrics, notebook, splits, technical, xsection
+from loomframe.operators import backtest, features, indicators, informed, labeling, metrics, notebook, splits, technical, xsection
 from loomframe.sources.bars import BARS_SQL, bars
 
-from . import oracles
+from . import oracles, panel
 
 SCORED = Template(f"""
 WITH r AS (SELECT ticker, date, close, volume, close / {lag('close')} - 1 AS ret FROM $panel)
@@ -21,8 +21,6 @@ SELECT ticker, date, close, volume, ret, round(-({rolling('sum', 'ret', 5)}), 7)
   1000 * ({rolling('avg', 'close * volume', 21)}) AS adv, {rolling('stddev_samp', 'ret', 21)} AS vol, CAST(substr(ticker, 7) AS INT) % 5 AS sector FROM r""")
 PROBS = Template("SELECT ticker, date, (day(date) % 10) / 10e0 AS p1, (day(date) % 7) / 7e0 AS p2 FROM $panel")
 DAILY = Template(f"SELECT date, avg(ret) AS ret FROM (SELECT date, close / {lag('close')} - 1 AS ret FROM $panel) r WHERE ret IS NOT NULL GROUP BY date")
-NAMES = "(VALUES ('market', 'Brand#11'), ('tech', 'Brand#22'), ('rates', 'Brand#3'), ('dollar', 'Brand#4'), ('vix', 'Brand#5'), ('semis', 'Brand#6'))"
-ASSETS = Template(f"SELECT asset, date, close FROM $panel p JOIN {NAMES} n(asset, name) ON p.ticker = n.name")
 #: Averages of six groups of names, so that nearly every date has them all.
 BASKETS = Template("""SELECT CASE CAST(substr(ticker, 7) AS INT) % 6 WHEN 0 THEN 'market' WHEN 1 THEN 'rates' WHEN 2 THEN 'dollar' WHEN 3 THEN 'vix' WHEN 4 THEN 'semis' ELSE 'tech' END AS asset,
   date, avg(close) AS close FROM $panel GROUP BY 1, 2""")
@@ -37,7 +35,7 @@ FIXTURES = {
     "scored": SCORED, "multi": SCORED, "trades": Template(f"SELECT * FROM ({SCORED.text}) t WHERE adv IS NOT NULL AND vol IS NOT NULL"), "probs": PROBS, "daily": DAILY,
     "orders": Template("SELECT ticker, (CASE WHEN day(date) % 2 = 0 THEN 1 ELSE -1 END) * close * volume AS trade_value FROM $panel WHERE date = DATE '1996-05-06'"),
     "volumes": Template("SELECT ticker, avg(close * volume) AS adv FROM $panel WHERE CAST(substr(ticker, 7) AS INT) % 5 > 0 GROUP BY ticker"),
-    "assets": ASSETS, "hard": HARD, "years": YEARS, "flows": FLOWS, "splits": SPLITS,
+    "assets": Template(f"SELECT asset, date, round(close / 7, 9) AS close FROM ({BASKETS.text}) b"), "hard": HARD, "years": YEARS, "flows": FLOWS, "splits": SPLITS,
     "events": labeling.barrier_events(), "batch": labeling.barrier_events(batch=True),
 }
 
@@ -106,7 +104,7 @@ PAIRS = {
     "l12_purged_split": query(labeling.purged_split("1996-06-28", "1996-07-01"), events="events"),
     "l13_quality_report": query(labeling.quality_report(), events="events"),
     "l14_look_ahead": query(labeling.look_ahead_check(), events="events", panel="panel"),
-    "p01_walk_forward": query(splits.walk_forward("2010-01-01", "2015-12-31", "2025-12-31")),
+    "p01_walk_forward": query(splits.walk_forward_over(), panel="panel"),
     "p02_assign": query(splits.assign(), panel="panel", splits="splits"),
     "p03_summary": query(splits.summary(), panel="panel", splits="splits"),
     "p04_purged_kfold": query(splits.purged_kfold(), panel="panel"),
@@ -187,6 +185,7 @@ QUERIES |= {
     "x08_last_sequence": lambda spark, sf_dir: xsection.steps_of(xsection.last_sequences(bars(spark, sf_dir), "1996-05-06", 10, ["close", "volume"]), ["close", "volume"]),
     "x09_supervised": lambda spark, sf_dir: xsection.steps_of(xsection.supervised(SCORED.apply(spark, panel=bars(spark, sf_dir)), 10, ["close", "volume", "signal"], "fwd"), ["close", "volume", "signal"]),
     "i11_hmm_regimes": lambda spark, sf_dir: indicators.hmm_regimes(bars(spark, sf_dir)),
+    "g03_feature_table": lambda spark, sf_dir: _features(spark, sf_dir),
     "i14_notebook_features": lambda spark, sf_dir: _notebook(spark, sf_dir),
     "f02_fracdiff_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir)).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("d0_2", "d0_5")]),
     "f03_fracdiff_multi_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir), (0.4, 0.5, 0.6)).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("d0_4", "d0_5", "d0_6")]),
@@ -203,6 +202,13 @@ def _notebook(spark, sf_dir):
     return table.select("ticker", "date", *[(F.round(c, 4) + 0.0).alias(c) for c in table.columns if c not in ("ticker", "date")])
 
 
+def _features(spark, sf_dir):
+    """Every column of the feature table, rounded as in the families' own queries."""
+    table, digits = features.feature_table(bars(spark, sf_dir)), features.feature_chain().digits
+    short = {"vol_surprise": 6} | {c: 6 for c in table.columns if c.startswith("log_price")}
+    return table.select("ticker", "date", *[F.expr(f"round({c}, {(digits | short)[c]}) + 0.0 AS {c}") if c in digits | short else F.col(c) for c in table.columns[2:]])
+
+
 RUN = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
@@ -253,3 +259,5 @@ ORACLES |= oracles.metrics(SCORED.sql(panel=BARS_SQL), DAILY.sql(panel=BARS_SQL)
 ORACLES |= oracles.pooled(SCORED.sql(panel=BARS_SQL))
 ORACLES |= oracles.sequences(SCORED.sql(panel=BARS_SQL))
 ORACLES["l01_ewm_vol"] = oracles.ewm_deviation()
+ORACLES["g03_feature_table"] = oracles.feature_table({n: s.columns for n, s in features.families().items()}, panel.ORACLES, ORACLES["v10_vol_surprise"])
+ORACLES["p01_walk_forward"] = oracles.walk_forward()
