@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.ordered import in_blocks
 from loomframe.functions.shared import shared_dir
-from loomframe.operators import indicators, labeling, microstructure, models, search, technical
+from loomframe.operators import indicators, labeling, live, microstructure, models, search, technical
 from loomframe.sources import responses
 from loomframe.sources.bars import BARS_SQL, bars, read_table
 from loomframe.streaming.bars import event_bars, run_bars, run_moments
@@ -81,13 +81,33 @@ def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.trial_rows(spark, search.search(objective, SPACE, 3, 10), list(SPACE))
 
 
-def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of the events from 1997 on, by models of the events that ended before."""
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = bars(spark, sf_dir)
     events = labeling.barrier_events().apply(spark, panel=panel)
     scored = research.SCORED.apply(spark, panel=panel).selectExpr("ticker AS t", "date AS d", "signal", "volume", "vol")
-    rows = events.join(scored, (events.ticker == scored.t) & (events.t0 == scored.d)).select("ticker", "t0", "t1", "barrier_side", "signal", "volume", "vol")
-    out, _ = models.two_stage(rows, ["signal", "volume", "vol"], "1997-01-01")
+    return events.join(scored, (events.ticker == scored.t) & (events.t0 == scored.d)).select("ticker", "t0", "t1", "barrier_side", "signal", "volume", "vol")
+
+
+def crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the touched events' sides by a stack of two kinds of models, crossed over three folds of dates."""
+    rows = _labelled(spark, sf_dir).where("barrier_side <> 0").withColumn("label", (F.col("barrier_side") > 0).cast("double"))
+    out, _ = models.stacked(rows, ["signal", "volume", "vol"], 3, kinds={"logistic": {}, "boosted": {"maxIter": 5}})
+    return out.select("ticker", "t0", "fold", "label", *[F.round(c, 6).alias(c) for c in ("p_logistic", "p_boosted", "score")])
+
+
+def live_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals of a Sunday in 1998: models of the events before 1997, stored and loaded, on the last features known."""
+    work = f"{shared_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
+    _, fitted = models.two_stage(_labelled(spark, sf_dir), ["signal", "volume", "vol"], "1997-01-01")
+    models.save_models(fitted, f"{work}/models")
+    features = research.SCORED.apply(spark, panel=bars(spark, sf_dir)).select("ticker", "date", "signal", "volume", "vol")
+    signals, _ = live.run(features, models.load_models(spark, f"{work}/models"), "1998-03-15", f"{work}/out")
+    return signals.select("ticker", "date", F.col("position").cast("int").alias("position"), *[F.round(c, 6).alias(c) for c in ("p1", "p2", "weight")])
+
+
+def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of the events from 1997 on, by models of the events that ended before."""
+    out, _ = models.two_stage(_labelled(spark, sf_dir), ["signal", "volume", "vol"], "1997-01-01")
     return models.live_signals(out.withColumnRenamed("t0", "date")).withColumn("position", F.col("position").cast("int"))
 
 
@@ -116,7 +136,7 @@ _BARS = """SELECT event_type AS ticker, strftime(s, '%Y-%m-%d %H:%M') AS start,
   round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*) AS n_events
 FROM (SELECT *, date_trunc('hour', ts) AS s FROM events) e {where} GROUP BY event_type, s"""
 QUERIES = {"st_hourly_bars": hourly_bars, "st_streamed_bars": streamed_bars, "a04_a07_two_stage_signals": two_stage}
-QUERIES |= {"s04_fetched": fetched, "st_rolling_moments": streamed_moments, "a03_search": searched}
+QUERIES |= {"s04_fetched": fetched, "st_rolling_moments": streamed_moments, "a03_search": searched, "a04_stacked": crossed, "a07_live_run": live_run}
 QUERIES |= {name: intraday(steps) for name, steps in INTRADAY.items()}
 ORACLES = {name: f"SELECT * REPLACE (strftime(date, '%Y-%m-%d %H:%M') AS date) FROM ({steps().sql(MINUTES_SQL)})" for name, steps in INTRADAY.items()} | {
     "st_hourly_bars": _BARS.format(where=""),
