@@ -10,7 +10,7 @@ from __future__ import annotations
 from loomframe.sources.bars import BARS_SQL
 
 WINDOWS = "WINDOW o AS (PARTITION BY ticker ORDER BY date), " + ", ".join(
-    f"w{k} AS (PARTITION BY ticker ORDER BY date ROWS {k - 1} PRECEDING)" for k in (2, 5, 20, 21, 63, 252)
+    f"w{k} AS (PARTITION BY ticker ORDER BY date ROWS {k - 1} PRECEDING)" for k in (2, 5, 10, 14, 20, 21, 50, 62, 63, 126, 200, 251, 252)
 )
 
 
@@ -30,6 +30,71 @@ def _moments(k: int) -> str:
     return f"{whole('stddev_samp', 'l', k)} * sqrt(252) AS s{k}, {whole('skewness', 'l', k)} AS g{k}, {whole('kurtosis', 'l', k)} AS q{k}"
 
 
+def shown(columns: dict[str, str], digits: int = 6) -> str:
+    return ", ".join(f"round({e}, {digits}) + 0.0 AS {c}" for c, e in columns.items())
+
+
+def _zscore(x: str, k: int) -> str:
+    """Over k rows, known values alone; 0 without spread."""
+    return f"if(count(*) OVER w{k} < {k}, NULL, coalesce(({x} - avg({x}) OVER w{k}) / nullif(stddev_pop({x}) OVER w{k} * (max({x}) OVER w{k} > min({x}) OVER w{k})::INT, 0), 0))"
+
+
+def _annual(x: str, k: int) -> str:
+    """The yearly volatility of a mean of daily variances; none of one below 0."""
+    mean = whole("avg", x, k)
+    return f"CASE WHEN {mean} > -5e-13 THEN sqrt(252 * greatest({mean}, 0)) END"
+
+
+_YEARS = (63, 252)
+_SIX = (5, 10, 21, 63, 126, 252)
+_TRUE_RANGE = "greatest(high, coalesce(lag(close) OVER o, high)) - least(low, coalesce(lag(close) OVER o, low)) AS tr"
+#: The population's skewness from the sample's, which is what the engine has; m known returns of k rows.
+_SKEW = "skewness(r) OVER w{k} * (m{k} - 2) / sqrt(m{k} * (m{k} - 1))"
+_FLAT = "max(r) OVER w{k} = min(r) OVER w{k}"
+TECHNICAL = {
+    "t01_cum_returns": over_bars(shown({f"cum_ret_{k}d": whole("sum", "r", k) for k in _SIX})),
+    "t02_return_zscores": over_bars(shown({f"ret_zscore_{k}d": _zscore("r", k) for k in _SIX} | {f"volume_zscore_{k}d": _zscore("volume", k) for k in (21, 63)}, 5)),
+    "t03_skewness": over_bars(
+        shown({f"skewness_{k}d": f"if(count(*) OVER w{k} < {k} OR m{k} < 3, NULL, if({_FLAT.format(k=k)}, 0, {_SKEW.format(k=k)}))" for k in _YEARS}, 4),
+        ", ".join(f"count(r) OVER w{k} AS m{k}" for k in _YEARS),
+    ),
+    "t04_kurtosis": over_bars(
+        shown({f"kurtosis_{k}d": f"if(count(*) OVER w{k} < {k} OR count(r) OVER w{k} < 4, NULL, if({_FLAT.format(k=k)}, 0, kurtosis_pop(r) OVER w{k}))" for k in _YEARS}, 4)
+    ),
+    "t05_realized_vol": over_bars(shown({f"realized_vol_{k}d": f"sqrt(252 * {whole('var_samp', 'l', k)})" for k in _YEARS})),
+    "t06_parkinson_vol": over_bars(shown({f"parkinson_vol_{k}d": f"sqrt(252 * {whole('avg', 'x', k)})" for k in _YEARS}), "pow(ln(high / low), 2) / (4 * ln(2)) AS x"),
+    "t07_garman_klass_vol": over_bars(
+        shown({f"garman_klass_vol_{k}d": _annual("x", k) for k in _YEARS}, 5), "pow(ln(high / low), 2) / 2 - (ln(4) - 1) * pow(ln(close / open), 2) AS x"
+    ),
+    "t08_rogers_satchell_vol": over_bars(
+        shown({f"rogers_satchell_vol_{k}d": f"sqrt(252 * greatest({whole('avg', 'x', k)}, 0 * {whole('avg', 'x', k)}))" for k in _YEARS}, 5),
+        "ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS x",
+    ),
+    "t09_bipower_var": over_bars(shown({f"bipower_var_{k}d": f"126 * pi() * {whole('avg', 'x', k - 1)}" for k in _YEARS}), "abs(l * lag(l) OVER o) AS x"),
+    "t10_reversal": over_bars(
+        shown({f"reversal_{k}d": f"lag(x{k}) OVER o" for k in (5, 10, 21)}), ", ".join(f"{whole('sum', 'r', k)} AS x{k}" for k in (5, 10, 21))
+    ),
+    "t11_momentum_5_21": over_bars(shown({"momentum_5_21": f"{whole('sum', 'r', 21)} - {whole('sum', 'r', 5)}"})),
+    "t12_price_levels": over_bars(
+        shown({"pct_from_52w_high": "close / hi - 1", "pct_from_52w_low": "close / lo - 1", "price_position_52w": "(close - lo) / nullif(hi - lo, 0)"}),
+        f"{whole('max', 'close', 252)} AS hi, {whole('min', 'close', 252)} AS lo",
+    ),
+    "t13_atr": over_bars(shown({f"atr_{k}": f"{whole('sum', 'tr', k)} / {k} / close" for k in (14, 63)}), _TRUE_RANGE),
+    "t14_relative_volume": over_bars(shown({f"volume_rel_{k}": f"{k} * volume / nullif({whole('sum', 'volume', k)}, 0)" for k in (21, 63)})),
+    "t15_pv_trend": over_bars(shown({"pv_trend_21": f"{whole('sum', 'x', 21)} / nullif({whole('sum', 'volume', 21)}, 0)"}, 8), "r * volume AS x"),
+    "t16_vwap_deviation": over_bars(shown({"vwap_deviation": f"close * {whole('sum', 'volume', 21)} / nullif({whole('sum', 'x', 21)}, 0) - 1"}), "close * volume AS x"),
+    "t17_momentum": over_bars(
+        shown({n: f"lag(close, 21) OVER o / lag(close, {k}) OVER o - 1" for n, k in (("momentum_63d", 63), ("momentum_126d", 126), ("momentum_252d", 252), ("momentum_12_1", 252), ("momentum_6_1", 126))})
+    ),
+    "t18_trend_consistency": over_bars(shown({f"trend_consistency_{k}d": f"{whole('sum', 'x', k)} / {k}e0 - 0.5" for k in (21, 63)}), "coalesce((r > 0)::INT, 0) AS x"),
+    "t19_moving_averages": over_bars(
+        ", ".join(f"coalesce((round(close - a{k}, 7) > 0)::INT, 0) AS above_ma_{k}" for k in (21, 50, 200)) + ", coalesce((round(a21 - a63, 7) > 0)::INT, 0) AS ma_21_63_cross, "
+        + shown({f"dist_from_ma_{k}": f"(close - a{k}) / a{k}" for k in (21, 50, 200)}), ", ".join(f"{whole('avg', 'close', k)} AS a{k}" for k in (21, 50, 63, 200)),
+    ),
+}
+TECHNICAL["t20_all"] = "SELECT * FROM " + " JOIN ".join(f"({q})" + (" USING (ticker, date)" if i else "") for i, (n, q) in enumerate(TECHNICAL.items()) if n < "t17")
+
+
 _K = (21, 63)
 MICRO = {
     "m01_amihud": over_bars(
