@@ -121,6 +121,28 @@ MICRO = {
         "abs(r) / nullif(close * volume, 0) AS i",
     ),
 }
+_SIGN = "if(high = low, 0, (close - low) / (high - low) - 0.5) AS ri, (2 * (close - low) / (high - low + 1e-10) - 1) AS q"
+MICRO |= {
+    "m03_m05_order_flow": over_bars(
+        shown({"range_imbalance": "ri", "volume_imbalance": "vi"} | {f"cum_imbalance_{k}d": whole("sum", "vi", k) for k in (5, 21)} | {f"imbalance_trend_{k}d": whole("avg", "vi", k) for k in (5, 21)}, 5),
+        _SIGN, "if(volume = 0, NULL, q) AS vi",
+    ),
+    "m06_roll_spread": over_bars(
+        shown({"roll_spread": f"if(n = 21, sqrt(4 * greatest(0, -(regr_sxy(a, p) OVER w21) / 20)), NULL)"}, 5), "lag(r) OVER o AS p", "if(p IS NULL, NULL, r) AS a", "count(a) OVER w21 AS n"
+    ),
+    "m08_hl_spread": over_bars(shown({"hl_spread": "(high - low) / close"}, 8)),
+    "m09_volume_hhi": over_bars(
+        shown({f"volume_hhi_{k}d": whole("sum", f"x{k}", k) for k in _K}), ", ".join(f"pow(volume / nullif({whole('sum', 'volume', k)}, 0), 2) AS x{k}" for k in _K)
+    ),
+    "m12_volume_autocorr": over_bars(
+        shown({f"volume_autocorr_{k}d": f"if(n{k} < {k} OR s{k} = 0 OR p{k} = 0, NULL, c{k} / sqrt(s{k} * p{k}))" for k in _K}, 5), "lag(volume) OVER o AS p",
+        ", ".join(f"count(volume) OVER w{k} AS n{k}, regr_sxy(volume, p) OVER w{k - 1} AS c{k}, regr_syy(volume, p) OVER w{k - 1} AS s{k}, regr_sxx(volume, p) OVER w{k - 1} AS p{k}" for k in _K),
+    ),
+    "m13_flow_pressure": over_bars(shown({"quote_pressure": "q", "ofi": "q * volume"}, 5), _SIGN),
+    "m14_vwap_distance": over_bars(
+        shown({"vwap_distance": "(close - v) / (v + 1e-10)"}), "(high + low + close) / 3 * volume AS x", f"{whole('sum', 'x', 20)} / nullif({whole('sum', 'volume', 20)}, 0) AS v"
+    ),
+}
 INFORMED = {
     "v04_csi": over_bars(
         ", ".join(f"round(g{k} / 6, 6) + 0.0 AS skew_adj_{k}, round((q{k} - 3) / 24, 6) + 0.0 AS kurt_adj_{k}, round(s{k} * (1 + g{k} / 6 + (q{k} - 3) / 24), 6) + 0.0 AS csi_{k}d, round(1 + g{k} / 6 + (q{k} - 3) / 24, 6) + 0.0 AS csi_ratio_{k}" for k in _K),
@@ -153,14 +175,14 @@ INDICATORS = {
 }
 
 
-def ic(x: str = "signal", y: str = "fwd", by: str = "date", src: str = "s", least: int = 10) -> str:
+def ic(x: str = "signal", y: str = "fwd", by: str = "date", src: str = "s", least: int = 10, row: str = "ticker") -> str:
     """Spearman's correlation a group, from ranks by counting."""
     keys = " AND ".join(f"a.{c} = b.{c}" for c in by.split(", "))
     cols = ", ".join(f"a.{c}" for c in by.split(", "))
     known = f"(SELECT * FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
     half = lambda v: f"count(*) FILTER (b.{v} < a.{v}) + count(*) FILTER (b.{v} = a.{v}) / 2e0"
     return f"""SELECT {by}, CASE WHEN count(*) >= {least} AND max(u) > min(u) AND max(v) > min(v) THEN corr(u, v) END AS ic
-FROM (SELECT {cols}, a.ticker, {half(x)} AS u, {half(y)} AS v FROM {known} a JOIN {known} b ON {keys} GROUP BY ALL) z GROUP BY {by}"""
+FROM (SELECT {cols}, a.{row}, {half(x)} AS u, {half(y)} AS v FROM {known} a JOIN {known} b ON {keys} GROUP BY ALL) z GROUP BY {by}"""
 
 
 def book(scored: str, by: str = "", own: str = "s") -> str:
@@ -267,6 +289,115 @@ SELECT quantile, round(r, 8) + 0.0 AS mean_return, days, round(c / dates::DOUBLE
     }
 
 
+def cross_sections(scored: str, weights: str) -> dict[str, str]:
+    """Quantiles, ranks and buckets from sorted lists of a date's values; grids and exposures from joins on all pairs."""
+    s = f"WITH s AS ({scored})"
+    lists = f"{s}, d AS (SELECT date, list_sort(list(signal) FILTER (signal IS NOT NULL)) AS v FROM s GROUP BY date)"
+    # A quantile between two neighbours in the sorted list.
+    q = lambda v, p: f"({v}[floor((len({v}) - 1) * {p})::INT + 1] + ((len({v}) - 1) * {p} - floor((len({v}) - 1) * {p})) * ({v}[least(len({v}), floor((len({v}) - 1) * {p})::INT + 2)] - {v}[floor((len({v}) - 1) * {p})::INT + 1]))"
+    rank = "(len(list_filter(v, lambda x: x < signal)) + (len(list_filter(v, lambda x: x = signal)) + 1) / 2e0) / len(v)"
+
+    def z(flat: str) -> str:
+        one = lambda x: f"""n_{x} AS (SELECT ticker, date, w, if(count(w) OVER g < 2 OR max(w) OVER g = min(w) OVER g, {flat}, (w - avg(w) OVER g) / stddev_samp(w) OVER g) AS z FROM (
+  SELECT ticker, s.date, least(greatest(s.{x}, {q('v', 0.05)}), {q('v', 0.95)}) AS w FROM s JOIN (SELECT date, list_sort(list({x}) FILTER ({x} IS NOT NULL)) AS v FROM s GROUP BY date) l ON s.date = l.date WHERE s.{x} IS NOT NULL) u WINDOW g AS (PARTITION BY date))"""
+        cut = lambda x: f"if({x}.z IS NULL, NULL, round(least(3, greatest(-3, {x}.z)), 5) + 0.0)"
+        return f"""{s}, {one('signal')}, {one('volume')} SELECT s.ticker, s.date, {cut('a')} AS signal, {cut('b')} AS volume
+FROM s LEFT JOIN n_signal a USING (ticker, date) LEFT JOIN n_volume b USING (ticker, date)"""
+
+    edges = ", ".join(q("v", i / 10) for i in range(10))
+    w = f"WITH w AS ({weights})"
+    return {
+        "x01_normalise": z("0"),
+        "x02_normalise_wide": z("w - avg(w) OVER g"),
+        "x03_percent_rank": f"{lists} SELECT ticker, s.date, round(if(signal IS NULL, NULL, {rank}), 8) AS pct_rank FROM s JOIN d ON s.date = d.date",
+        "x04_deciles": f"""{lists}, r AS (SELECT ticker, s.date, round({rank}, 9) AS r, len(v) AS n, signal FROM s JOIN d ON s.date = d.date)
+SELECT ticker, date, if(signal IS NULL OR n < 10, NULL, (r >= 0.9)::INT - (r <= 0.1)::INT) AS side FROM r""",
+        "x05_quantile_buckets": f"""{lists}, e AS (SELECT date, v, list_distinct([{edges}]) AS e FROM d)
+SELECT ticker, s.date, if(signal IS NULL OR len(v) < 10, NULL, greatest(0, len(list_filter(e, lambda x: x < signal)) - 1)) AS bucket FROM s JOIN e ON s.date = e.date""",
+        "x06_date_slice": f"{s} SELECT ticker, ifnull(signal, 0) AS signal, ifnull(volume, 0) AS volume FROM s WHERE date = DATE '1996-05-06'",
+        "x07_cube": f"""WITH b AS (SELECT * FROM ({BARS_SQL}) WHERE date >= DATE '1996-01-01' AND date < DATE '1996-07-01')
+SELECT d.date, t.ticker, b.close, b.volume FROM (SELECT DISTINCT date FROM b) d, (SELECT DISTINCT ticker FROM b) t LEFT JOIN b ON b.date = d.date AND b.ticker = t.ticker""",
+        "x10_sector_exposure": f"""{w} SELECT d.date, k.sector, round(ifnull((SELECT sum(weight) FROM w WHERE w.date = d.date AND w.sector = k.sector), 0), 8) + 0.0 AS exposure
+FROM (SELECT DISTINCT date FROM w) d, (SELECT DISTINCT sector FROM w) k""",
+        "x11_factor_exposure": f"""{w}, s AS ({scored}) SELECT date, round(list_sum(list(weight * signal)), 9) + 0.0 AS signal, round(list_sum(list(weight * volume)), 9) + 0.0 AS volume
+FROM w JOIN (SELECT ticker, date, signal, volume FROM s) p USING (ticker, date) GROUP BY date""",
+        "x12_concentration": f"{w} SELECT date, round(list_sum(list_transform(list(weight), lambda x: x * x)), 8) AS hhi FROM w GROUP BY date",
+    }
+
+
+def barrier_events(batch: bool = False, h: int = 10) -> str:
+    """Each row met with the h rows after it, one by one; the first of them that leaves the band decides."""
+    where = f"i < n - {h + 1}" if batch else "i >= 20"
+    bands = "" if batch else ", round(close * (1 + b), 5) AS upper_barrier, round(close * (1 - b), 5) AS lower_barrier"
+    return f"""WITH c AS ({over_bars("close, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n, " + whole('stddev_samp', 'r', 20) + " AS vol")}),
+s AS (SELECT *, round(1.5e0 * vol, 9) AS b FROM c WHERE vol > 0 AND {where}),
+m AS (SELECT s.ticker, s.i, x.i - s.i AS k, x.date AS d, round(x.close / s.close - 1, 9) AS ret, abs(round(x.close / s.close - 1, 9)) >= s.b AS out FROM s JOIN c x ON x.ticker = s.ticker AND x.i > s.i AND x.i <= s.i + {h}),
+f AS (SELECT ticker, i, max(d) AS t1, coalesce(min(k) FILTER (out), max(k)) AS k, bool_or(out) AS out FROM m GROUP BY ticker, i)
+SELECT s.ticker, s.date AS t0, ifnull(f.t1, s.date) AS t1, ifnull(m.d, s.date) AS first_touch_date, if(f.out, if(m.ret > 0, 1, -1), 0) AS barrier_side, ifnull(m.ret, 0) + 0.0 AS return_at_touch,
+  ifnull(f.k, 0)::INT AS days_held, CASE WHEN f.out THEN if(m.ret > 0, 1, -1) WHEN m.ret >= 0.005 THEN 1 WHEN m.ret <= -0.005 THEN -1 ELSE 0 END AS label{bands}
+FROM s LEFT JOIN f ON f.ticker = s.ticker AND f.i = s.i LEFT JOIN m ON m.ticker = s.ticker AND m.i = s.i AND m.k = f.k"""
+
+
+def labels(scored: str, probs: str) -> dict[str, str]:
+    """Events from the rows after each row; lives by joining days with the events alive on them."""
+    e = f"WITH e AS ({barrier_events()}), q AS ({probs})"
+    share = lambda test: f"count(*) FILTER ({test}) / count(*)::DOUBLE"
+    return {
+        "l01_daily_vol": over_bars(shown({"vol": whole("stddev_samp", "r", 20)}, 7)),
+        "l02_l03_barrier_events": barrier_events(),
+        "l04_l06_batch_events": barrier_events(batch=True),
+        "l05_uniqueness_weights": f"""{e}, b AS (SELECT ticker, date FROM ({BARS_SQL})), c AS (SELECT b.ticker, b.date, count(*) AS c FROM b JOIN e ON e.ticker = b.ticker AND b.date BETWEEN e.t0 AND e.t1 GROUP BY ALL),
+w AS (SELECT e.ticker, e.t0, 1 / avg(c) AS w FROM e JOIN c ON c.ticker = e.ticker AND c.date BETWEEN e.t0 AND e.t1 GROUP BY ALL)
+SELECT w.ticker, t0, round(w / total, 9) AS weight FROM w JOIN (SELECT ticker, sum(w) AS total FROM w GROUP BY ticker) USING (ticker)""",
+        "l07_stage_one": f"{e} SELECT ticker, t0, abs(barrier_side) AS label FROM e",
+        "l08_stage_two": f"{e} SELECT e.ticker, t0, (barrier_side = 1)::INT AS label FROM e JOIN q ON q.ticker = e.ticker AND q.date = e.t0 WHERE p1 > 0.65 AND barrier_side IN (1, -1)",
+        "l09_meta_labels": f"{e} SELECT e.ticker, t0, if(p1 > 0.65, nullif(barrier_side, 0), NULL) AS meta FROM e LEFT JOIN q ON q.ticker = e.ticker AND q.date = e.t0",
+        "l10_training_set": f"{e}, s AS ({scored}) SELECT ticker, t0, label, signal, volume FROM e JOIN (SELECT ticker, date AS t0, signal, volume FROM s) x USING (ticker, t0)",
+        "l11_bet_size": f"SELECT ticker, date, round(if(p1 >= 0.65, least(1, p1 * abs(2 * p2 - 1)), 0), 8) AS size FROM ({probs})",
+        "l12_purged_split": f"{e} SELECT ticker, t0, 'test' AS part FROM e WHERE t0 >= DATE '1996-07-01' UNION ALL SELECT ticker, t0, 'train' FROM e WHERE t0 <= DATE '1996-06-28' AND NOT t1 >= DATE '1996-07-01'",
+        "l13_quality_report": f"""{e}, a AS (SELECT ticker, count(*) AS n, {share('label = 1')} AS up, {share('label = -1')} AS down, {share('label = 0')} AS flat, {share('barrier_side = 1')} AS u,
+  {share('barrier_side = -1')} AS l, {share('barrier_side = 0')} AS z, avg(days_held) AS days, avg(return_at_touch) AS m, stddev_samp(return_at_touch) AS sd FROM e GROUP BY ticker)
+SELECT ticker, n, round(up, 6) AS up, round(down, 6) AS down, round(flat, 6) AS flat, round(u, 6) AS upper_touches, round(l, 6) AS lower_touches, round(z, 6) AS time_exits, round(days, 6) AS days,
+  round(m, 7) + 0.0 AS mean_ret, round(sd, 7) AS sd_ret, len(list_filter([up, down, flat], lambda x: x > 0 AND x < 0.1)) > 0 AS rare_class, z > 0.5 AS slow FROM a""",
+        "l14_look_ahead": f"{e} SELECT ticker, count(*) AS n_events, count(*) FILTER ((ticker, t0) IN (SELECT (ticker, date) FROM ({BARS_SQL}))) AS with_features, count(*) FILTER (t1 < t0) AS backwards FROM e GROUP BY ticker",
+    }
+
+
+def signal_metrics(scored: str, daily: str) -> dict[str, str]:
+    """Correlations from ranks by counting pairs; products in place of sums of logarithms."""
+    s, d = f"WITH s AS ({scored})", f"WITH d AS ({daily})"
+    year = "sqrt(252e0)"
+    ratio = f"CASE WHEN count(ic) >= 10 AND max(ic) > min(ic) THEN avg(ic) / stddev_samp(ic) * {year} END"
+    decay = " UNION ALL ".join(f"SELECT {h} AS horizon, ic FROM ({ic(y=f'fwd_{h}')})" for h in (1, 5, 10, 21))
+    order = lambda v: f"count(*) FILTER ((b.{v}, b.ticker) <= (a.{v}, a.ticker))"
+    k = "(SELECT * FROM s WHERE signal IS NOT NULL AND fwd IS NOT NULL)"
+    full = lambda c, e: f"if(count({c}) OVER w = 252, {e}, NULL)"
+    w = "WINDOW w AS (ORDER BY date ROWS 251 PRECEDING)"
+    return {
+        "k01_ic": f"{s} SELECT ticker, round(ic, 6) + 0.0 AS ic FROM ({ic(by='ticker', row='date')})",
+        "k01_ic_pearson": f"""{s} SELECT ticker, round(if(count(*) >= 10 AND max(signal) > min(signal) AND max(fwd) > min(fwd),
+  (avg(signal * fwd) - avg(signal) * avg(fwd)) / sqrt((avg(signal * signal) - pow(avg(signal), 2)) * (avg(fwd * fwd) - pow(avg(fwd), 2))), NULL), 6) + 0.0 AS ic FROM {k} GROUP BY ticker""",
+        "k02_daily_ic": f"{s} SELECT date, round(ic, 6) + 0.0 AS ic FROM ({ic()})",
+        "k03_icir": f"{s} SELECT round(avg(ic), 7) AS mean_ic, round({ratio}, 5) AS icir, count(ic) AS n FROM ({ic()})",
+        "k08_ic_decay": f"{s} SELECT horizon, round(avg(ic), 7) AS mean_ic, round(stddev_samp(ic), 7) AS std_ic, round({ratio}, 5) AS icir FROM ({decay}) GROUP BY horizon",
+        "k10_sector_ic": f"""{s} SELECT sector, round(avg(ic), 7) + 0.0 AS mean_ic, round({ratio}, 5) + 0.0 AS icir, count(ic) AS days, any_value(n) AS n_stocks
+FROM ({ic(by='date, sector')}) JOIN (SELECT sector, len(list_distinct(list(ticker))) AS n FROM s GROUP BY sector) USING (sector) GROUP BY sector""",
+        "k11_rolling_metrics": f"""{d}, c AS (SELECT *, product(1 + ret) OVER (ORDER BY date) AS c FROM d), x AS (SELECT *, if(count(c) OVER w = 252, c / max(c) OVER w - 1, NULL) AS dd FROM c {w})
+SELECT date, round({full('ret', 'sum(ret) OVER w')}, 7) + 0.0 AS mean_return, round({full('ret', f'sqrt(252 * var_samp(ret) OVER w)')}, 7) AS volatility,
+  round({full('ret', f'sum(ret) OVER w / sqrt(252 * var_samp(ret) OVER w)')}, 5) + 0.0 AS sharpe, round({full('dd', 'min(dd) OVER w')}, 7) + 0.0 AS max_drawdown FROM x {w}""",
+        "k12_sharpe_variants": f"""{d} SELECT round(avg(ret) / (sqrt(var_pop(ret)) + 1e-10) * {year}, 5) AS sharpe_eps, round(avg(ret) / sqrt(var_pop(ret)) * {year}, 5) AS sharpe_pop,
+  round(avg(ret) / sqrt(var_samp(ret)) * {year}, 5) AS sharpe_samp FROM d""",
+        "k13_max_drawdown_from_one": f"""{d}, c AS (SELECT date, product(1 + ret) OVER (ORDER BY date) AS c FROM d UNION ALL SELECT DATE '1900-01-01', 1)
+SELECT round(min(dd), 7) + 0.0 AS max_drawdown FROM (SELECT c / max(c) OVER (ORDER BY date) - 1 AS dd FROM c)""",
+        "k14_ordinal_ic": f"""{s} SELECT date, round(if(count(*) < 2, 0, corr(u, v)), 6) + 0.0 AS ic
+FROM (SELECT a.date, a.ticker, {order('signal')} AS u, {order('fwd')} AS v FROM {k} a JOIN {k} b ON a.date = b.date GROUP BY ALL) GROUP BY date""",
+        "k15_strategy_return": f"""{s} SELECT date, round(list_sum(list(p)), 9) + 0.0 AS total, round(count(*) FILTER (p > 0) / count(*)::DOUBLE, 7) AS win_rate
+FROM (SELECT date, CASE WHEN signal > 0 THEN fwd WHEN signal < 0 THEN -fwd ELSE 0 END AS p FROM {k}) GROUP BY date""",
+        "k16_ic_monitor": f"""{s}, i AS (SELECT date, ic, row_number() OVER (ORDER BY date) AS n FROM ({ic()}) WHERE ic IS NOT NULL)
+SELECT a.date, round(any_value(a.ic), 6) + 0.0 AS ic, count(*) FILTER (round(b.ic, 9) < 0.03) = 3 AS alert FROM i a JOIN i b ON b.n BETWEEN a.n - 2 AND a.n GROUP BY a.date""",
+    }
+
+
 def pooled(scored: str, groups: int = 6, purge: int = 63, embargo: int = 21) -> dict[str, str]:
     """Rank correlations over whole columns: ranks by counting what is smaller and what is equal."""
     s = f"WITH s AS ({scored}), k AS (SELECT date, signal, fwd, sign(signal) * fwd AS pnl FROM s WHERE signal IS NOT NULL AND fwd IS NOT NULL)"

@@ -10,7 +10,7 @@ from loomframe.functions.shared import stored
 from loomframe.functions.sqlsteps import lag, last, lead, rolling
 from loomframe.functions.template import Template
 from loomframe.operators import backtest, features, indicators, informed, labeling, metrics, notebook, splits, technical, xsection
-from loomframe.sources.bars import BARS_SQL, bars
+from loomframe.sources.bars import BARS_SQL, bars, bucketed_bars
 
 from . import oracles, panel
 
@@ -185,6 +185,8 @@ QUERIES |= {
     "x08_last_sequence": lambda spark, sf_dir: xsection.steps_of(xsection.last_sequences(bars(spark, sf_dir), "1996-05-06", 10, ["close", "volume"]), ["close", "volume"]),
     "x09_supervised": lambda spark, sf_dir: xsection.steps_of(xsection.supervised(SCORED.apply(spark, panel=bars(spark, sf_dir)), 10, ["close", "volume", "signal"], "fwd"), ["close", "volume", "signal"]),
     "i11_hmm_regimes": lambda spark, sf_dir: indicators.hmm_regimes(bars(spark, sf_dir)),
+    "s02_bucketed_technical": lambda spark, sf_dir: technical.compute_all().result(bucketed_bars(spark, sf_dir)),
+    "s02_bucketed_training_set": lambda spark, sf_dir: _bucketed_training(spark, sf_dir),
     "g03_feature_table": lambda spark, sf_dir: _features(spark, sf_dir),
     "i14_notebook_features": lambda spark, sf_dir: _notebook(spark, sf_dir),
     "f02_fracdiff_long": lambda spark, sf_dir: indicators.fracdiff_long(bars(spark, sf_dir)).select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("d0_2", "d0_5")]),
@@ -202,6 +204,12 @@ def _notebook(spark, sf_dir):
     return table.select("ticker", "date", *[(F.round(c, 4) + 0.0).alias(c) for c in table.columns if c not in ("ticker", "date")])
 
 
+def _bucketed_training(spark, sf_dir):
+    panel = bucketed_bars(spark, sf_dir)
+    own = panel.sparkSession
+    return labeling.training_set(["signal", "volume"]).apply(own, events=labeling.barrier_events().apply(own, panel=panel), panel=SCORED.apply(own, panel=panel))
+
+
 def _features(spark, sf_dir):
     """Every column of the feature table, rounded as in the families' own queries."""
     table, digits = features.feature_table(bars(spark, sf_dir)), features.feature_chain().digits
@@ -261,3 +269,6 @@ ORACLES |= oracles.sequences(SCORED.sql(panel=BARS_SQL))
 ORACLES["l01_ewm_vol"] = oracles.ewm_deviation()
 ORACLES["g03_feature_table"] = oracles.feature_table({n: s.columns for n, s in features.families().items()}, panel.ORACLES, ORACLES["v10_vol_surprise"])
 ORACLES["p01_walk_forward"] = oracles.walk_forward()
+ORACLES |= oracles.cross_sections(SCORED.sql(panel=BARS_SQL), WEIGHTS_SQL)
+ORACLES |= oracles.labels(SCORED.sql(panel=BARS_SQL), PROBS.sql(panel=BARS_SQL)) | oracles.signal_metrics(SCORED.sql(panel=BARS_SQL), DAILY.sql(panel=BARS_SQL))
+ORACLES |= {"s02_bucketed_technical": oracles.TECHNICAL["t20_all"], "s02_bucketed_training_set": ORACLES["l10_training_set"]}

@@ -94,3 +94,20 @@ def test_asof_of_dates(spark):
     a, b = spark.createDataFrame([(d,) for d in days], "d date").selectExpr("1 AS k", "d"), spark.createDataFrame([(days[2], 2), (days[5], 5)], "d date, v int").selectExpr("1 AS k", "d", "v")
     got = asof_join(a, b, ["k"], "d", ["v"], 2 * 86_400)
     assert [r.v for r in got.orderBy("d").collect()] == [None, None, 2, 2, 2, 5, 5, 5, None]
+
+
+@pytest.mark.parametrize("query", ["s02_bucketed_technical", "s02_bucketed_training_set"])
+def test_bucketed_panels_plan_no_exchange(spark, query):
+    """Neither windows by ticker nor a join by ticker and date moves a row; the values are those of the plain panel."""
+    from loomframe.plans import research
+
+    got = research.QUERIES[query](spark, SF)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Bucketed: true" in text
+    plain = {"s02_bucketed_technical": "t20_all", "s02_bucketed_training_set": "l10_training_set"}[query]
+    from loomframe.plans import registry
+
+    want = registry.QUERIES[plain](spark, SF)
+    key = list(want.columns[:2])
+    a, b = (d.toPandas().sort_values(key).reset_index(drop=True) for d in (got, want))
+    pd.testing.assert_frame_equal(a, b, check_exact=True)
