@@ -475,6 +475,86 @@ SELECT k::INT AS split_id, {at(1)} AS train_start, {at('t')} AS train_end, {at(f
   {at(f't + {purge} + 2 + {val}')} AS test_start, {at(f'least(t + {purge} + 2 + {val} + {test}, len(d))')} AS test_end FROM s WHERE t + {purge} + 2 + {val} <= len(d)"""
 
 
+_FIVE = ("open", "high", "low", "close", "volume")
+
+
+def splits(panel_splits: str) -> dict[str, str]:
+    """Parts of the dates by their positions in one numbered list."""
+    d = f"d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, (SELECT count(DISTINCT date) FROM ({BARS_SQL})) AS n FROM (SELECT DISTINCT date FROM ({BARS_SQL})))"
+    spans = "r AS (" + " UNION ALL ".join(f"SELECT split_id, '{p}' AS part, {p}_start AS lo, {p}_end AS hi FROM p" for p in ("train", "val", "test")) + ")"
+    rows = f"WITH p AS ({panel_splits}), {spans}, a AS (SELECT split_id, ticker, date, part FROM ({BARS_SQL}) b JOIN r ON b.date >= lo AND b.date <= hi)"
+    combo = f"""{d}, g AS (SELECT date, i, least(5, i // (n // 6)) AS g FROM d), c AS (SELECT (row_number() OVER (ORDER BY a, b) - 1)::INT AS combo, a, b FROM range(6) x(a), range(6) y(b) WHERE a < b),
+t AS (SELECT combo, date, i FROM c JOIN g ON g = a OR g = b), e AS (SELECT combo, min(i) - 63 AS lo, max(i) + 21 AS hi FROM t GROUP BY combo),
+k AS (SELECT combo, date, 'test' AS part FROM t UNION ALL SELECT combo, date, 'train' FROM g, e WHERE NOT (i >= lo AND i <= hi)),
+z AS (SELECT combo, count(*) FILTER (part = 'train') AS train_days, count(*) FILTER (part = 'test') AS test_days FROM k GROUP BY combo HAVING count(*) FILTER (part = 'train') >= 100)"""
+    return {
+        "p02_assign": f"{rows} SELECT * FROM a",
+        "p03_summary": f"{rows} SELECT split_id, part, count(*) AS n_rows, len(list_distinct(list(ticker))) AS n_tickers, len(list_distinct(list(date))) AS n_days, min(date) AS first_day, max(date) AS last_day FROM a GROUP BY ALL",
+        "p04_purged_kfold": f"""WITH {d}, f AS (SELECT date, i, n, k::INT AS fold, k * (n // 5) AS s, CASE WHEN k = 4 THEN n ELSE (k + 1) * (n // 5) END AS e FROM d, range(5) x(k))
+SELECT fold, date, 'test' AS part FROM f WHERE i BETWEEN s AND e - 1 UNION ALL SELECT fold, date, 'train' FROM f WHERE i NOT BETWEEN s AND e - 1 AND (i < s - 63 OR i > least(n - 1, e + 21))""",
+        "p05_temporal": f"WITH {d} SELECT date, 'train' AS part FROM d WHERE i < floor(n * 0.7) UNION ALL SELECT date, 'test' FROM d WHERE i >= floor(n * 0.7) AND i >= least(floor(n * 0.7) + 63, n - 1)",
+        "p06_combinatorial": f"WITH {combo} SELECT * FROM z",
+        "p06_roles": f"WITH {combo} SELECT combo, date, part FROM k SEMI JOIN z USING (combo)",
+        "p07_holdout_80_20": f"WITH {d} SELECT date, if(i < floor(n * 0.8), 'train', 'test') AS part FROM d",
+        "p07_holdout_70_15_15": f"WITH {d} SELECT date, if(i < floor(n * 0.7), 'train', if(i < floor(n * 0.7) + floor(n * 0.15), 'val', 'test')) AS part FROM d",
+    }
+
+
+def universes(changes: str, current: str, members: str, extra: str) -> dict[str, str]:
+    """Membership a day from the last change before it; liquidity by the engine's as-of join."""
+    days = lambda a, b: f"(SELECT unnest(generate_series(DATE '{a}', DATE '{b}', INTERVAL 1 DAY))::DATE AS date)"
+    week = "dayname(date) NOT IN ('Saturday', 'Sunday')"
+    m = f"WITH m AS (SELECT * FROM ({members}) WHERE in_universe)"
+    return {
+        "u01_reconstruct": f"""WITH c AS ({changes}), k AS (SELECT DISTINCT ticker FROM c UNION SELECT ticker FROM ({current})), g AS (SELECT ticker, date FROM k, {days('1995-01-02', '1998-12-31')} d WHERE {week}),
+l AS (SELECT g.ticker, g.date, arg_max(action, (c.date, action)) FILTER (c.date < g.date) AS before, arg_min(action, (c.date, action)) AS first FROM g LEFT JOIN c ON c.ticker = g.ticker GROUP BY ALL)
+SELECT date, ticker, true AS in_universe FROM l WHERE before = 'add' OR (before IS NULL AND (first = 'remove' OR first IS NULL))""",
+        "u03_full_universe": f"""WITH m AS ({members}), x AS (SELECT ticker, date FROM ({extra}), {days('1995-01-02', '1995-12-29')} d WHERE {week})
+SELECT date, ticker, bool_or(i) AS in_universe FROM (SELECT date, ticker, in_universe AS i FROM m UNION ALL SELECT date, ticker, true FROM x) GROUP BY ALL""",
+        "u04_on_date": f"{m} SELECT ticker FROM m WHERE date = DATE '1996-05-06'",
+        "u04_date_range": f"{m} SELECT date, ticker FROM m WHERE date >= DATE '1995-01-02' AND date < DATE '1999-01-01'",
+        "u05_liquidity_filter": f"""{m}, b AS (SELECT ticker, date, avg(close) OVER w AS p, avg(close * volume) OVER w AS v, count(*) OVER w AS n FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 20 PRECEDING))
+SELECT m.ticker, m.date, round(p, 5) AS price, round(v, 3) AS dollars FROM m ASOF JOIN b ON m.ticker = b.ticker AND m.date >= b.date WHERE n >= 5 AND p >= 5 AND v >= 30000""",
+        "u06_latest": f"{m} SELECT ticker, date FROM m WHERE date = (SELECT max(date) FROM ({members}))",
+        "u07_nearest_date": f"WITH b AS ({BARS_SQL}) SELECT ticker, date, round(close, 6) AS close FROM b WHERE date IN (SELECT date FROM b WHERE date < DATE '1996-05-06' ORDER BY date DESC LIMIT 1)",
+        "u08_adv_snapshot": f"""WITH l AS (SELECT ticker, list(close * volume ORDER BY date DESC)[1:21] AS v FROM ({BARS_SQL}) GROUP BY ticker)
+SELECT ticker, round(list_sum(v) / len(v), 4) AS adv FROM l WHERE len(v) >= 5""",
+        "u09_period_tickers": f"{m} SELECT ticker FROM m WHERE date BETWEEN DATE '1995-01-02' AND DATE '1998-12-31' GROUP BY ticker",
+    }
+
+
+def cleaned(dirty: str) -> dict[str, str]:
+    """Values carried on by the last known date; a move is set against the last two known closes."""
+    z = f"WITH z AS (SELECT * FROM ({dirty}) WHERE seq = 0)"
+    so_far = "(PARTITION BY ticker ORDER BY date)"
+    carry = lambda c: f"arg_max({c}, date) FILTER ({c} IS NOT NULL) OVER {so_far}"
+    quiet = lambda src: f"SELECT ticker, date, {', '.join(f'if(jump, NULL, {c}) AS {c}' for c in _FIVE[:4])}, volume FROM (SELECT *, ifnull(abs(now / lag(now) OVER {so_far} - 1) > 0.5, false) AS jump FROM (SELECT *, {carry('close')} AS now FROM {src}))"
+    holes = " + ".join(f"({c} IS NULL)::INT" for c in _FIVE)
+    bad = " OR ".join(f"ifnull({c} = 0, true)" for c in _FIVE[:4])
+    fit = "min(close) >= 0.01 AND max(close) <= 1000000"
+    clean = f"""WITH one AS (SELECT ticker, date, {', '.join(f'arg_max(if({c} < 0, NULL, {c}), seq) FILTER (seq = top) AS {c}' for c in _FIVE)} FROM (SELECT *, max(seq) OVER (PARTITION BY ticker, date) AS top FROM ({dirty})) GROUP BY ALL),
+fixed AS (SELECT ticker, date, open, greatest(high, open, close) AS high, least(low, open, close) AS low, close, volume FROM one), q AS ({quiet('fixed')}),
+keep AS (SELECT ticker FROM q GROUP BY ticker HAVING sum({holes}) / (5e0 * count(*)) <= 0.1),
+f AS (SELECT ticker, date, {', '.join(f'{carry(c)} AS {c}' for c in _FIVE)} FROM q SEMI JOIN keep USING (ticker)), r AS (SELECT ticker, date, open, high, low, close, ifnull(volume, 0) AS volume FROM f WHERE close IS NOT NULL),
+good AS (SELECT ticker FROM r JOIN (SELECT ticker, count(*) AS n FROM ({dirty}) GROUP BY ticker) USING (ticker) GROUP BY ticker HAVING {fit} AND count(*) >= any_value(n) / 2e0 AND NOT bool_or({bad}))"""
+    return {
+        "c01_clean_ohlcv": f"{clean} SELECT * FROM r SEMI JOIN good USING (ticker)",
+        "c02_fix_ohlc": f"{z} SELECT ticker, date, open, list_max([high, open, close]) AS high, list_min([low, open, close]) AS low, close, volume FROM z",
+        "c03_price_outliers": f"{z} {quiet('z')}",
+        "c04_validate": f"SELECT ticker, count(*) AS n_rows, count(*) FILTER ({bad}) AS n_bad, round(min(close), 6) AS lo, round(max(close), 6) AS hi, NOT bool_or({bad}) AND {fit} AS valid FROM ({dirty}) GROUP BY ticker",
+        "c05_forward_fill": f"{z} SELECT ticker, date, {', '.join(f'{carry(c)} AS {c}' for c in _FIVE)} FROM z",
+        "c08_clean_universe": f"{clean} SELECT ticker, count(*) AS n_rows, min(date) AS first_day, max(date) AS last_day FROM r SEMI JOIN good USING (ticker) GROUP BY ticker",
+        "c09_returns": over_bars("round(r, 8) + 0.0 AS ret, round(l, 8) + 0.0 AS log_ret"),
+        "c10_forward_returns": f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM ({BARS_SQL}))
+SELECT b.ticker, b.date, {', '.join(f'round(x{h}.close / b.close - 1, 8) + 0.0 AS fwd_{h}d' for h in (1, 5, 10, 21))} FROM b {' '.join(f'LEFT JOIN b x{h} ON x{h}.ticker = b.ticker AND x{h}.i = b.i + {h}' for h in (1, 5, 10, 21))}""",
+        "c11_build_panel": f"SELECT ticker, date, open, high, low, close, volume FROM ({BARS_SQL}) WHERE date >= DATE '1995-01-02' AND date < DATE '1999-01-01'",
+        "c14_market_check": f"""{z}, a AS (SELECT ticker, arg_max(close, date) AS c, list(close * volume ORDER BY date DESC)[1:21] AS v, sum({holes}) / (5e0 * count(*)) AS m FROM (SELECT *, close IS NULL AS gone FROM z) GROUP BY ticker)
+SELECT ticker, round(c, 6) AS last_close, round(list_avg(v), 4) AS dollars, round(m, 8) AS missing, ifnull(c >= 5 AND list_avg(v) >= 1000000 AND m <= 0.1, false) AS passed FROM a""",
+        "c16_drop_incomplete": f"{z} SELECT ticker, date, open, high, low, close, volume FROM z WHERE ({holes}) = 0",
+        "c17_fill_zero": f"{z} SELECT ticker, date, {', '.join(f'ifnull({c}, 0) AS {c}' for c in _FIVE)} FROM z",
+    }
+
+
 def feature_table(families: dict[str, list[str]], own: dict[str, str], surprise: str) -> str:
     """The families' own oracles side by side, and long filters as dot products of lists of weights and log prices."""
     seen, parts = set(), []

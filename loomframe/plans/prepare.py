@@ -71,7 +71,8 @@ PAIRS = {
     "u09_period_tickers": query(universe.period_tickers(S, E), members="members"),
 }
 QUERIES = {k: v[0] for k, v in PAIRS.items()}
-ORACLES = {k: v[1] for k, v in PAIRS.items()} | oracles.cleaning(DIRTY.sql(panel=BARS_SQL))
+ORACLES = {k: v[1] for k, v in PAIRS.items()} | oracles.cleaning(DIRTY.sql(panel=BARS_SQL)) | oracles.cleaned(DIRTY.sql(panel=BARS_SQL))
+ORACLES |= oracles.universes(*[FIXTURES[f].sql(panel=BARS_SQL) for f in ("changes", "current", "members", "extra")])
 
 WIDE = [f"Brand#{i}" for i in range(1, 26)]
 
