@@ -555,6 +555,56 @@ SELECT ticker, round(c, 6) AS last_close, round(list_avg(v), 4) AS dollars, roun
     }
 
 
+def _filter(d: float, least: float, x: str = "ln(close)", padded: bool = False) -> str:
+    """A fractional filter as a dot product of its weights and the last values; short histories have none, or shorter ones."""
+    weights = [1.0]
+    while abs(w := weights[-1] * (len(weights) - 1 - d) / len(weights)) >= least:
+        weights.append(w)
+    over = f"(PARTITION BY ticker ORDER BY date ROWS {len(weights) - 1} PRECEDING)"
+    if padded:
+        return f"list_inner_product(list({x}) OVER {over}, ({weights[::-1]!r}::DOUBLE[])[-(count(*) OVER {over}) :])"
+    return f"CASE WHEN count(*) OVER {over} = {len(weights)} THEN list_inner_product(list({x}) OVER {over}, {weights[::-1]!r}::DOUBLE[]) END"
+
+
+def indicators() -> dict[str, str]:
+    """Bands and relative strengths from sums; filters as dot products of lists; running moments from running sums."""
+    short = lambda d: f"round({_filter(d, 1e-3)}, 7) + 0.0 AS log_price_d0_{round(10 * d)}"
+    from_bars = lambda columns: f"SELECT ticker, date, {columns} FROM ({BARS_SQL})"
+    spread = lambda x, k: f"sqrt({whole('var_samp', x, k)})"
+    run = "(PARTITION BY ticker ORDER BY date)"
+    z = lambda c: f"({c} - avg({c}) OVER {run}) / (sqrt(var_samp({c}) OVER {run}) + 1e-10)"
+    return {
+        "f02_fracdiff": from_bars(short(0.5)),
+        "f03_fracdiff_multi": from_bars(", ".join(short(d) for d in (0.4, 0.5, 0.6))),
+        "f05_fracdiff_valid": f"SELECT * FROM ({from_bars(short(0.5))}) WHERE log_price_d0_5 IS NOT NULL",
+        "f07_fracdiff_padded": from_bars(f"round({_filter(0.5, 1e-3, padded=True)}, 7) + 0.0 AS log_price_d0_5_padded"),
+        "i01_rsi_sma": over_bars(
+            shown({"rsi": f"100 - 100 / (1 + {whole('sum', 'u', 14)} / 14 / ({whole('sum', 'd', 14)} / 14 + 1e-10))"}, 4), "close - lag(close) OVER o AS m",
+            "if(m IS NULL, NULL, greatest(m, 0)) AS u, if(m IS NULL, NULL, greatest(-m, 0)) AS d",
+        ),
+        "i04_bollinger": over_bars(
+            shown({"bb_mid": "m", "bb_upper": "m + 2 * s", "bb_lower": "m - 2 * s", "bb_position": "if(s > 1e-9, (close - m) / s, 0 * s)"}, 5), f"{whole('sum', 'close', 20)} / 20 AS m, {spread('close', 20)} AS s"
+        ),
+        "i04_bollinger_positions": over_bars(shown({f"bb_position_{k}": f"(close - {whole('avg', 'close', k)}) / ({spread('close', k)} + 1e-10)" for k in (20, 50)}, 5)),
+        "i05_rolling_stats": over_bars(
+            ", ".join(f"round({whole('sum', 'close', k)} / {k}, 7) + 0.0 AS mean_{k}, round({spread('close', k)}, 5) + 0.0 AS std_{k}, round({whole('var_samp', 'close', k)}, 3) + 0.0 AS var_{k}" for k in (10, 20, 50))
+        ),
+        "i07_momentum": over_bars(shown({f"momentum_{k}": f"close / lag(close, {k}) OVER o - 1" for k in (5, 10, 20)})),
+        "i08_volume_ratios": over_bars(shown({"volume_ratio": f"20 * volume / nullif({whole('sum', 'volume', 20)}, 0)", "volume_volatility": f"{spread('volume', 20)} / ({whole('avg', 'volume', 20)} + 1e-10)"}, 5)),
+        "i13_expanding_zscore": from_bars(f"round({z('close')}, 5) + 0.0 AS close_z, round({z('volume')}, 5) + 0.0 AS volume_z"),
+    }
+
+
+def trades(scored: str, fills: str, weights: str, hard: str) -> dict[str, str]:
+    s = f"WITH s AS ({scored}), k AS (SELECT * FROM s WHERE signal IS NOT NULL)"
+    return {
+        "b01_align": f"""{s} SELECT ticker, date, round(signal, 7) AS signal, fwd FROM s SEMI JOIN k USING (ticker) SEMI JOIN (SELECT date FROM k INTERSECT SELECT date FROM s WHERE fwd IS NOT NULL) d USING (date)""",
+        "b13_twap": f"SELECT ticker, date, k::INT AS slice, round(close * volume / 5, 6) AS value FROM ({fills}), range(1, 6) x(k)",
+        "b14_slippage": f"SELECT ticker, date, round(close * volume * (0.0002 + vol / 2), 6) AS slippage FROM ({fills})",
+        "b15_borrow_costs": f"SELECT ticker, date, round(-weight * 10000000e0 * if(ticker IN (SELECT ticker FROM ({hard})), 0.1, 0.003) / 252, 9) AS fee FROM ({weights}) WHERE weight < 0",
+    }
+
+
 def feature_table(families: dict[str, list[str]], own: dict[str, str], surprise: str) -> str:
     """The families' own oracles side by side, and long filters as dot products of lists of weights and log prices."""
     seen, parts = set(), []
@@ -562,13 +612,17 @@ def feature_table(families: dict[str, list[str]], own: dict[str, str], surprise:
         fresh = [c for c in columns if c not in seen]
         seen.update(fresh)
         parts.append(f"(SELECT ticker, date, {', '.join(fresh)} FROM ({own[name]}))")
-    filters = []
-    for d in (0.2, 0.3, 0.4, 0.5):
-        weights = [1.0]
-        while abs(w := weights[-1] * (len(weights) - 1 - d) / len(weights)) >= 1e-5:
-            weights.append(w)
-        over = f"(PARTITION BY ticker ORDER BY date ROWS {len(weights) - 1} PRECEDING)"
-        dot = f"list_inner_product(list(ln(close)) OVER {over}, {weights[::-1]!r}::DOUBLE[])"
-        filters.append(f"round(CASE WHEN count(*) OVER {over} = {len(weights)} THEN {dot} END, 6) + 0.0 AS log_price_d0_{round(10 * d)}")
+    filters = [f"round({_filter(d, 1e-5)}, 6) + 0.0 AS log_price_d0_{round(10 * d)}" for d in (0.2, 0.3, 0.4, 0.5)]
     parts += [f"({surprise})", f"(SELECT ticker, date, {', '.join(filters)} FROM ({BARS_SQL}))"]
     return "SELECT * FROM " + " JOIN ".join(p + (" USING (ticker, date)" if i else "") for i, p in enumerate(parts))
+
+
+def long_filters() -> dict[str, str]:
+    """The filters of hundreds of weights."""
+    of = lambda *ds, padded=False: f"SELECT ticker, date, {', '.join(f'round({_filter(d, 1e-5, padded=padded)}, 6) AS d0_{round(10 * d)}' for d in ds)} FROM ({BARS_SQL})"
+    return {
+        "f02_fracdiff_long": of(0.2, 0.5),
+        "f03_fracdiff_multi_long": of(0.4, 0.5, 0.6),
+        "f05_fracdiff_valid_long": f"SELECT * FROM ({of(0.5)}) WHERE d0_5 IS NOT NULL",
+        "f07_fracdiff_padded_long": of(0.5, padded=True),
+    }

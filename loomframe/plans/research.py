@@ -273,3 +273,5 @@ ORACLES |= oracles.cross_sections(SCORED.sql(panel=BARS_SQL), WEIGHTS_SQL)
 ORACLES |= oracles.labels(SCORED.sql(panel=BARS_SQL), PROBS.sql(panel=BARS_SQL)) | oracles.signal_metrics(SCORED.sql(panel=BARS_SQL), DAILY.sql(panel=BARS_SQL))
 ORACLES |= {"s02_bucketed_technical": oracles.TECHNICAL["t20_all"], "s02_bucketed_training_set": ORACLES["l10_training_set"]}
 ORACLES |= oracles.splits(SPLITS.sql())
+ORACLES |= oracles.indicators() | oracles.long_filters()
+ORACLES |= oracles.trades(SCORED.sql(panel=BARS_SQL), FIXTURES["trades"].sql(panel=BARS_SQL), WEIGHTS_SQL, HARD.sql(panel=BARS_SQL))
