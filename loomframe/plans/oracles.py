@@ -626,3 +626,42 @@ def long_filters() -> dict[str, str]:
         "f05_fracdiff_valid_long": f"SELECT * FROM ({of(0.5)}) WHERE d0_5 IS NOT NULL",
         "f07_fracdiff_padded_long": of(0.5, padded=True),
     }
+
+
+def flow() -> dict[str, str]:
+    """Volume split by the normal curve's approximation, its imbalance over frames spelled out, and regressions from their sums."""
+    split = (
+        "close - lag(close) OVER o AS m, if(count(l) OVER w20 = 20 AND max(l) OVER w20 > min(l) OVER w20, sqrt(var_pop(l) OVER w20) * close, NULL) AS s",
+        "m / s AS z", "volume * (1 + if(z < 0, -1, 1) * sqrt(1 - exp(-2 * z * z / pi()))) / 2 AS b", "volume - b AS q, row_number() OVER o AS n",
+    )
+
+    def vpin(frame: str, least: int) -> str:
+        w = f"(PARTITION BY ticker ORDER BY date ROWS BETWEEN {frame})"
+        return f"if(n < {least}, NULL, abs(sum(b - q) OVER {w}) / nullif(sum(b + q) OVER {w}, 0))"
+
+    one = vpin("19 PRECEDING AND CURRENT ROW", 20)
+    before = "(PARTITION BY ticker ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)"
+    return {
+        "v01_bulk_volume": over_bars(shown({"buy_volume": "b", "sell_volume": "q", "order_imbalance": "(b - q) / (b + q + 1e-10)"}, 5), *split),
+        "v02_vpin": over_bars(
+            shown({"vpin_b1": one, "vpin_b5": vpin("95 PRECEDING AND 4 FOLLOWING", 100), "vpin_b5_causal": vpin("99 PRECEDING AND CURRENT ROW", 100)}, 5), *split
+        ),
+        "v03_vpin_features": over_bars(
+            shown({"buy_volume_pct": "b / nullif(volume, 0)", "vpin_change_5d": "v - lag(v, 5) OVER o", "vpin_zscore_21d": f"(v - {whole('avg', 'v', 21)}) / nullif(sqrt({whole('var_samp', 'v', 21)}), 0)"}, 5), *split, f"{one} AS v"
+        ),
+        "v09_vol_price_corr": over_bars(
+            shown({"vol_price_corr": "if(count(x) OVER w63 = 63, regr_sxy(x, d) OVER w63 / sqrt(regr_sxx(x, d) OVER w63 * regr_syy(x, d) OVER w63), NULL)"}, 5),
+            f"sqrt(252 * {whole('var_samp', 'l', 21)}) AS v", "v - lag(v) OVER o AS d", "if(d IS NULL, NULL, l) AS x",
+        ),
+        "i10_market_neutral": f"""WITH b AS ({BARS_SQL}), m AS (SELECT date, c / lag(c) OVER (ORDER BY date) - 1 AS m FROM (SELECT date, avg(close) AS c FROM b GROUP BY date)),
+r AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM b),
+j AS (SELECT *, if(m IS NULL, NULL, r) AS y, if(r IS NULL, NULL, m) AS x FROM r JOIN m USING (date)),
+c AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my, covar_pop(y, x) OVER w / var_pop(x) OVER w AS beta, count(x) OVER w AS k FROM j WINDOW w AS {before})
+SELECT ticker, date, round(if(n > 252 AND k >= 20, r - my - beta * (m - mx), NULL), 6) + 0.0 AS neutral_return FROM c""",
+    }
+
+
+def portfolio(orders: str, volumes: str) -> str:
+    """Cost parts of signed trades; the impact is value^2 over a root, in basis points, and none without a known volume."""
+    return f"""WITH o AS (SELECT ticker, abs(trade_value) AS v FROM ({orders})), c AS (SELECT ticker, v, v * 0.00075 AS f, v * 0.0002 AS s, ifnull(if(adv > 0, v * v / sqrt(1e6 * adv) / 100000, 0), 0) AS i
+FROM o LEFT JOIN ({volumes}) USING (ticker)) SELECT ticker, round(v, 4) AS trade_value, round(f, 8) AS fixed_cost, round(s, 8) AS spread_cost, round(i, 8) AS impact_cost, round(f + s + i, 8) AS total_cost FROM c"""

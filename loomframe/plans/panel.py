@@ -16,5 +16,5 @@ def query(steps: Steps):
 
 
 QUERIES = {name: query(f()) for name, f in FAMILIES.items()}
-ORACLES = {name: f().sql(BARS_SQL) for name, f in FAMILIES.items()} | oracles.TECHNICAL | oracles.MICRO | oracles.INFORMED
+ORACLES = {name: f().sql(BARS_SQL) for name, f in FAMILIES.items()} | oracles.TECHNICAL | oracles.MICRO | oracles.INFORMED | {k: v for k, v in oracles.flow().items() if k in FAMILIES}
 QUERIES["entry_realized_vol"], ORACLES["entry_realized_vol"] = QUERIES["t05_realized_vol"], ORACLES["t05_realized_vol"]

@@ -275,3 +275,5 @@ ORACLES |= {"s02_bucketed_technical": oracles.TECHNICAL["t20_all"], "s02_buckete
 ORACLES |= oracles.splits(SPLITS.sql())
 ORACLES |= oracles.indicators() | oracles.long_filters()
 ORACLES |= oracles.trades(SCORED.sql(panel=BARS_SQL), FIXTURES["trades"].sql(panel=BARS_SQL), WEIGHTS_SQL, HARD.sql(panel=BARS_SQL))
+ORACLES["i10_market_neutral"] = oracles.flow()["i10_market_neutral"]
+ORACLES["b11_portfolio_costs"] = oracles.portfolio(FIXTURES["orders"].sql(panel=BARS_SQL), FIXTURES["volumes"].sql(panel=BARS_SQL))
