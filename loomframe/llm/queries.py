@@ -75,6 +75,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_spandedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four sentences with fewer than ten words together are no passages (least_words): short repeated exclamations stay.
+    remove_repeated_spans(docs, least_words=1) takes every repeated run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spandedup.remove_repeated_spans(docs).select("doc_id", "n_sentences", "n_removed", "text", "n_run_words")
 
