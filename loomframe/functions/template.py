@@ -24,10 +24,6 @@ PORTABLE: dict[str, tuple[Callable[..., str], Callable[..., str]]] = {
     "INTSEQ": (lambda a, b: f"explode(sequence({a}, {b}))", lambda a, b: f"unnest(generate_series({a}, {b}))"),
     "ARGMAX": (lambda x, k: f"max_by({x}, {k})", lambda x, k: f"arg_max({x}, {k})"),
     "ARGMIN": (lambda x, k: f"min_by({x}, {k})", lambda x, k: f"arg_min({x}, {k})"),
-    "JOINED": (lambda x, w: f"array_join(transform(collect_list({x}) {w}, e -> CAST(e AS STRING)), ',')", lambda x, w: f"array_to_string(list({x}) {w}, ',')"),
-    "SORTEDLIST": (lambda x: f"array_join(array_sort(collect_set({x})), ',')", lambda x: f"array_to_string(list_sort(list(DISTINCT {x})), ',')"),
-    "STR": (lambda x: f"CAST({x} AS STRING)", lambda x: f"CAST({x} AS VARCHAR)"),
-    "HOURS": (lambda t, n: f"window({t}, '{n.strip()} hours').start", lambda t, n: f"time_bucket(INTERVAL {n.strip()} HOURS, {t})"),
 }
 
 
