@@ -26,6 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _powers = np.cumprod(np.full(1 << 12, _STEP, U64))
+_SEGMENT = 1 << 17
+_back = np.cumprod(np.append(U64(1), np.full(_SEGMENT, pow(int(_STEP), -1, 1 << 64), U64)))
 
 
 def _power(n: int) -> np.ndarray:
@@ -47,9 +49,8 @@ def _cuts(body: bytes, size: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_spans(body: bytes, segment: int = 1 << 20, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word [^\\x20\\x09-\\x0D]+ of UTF-8 text, A-Z as a-z; positions are bytes. Without
-    `hashed` there are positions only."""
+def word_spans(body: bytes, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word [^\\x20\\x09-\\x0D]+ of UTF-8 text, A-Z as a-z; positions are bytes."""
     hashes, begins, ends = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in _cuts(body, segment):
         chars = np.frombuffer(body, np.uint8, b - a, a)
@@ -60,14 +61,44 @@ def word_spans(body: bytes, segment: int = 1 << 20, hashed: bool = True) -> tupl
         lengths = np.add.reduceat(inside, starts, dtype=np.int64)
         begins.append(starts + a)
         ends.append(starts + a + lengths)
-        if not hashed:
-            continue
         chars, starts = chars[starts[0] :], starts - starts[0]
         at = np.arange(len(chars)) - np.repeat(starts, np.diff(starts, append=len(chars)))
         hashes.append(mix(np.add.reduceat(_BYTE[chars] * _power(int(at.max()) + 1)[at], starts) + lengths.astype(U64)))
     return np.concatenate(hashes), np.concatenate(begins), np.concatenate(ends)
 
 
+def words_of_texts(
+    raw: np.ndarray, bounds: np.ndarray, hashed: bool = True, segment: int = _SEGMENT
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_spans of many texts at once: text i is raw[bounds[i] : bounds[i + 1]], positions are in raw. Without
+    `hashed` there are positions only.
+
+    A word's hash is a difference of two prefix sums, moved back to the word's start by an inverse power. Words are
+    hashed that begin within `segment` (at most _SEGMENT) bytes of each other, so that the sums stay small.
+    """
+    inside = ~((raw == 0x20) | (raw - np.uint8(0x09) < 5))
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    filled = np.diff(bounds) > 0
+    for marks, at in ((begins, bounds[:-1][filled]), (stops, bounds[1:][filled] - 1)):
+        marks[at] = inside[at]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    if not hashed:
+        return np.zeros(0, U64), starts, ends
+    hashes, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = int(np.searchsorted(starts, a + segment))
+        chars = raw[a : ends[j - 1]]
+        sums = np.zeros(len(chars) + 1, U64)
+        np.cumsum(_BYTE[chars] * _power(len(chars))[: len(chars)], out=sums[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        hashes[i:j] = mix((sums[e] - sums[s]) * _back[s] + (e - s).astype(U64))
+        i = j
+    return hashes, starts, ends
+
+
 def word_hashes(body: bytes, segment: int = 1 << 20) -> np.ndarray:
     return word_spans(body, segment)[0]
 
